@@ -1,0 +1,40 @@
+"""Does an extracted code block parse as Python? The one Arrow UDF in the
+library (parsing only; the code is never executed)."""
+
+from __future__ import annotations
+
+import ast
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+
+
+def _check(src: str | None) -> tuple[bool | None, str | None]:
+    if src is None:
+        return None, None
+    try:
+        ast.parse(src)
+        return True, None
+    except SyntaxError as e:
+        return False, f"SyntaxError at line {e.lineno}: {e.msg}"
+    except (ValueError, RecursionError, MemoryError) as e:  # e.g. NUL bytes, deep nesting
+        return False, f"{type(e).__name__}: {e}"
+
+
+def _syntax_frame(code: pd.Series) -> pd.DataFrame:
+    res = [_check(c) for c in code]
+    return pd.DataFrame({"ok": [r[0] for r in res], "message": [r[1] for r in res]})
+
+
+_RESULT = StructType([StructField("ok", BooleanType()), StructField("message", StringType())])
+_UDF = None
+
+
+def python_syntax(code: Column | str) -> Column:
+    """struct(ok, message) with ``SyntaxError at line N: msg`` on failure."""
+    global _UDF
+    if _UDF is None:
+        _UDF = pandas_udf(_syntax_frame, _RESULT)
+    return _UDF(code)
