@@ -63,17 +63,24 @@ def context_label(cl: Column | str) -> Column:
 
 def tool_call_summary(scored: DataFrame, by: Sequence[str] = ("test", "context_length")) -> DataFrame:
     """A3: per context: rows with a score, average score, perfect, tags, JSON,
-    right-tool counts. Error rows count as score 0 and false checks."""
+    right-tool counts. Error rows count as score 0 and false checks; rows
+    without a score (other suites) are ignored. Conditional aggregates are used
+    instead of a filter so no predicate is pushed into the scoring projections."""
     by = list(by)
-    s = scored.filter(F.col("score").isNotNull())
-    return (s.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
+    has = F.col("score").isNotNull()
+
+    def n_true(c: str) -> Column:
+        return F.count_if(has & F.coalesce(F.col(c), F.lit(False)))
+
+    out = (scored.groupBy(*by).agg(
+        F.count("score").alias("n"),
         F.avg("score").alias("avg_score"),
         F.count_if(F.col("score") == 5).alias("perfect"),
-        F.count_if(F.coalesce("has_tool_call_tags", F.lit(False))).alias("has_tags"),
-        F.count_if(F.coalesce("valid_json", F.lit(False))).alias("valid_json"),
-        F.count_if(F.coalesce("correct_tool", F.lit(False))).alias("right_tool"))
+        n_true("has_tool_call_tags").alias("has_tags"),
+        n_true("valid_json").alias("valid_json"),
+        n_true("correct_tool").alias("right_tool"))
         .withColumn("label", context_label("context_length")))
+    return out.filter(F.col("n") > 0)
 
 
 def niah_accuracy(niah: DataFrame, by: Sequence[str] = ("context_length",)) -> DataFrame:
