@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("q_scoring", "q_generators", "q_filters", "q_joins", "q_aggregates",
-           "q_windows", "q_tensors", "q_sources")
+MODULES = ("q_scoring", "q_generators", "q_catalog", "q_results", "q_sources")
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
