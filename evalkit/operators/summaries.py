@@ -89,16 +89,17 @@ def niah_accuracy(niah: DataFrame, by: Sequence[str] = ("context_length",)) -> D
                                  (F.avg(F.col("correct").cast("int")) * 100).alias("accuracy_pct"))
 
 
-def niah_matrix(niah: DataFrame, contexts: Sequence[int], seq: str = "seq") -> DataFrame:
+def niah_matrix(niah: DataFrame, contexts: Sequence[int], seq: str = "seq",
+                by: Sequence[str] = ()) -> DataFrame:
     """A2: depth x context pivot of PASS/FAIL taken from the first row of each
     cell (first = smallest ``seq``), ``--`` where a cell has no row. The value
     list is explicit, so the pivot needs no extra job."""
     status = F.when(F.col("correct"), F.lit("PASS")).otherwise(F.lit("FAIL"))
     pv = (niah.withColumn("_st", status)
-          .groupBy("depth").pivot("context_length", list(contexts))
+          .groupBy(*by, "depth").pivot("context_length", list(contexts))
           .agg(F.min_by("_st", F.col(seq))))
     renamed = [F.coalesce(F.col(str(c)), F.lit("--")).alias(f"c{c}") for c in contexts]
-    return pv.select("depth", *renamed)
+    return pv.select(*by, "depth", *renamed)
 
 
 def tool_context_matrix(scored: DataFrame, tools: Sequence[str]) -> DataFrame:
@@ -172,9 +173,8 @@ def narration_outliers(scored: DataFrame, by: Sequence[str] = ("test", "context_
     computed by a distributed sort (no group is gathered in one task)."""
     by = list(by)
     med = exact_median(scored, by, "output_tokens", name="median_words")
-    return (scored.join(med, by)
-            .filter((F.col("output_tokens") > F.col("median_words") * factor)
-                    & ~F.coalesce(F.col("valid_json"), F.lit(False))))
+    prose_words = F.when(~F.coalesce(F.col("valid_json"), F.lit(False)), F.col("output_tokens"))
+    return scored.join(med, by).filter(prose_words > F.col("median_words") * factor)
 
 
 def sorted_distinct_axes(df: DataFrame, axes: Sequence[str]) -> DataFrame:
@@ -186,4 +186,22 @@ def sorted_distinct_axes(df: DataFrame, axes: Sequence[str]) -> DataFrame:
              .filter(F.col("value").isNotNull()).distinct())
         out = d if out is None else out.unionByName(d)
     w = Window.partitionBy("axis").orderBy("value")
-    return out.withColumn("pos", F.row_number().over(w))
+    return out.withColumn("pos", F.row_number().over(w).cast("long"))
+
+
+def first_valid_attempt(attempts: DataFrame, key: str = "case_id", attempt: str = "attempt",
+                        has_code: str = "has_code", ok: str = "ok") -> DataFrame:
+    """Per case, the first attempt whose code parses; syntax errors and
+    no-code attempts before it (each uses one attempt up). Two grouped
+    aggregates joined on the case key: nothing per case is gathered."""
+    first = attempts.groupBy(key).agg(
+        F.min(F.when(F.col(ok) & F.col(has_code), F.col(attempt))).alias("first_ok"),
+        F.max(attempt).alias("_last"))
+    stop = F.coalesce(F.col("first_ok"), F.col("_last") + 1)
+    before = F.col(attempt) < stop
+    counts = (attempts.join(first, key).groupBy(key, "first_ok", "_last").agg(
+        F.count_if(before & F.col(has_code) & ~F.col(ok)).alias("syntax_errors"),
+        F.count_if(before & ~F.col(has_code)).alias("no_code")))
+    return counts.select(key, "first_ok", "syntax_errors", "no_code",
+                         F.coalesce(F.col("first_ok"), F.col("_last")).alias("attempts_used"),
+                         F.col("first_ok").isNotNull().alias("succeeded"))

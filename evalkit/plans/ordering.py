@@ -97,6 +97,7 @@ def exact_median(df: DataFrame, group_cols: Sequence[str], value: str,
     stats = placed.groupBy(*group_cols).agg(F.min("_ek_g").alias("_ek_start"),
                                             F.count(F.lit(1)).alias("_ek_n"))
     rel = F.col("_ek_g") - F.col("_ek_start")
-    mid = (placed.join(stats, group_cols, "inner" if group_cols else "cross")
+    joined = placed.join(stats, group_cols, "inner") if group_cols else placed.crossJoin(stats)
+    mid = (joined
            .filter((rel == F.floor((F.col("_ek_n") - 1) / 2)) | (rel == F.floor(F.col("_ek_n") / 2))))
     return mid.groupBy(*group_cols).agg(F.avg("_ek_x").alias(name))

@@ -196,7 +196,7 @@ FIN_VALUES = ", ".join(f"({i}, '{q}', '{t}', '{k}', '{v}')" for i, (q, t, k, v)
 IMS, IME = "'<|im_start|>'", "'<|im_end|>'"
 
 
-@register("calib_seeded_samples", f"""WITH pool AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS idx,
+CALIB_WITH = f"""WITH pool AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS idx,
     '{{"name": "read_file", "arguments": {{"path": "bench/' || CAST(item_id AS VARCHAR) || '.txt"}}}}' AS call, text AS result FROM benchmark),
   pn AS (SELECT count(*) AS pn FROM pool),
   s AS (SELECT conv_id AS sample, CAST(conv_id + 42 AS VARCHAR) AS seed FROM (SELECT DISTINCT conv_id FROM conversations) d),
@@ -223,7 +223,10 @@ IMS, IME = "'<|im_start|>'", "'<|im_end|>'"
   r AS (SELECT *, {IMS} || 'system' || {NL} || 'You are a coding assistant with tools.' || {IME} || {NL} || blocks
       || {IMS} || 'user' || {NL} || final_request || {IME} || {NL} || {IMS} || 'assistant' || {NL} || '<tool_call>' || {NL}
       || etc || {NL} || '</tool_call>' AS text FROM t)
-  SELECT sample, CAST(num_exchanges AS INTEGER) AS num_exchanges, final_request, expected_tool, etc AS expected_tool_call,
+"""
+
+
+@register("calib_seeded_samples", CALIB_WITH + """  SELECT sample, CAST(num_exchanges AS INTEGER) AS num_exchanges, final_request, expected_tool, etc AS expected_tool_call,
     CAST(length(text) AS BIGINT) AS char_len, md5(text) AS text_md5 FROM r""")
 def q_calib_seeded_samples(spark, sf):
     return _seeded(spark, sf).select("sample", "num_exchanges", "final_request", "expected_tool", "expected_tool_call",
