@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalkit.functions.text import PY_WS, py_strip, strip_thinking
+from evalkit.functions.text import PY_WS, PY_WS_CHARS, py_strip, strip_thinking
 
 # ---- fixed values -----------------------------------------------------------
 TOOL_CALL_PATTERNS = (
@@ -44,27 +44,47 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+OPEN_TAG, CLOSE_TAG = "<tool_call>", "</tool_call>"
+# array wrapper end marker for the strict JSON check
+SENTINEL = "__evalkit_end_7f3a__"
+
+
 def tool_call_body(clean: Column | str) -> Column:
-    """The extracted call text (NULL when no pattern matches)."""
+    """The extracted call text (NULL when no pattern matches).
+
+    Patterns 1 and 2 match exactly when an opening tag is followed by a closing
+    tag (1) or when there is an opening tag at all (2), so those tests are plain
+    string searches; pattern 2's group is the rest after the tag, left-stripped.
+    Patterns 3 and 4 run as regexes only on rows without an opening tag."""
     c = _c(clean)
-    return F.coalesce(*[F.when(c.rlike(p), F.regexp_extract(c, p, 1)) for p in TOOL_CALL_PATTERNS])
+    open_at = F.locate(OPEN_TAG, c)
+    has_open = open_at > 0
+    closes = F.call_function("locate", F.lit(CLOSE_TAG), c, open_at + len(OPEN_TAG)) > 0
+    p1, p2, p3, p4 = TOOL_CALL_PATTERNS
+    rest = F.substring(c, open_at + len(OPEN_TAG), F.lit(2147483647))
+    return (F.when(has_open & closes, F.regexp_extract(c, p1, 1))
+            .when(has_open, F.ltrim(rest, F.lit(PY_WS_CHARS)))
+            .when(F.contains(c, F.lit(CLOSE_TAG)) & c.rlike(p3), F.regexp_extract(c, p3, 1))
+            .when(F.contains(c, F.lit('{"name"')) & c.rlike(p4), F.regexp_extract(c, p4, 1)))
 
 
-def strict_json_flag(body: Column | str) -> Column:
-    """The whole (stripped) text is exactly one JSON value.
+def _wrapped(stripped: Column) -> Column:
+    """Parse ``[body, "<sentinel>"]`` as an array of variants. Spark's JSON reader
+    stops after the first value, so the sentinel is only seen as the second
+    element when the body is exactly one JSON value (a body that closes early,
+    carries extra values or injects keys gives another size or no parse)."""
+    return F.from_json(F.concat(F.lit("["), stripped, F.lit(f'\n,"{SENTINEL}"]')), "array<variant>", STRICT_JSON)
+
 
-    Spark's JSON readers stop after the first value, so two wrappers are parsed:
-    an object ``{"x": body, "__e": 1}`` whose trailing sentinel is only seen when
-    the body closes where it should, and a one-element array ``[body]`` that
-    rejects injected keys."""
-    b = py_strip(_c(body))
-    as_obj = F.from_json(F.concat(F.lit('{"x":'), b, F.lit('\n,"__e":1}')), "x string, __e int", STRICT_JSON)
-    as_arr = F.from_json(F.concat(F.lit("["), b, F.lit("\n]")), "array<string>", STRICT_JSON)
-    return F.coalesce((as_obj.getField("__e") == 1) & (F.size(as_arr) == 1), F.lit(False))
+def _wrapped_ok(w: Column) -> Column:
+    return F.coalesce((F.size(w) == 2)
+                      & (F.try_variant_get(F.try_element_at(w, F.lit(2)), "$", "string") == SENTINEL), F.lit(False))
 
 
-def _payload(body: Column) -> Column:
-    return F.from_json(py_strip(body), "name string, arguments variant", STRICT_JSON)
+def strict_json_flag(body: Column | str) -> Column:
+    """The whole (stripped) text is exactly one JSON value (Python ``json.loads``:
+    strict quoting, no control characters in strings, NaN allowed)."""
+    return _wrapped_ok(_wrapped(py_strip(_c(body))))
 
 
 def arguments_kind(args: Column) -> Column:
@@ -92,11 +112,13 @@ def score_tool_calls(df: DataFrame, answer: str, expected_tool: str | Column,
     tool, key, needle = _c(expected_tool), _c(expected_key), _c(expected_contains)
     s = (df.withColumn("_sc_clean", strip_thinking(answer))
          .withColumn("_sc_body", tool_call_body("_sc_clean")))
-    s = s.withColumn("_sc_json", F.when(F.col("_sc_body").isNotNull(), strict_json_flag("_sc_body"))
-                     .otherwise(F.lit(False)))
-    s = s.withColumn("_sc_p", F.when(F.col("_sc_json"), _payload(F.col("_sc_body"))))
-    s = (s.withColumn("_sc_obj", F.col("_sc_json") & py_strip("_sc_body").startswith("{"))
-         .withColumn("_sc_args", F.col("_sc_p.arguments")))
+    s = s.withColumn("_sc_sb", py_strip("_sc_body"))
+    s = s.withColumn("_sc_w", F.when(F.col("_sc_sb").isNotNull(), _wrapped(F.col("_sc_sb"))))
+    s = s.withColumn("_sc_json", _wrapped_ok(F.col("_sc_w")))
+    s = s.withColumn("_sc_obj", F.col("_sc_json") & F.col("_sc_sb").startswith("{"))
+    x = F.try_element_at(F.col("_sc_w"), F.lit(1))
+    s = (s.withColumn("_sc_name", F.when(F.col("_sc_obj"), F.try_variant_get(x, "$.name", "string")))
+         .withColumn("_sc_args", F.when(F.col("_sc_obj"), F.try_variant_get(x, "$.arguments", "variant"))))
     args = F.col("_sc_args")
     s = s.withColumn("_sc_kind", F.when(F.col("_sc_obj"), arguments_kind(args)))
     kind = F.col("_sc_kind")
@@ -121,7 +143,7 @@ def score_tool_calls(df: DataFrame, answer: str, expected_tool: str | Column,
     tags = F.col("_sc_body").isNotNull()
     valid = F.col("_sc_json")
     obj = F.coalesce(F.col("_sc_obj"), F.lit(False))
-    correct_tool = obj & F.coalesce(F.col("_sc_p.name") == tool, F.lit(False))
+    correct_tool = obj & F.coalesce(F.col("_sc_name") == tool, F.lit(False))
     key_ok = obj & (kind == "object") & has
     value_ok = key_ok & F.coalesce(F.contains(F.lower(value), F.lower(needle)), F.lit(False))
     ok = F.col("error").isNull()

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 # Characters Python treats as whitespace (str.isspace, re's \s for str patterns).
 PY_WS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
          r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+# The same characters as a literal set, for btrim.
+PY_WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+               "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # A Python \d (any Unicode decimal digit).
 PY_DIGIT = r"\p{Nd}"
 THINK_BLOCK = r"(?s)<think>.*?</think>"
@@ -34,12 +37,14 @@ def _c(x: Column | str) -> Column:
 
 def py_strip(text: Column | str) -> Column:
     """``str.strip()``: remove leading and trailing Python whitespace."""
-    return F.regexp_replace(_c(text), rf"\A{PY_WS}+|{PY_WS}+\z", "")
+    return F.btrim(_c(text), F.lit(PY_WS_CHARS))
 
 
 def strip_thinking(text: Column | str) -> Column:
-    """Drop every ``<think>...</think>`` block (lazy, dot matches newline), then strip."""
-    return py_strip(F.regexp_replace(_c(text), THINK_BLOCK, ""))
+    """Drop every ``<think>...</think>`` block (lazy, dot matches newline), then strip.
+    The regex only runs on texts that contain the opening tag."""
+    t = _c(text)
+    return py_strip(F.when(F.contains(t, F.lit("<think>")), F.regexp_replace(t, THINK_BLOCK, "")).otherwise(t))
 
 
 def word_count(text: Column | str) -> Column:
