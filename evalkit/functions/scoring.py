@@ -20,15 +20,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalkit.functions.text import PY_WS, PY_WS_CHARS, py_strip, strip_thinking
+from evalkit.functions.text import JAVA_WS, PY_WS, PY_WS_CHARS, py_strip, strip_thinking
 
 # ---- fixed values -----------------------------------------------------------
-TOOL_CALL_PATTERNS = (
-    rf"(?s)<tool_call>{PY_WS}*(.*?){PY_WS}*</tool_call>",
-    rf"(?s)<tool_call>{PY_WS}*(.*?)\z",
-    rf"(?s)(\{{.*?\}}){PY_WS}*</tool_call>",
-    rf"(?s)(\{{\"name\"{PY_WS}*:.*?\}}){PY_WS}*\z",
-)
+def tool_call_patterns(ws: str, flags: str) -> tuple[str, ...]:
+    """The four body patterns with a whitespace class ``ws`` and inline flags."""
+    return (
+        rf"(?{flags})<tool_call>{ws}*(.*?){ws}*</tool_call>",
+        rf"(?{flags})<tool_call>{ws}*(.*?)\z",
+        rf"(?{flags})(\{{.*?\}}){ws}*</tool_call>",
+        rf"(?{flags})(\{{\"name\"{ws}*:.*?\}}){ws}*\z",
+    )
+
+
+# portable spelling (also used by the DuckDB oracle) and the fast Java one
+TOOL_CALL_PATTERNS = tool_call_patterns(PY_WS, "s")
+JAVA_TOOL_CALL_PATTERNS = tool_call_patterns(JAVA_WS, "sU")
 STRICT_JSON = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false",
                "allowComments": "false", "allowNumericLeadingZeros": "false",
                "allowBackslashEscapingAnyCharacter": "false",
@@ -60,7 +67,7 @@ def tool_call_body(clean: Column | str) -> Column:
     open_at = F.locate(OPEN_TAG, c)
     has_open = open_at > 0
     closes = F.call_function("locate", F.lit(CLOSE_TAG), c, open_at + len(OPEN_TAG)) > 0
-    p1, p2, p3, p4 = TOOL_CALL_PATTERNS
+    p1, p2, p3, p4 = JAVA_TOOL_CALL_PATTERNS
     rest = F.substring(c, open_at + len(OPEN_TAG), F.lit(2147483647))
     return (F.when(has_open & closes, F.regexp_extract(c, p1, 1))
             .when(has_open, F.ltrim(rest, F.lit(PY_WS_CHARS)))
@@ -102,35 +109,37 @@ def arguments_kind(args: Column) -> Column:
 
 def score_tool_calls(df: DataFrame, answer: str, expected_tool: str | Column,
                      expected_key: str | Column, expected_contains: str | Column,
-                     keep_work: bool = False) -> DataFrame:
+                     keep_work: bool = False, extra: dict[str, Column] | None = None) -> DataFrame:
     """P1-P7 on a DataFrame of responses.
 
     Adds ``has_tool_call_tags, valid_json, correct_tool, correct_arg_key,
     correct_arg_value`` (booleans, NULL on error rows), ``score`` (int 0-5) and
-    ``error`` (NULL unless the reference would have raised). Steps are separate
-    projections so each regex / JSON parse is evaluated once per row."""
+    ``error`` (NULL unless the reference would have raised). Each step is its own
+    projection (several columns at a time), so every regex and JSON parse runs
+    once per row. ``extra`` columns are added in the final projection."""
     tool, key, needle = _c(expected_tool), _c(expected_key), _c(expected_contains)
-    s = (df.withColumn("_sc_clean", strip_thinking(answer))
-         .withColumn("_sc_body", tool_call_body("_sc_clean")))
-    s = s.withColumn("_sc_sb", py_strip("_sc_body"))
-    s = s.withColumn("_sc_w", F.when(F.col("_sc_sb").isNotNull(), _wrapped(F.col("_sc_sb"))))
-    s = s.withColumn("_sc_json", _wrapped_ok(F.col("_sc_w")))
-    s = s.withColumn("_sc_obj", F.col("_sc_json") & F.col("_sc_sb").startswith("{"))
+    base = df.columns
+    s = df.select("*", strip_thinking(answer).alias("_sc_clean"))
+    s = s.select("*", tool_call_body("_sc_clean").alias("_sc_body"))
+    s = s.select("*", py_strip("_sc_body").alias("_sc_sb"))
+    s = s.select("*", F.when(F.col("_sc_sb").isNotNull(), _wrapped(F.col("_sc_sb"))).alias("_sc_w"))
+    s = s.select("*", _wrapped_ok(F.col("_sc_w")).alias("_sc_json"))
+    s = s.select("*", (F.col("_sc_json") & F.col("_sc_sb").startswith("{")).alias("_sc_obj"))
     x = F.try_element_at(F.col("_sc_w"), F.lit(1))
-    s = (s.withColumn("_sc_name", F.when(F.col("_sc_obj"), F.try_variant_get(x, "$.name", "string")))
-         .withColumn("_sc_args", F.when(F.col("_sc_obj"), F.try_variant_get(x, "$.arguments", "variant"))))
+    s = s.select("*", F.when(F.col("_sc_obj"), F.try_variant_get(x, "$.name", "string")).alias("_sc_name"),
+                 F.when(F.col("_sc_obj"), F.try_variant_get(x, "$.arguments", "variant")).alias("_sc_args"))
     args = F.col("_sc_args")
-    s = s.withColumn("_sc_kind", F.when(F.col("_sc_obj"), arguments_kind(args)))
-    kind = F.col("_sc_kind")
-    amap = F.try_variant_get(args, "$", "map<string,string>")
+    s = s.select("*", F.when(F.col("_sc_obj"), arguments_kind(args)).alias("_sc_kind"),
+                 F.try_variant_get(args, "$", "map<string,string>").alias("_sc_map"))
+    kind, amap = F.col("_sc_kind"), F.col("_sc_map")
     arr_has = F.exists(F.try_variant_get(args, "$", "array<variant>"),
-                       lambda x: (F.schema_of_variant(x) == "STRING")
-                       & (F.try_variant_get(x, "$", "string") == key))
+                       lambda v: (F.schema_of_variant(v) == "STRING")
+                       & (F.try_variant_get(v, "$", "string") == key))
     str_has = F.contains(F.try_variant_get(args, "$", "string"), key)
-    s = s.withColumn("_sc_has", F.when(kind == "object", F.map_contains_key(amap, key))
-                     .when(kind == "array", arr_has)
-                     .when(kind == "string", str_has)
-                     .when(kind == "missing", F.lit(False)))
+    s = s.select("*", F.when(kind == "object", F.map_contains_key(amap, key))
+                 .when(kind == "array", arr_has)
+                 .when(kind == "string", str_has)
+                 .when(kind == "missing", F.lit(False)).alias("_sc_has"))
     has = F.coalesce(F.col("_sc_has"), F.lit(False))
     py_type = (F.when(kind == "null", F.lit("NoneType")).when(kind == "bool", F.lit("bool"))
                .when(kind == "int", F.lit("int")).when(kind == "float", F.lit("float")))
@@ -138,26 +147,25 @@ def score_tool_calls(df: DataFrame, answer: str, expected_tool: str | Column,
                   F.format_string(TYPE_ERROR_NOT_ITERABLE.replace("{}", "%s"), py_type))
            .when((kind == "string") & has, F.lit(TYPE_ERROR_STRING_INDEX))
            .when((kind == "array") & has, F.lit(TYPE_ERROR_LIST_INDEX)))
-    s = s.withColumn("error", err)
-    value = F.coalesce(F.element_at(amap, key), F.lit("None"))
-    tags = F.col("_sc_body").isNotNull()
-    valid = F.col("_sc_json")
     obj = F.coalesce(F.col("_sc_obj"), F.lit(False))
-    correct_tool = obj & F.coalesce(F.col("_sc_name") == tool, F.lit(False))
-    key_ok = obj & (kind == "object") & has
-    value_ok = key_ok & F.coalesce(F.contains(F.lower(value), F.lower(needle)), F.lit(False))
+    key_ok = obj & F.coalesce(kind == "object", F.lit(False)) & has
+    value = F.coalesce(F.element_at(amap, key), F.lit("None"))
+    checks = {
+        "has_tool_call_tags": F.col("_sc_body").isNotNull(),
+        "valid_json": F.col("_sc_json"),
+        "correct_tool": obj & F.coalesce(F.col("_sc_name") == tool, F.lit(False)),
+        "correct_arg_key": key_ok,
+        "correct_arg_value": key_ok & F.coalesce(F.contains(F.lower(value), F.lower(needle)), F.lit(False)),
+    }
+    s = s.select("*", err.alias("error"), *[c.alias(f"_sc_{n}") for n, c in checks.items()])
     ok = F.col("error").isNull()
-    s = (s.withColumn("has_tool_call_tags", F.when(ok, tags))
-         .withColumn("valid_json", F.when(ok, valid))
-         .withColumn("correct_tool", F.when(ok, correct_tool))
-         .withColumn("correct_arg_key", F.when(ok, F.coalesce(key_ok, F.lit(False))))
-         .withColumn("correct_arg_value", F.when(ok, F.coalesce(value_ok, F.lit(False)))))
-    pts = sum(F.coalesce(F.col(c), F.lit(False)).cast("int") for c in
-              ("has_tool_call_tags", "valid_json", "correct_tool", "correct_arg_key", "correct_arg_value"))
-    s = s.withColumn("score", F.when(ok, pts).otherwise(F.lit(0)).cast("int"))
-    if not keep_work:
-        s = s.drop(*[c for c in s.columns if c.startswith("_sc_")])
-    return s
+    pts = sum(F.col(f"_sc_{n}").cast("int") for n in checks)
+    final = [F.when(ok, F.col(f"_sc_{n}")).alias(n) for n in checks]
+    final.append(F.when(ok, pts).otherwise(F.lit(0)).cast("int").alias("score"))
+    final.append(F.col("error"))
+    final += [c.alias(n) for n, c in (extra or {}).items()]
+    work = [c for c in s.columns if c.startswith("_sc_")] if keep_work else []
+    return s.select(*[c for c in base if c not in ("error", "score") and c not in checks], *work, *final)
 
 
 def score_status(score: Column | str) -> Column:

@@ -70,7 +70,9 @@ def insert_position(text: Column | str, depth: Column | str, sep: str = "\n\n")
     t = _c(text)
     pos = F.floor(F.length(t) * _c(depth)).cast("int")
     pre = F.substring(t, F.lit(1), pos)
-    last = F.length(F.regexp_extract(pre, r"(?s)\A(.*)" + _quote(sep), 1))
+    # text after the last separator inside the prefix; its start is the break
+    after_last = F.substring_index(pre, sep, -1)
+    last = F.length(pre) - F.length(after_last) - F.lit(len(sep))
     return F.when(F.locate(sep, pre) > 0, last).otherwise(pos)
 
 

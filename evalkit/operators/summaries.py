@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evalkit.functions import text as T
 from evalkit.functions.scoring import score_tool_calls
 from evalkit.plans.joins import bounded_broadcast
-from evalkit.plans.ordering import exact_median
+from evalkit.plans.ordering import exact_median, exact_medians
 
 RESULT_COLUMNS = ["model", "run_ts", "test", "context_length", "depth", "expected_tool",
                   "instruction", "passkey", "answer", "answer_preview", "has_tool_call_tags",
@@ -31,9 +31,9 @@ def score_niah(df: DataFrame, raw_answer: str = "raw_answer", passkey: str = "pa
 
 def score_responses(df: DataFrame, answer: str = "answer") -> DataFrame:
     """Tool-call rows: score (P1-P7), preview (P12), word count as output tokens."""
-    out = score_tool_calls(df, answer, "expected_tool", "expected_arg_key", "expected_arg_contains")
-    return (out.withColumn("answer_preview", T.preview(answer))
-            .withColumn("output_tokens", T.word_count(answer).cast("int")))
+    return score_tool_calls(df, answer, "expected_tool", "expected_arg_key", "expected_arg_contains",
+                            extra={"answer_preview": T.preview(answer),
+                                   "output_tokens": T.word_count(answer).cast("int")})
 
 
 def attach_cases(responses: DataFrame, cases: DataFrame, key: str = "case_id",
@@ -129,11 +129,7 @@ def model_compare(cells: DataFrame, run_a: str, run_b: str,
 def throughput_by_prompt(runs: DataFrame) -> DataFrame:
     """A4: exact medians per prompt of tok/s, time and tokens."""
     r = runs.withColumn("tps", T.throughput("tokens", "elapsed"))
-    parts = [exact_median(r, ["prompt"], c, name=f"median_{c}") for c in ("tps", "elapsed", "tokens")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "prompt", "full_outer")
-    return out
+    return exact_medians(r, ["prompt"], ["tps", "elapsed", "tokens"])
 
 
 def throughput_overall(runs: DataFrame) -> DataFrame:
@@ -144,11 +140,7 @@ def throughput_overall(runs: DataFrame) -> DataFrame:
                   F.avg("tps").alias("mean_tps"), F.min("tps").alias("min_tps"),
                   F.max("tps").alias("max_tps"), F.avg("elapsed").alias("mean_elapsed"),
                   F.avg("tokens").alias("mean_tokens"))
-    meds = [exact_median(r, [], c, name=f"median_{c}") for c in ("tps", "elapsed", "tokens")]
-    out = stats
-    for m in meds:
-        out = out.crossJoin(m)  # each side is one row
-    return out
+    return stats.crossJoin(exact_medians(r, [], ["tps", "elapsed", "tokens"]))  # both sides are one row
 
 
 def degradation_onset(scored: DataFrame, by: Sequence[str], bound: float = 4.5) -> DataFrame:
@@ -170,9 +162,10 @@ def narration_outliers(scored: DataFrame, by: Sequence[str] = ("test", "context_
                        factor: float = 3.0) -> DataFrame:
     """Answers much longer than the median of their (test, context) group and
     without a usable call (no body or invalid JSON). The median is exact and
-    computed by a distributed sort (no group is gathered in one task)."""
+    counted per distinct word count (a bounded domain), so no group is
+    gathered in one task."""
     by = list(by)
-    med = exact_median(scored, by, "output_tokens", name="median_words")
+    med = exact_median(scored, by, "output_tokens", name="median_words", method="counts")
     prose_words = F.when(~F.coalesce(F.col("valid_json"), F.lit(False)), F.col("output_tokens"))
     return scored.join(med, by).filter(prose_words > F.col("median_words") * factor)
 

@@ -87,17 +87,51 @@ def running_count(df: DataFrame, keys: Sequence[str], order_col: str, flag: Colu
 
 
 def exact_median(df: DataFrame, group_cols: Sequence[str], value: str,
-                 name: str = "median", num_partitions: int | None = None) -> DataFrame:
+                 name: str = "median", num_partitions: int | None = None,
+                 method: str = "sort") -> DataFrame:
     """Exact median per group (mean of the two middle values for even counts),
-    as Python's ``statistics.median``. Values are placed by a distributed sort;
-    only the middle rows are aggregated, so no group is gathered into one task."""
+    as Python's ``statistics.median``.
+
+    ``sort``: values are placed by a distributed sort and only the middle rows
+    are aggregated, so no group is gathered into one task (any value type).
+    ``counts``: rows are first counted per (group, value) with a partial
+    aggregate; the cumulative counts then run over the distinct values only.
+    Use it for integral values with a bounded domain (token or word counts)."""
+    return exact_medians(df, group_cols, [value], [name], num_partitions, method)
+
+
+def exact_medians(df: DataFrame, group_cols: Sequence[str], values: Sequence[str],
+                  names: Sequence[str] | None = None, num_partitions: int | None = None,
+                  method: str = "sort") -> DataFrame:
+    """Exact medians of several columns per group with one sort: the columns are
+    stacked as (metric, value) rows and placed together."""
     group_cols = list(group_cols)
-    vals = df.select(*group_cols, F.col(value).cast("double").alias("_ek_x")).filter(F.col("_ek_x").isNotNull())
-    placed = global_index(vals, [*group_cols, "_ek_x"], name="_ek_g", num_partitions=num_partitions)
-    stats = placed.groupBy(*group_cols).agg(F.min("_ek_g").alias("_ek_start"),
-                                            F.count(F.lit(1)).alias("_ek_n"))
-    rel = F.col("_ek_g") - F.col("_ek_start")
-    joined = placed.join(stats, group_cols, "inner") if group_cols else placed.crossJoin(stats)
-    mid = (joined
-           .filter((rel == F.floor((F.col("_ek_n") - 1) / 2)) | (rel == F.floor(F.col("_ek_n") / 2))))
-    return mid.groupBy(*group_cols).agg(F.avg("_ek_x").alias(name))
+    names = list(names or [f"median_{v}" for v in values])
+    stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("m"), F.col(v).cast("double").alias("x"))
+                                  for v, n in zip(values, names)]))
+    vals = (df.select(*group_cols, stacked.alias("_ek_s"))
+            .select(*group_cols, F.col("_ek_s.m").alias("_ek_m"), F.col("_ek_s.x").alias("_ek_x"))
+            .filter(F.col("_ek_x").isNotNull()))
+    keys = [*group_cols, "_ek_m"]
+    if method == "counts":
+        counted = vals.groupBy(*keys, "_ek_x").agg(F.count(F.lit(1)).alias("_ek_c"))
+        upto = Window.partitionBy(*keys).orderBy("_ek_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = Window.partitionBy(*keys)
+        cum = (counted.withColumn("_ek_hi", F.sum("_ek_c").over(upto))
+               .withColumn("_ek_n", F.sum("_ek_c").over(whole)))
+        lo = F.col("_ek_hi") - F.col("_ek_c")  # 0-based position of the first copy
+        k1, k2 = F.floor((F.col("_ek_n") - 1) / 2), F.floor(F.col("_ek_n") / 2)
+        covers = lambda k: (lo <= k) & (k < F.col("_ek_hi"))
+        picked = cum.select(*keys, F.when(covers(k1), F.col("_ek_x")).alias("_a"),
+                            F.when(covers(k2), F.col("_ek_x")).alias("_b"))
+        med = picked.groupBy(*keys).agg(((F.max("_a") + F.max("_b")) / 2).alias("_ek_med"))
+    else:
+        placed = global_index(vals, [*keys, "_ek_x"], name="_ek_g", num_partitions=num_partitions)
+        stats = placed.groupBy(*keys).agg(F.min("_ek_g").alias("_ek_start"), F.count(F.lit(1)).alias("_ek_n"))
+        rel = F.col("_ek_g") - F.col("_ek_start")
+        mid = (placed.join(stats, keys, "inner")
+               .filter((rel == F.floor((F.col("_ek_n") - 1) / 2)) | (rel == F.floor(F.col("_ek_n") / 2))))
+        med = mid.groupBy(*keys).agg(F.avg("_ek_x").alias("_ek_med"))
+    if group_cols:
+        return med.groupBy(*group_cols).pivot("_ek_m", names).agg(F.first("_ek_med"))
+    return med.groupBy().pivot("_ek_m", names).agg(F.first("_ek_med"))

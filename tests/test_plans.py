@@ -55,3 +55,17 @@ def test_prefix_lookup_matches_brute_force(spark):
         m = sorted(x for x in files if x.startswith(n))
         return (m[0], "prefix") if m else (None, "missing")
     assert got == {n: brute(n) for n in names}
+
+
+def test_exact_median_by_counts_and_stacked(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.randint(0, 6), rng.random()) for g in "abc" for _ in range(rng.randint(1, 30))]
+    df = spark.createDataFrame(rows, "g string, k int, x double")
+    got = {r.g: r.m for r in exact_median(df, ["g"], "k", name="m", method="counts").collect()}
+    for g in "abc":
+        assert got[g] == statistics.median([k for h, k, _ in rows if h == g])
+    from evalkit.plans.ordering import exact_medians
+    both = {r.g: (r.mk, r.mx) for r in exact_medians(df, ["g"], ["k", "x"], ["mk", "mx"]).collect()}
+    for g in "abc":
+        assert both[g][0] == statistics.median([k for h, k, _ in rows if h == g])
+        assert abs(both[g][1] - statistics.median([x for h, _, x in rows if h == g])) < 1e-12
