@@ -17,6 +17,8 @@ Semantics follow the reference scorer:
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,39 +109,31 @@ def arguments_kind(args: Column) -> Column:
             .otherwise(F.lit("int")))
 
 
-def score_tool_calls(df: DataFrame, answer: str, expected_tool: str | Column,
-                     expected_key: str | Column, expected_contains: str | Column,
-                     keep_work: bool = False, extra: dict[str, Column] | None = None) -> DataFrame:
-    """P1-P7 on a DataFrame of responses.
-
-    Adds ``has_tool_call_tags, valid_json, correct_tool, correct_arg_key,
-    correct_arg_value`` (booleans, NULL on error rows), ``score`` (int 0-5) and
-    ``error`` (NULL unless the reference would have raised). Each step is its own
-    projection (several columns at a time), so every regex and JSON parse runs
-    once per row. ``extra`` columns are added in the final projection."""
-    tool, key, needle = _c(expected_tool), _c(expected_key), _c(expected_contains)
-    base = df.columns
-    s = df.select("*", strip_thinking(answer).alias("_sc_clean"))
-    s = s.select("*", tool_call_body("_sc_clean").alias("_sc_body"))
-    s = s.select("*", py_strip("_sc_body").alias("_sc_sb"))
-    s = s.select("*", F.when(F.col("_sc_sb").isNotNull(), _wrapped(F.col("_sc_sb"))).alias("_sc_w"))
-    s = s.select("*", _wrapped_ok(F.col("_sc_w")).alias("_sc_json"))
-    s = s.select("*", (F.col("_sc_json") & F.col("_sc_sb").startswith("{")).alias("_sc_obj"))
+def _stage_columns(answer: Column, tool: Column, key: Column, needle: Column) -> list[list[Column]]:
+    """Column expressions of each scoring step (each list is one projection)."""
+    stages: list[list[Column]] = [
+        [strip_thinking(answer).alias("_sc_clean")],
+        [tool_call_body("_sc_clean").alias("_sc_body")],
+        [py_strip("_sc_body").alias("_sc_sb")],
+        [F.when(F.col("_sc_sb").isNotNull(), _wrapped(F.col("_sc_sb"))).alias("_sc_w")],
+        [_wrapped_ok(F.col("_sc_w")).alias("_sc_json")],
+        [(F.col("_sc_json") & F.col("_sc_sb").startswith("{")).alias("_sc_obj")],
+    ]
     x = F.try_element_at(F.col("_sc_w"), F.lit(1))
-    s = s.select("*", F.when(F.col("_sc_obj"), F.try_variant_get(x, "$.name", "string")).alias("_sc_name"),
-                 F.when(F.col("_sc_obj"), F.try_variant_get(x, "$.arguments", "variant")).alias("_sc_args"))
+    stages.append([F.when(F.col("_sc_obj"), F.try_variant_get(x, "$.name", "string")).alias("_sc_name"),
+                   F.when(F.col("_sc_obj"), F.try_variant_get(x, "$.arguments", "variant")).alias("_sc_args")])
     args = F.col("_sc_args")
-    s = s.select("*", F.when(F.col("_sc_obj"), arguments_kind(args)).alias("_sc_kind"),
-                 F.try_variant_get(args, "$", "map<string,string>").alias("_sc_map"))
+    stages.append([F.when(F.col("_sc_obj"), arguments_kind(args)).alias("_sc_kind"),
+                   F.try_variant_get(args, "$", "map<string,string>").alias("_sc_map")])
     kind, amap = F.col("_sc_kind"), F.col("_sc_map")
     arr_has = F.exists(F.try_variant_get(args, "$", "array<variant>"),
                        lambda v: (F.schema_of_variant(v) == "STRING")
                        & (F.try_variant_get(v, "$", "string") == key))
     str_has = F.contains(F.try_variant_get(args, "$", "string"), key)
-    s = s.select("*", F.when(kind == "object", F.map_contains_key(amap, key))
-                 .when(kind == "array", arr_has)
-                 .when(kind == "string", str_has)
-                 .when(kind == "missing", F.lit(False)).alias("_sc_has"))
+    stages.append([F.when(kind == "object", F.map_contains_key(amap, key))
+                   .when(kind == "array", arr_has)
+                   .when(kind == "string", str_has)
+                   .when(kind == "missing", F.lit(False)).alias("_sc_has")])
     has = F.coalesce(F.col("_sc_has"), F.lit(False))
     py_type = (F.when(kind == "null", F.lit("NoneType")).when(kind == "bool", F.lit("bool"))
                .when(kind == "int", F.lit("int")).when(kind == "float", F.lit("float")))
@@ -157,15 +151,48 @@ def score_tool_calls(df: DataFrame, answer: str, expected_tool: str | Column,
         "correct_arg_key": key_ok,
         "correct_arg_value": key_ok & F.coalesce(F.contains(F.lower(value), F.lower(needle)), F.lit(False)),
     }
-    s = s.select("*", err.alias("error"), *[c.alias(f"_sc_{n}") for n, c in checks.items()])
+    stages.append([err.alias("error"), *[c.alias(f"_sc_{n}") for n, c in checks.items()]])
     ok = F.col("error").isNull()
     pts = sum(F.col(f"_sc_{n}").cast("int") for n in checks)
     final = [F.when(ok, F.col(f"_sc_{n}")).alias(n) for n in checks]
     final.append(F.when(ok, pts).otherwise(F.lit(0)).cast("int").alias("score"))
     final.append(F.col("error"))
-    final += [c.alias(n) for n, c in (extra or {}).items()]
+    stages.append(final)
+    return stages
+
+
+@functools.lru_cache(maxsize=64)
+def _cached_stage_columns(answer: str, tool: str, key: str, needle: str) -> list[list[Column]]:
+    # Column expressions are unresolved trees, so they can be reused by any DataFrame
+    # with these column names; building them once saves driver round trips per query.
+    return _stage_columns(F.col(answer), F.col(tool), F.col(key), F.col(needle))
+
+
+CHECK_COLUMNS = ("has_tool_call_tags", "valid_json", "correct_tool", "correct_arg_key", "correct_arg_value")
+
+
+def score_tool_calls(df: DataFrame, answer: str, expected_tool: str | Column,
+                     expected_key: str | Column, expected_contains: str | Column,
+                     keep_work: bool = False, extra: dict[str, Column] | None = None) -> DataFrame:
+    """P1-P7 on a DataFrame of responses.
+
+    Adds ``has_tool_call_tags, valid_json, correct_tool, correct_arg_key,
+    correct_arg_value`` (booleans, NULL on error rows), ``score`` (int 0-5) and
+    ``error`` (NULL unless the reference would have raised). Each step is its own
+    projection (several columns at a time), so every regex and JSON parse runs
+    once per row. ``extra`` columns are added in the final projection."""
+    names = (answer, expected_tool, expected_key, expected_contains)
+    if all(isinstance(n, str) for n in names):
+        stages = _cached_stage_columns(*names)
+    else:
+        stages = _stage_columns(_c(answer), _c(expected_tool), _c(expected_key), _c(expected_contains))
+    base = [c for c in df.columns if c not in ("error", "score") and c not in CHECK_COLUMNS]
+    s = df
+    for cols in stages[:-1]:
+        s = s.select("*", *cols)
     work = [c for c in s.columns if c.startswith("_sc_")] if keep_work else []
-    return s.select(*[c for c in base if c not in ("error", "score") and c not in checks], *work, *final)
+    extras = [c.alias(n) for n, c in (extra or {}).items()]
+    return s.select(*base, *work, *stages[-1], *extras)
 
 
 def score_status(score: Column | str) -> Column:

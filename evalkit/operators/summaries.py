@@ -3,6 +3,8 @@ degradation onset and narration outliers (A1-A5, A11, J1, J2, U1, W7, W8, O2, F3
 
 from __future__ import annotations
 
+import functools
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,21 +21,31 @@ RESULT_COLUMNS = ["model", "run_ts", "test", "context_length", "depth", "expecte
                   "score", "elapsed", "output_tokens", "error"]
 
 
+@functools.lru_cache(maxsize=16)
+def _niah_columns(raw_answer: str, passkey: str) -> tuple[Column, list[Column]]:
+    clean = T.strip_thinking(T.py_strip(raw_answer)).alias("_nh_clean")
+    return clean, [T.passkey_extract("_nh_clean").alias("answer"),
+                   T.passkey_correct("_nh_clean", passkey).alias("correct"),
+                   T.word_count(raw_answer).cast("int").alias("output_tokens")]
+
+
 def score_niah(df: DataFrame, raw_answer: str = "raw_answer", passkey: str = "passkey") -> DataFrame:
     """NIAH row scoring: strip, drop think blocks, extract (P9), check (P10)."""
-    clean = T.strip_thinking(T.py_strip(raw_answer))
-    return (df.withColumn("_nh_clean", clean)
-            .withColumn("answer", T.passkey_extract("_nh_clean"))
-            .withColumn("correct", T.passkey_correct("_nh_clean", passkey))
-            .withColumn("output_tokens", T.word_count(raw_answer).cast("int"))
-            .drop("_nh_clean"))
+    clean, outs = _niah_columns(raw_answer, passkey)
+    keep = [c for c in df.columns if c not in ("answer", "correct", "output_tokens")]
+    return df.select("*", clean).select(*keep, *outs)
+
+
+@functools.lru_cache(maxsize=16)
+def _response_extras(answer: str) -> tuple[Column, Column]:
+    return T.preview(answer), T.word_count(answer).cast("int")
 
 
 def score_responses(df: DataFrame, answer: str = "answer") -> DataFrame:
     """Tool-call rows: score (P1-P7), preview (P12), word count as output tokens."""
+    prev, words = _response_extras(answer)
     return score_tool_calls(df, answer, "expected_tool", "expected_arg_key", "expected_arg_contains",
-                            extra={"answer_preview": T.preview(answer),
-                                   "output_tokens": T.word_count(answer).cast("int")})
+                            extra={"answer_preview": prev, "output_tokens": words})
 
 
 def attach_cases(responses: DataFrame, cases: DataFrame, key: str = "case_id",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SPLITS: dict[tuple[int, str], int] = {}
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -19,8 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | Non
     still reach the parquet reader below the repartition."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
     target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    key = (id(spark.sparkContext), path)
+    if key not in _SPLITS:  # planning the scan lists the files; do it once per path
+        _SPLITS[key] = df.rdd.getNumPartitions()
+    if _SPLITS[key] < target:
         df = df.repartition(target)
     return df
