@@ -145,19 +145,20 @@ def mapping_file_lookup(targets: DataFrame, files: DataFrame, key: str = "saved_
                         scope: Sequence[str] = ("batch",)) -> DataFrame:
     """Statistics file of each saved name within its batch folder:
     ``name.safetensors``, else ``name``, else the first file (by name) that
-    starts with ``name``; ``missing`` when none. The prefix case is an equi-join
-    on exploded file prefixes, so its output is bounded by the total length of
-    the file names (no pairwise comparison)."""
+    starts with ``name``; ``missing`` when none.
+
+    Both exact forms start with the name too, so every candidate is found by
+    one equi-join of the names with the exploded prefixes of the file names
+    (output bounded by the total length of the file names, no pairwise
+    comparison); the rank is decided after the join."""
     scope = list(scope)
     t = targets.select(*scope, key).distinct()
-    exact_sfx = files.select(*scope, F.col("file"), F.regexp_replace("file", r"\.safetensors$", "").alias(key),
-                             F.lit(1).alias("rank")).filter(F.col("file").endswith(".safetensors"))
-    exact = files.select(*scope, F.col("file"), F.col("file").alias(key), F.lit(2).alias("rank"))
-    pref = prefixes(files, "file", out=key).select(*scope, "file", key, F.lit(3).alias("rank"))
-    cands = exact_sfx.unionByName(exact).unionByName(pref)
+    cands = prefixes(files.select(*scope, "file"), "file", out=key)
+    rank = (F.when(F.col("file") == F.concat(F.col(key), F.lit(".safetensors")), F.lit(1))
+            .when(F.col("file") == F.col(key), F.lit(2)).otherwise(F.lit(3)))
     best = (cands.join(t, [*scope, key], "left_semi")
             .groupBy(*scope, key)
-            .agg(F.min(F.struct("rank", "file")).alias("_b")))
+            .agg(F.min(F.struct(rank.alias("rank"), F.col("file").alias("file"))).alias("_b")))
     out = t.join(best, [*scope, key], "left")
     kind = (F.when(F.col("_b.rank") == 1, F.lit("safetensors")).when(F.col("_b.rank") == 2, F.lit("exact"))
             .when(F.col("_b.rank") == 3, F.lit("prefix")).otherwise(F.lit("missing")))

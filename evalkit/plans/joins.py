@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 100_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      materialize: bool = True) -> DataFrame:
     """Broadcast ``df`` only if it has at most ``max_rows`` rows; otherwise return
-    it unchanged so the planner shuffles (or AQE converts at run time).
-
-    The check reads at most ``max_rows + 1`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    it so the planner shuffles (or AQE converts at run time).
+
+    A small side is often derived from a big table (distinct keys, per-budget
+    results). With ``materialize`` it is checkpointed once into the shared
+    checkpoint folder, so the size check and the join read that copy instead of
+    recomputing it from the big table. The check reads at most ``max_rows + 1``
+    rows."""
+    side = df.checkpoint(eager=True) if materialize else df
+    n = side.limit(max_rows + 1).count()
+    return F.broadcast(side) if n <= max_rows else side
 
 
 def prefixes(df: DataFrame, col: str, out: str = "prefix", max_len: int | None = None) -> DataFrame:
