@@ -136,6 +136,25 @@ def attach_by_budget(cells: DataFrame, per_budget: DataFrame, budget: str = "bud
     return cells.join(bounded_broadcast(per_budget, max_budgets), budget, "left")
 
 
+def prompt_messages(cells: DataFrame, history: DataFrame, system_text: str, instruction: str = "instruction",
+                    budget: str = "budget", order: Sequence[str] = ("turn", "slot")) -> DataFrame:
+    """G7 (long form): per cell the system message, the history rows of its
+    budget (joined by budget, so each cell gets its own copy) and the user
+    instruction with the no-think suffix. One row per message with its position
+    and length; prompts are never gathered into one value here."""
+    keys = [c for c in cells.columns if c != instruction]
+    order = list(order)
+    w_hist = history.select(budget, *[F.col(o) for o in order], "role", "n_chars")
+    hist = cells.select(*keys).join(w_hist, budget)
+    hist = hist.select(*keys, F.lit(1).alias("part"), *order, "role", "n_chars")
+    sys_rows = cells.select(*keys, F.lit(0).alias("part"), *[F.lit(0).alias(o) for o in order],
+                            F.lit("system").alias("role"), F.lit(len(system_text)).alias("n_chars"))
+    user = cells.select(*keys, F.lit(2).alias("part"), *[F.lit(0).alias(o) for o in order],
+                        F.lit("user").alias("role"),
+                        F.length(F.concat(F.col(instruction), F.lit(T.NO_THINK_SUFFIX))).alias("n_chars"))
+    return sys_rows.unionByName(hist).unionByName(user)
+
+
 def tool_definitions(tools: DataFrame, name: str = "name", description: str = "description",
                      params: str = "parameters") -> DataFrame:
     """All tool definitions as one compact JSON array (sorted by name)."""

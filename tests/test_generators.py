@@ -82,3 +82,15 @@ def test_fixed_quota_undershoots(spark):
     got = fixed_quota(items, "k", 7).orderBy("sample").collect()
     # 7 // 3 = 2 repetitions each -> 6 samples (the reference undershoots too)
     assert [(r.sample, r.k, r.rep) for r in got] == [(0, 0, 1), (1, 0, 2), (2, 1, 1), (3, 1, 2), (4, 2, 1), (5, 2, 2)]
+
+
+def test_prompt_messages_long_form(spark):
+    cells = spark.createDataFrame([(1, 400, "Read it."), (2, 0, "Run it.")], "cell int, budget int, instruction string")
+    hist = G.padded_history(cells.select("budget"))
+    msgs = G.prompt_messages(cells, hist, "SYS")
+    got = {r.cell: (r.n, r.chars) for r in msgs.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")).collect()}
+    q = lambda t: G.HISTORY_QUESTION.format(t=t)
+    turns, _ = pyref.padded_turns(400, q)
+    assert got[2] == (2, 3 + len("Run it. /no_think"))
+    assert got[1][0] == 2 + 2 * turns
