@@ -59,10 +59,24 @@ def quantise_groups(df: DataFrame, vec: str, group_size: int, key: str) -> DataF
     return g.drop("x", "lo", "hi")
 
 
-def channel_stats(df: DataFrame, vec: str) -> DataFrame:
-    """Per channel: max |x|, mean |x|, population variance, mean square."""
-    e = df.select(F.posexplode(vec).alias("channel", "x")).withColumn("x", F.col("x").cast("double"))
-    return e.groupBy("channel").agg(
+def channel_stats(df: DataFrame, vec: str, by: list[str] | None = None) -> DataFrame:
+    """Per channel (and per ``by`` group, e.g. layer): max |x|, mean |x|,
+    population variance, mean square over the sample vectors."""
+    by = list(by or [])
+    e = df.select(*by, F.posexplode(vec).alias("channel", "x")).withColumn("x", F.col("x").cast("double"))
+    return e.groupBy(*by, "channel").agg(
         F.max(F.abs("x")).alias("max_abs"), F.avg(F.abs("x")).alias("mean_abs"),
         F.var_pop("x").alias("var_pop"), F.avg(F.col("x") * F.col("x")).alias("mean_sq"),
         F.count(F.lit(1)).alias("n"))
+
+
+def layer_sensitivity(stats: DataFrame, by: list[str]) -> DataFrame:
+    """A12 per-layer metrics from channel statistics: max and mean activation
+    variance, mean activation magnitude, and the mean square (a Hessian-trace
+    proxy for input activations). One small aggregate per layer."""
+    return stats.groupBy(*by).agg(
+        F.max("var_pop").alias("max_activation_variance"),
+        F.avg("var_pop").alias("mean_activation_variance"),
+        F.avg("mean_abs").alias("mean_activation_magnitude"),
+        F.avg("mean_sq").alias("hessian_input_activation"),
+        F.count(F.lit(1)).alias("channels"))

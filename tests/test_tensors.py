@@ -37,3 +37,18 @@ def test_shape_and_layer_helpers(spark):
     got = df.select(TF.shape_elements("s").alias("el"), TF.tensor_bytes("s", "e").alias("b"),
                     TF.layer_number("n").alias("l"), TF.component_class("n").alias("c")).collect()
     assert [(r.el, r.b, r.l, r.c) for r in got] == [(262144, 131072, 7, "weight"), (3, 6, -1, "weight")]
+
+
+def test_channel_stats_and_layer_sensitivity(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    rows = [(int(lbl), [float(x) for x in rng.normal(size=8)]) for lbl in (0, 0, 0, 1, 1) for _ in range(3)]
+    df = spark.createDataFrame(rows, "label int, v array<double>")
+    st = TO.channel_stats(df, "v", by=["label"])
+    got = {r.label: r for r in TO.layer_sensitivity(st, ["label"]).collect()}
+    for lbl in (0, 1):
+        m = np.array([v for k, v in rows if k == lbl])
+        assert abs(got[lbl].max_activation_variance - m.var(axis=0).max()) < 1e-9
+        assert abs(got[lbl].mean_activation_variance - m.var(axis=0).mean()) < 1e-9
+        assert abs(got[lbl].mean_activation_magnitude - np.abs(m).mean()) < 1e-9
+        assert abs(got[lbl].hessian_input_activation - (m * m).mean()) < 1e-9
