@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType
 
 from evalkit import pools
 from evalkit.functions import text as T
@@ -48,6 +51,17 @@ def whitespace_tokens(text: Column) -> Column:
     return T.py_split(text)
 
 
+def arrow_tokenizer(encode: Callable[[str], Sequence[int]]) -> Tokenizer:
+    """A real vocabulary plugged into G13: ``encode`` (text -> token ids, e.g. a
+    loaded tokenizer's method) runs in an Arrow-batched pandas UDF, one batch of
+    texts per call, inside the tasks that already hold the rows."""
+    def _batch(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [int(i) for i in encode(t)])
+
+    udf = pandas_udf(_batch, ArrayType(LongType()))
+    return lambda col: udf(col)
+
+
 def tokenise_truncate(df: DataFrame, max_len: int, tokenizer: Tokenizer = whitespace_tokens,
                       text: str = "text") -> DataFrame:
     """Tokens of the whole text, the first ``max_len`` kept; ``pre_len`` is the

@@ -94,3 +94,18 @@ def test_prompt_messages_long_form(spark):
     turns, _ = pyref.padded_turns(400, q)
     assert got[2] == (2, 3 + len("Run it. /no_think"))
     assert got[1][0] == 2 + 2 * turns
+
+
+def _char_codes(text):
+    return [ord(c) for c in text]
+
+
+def test_arrow_tokenizer_plugs_into_truncation(spark):
+    from evalkit.operators.calibration import arrow_tokenizer, calib_profile, tokenise_truncate
+    df = spark.createDataFrame([(1, "abcdef"), (2, "xy"), (3, "")], "doc_id int, text string")
+    t = tokenise_truncate(df, 4, tokenizer=arrow_tokenizer(_char_codes)).orderBy("doc_id").collect()
+    assert [(r.pre_len, r.token_len, r.truncated, r.at_max) for r in t] == [(6, 4, True, True), (2, 2, False, False),
+                                                                            (0, 0, False, False)]
+    assert t[0].input_ids == [97, 98, 99, 100] and t[0].position_ids == [0, 1, 2, 3] and t[2].position_ids == []
+    p = calib_profile(tokenise_truncate(df, 4, tokenizer=arrow_tokenizer(_char_codes))).first()
+    assert (p.samples, p.truncated_pre, p.truncated_at_max) == (3, 1, 1)
