@@ -165,9 +165,12 @@ def mapping_file_lookup(targets: DataFrame, files: DataFrame, key: str = "saved_
     return out.select(*scope, key, F.col("_b.file").alias("file"), kind.alias("match"))
 
 
-def merge_batches(mapping: DataFrame, key: str = "saved_name") -> DataFrame:
+def merge_batches(mapping: DataFrame, key: str = "saved_name", found: DataFrame | None = None) -> DataFrame:
     """Union of batch mappings; the later batch wins on duplicates, which
-    are counted."""
+    are counted. With ``found`` (batch, key rows whose statistics file exists,
+    e.g. J4 without ``missing``) entries without a file are skipped first."""
+    if found is not None:
+        mapping = mapping.join(found.select("batch", key).distinct(), ["batch", key], "left_semi")
     return mapping.groupBy(key).agg(
         F.max_by("original_name", "batch").alias("original_name"),
         F.max("batch").alias("from_batch"),

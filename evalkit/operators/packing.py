@@ -93,12 +93,17 @@ def render_messages(msgs: DataFrame, key: str = "conv_id", order: str = "turn",
                     F.concat(F.array_join(F.transform("_ps", lambda s: s["p"]), ""), suffix).alias("rendered")))
 
 
-def prompt_cell_stats(msgs: DataFrame, cell: list[str]) -> DataFrame:
-    """Per cell: messages, characters, chars // 4 and UTF-8 kilobytes."""
-    return (msgs.groupBy(*cell).agg(
+def prompt_cell_stats(msgs: DataFrame, cell: list[str], order: str = "turn") -> DataFrame:
+    """Per cell: messages, characters, chars // 4 and the kilobytes of the
+    numbered dump (header line, content and blank line per message, UTF-8)."""
+    if len(cell) != 1:
+        raise ValueError("prompt_cell_stats numbers messages within one key column")
+    num = message_numbering(msgs, cell[0], order)
+    dump_bytes = F.octet_length("header") + F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + F.lit(3)
+    return (num.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("n_msgs"),
         F.sum(F.length("text")).cast("long").alias("total_chars"),
-        F.sum(F.octet_length("text")).cast("long").alias("_bytes"))
+        F.sum(dump_bytes).cast("long").alias("_bytes"))
         .withColumn("est_tokens", F.floor(F.col("total_chars") / 4).cast("long"))
         .withColumn("kb", F.floor(F.col("_bytes") / 1024).cast("long"))
         .drop("_bytes"))

@@ -176,10 +176,14 @@ def q_mapping_file_lookup(spark, sf):
     return K.mapping_file_lookup(fx.stat_targets(spark, sf), fx.stat_files(spark, sf))
 
 
-@register("merge_batches", f"""WITH {FX9} SELECT saved_name, arg_max(original_name, batch) AS original_name,
-  max(batch) AS from_batch, count(*) - 1 AS duplicates FROM fx9 GROUP BY saved_name""")
+@register("merge_batches", f"""WITH {FX9}, m AS (SELECT * FROM fx9 f WHERE EXISTS (
+    SELECT 1 FROM files x WHERE x.batch = f.batch AND starts_with(x.file, f.saved_name)))
+  SELECT saved_name, arg_max(original_name, batch) AS original_name, max(batch) AS from_batch,
+  count(*) - 1 AS duplicates FROM m GROUP BY saved_name""")
 def q_merge_batches(spark, sf):
-    return K.merge_batches(fx.stat_targets(spark, sf))
+    t = fx.stat_targets(spark, sf)
+    found = K.mapping_file_lookup(t, fx.stat_files(spark, sf)).filter(F.col("match") != "missing")
+    return K.merge_batches(t, found=found)
 
 
 @register("default_on_missing_stat", """WITH n AS (SELECT 't' || CAST(p_partkey AS VARCHAR) AS saved_name, p_partkey % 4 <> 0 AS four_bit FROM part),

@@ -275,8 +275,11 @@ def q_position_columns(spark, sf):
 
 
 @register("prompt_cell_stats", """SELECT conv_id, count(*) AS n_msgs, CAST(sum(length(text)) AS BIGINT) AS total_chars,
-  CAST(sum(length(text)) // 4 AS BIGINT) AS est_tokens, CAST(sum(octet_length(encode(text))) // 1024 AS BIGINT) AS kb
-  FROM conversations GROUP BY conv_id""")
+  CAST(sum(length(text)) // 4 AS BIGINT) AS est_tokens,
+  CAST(sum(octet_length(encode('=== [' || role || '] (msg ' || CAST(msg_no AS VARCHAR) || '/' || CAST(n AS VARCHAR) || ') ==='))
+    + octet_length(encode(coalesce(text, ''))) + 3) // 1024 AS BIGINT) AS kb
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS msg_no,
+        count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) c GROUP BY conv_id""")
 def q_prompt_cell_stats(spark, sf):
     return packing.prompt_cell_stats(table(spark, sf, "conversations"), ["conv_id"])
 
