@@ -146,9 +146,9 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fenced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FX11: model replies with and without code fences."""
+    """FX11: model replies with and without code fences around whole documents."""
     return table(spark, sf_dir, "documents").selectExpr(
-        "doc_id", "substring(text, 1, 300) AS body").selectExpr(
+        "doc_id", "text AS body").selectExpr(
         "doc_id",
         """CASE pmod(doc_id, 4)
              WHEN 0 THEN concat('Report first.\n```python\n', body, '\n```\nDone.')

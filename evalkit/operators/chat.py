@@ -3,7 +3,7 @@ requests are a table to hand to a serving system; replies come back as a table."
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalkit.functions import text as T
@@ -15,13 +15,18 @@ REPLY_SCHEMA = ("choices array<struct<message: struct<content: string>>>, "
 MESSAGE_OVERHEAD_TOKENS = 4
 
 
+def request_tokens(text: str) -> Column:
+    """Estimated tokens of a message inside a request: chars // 4 plus the
+    per-message template overhead (so a budget also bounds the message count)."""
+    return T.chars_div4(text) + F.lit(MESSAGE_OVERHEAD_TOKENS)
+
+
 def chat_requests(msgs: DataFrame, model: str, max_tokens: int, temperature: float,
                   budget: int, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """One JSON request per conversation from the messages that fit the
     budget (estimate chars // 4 + overhead per message, the crossing message
     kept). The budget bounds how many messages are gathered per conversation."""
-    est = T.chars_div4("text") + F.lit(MESSAGE_OVERHEAD_TOKENS)
-    packed = pack_to_budget(msgs, budget, key, order, tokens=est)
+    packed = pack_to_budget(msgs, budget, key, order, tokens=request_tokens("text"))
     grouped = (packed.groupBy(key)
                .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "role",
                                                          F.col("text").alias("content")))).alias("_m"),

@@ -8,7 +8,7 @@ from evalkit import fixtures as fx
 from evalkit import pools
 from evalkit.functions import text as T
 from evalkit.operators import calibration as C
-from evalkit.operators import packing
+from evalkit.operators import chat, packing
 from evalkit.operators import prompts as G
 from evalkit.queries import register
 from evalkit.queries.sqlfx import CTX5, FX1, NL, strip_sql, words_sql
@@ -151,7 +151,7 @@ def q_prompt_messages(spark, sf):
     return easy.unionByName(hard)
 
 
-@register("prompt_render", f"""WITH p AS (SELECT conv_id, turn, role, text, coalesce(sum(length(text) // 4) OVER (
+@register("prompt_render", f"""WITH p AS (SELECT conv_id, turn, role, text, coalesce(sum(length(text) // 4 + 4) OVER (
     PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations),
   k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS msg_no, count(*) OVER (PARTITION BY conv_id) AS n
         FROM p WHERE before < 4096),
@@ -159,7 +159,7 @@ def q_prompt_messages(spark, sf):
         || ') ===' || {NL} || coalesce(text, '') || {NL} || {NL}, '' ORDER BY turn) AS rendered FROM k GROUP BY conv_id)
   SELECT conv_id, n_msgs, CAST(length(rendered) AS BIGINT) AS rendered_len, md5(rendered) AS rendered_md5 FROM r""")
 def q_prompt_render(spark, sf):
-    packed = packing.pack_to_budget(table(spark, sf, "conversations"), 4096)
+    packed = packing.pack_to_budget(table(spark, sf, "conversations"), 4096, tokens=chat.request_tokens("text"))
     r = packing.render_messages(packed.drop("tokens", "tokens_before"))
     return r.select("conv_id", "n_msgs", F.length("rendered").cast("long").alias("rendered_len"),
                     F.md5("rendered").alias("rendered_md5"))

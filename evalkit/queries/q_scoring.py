@@ -169,7 +169,7 @@ FX11 = f"""fx11 AS (SELECT doc_id, CASE doc_id % 4
     WHEN 0 THEN 'Report first.' || {NL} || '```python' || {NL} || body || {NL} || '```' || {NL} || 'Done.'
     WHEN 1 THEN 'Report first.' || {NL} || '```' || {NL} || body || {NL} || '```'
     WHEN 2 THEN 'Report first.' || {NL} || '```python' || {NL} || body
-    ELSE body END AS response FROM (SELECT doc_id, substring(text, 1, 300) AS body FROM documents) d)"""
+    ELSE body END AS response FROM (SELECT doc_id, text AS body FROM documents) d)"""
 
 
 @register("code_block", f"""WITH {FX11} SELECT doc_id, nullif({strip_sql('''CASE WHEN contains(response, '```python')

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evalkit import fixtures as fx
 from evalkit.functions import tensors as TF
 from evalkit.functions import text as T
-from evalkit.operators import packing
+from evalkit.operators import chat, packing
 from evalkit.queries import register
 from evalkit.queries.q_catalog import FX7
 from evalkit.queries.q_generators import CALIB_WITH, _seeded
@@ -52,7 +52,7 @@ def q_run_identity(spark, sf):
     return back.groupBy("model", "run_ts").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum"))
 
 
-@register("prompt_text_dump", f"""WITH p AS (SELECT conv_id, turn, role, text, coalesce(sum(length(text) // 4) OVER (
+@register("prompt_text_dump", f"""WITH p AS (SELECT conv_id, turn, role, text, coalesce(sum(length(text) // 4 + 4) OVER (
     PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations),
   k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS msg_no, count(*) OVER (PARTITION BY conv_id) AS n
         FROM p WHERE before < 4096),
@@ -60,7 +60,7 @@ def q_run_identity(spark, sf):
         || ') ===' || {NL} || coalesce(text, '') || {NL} || {NL}, '' ORDER BY turn) AS rendered FROM k GROUP BY conv_id)
   SELECT conv_id AS sample, CAST(length(rendered) AS BIGINT) AS n_chars, md5(rendered) AS text_md5 FROM r""")
 def q_prompt_text_dump(spark, sf):
-    packed = packing.pack_to_budget(table(spark, sf, "conversations"), 4096)
+    packed = packing.pack_to_budget(table(spark, sf, "conversations"), 4096, tokens=chat.request_tokens("text"))
     r = packing.render_messages(packed.drop("tokens", "tokens_before")).withColumnRenamed("conv_id", "sample")
     path = scratch_path(spark, "prompts")
     IO.write_text_per_key(r, path, "sample", "rendered")

@@ -69,3 +69,13 @@ def test_exact_median_by_counts_and_stacked(spark):
     for g in "abc":
         assert both[g][0] == statistics.median([k for h, k, _ in rows if h == g])
         assert abs(both[g][1] - statistics.median([x for h, _, x in rows if h == g])) < 1e-12
+
+
+def test_throughput_medians_exact_and_approx(spark):
+    from evalkit.operators.summaries import throughput_by_prompt
+    rows = [("p", t, e) for t, e in [(10, 1.0), (30, 2.0), (20, 0.0), (40, 4.0)]] + [("q", 5, 0.5)]
+    df = spark.createDataFrame(rows, "prompt string, tokens int, elapsed double")
+    ex = {r.prompt: (r.median_tps, r.median_elapsed, r.median_tokens) for r in throughput_by_prompt(df).collect()}
+    assert ex["p"] == (statistics.median([10.0, 15.0, 0.0, 10.0]), 1.5, 25.0) and ex["q"] == (10.0, 0.5, 5.0)
+    ap = {r.prompt: r.median_tokens for r in throughput_by_prompt(df, exact=False).collect()}
+    assert ap["q"] == 5.0 and ap["p"] in (20.0, 30.0)
