@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalkit import schemas
 from evalkit.functions import text as T
 from evalkit.operators.packing import pack_to_budget
 
-REPLY_SCHEMA = ("choices array<struct<message: struct<content: string>>>, "
-                "usage struct<completion_tokens: bigint>")
+REPLY_SCHEMA = schemas.CHAT_REPLY
 # fixed value: per-message template overhead in the request size estimate
 MESSAGE_OVERHEAD_TOKENS = 4
 

@@ -60,10 +60,6 @@ def passkey(id_col: Column | str, seed: str = "42") -> Column:
     return F.lpad(F.pmod(n, F.lit(1000000)).cast("string"), 6, "0")
 
 
-def _quote(s: str) -> str:
-    return r"\Q" + s + r"\E"
-
-
 def insert_position(text: Column | str, depth: Column | str, sep: str = "\n\n") -> Column:
     """Index where the needle goes: the last ``sep`` that ends at or before
     floor(len * depth), or that position itself when there is none."""

@@ -15,12 +15,6 @@ from evalkit.functions.scoring import score_tool_calls
 from evalkit.plans.joins import bounded_broadcast
 from evalkit.plans.ordering import exact_median, exact_medians
 
-RESULT_COLUMNS = ["model", "run_ts", "test", "context_length", "depth", "expected_tool",
-                  "instruction", "passkey", "answer", "answer_preview", "has_tool_call_tags",
-                  "valid_json", "correct_tool", "correct_arg_key", "correct_arg_value", "correct",
-                  "score", "elapsed", "output_tokens", "error"]
-
-
 @functools.lru_cache(maxsize=16)
 def _niah_columns(raw_answer: str, passkey: str) -> tuple[Column, list[Column]]:
     clean = T.strip_thinking(T.py_strip(raw_answer)).alias("_nh_clean")

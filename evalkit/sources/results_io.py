@@ -10,13 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from evalkit.operators.summaries import RESULT_COLUMNS  # noqa: F401  (documented schema)
+from evalkit import schemas
 
-RESULTS_SCHEMA = (
-    "test string, context_length int, depth double, expected_tool string, instruction string, "
-    "passkey string, answer string, answer_preview string, has_tool_call_tags boolean, valid_json boolean, "
-    "correct_tool boolean, correct_arg_key boolean, correct_arg_value boolean, correct boolean, score int, "
-    "elapsed double, output_tokens int, error string")
+RESULTS_SCHEMA = schemas.RESULT_FILE
 # file names such as benchmark_<model>_<yyyymmdd_HHMMSS>[.json|.csv], optionally with a suite infix
 RUN_FILE = r"benchmark_(.+?)(?:_long_toolcall)?_(\d{8}_\d{6})"
 
@@ -76,8 +72,7 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-MANIFEST_SCHEMA = ("sample long, file string, token_len int, num_exchanges int, final_request string, "
-                   "expected_tool_call struct<name: string, arguments: map<string,string>>, char_len long")
+MANIFEST_SCHEMA = schemas.MANIFEST
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

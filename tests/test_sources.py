@@ -54,3 +54,20 @@ def test_whole_files_and_xml(spark):
     assert (r.id, r.name, r.type, r.element_type, r.shape, r.offset, r.size) == \
         ("7", "m.layers.3.mlp.gate.weight", "Const", "uint4", "128, 16, 128", 64, 131072)
     assert F is not None
+
+
+def test_schemas_parse(spark):
+    from pyspark.sql.types import _parse_datatype_string
+
+    from evalkit import schemas
+    for name in dir(schemas):
+        if name.isupper():
+            assert _parse_datatype_string(getattr(schemas, name)).fields
+
+
+def test_csv_full_mode_keeps_all_columns(spark):
+    d = tempfile.mkdtemp(prefix="evalkit-csvfull-")
+    df = spark.createDataFrame([("niah", 1, None), ("tool_call", None, 5)], "test string, a int, score int")
+    IO.write_results_csv(df, d + "/o", mode="full")
+    back = IO.read_results_csv(spark, d + "/o", "test string, a int, score int").orderBy("test").collect()
+    assert [tuple(r) for r in back] == [("niah", 1, None), ("tool_call", None, 5)]
