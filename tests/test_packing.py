@@ -47,3 +47,44 @@ def test_numbering_and_render(spark):
     ht = packing.head_tail_messages(df).select("msg_no", "n_msgs").orderBy("msg_no").collect()
     assert [(x.msg_no, x.n_msgs) for x in ht] == [(1, 2), (2, 2)]
     assert packing.prompt_cell_stats(df, ["conv_id"]).select(F.col("total_chars")).first()[0] == 2
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+convs = st.lists(st.lists(st.text(alphabet="ab \n", max_size=30), min_size=0, max_size=12), min_size=1, max_size=6)
+
+
+def _pack_loop(texts, budget):
+    kept, before = [], 0
+    for t, text in enumerate(texts):
+        if before >= budget:
+            break
+        kept.append(t)
+        before += len(text) // 4
+    return kept
+
+
+@settings(max_examples=20, deadline=None)
+@given(convs, st.integers(min_value=0, max_value=20))
+def test_packing_keeps_the_loop_prefix(spark, conversations, budget):
+    rows = [(c, t, "user", text) for c, texts in enumerate(conversations) for t, text in enumerate(texts)]
+    if not rows:
+        return
+    df = _conv(spark, rows)
+    got = {}
+    for r in packing.pack_to_budget(df, budget).collect():
+        got.setdefault(r.conv_id, []).append(r.turn)
+    for c, texts in enumerate(conversations):
+        assert sorted(got.get(c, [])) == _pack_loop(texts, budget)
+
+
+words = st.sampled_from(["hi", "", " ", "reset", "RESET", "quit", "exit", "x y"])
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(words, min_size=1, max_size=15))
+def test_sessions_match_loop(spark, texts):
+    df = _conv(spark, [(9, i, "user", t) for i, t in enumerate(texts)])
+    got = [(r.turn, r.session, r.session_turn) for r in packing.session_turns(df).orderBy("turn").collect()]
+    assert got == _simulate(list(enumerate(texts)))
