@@ -11,7 +11,7 @@ from evalkit.operators import calibration as C
 from evalkit.operators import chat, packing
 from evalkit.operators import prompts as G
 from evalkit.queries import register
-from evalkit.queries.sqlfx import CTX5, FX1, NL, strip_sql, words_sql
+from evalkit.queries.sqlfx import CTX5, FX1, NL, strip_sql
 from evalkit.queries.util import rounded
 from evalkit.sources.tables import table
 

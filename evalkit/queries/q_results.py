@@ -99,7 +99,7 @@ def q_tool_context_matrix(spark, sf):
     coalesce(a.depth, b.depth) AS depth, coalesce(a.expected_tool, b.expected_tool) AS expected_tool,
     round(a.s, 6) AS score_a, a.n AS n_a, round(b.s, 6) AS score_b, b.n AS n_b, round(b.s - a.s, 6) AS delta
   FROM a FULL OUTER JOIN b ON a.test = b.test AND a.context_length = b.context_length AND a.depth = b.depth
-    AND a.expected_tool = b.expected_tool""".replace(W3 + ", ", W3 + ", "))
+    AND a.expected_tool = b.expected_tool""")
 def q_model_compare(spark, sf):
     return rounded(S.model_compare(runs(spark, sf), "m0_20260101_000000", "m1_20260101_000000"))
 
