@@ -89,7 +89,8 @@ def fixed_quota(items: DataFrame, key: str, n: int) -> DataFrame:
     order, stopping after ``n`` samples (fewer when n % k > 0)."""
     distinct = items.select(key).distinct()
     k = distinct.agg(F.count(F.lit(1)).alias("_k"))
-    ranked = global_index(distinct, [key], name="_rank")
+    # the distinct keys come from a full aggregation: materialise before ranking
+    ranked = global_index(distinct, [key], name="_rank", materialize=True)
     reps = ranked.crossJoin(k).withColumn("_r", F.greatest(F.lit(1), (F.lit(n) / F.col("_k")).cast("int")))
     out = (reps.withColumn("rep", F.explode(F.sequence(F.lit(1), F.col("_r"))))
            .withColumn("sample", F.col("_rank") * F.col("_r") + F.col("rep") - 1))

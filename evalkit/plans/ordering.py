@@ -34,9 +34,15 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def global_index(df: DataFrame, order_cols: Sequence[str | Column], name: str = "gidx",
-                 num_partitions: int | None = None) -> DataFrame:
-    """Append ``name`` = 0-based position of each row in ``order_cols`` order."""
+                 num_partitions: int | None = None, materialize: bool = False) -> DataFrame:
+    """Append ``name`` = 0-based position of each row in ``order_cols`` order.
+
+    Range partitioning samples its input in a separate job; ``materialize``
+    checkpoints the input first when it is expensive to recompute (an
+    aggregate over a big table, for example)."""
     order = _cols(order_cols)
+    if materialize:
+        df = df.checkpoint(eager=True)
     n = _num_partitions(df, num_partitions)
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_ek_mid", F.monotonically_increasing_id())
@@ -88,7 +94,7 @@ def running_count(df: DataFrame, keys: Sequence[str], order_col: str, flag: Colu
 
 def exact_median(df: DataFrame, group_cols: Sequence[str], value: str,
                  name: str = "median", num_partitions: int | None = None,
-                 method: str = "sort") -> DataFrame:
+                 method: str = "sort", materialize: bool = True) -> DataFrame:
     """Exact median per group (mean of the two middle values for even counts),
     as Python's ``statistics.median``.
 
@@ -97,14 +103,18 @@ def exact_median(df: DataFrame, group_cols: Sequence[str], value: str,
     ``counts``: rows are first counted per (group, value) with a partial
     aggregate; the cumulative counts then run over the distinct values only.
     Use it for integral values with a bounded domain (token or word counts)."""
-    return exact_medians(df, group_cols, [value], [name], num_partitions, method)
+    return exact_medians(df, group_cols, [value], [name], num_partitions, method, materialize)
 
 
 def exact_medians(df: DataFrame, group_cols: Sequence[str], values: Sequence[str],
                   names: Sequence[str] | None = None, num_partitions: int | None = None,
-                  method: str = "sort") -> DataFrame:
+                  method: str = "sort", materialize: bool = True) -> DataFrame:
     """Exact medians of several columns per group with one sort: the columns are
-    stacked as (metric, value) rows and placed together."""
+    stacked as (metric, value) rows and placed together.
+
+    Range partitioning samples its input in a job of its own before the
+    shuffle; with ``materialize`` the narrow (group, metric, value) table is
+    checkpointed first, so an expensive upstream (e.g. scoring) runs once."""
     group_cols = list(group_cols)
     names = list(names or [f"median_{v}" for v in values])
     stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("m"), F.col(v).cast("double").alias("x"))
@@ -126,6 +136,8 @@ def exact_medians(df: DataFrame, group_cols: Sequence[str], values: Sequence[str
                             F.when(covers(k2), F.col("_ek_x")).alias("_b"))
         med = picked.groupBy(*keys).agg(((F.max("_a") + F.max("_b")) / 2).alias("_ek_med"))
     else:
+        if materialize:
+            vals = vals.checkpoint(eager=True)
         placed = global_index(vals, [*keys, "_ek_x"], name="_ek_g", num_partitions=num_partitions)
         stats = placed.groupBy(*keys).agg(F.min("_ek_g").alias("_ek_start"), F.count(F.lit(1)).alias("_ek_n"))
         rel = F.col("_ek_g") - F.col("_ek_start")
