@@ -120,7 +120,9 @@ def _stage_columns(answer: Column, tool: Column, key: Column, needle: Column) ->
         [(F.col("_sc_json") & F.col("_sc_sb").startswith("{")).alias("_sc_obj")],
     ]
     x = F.try_element_at(F.col("_sc_w"), F.lit(1))
-    stages.append([F.when(F.col("_sc_obj"), F.try_variant_get(x, "$.name", "string")).alias("_sc_name"),
+    name_v = F.try_variant_get(x, "$.name", "variant")
+    stages.append([F.when(F.col("_sc_obj") & (F.schema_of_variant(name_v) == "STRING"),
+                          F.try_variant_get(name_v, "$", "string")).alias("_sc_name"),
                    F.when(F.col("_sc_obj"), F.try_variant_get(x, "$.arguments", "variant")).alias("_sc_args")])
     args = F.col("_sc_args")
     stages.append([F.when(F.col("_sc_obj"), arguments_kind(args)).alias("_sc_kind"),

@@ -132,3 +132,11 @@ def test_alloc_failure(spark):
     df = spark.createDataFrame([(m,) for m in msgs], "m string").select(T.alloc_failure("m").alias("t"))
     got = [(r.t.kind, r.t.alloc_bytes) for r in df.collect()]
     assert got == [("OOM", 2147483648), ("OOM", None), ("FAILED", None)]
+
+
+def test_numeric_name_never_equals_text(spark):
+    rows = ['<tool_call>{"name": 5, "arguments": {"path": "x"}}</tool_call>',
+            '<tool_call>{"name": "5", "arguments": {"path": "x"}}</tool_call>']
+    got = _score_rows(spark, rows, tool="5", key="path", needle="x")
+    assert got == [pyref.score(a, "5", "path", "x") for a in rows]
+    assert got[0][2] is False and got[1][2] is True
