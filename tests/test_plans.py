@@ -79,3 +79,24 @@ def test_throughput_medians_exact_and_approx(spark):
     assert ex["p"] == (statistics.median([10.0, 15.0, 0.0, 10.0]), 1.5, 25.0) and ex["q"] == (10.0, 0.5, 5.0)
     ap = {r.prompt: r.median_tokens for r in throughput_by_prompt(df, exact=False).collect()}
     assert ap["q"] == 5.0 and ap["p"] in (20.0, 30.0)
+
+
+def test_hot_conversation_is_split_into_buckets(spark):
+    """One conversation with most of the rows: the prefix sum is exact and no
+    window partition holds more than one bucket of turns."""
+    from pyspark.sql import functions as F
+
+    from evalkit.operators.packing import pack_to_budget
+    hot = spark.range(150_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                      F.lit("user").alias("role"), F.lit("abcdefgh").alias("text"))
+    small = spark.range(2_000).select((F.col("id") % 50 + 2).alias("conv_id"), (F.col("id") / 50).cast("long")
+                                      .alias("turn"), F.lit("user").alias("role"), F.lit("abcd").alias("text"))
+    df = hot.unionByName(small)
+    budget = 250_000  # hot: 2 tokens per turn -> 125,000 turns kept; small ones keep everything
+    out = pack_to_budget(df, budget)
+    got = out.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max("tokens_before").alias("mx"))
+    g = {r.conv_id: (r.n, r.mx) for r in got.collect()}
+    assert g[1] == (125_000, 249_998)
+    assert all(g[c] == (40, 39) for c in range(2, 52))
+    buckets = out.filter("conv_id = 1").select(F.floor(F.col("turn") / 4096).alias("b")).groupBy("b").count()
+    assert buckets.agg(F.max("count")).first()[0] <= 4096
