@@ -44,10 +44,15 @@ def build_session(master: str = "local[*]", app: str = "evalkit",
     return spark
 
 
+# settings a caller's session keeps as it is (no query depends on them)
+CALLER_OWNED = {"spark.sql.session.timeZone"}
+
+
 def apply_session_conf(spark: SparkSession) -> None:
-    """Set the runtime SQL settings above on an existing session."""
+    """Set the runtime SQL settings above on an existing session (the caller's
+    time zone is left alone: timestamps here are wall-clock TIMESTAMP_NTZ)."""
     for k, v in SESSION_CONF.items():
-        if k.startswith("spark.sql."):
+        if k.startswith("spark.sql.") and k not in CALLER_OWNED:
             try:
                 spark.conf.set(k, v)
             except Exception:  # static or unknown settings are left alone
