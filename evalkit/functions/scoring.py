@@ -96,6 +96,20 @@ def strict_json_flag(body: Column | str) -> Column:
     return _wrapped_ok(_wrapped(py_strip(_c(body))))
 
 
+def python_str(v: Column) -> Column:
+    """``str(value)`` of a JSON value held as a variant: strings as is, None,
+    True/False, integers, floats through double (2.50 -> 2.5); objects and
+    arrays as compact JSON (Python would print its repr)."""
+    t = F.schema_of_variant(v)
+    return (F.when(v.isNull() | (t == "VOID"), F.lit("None"))
+            .when(t == "STRING", F.try_variant_get(v, "$", "string"))
+            .when(t == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
+            .when(t.isin("DOUBLE", "FLOAT") | t.startswith("DECIMAL"),
+                  F.try_variant_get(v, "$", "double").cast("string"))
+            .when(t.startswith("OBJECT") | t.startswith("ARRAY"), F.to_json(v))
+            .otherwise(F.try_variant_get(v, "$", "string")))
+
+
 def arguments_kind(args: Column) -> Column:
     """JSON kind of the ``arguments`` variant: missing/null/object/array/string/bool/int/float."""
     t = F.schema_of_variant(args)
@@ -126,7 +140,7 @@ def _stage_columns(answer: Column, tool: Column, key: Column, needle: Column) ->
                    F.when(F.col("_sc_obj"), F.try_variant_get(x, "$.arguments", "variant")).alias("_sc_args")])
     args = F.col("_sc_args")
     stages.append([F.when(F.col("_sc_obj"), arguments_kind(args)).alias("_sc_kind"),
-                   F.try_variant_get(args, "$", "map<string,string>").alias("_sc_map")])
+                   F.try_variant_get(args, "$", "map<string,variant>").alias("_sc_map")])
     kind, amap = F.col("_sc_kind"), F.col("_sc_map")
     arr_has = F.exists(F.try_variant_get(args, "$", "array<variant>"),
                        lambda v: (F.schema_of_variant(v) == "STRING")
@@ -145,7 +159,7 @@ def _stage_columns(answer: Column, tool: Column, key: Column, needle: Column) ->
            .when((kind == "array") & has, F.lit(TYPE_ERROR_LIST_INDEX)))
     obj = F.coalesce(F.col("_sc_obj"), F.lit(False))
     key_ok = obj & F.coalesce(kind == "object", F.lit(False)) & has
-    value = F.coalesce(F.element_at(amap, key), F.lit("None"))
+    value = python_str(F.element_at(amap, key))
     checks = {
         "has_tool_call_tags": F.col("_sc_body").isNotNull(),
         "valid_json": F.col("_sc_json"),
