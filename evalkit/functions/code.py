@@ -5,7 +5,10 @@ from __future__ import annotations
 
 import ast
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
@@ -28,6 +31,9 @@ def _syntax_frame(code: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"ok": [r[0] for r in res], "message": [r[1] for r in res]})
 
 
+# ship this module's code with the UDF, so Python workers need not find the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _RESULT = StructType([StructField("ok", BooleanType()), StructField("message", StringType())])
 _UDF = None
 

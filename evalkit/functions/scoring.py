@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from evalkit.functions.text import JAVA_WS, PY_WS, PY_WS_CHARS, py_strip, strip_thinking
 
+
 def tool_call_patterns(ws: str, flags: str) -> tuple[str, ...]:
     """The four body patterns with a whitespace class ``ws`` and inline flags."""
     return (

@@ -55,7 +55,7 @@ def arrow_tokenizer(encode: Callable[[str], Sequence[int]]) -> Tokenizer:
     """A real vocabulary plugged into G13: ``encode`` (text -> token ids, e.g. a
     loaded tokenizer's method) runs in an Arrow-batched pandas UDF, one batch of
     texts per call, inside the tasks that already hold the rows."""
-    def _batch(texts: pd.Series) -> pd.Series:
+    def _batch(texts: pd.Series) -> pd.Series:  # a closure: pickled by value with ``encode``
         return texts.map(lambda t: None if t is None else [int(i) for i in encode(t)])
 
     udf = pandas_udf(_batch, ArrayType(LongType()))
