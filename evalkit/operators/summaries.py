@@ -114,22 +114,29 @@ def tool_context_matrix(scored: DataFrame, tools: Sequence[str]) -> DataFrame:
             .agg(F.avg("score").alias("score"), F.avg("elapsed").alias("time")))
 
 
-def model_compare(cells: DataFrame, run_a: str, run_b: str,
+def model_compare(cells: DataFrame, run_a: str, run_b: str, *more_runs: str,
                   keys: Sequence[str] = ("test", "context_length", "depth", "expected_tool"),
                   run_col: str = "run_id") -> DataFrame:
-    """One row per cell with both runs side by side (full outer join) and the
-    score difference. Cells are aggregated per run first, so the join shuffles
-    one row per cell and run, never the raw rows."""
-    keys = list(keys)
+    """One row per cell with the runs side by side (like a full outer join
+    of the per-run cells) and the score difference between the last and the
+    first run. One aggregation with a pivot over the explicit run list: a single
+    shuffle of partial aggregates, whatever the number of runs. Runs are named
+    by their full id (model and timestamp), so equal model names do not collide.
+    Columns: ``score_a, n_a, score_b, n_b[, score_c, n_c ...], delta``."""
+    runs = [run_a, run_b, *more_runs]
+    tags = [chr(ord("a") + i) for i in range(len(runs))]
     metric = F.coalesce(F.col("score").cast("double"), F.col("correct").cast("int").cast("double") * 5)
-    agg = (cells.filter(F.col(run_col).isin(run_a, run_b))
-           .withColumn("_m", metric)
-           .groupBy(run_col, *[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys])
-           .agg(F.avg("_m").alias("avg_score"), F.count(F.lit(1)).alias("n")))
-    a = agg.filter(F.col(run_col) == run_a).select(*keys, F.col("avg_score").alias("score_a"), F.col("n").alias("n_a"))
-    b = agg.filter(F.col(run_col) == run_b).select(*keys, F.col("avg_score").alias("score_b"), F.col("n").alias("n_b"))
-    return (a.join(b, keys, "full_outer")
-            .withColumn("delta", F.col("score_b") - F.col("score_a")))
+    cell = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys]
+    pv = (cells.filter(F.col(run_col).isin(*runs))
+          .select(*cell, F.col(run_col), metric.alias("_m"))
+          .groupBy(*keys).pivot(run_col, runs)
+          .agg(F.avg("_m").alias("score"), F.count(F.lit(1)).alias("n")))
+    out = []
+    for r, t in zip(runs, tags):
+        n = F.col(f"{r}_n")
+        out += [F.col(f"{r}_score").alias(f"score_{t}"), F.when(n > 0, n).alias(f"n_{t}")]
+    return (pv.select(*keys, *out)
+            .withColumn("delta", F.col(f"score_{tags[-1]}") - F.col(f"score_{tags[0]}")))
 
 
 def throughput_by_prompt(runs: DataFrame, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
