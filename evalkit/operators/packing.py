@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalkit.functions import text as T
-from evalkit.plans.ordering import running_count, running_sum
+from evalkit.plans.ordering import running_count, running_sum, running_sums
 
 
 def pack_to_budget(msgs: DataFrame, budget: int | Column, key: str = "conv_id",
@@ -33,19 +33,26 @@ def session_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn",
     """Interactive chat bookkeeping over typed inputs. Empty inputs are
     skipped, ``reset`` starts a new session (turn counter back to 0), ``quit`` or
     ``exit`` ends the conversation (that row and all later rows dropped). Returns
-    the counted rows with ``session`` (1-based) and ``session_turn`` (1-based)."""
-    t = turns.withColumn("_in", F.lower(T.py_strip(text)))
-    # first quit per conversation: a partial aggregate, one row per conversation
-    quits = (t.filter(F.col("_in").isin("quit", "exit"))
-             .groupBy(key).agg(F.min(order).alias("_quit_at")))
-    live = (t.join(quits, key, "left")
-            .filter(F.col("_quit_at").isNull() | (F.col(order) < F.col("_quit_at")))
-            .drop("_quit_at"))
-    live = running_count(live, [key], order, F.col("_in") == "reset", "_resets")
-    counted = live.filter((F.col("_in") != "") & (F.col("_in") != "reset"))
-    counted = counted.withColumn("session", (F.col("_resets") + 1).cast("long"))
-    counted = running_count(counted, [key, "session"], order, F.lit(True), "session_turn")
-    return counted.drop("_in", "_resets")
+    the counted rows with ``session`` (1-based) and ``session_turn`` (1-based).
+
+    Quits, resets and counted inputs are three running counts from one bucketed
+    pass; the turn within a session is the counted position minus the session's
+    first one (a grouped minimum joined back)."""
+    inp = F.lower(T.py_strip(text))
+    is_quit = inp.isin("quit", "exit")
+    is_reset = inp == "reset"
+    counted = (inp != "") & ~is_reset & ~is_quit
+    t = turns.withColumn("_counted_row", counted)
+    t = running_sums(t, [key], order, {
+        "_quits": F.when(is_quit, 1).otherwise(0),
+        "_resets": F.when(is_reset, 1).otherwise(0),
+        "_pos": F.when(counted, 1).otherwise(0)})
+    live = (t.filter((F.col("_quits") == 0) & F.col("_counted_row"))
+            .withColumn("session", (F.col("_resets") + 1).cast("long")))
+    first = live.groupBy(key, "session").agg(F.min("_pos").alias("_first"))
+    return (live.join(first, [key, "session"])
+            .withColumn("session_turn", (F.col("_pos") - F.col("_first") + 1).cast("long"))
+            .drop("_quits", "_resets", "_pos", "_first", "_counted_row"))
 
 
 def message_numbering(msgs: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:

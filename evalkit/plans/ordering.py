@@ -57,32 +57,43 @@ def global_index(df: DataFrame, order_cols: Sequence[str | Column], name: str =
             .drop("_ek_mid", "_ek_pid", "_ek_loc", "_ek_off"))
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order_col: str, value: str | Column,
-                name: str, inclusive: bool = True, bucket_size: int = 4096,
-                keep_bucket: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Per-key running sum of ``value`` in ``order_col`` order (an integral column).
-
-    ``inclusive=False`` gives the sum of the rows strictly before. ``keep_bucket``
-    receives the bucket offset column and may drop whole buckets before the
-    per-row window runs (used for budget packing: buckets that start at or past
-    the budget can never be kept).
-    """
+def running_sums(df: DataFrame, keys: Sequence[str], order_col: str, values: dict[str, Column],
+                 inclusive: bool = True, bucket_size: int = 4096,
+                 keep_bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Several per-key running sums over an integral order column in one pass.
+
+    Rows are cut into buckets of ``bucket_size`` consecutive order values;
+    bucket totals (a partial aggregate) give each bucket its offsets, then a
+    window partitioned by (key, bucket) finishes the sums, so a key holding a
+    third of the table is spread over many tasks. ``inclusive=False`` sums the
+    rows strictly before. ``keep_bucket`` receives the offset of the first value
+    and may drop whole buckets before the per-row window runs."""
     keys = list(keys)
-    val = F.col(value) if isinstance(value, str) else value
-    b = (df.withColumn("_ek_v", F.coalesce(val, F.lit(0)))
-         .withColumn("_ek_b", F.floor(F.col(order_col) / F.lit(bucket_size)).cast("long")))
-    totals = b.groupBy(*keys, "_ek_b").agg(F.sum("_ek_v").alias("_ek_bs"))
+    names = list(values)
+    tmp = {n: f"_ek_v_{i}" for i, n in enumerate(names)}
+    b = df.withColumn("_ek_b", F.floor(F.col(order_col) / F.lit(bucket_size)).cast("long"))
+    b = b.select("*", *[F.coalesce(values[n], F.lit(0)).alias(tmp[n]) for n in names])
+    totals = b.groupBy(*keys, "_ek_b").agg(*[F.sum(tmp[n]).alias(tmp[n] + "_s") for n in names])
     earlier = Window.partitionBy(*keys).orderBy("_ek_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_ek_b",
-                            F.coalesce(F.sum("_ek_bs").over(earlier), F.lit(0)).alias("_ek_bo"))
+    offsets = totals.select(*keys, "_ek_b", *[F.coalesce(F.sum(tmp[n] + "_s").over(earlier), F.lit(0))
+                                              .alias(tmp[n] + "_o") for n in names])
     if keep_bucket is not None:
-        offsets = offsets.filter(keep_bucket(F.col("_ek_bo")))
+        offsets = offsets.filter(keep_bucket(F.col(tmp[names[0]] + "_o")))
     frame_end = Window.currentRow if inclusive else -1
     within = (Window.partitionBy(*keys, "_ek_b").orderBy(order_col)
               .rowsBetween(Window.unboundedPreceding, frame_end))
-    return (b.join(offsets, [*keys, "_ek_b"])
-            .withColumn(name, F.col("_ek_bo") + F.coalesce(F.sum("_ek_v").over(within), F.lit(0)))
-            .drop("_ek_v", "_ek_b", "_ek_bo"))
+    j = b.join(offsets, [*keys, "_ek_b"])
+    j = j.select("*", *[(F.col(tmp[n] + "_o") + F.coalesce(F.sum(tmp[n]).over(within), F.lit(0))).alias(n)
+                        for n in names])
+    return j.drop("_ek_b", *tmp.values(), *[t + "_o" for t in tmp.values()])
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order_col: str, value: str | Column,
+                name: str, inclusive: bool = True, bucket_size: int = 4096,
+                keep_bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Per-key running sum of ``value`` in ``order_col`` order (see ``running_sums``)."""
+    val = F.col(value) if isinstance(value, str) else value
+    return running_sums(df, keys, order_col, {name: val}, inclusive, bucket_size, keep_bucket)
 
 
 def running_count(df: DataFrame, keys: Sequence[str], order_col: str, flag: Column,
