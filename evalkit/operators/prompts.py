@@ -35,7 +35,7 @@ def eval_grid(spark: SparkSession, contexts: Sequence[int], depths: Sequence[flo
     inputs; the result is as small as the product of the lists."""
     grid = spark.createDataFrame([(int(c),) for c in contexts], "context_length int")
     if depths is not None:
-        grid = grid.crossJoin(spark.createDataFrame([(float(d),) for d in depths], "depth double"))
+        grid = grid.crossJoin(F.broadcast(spark.createDataFrame([(float(d),) for d in depths], "depth double")))
     if cases is not None:
         grid = grid.crossJoin(F.broadcast(cases))
     return grid
