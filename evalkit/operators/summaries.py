@@ -49,6 +49,29 @@ def attach_cases(responses: DataFrame, cases: DataFrame, key: str = "case_id",
     return responses.join(bounded_broadcast(cases, max_cases), key, "inner")
 
 
+def cases_table(spark, triples=None) -> DataFrame:
+    """The test cases (suite, expected tool, key, needle) as a small literal table."""
+    from evalkit import pools
+    rows = list(triples or pools.CASE_TRIPLES)
+    return spark.createDataFrame(rows, "test string, expected_tool string, expected_arg_key string, "
+                                       "expected_arg_contains string")
+
+
+def rescore_results(results: DataFrame, cases: DataFrame, preview_chars: int = T.ANSWER_PREVIEW_CHARS) -> DataFrame:
+    """Re-score stored tool-call rows with the present scorer: each row gets its
+    case expectation (equi-join on suite and tool against the case table,
+    broadcast after a size check) and ``answer_preview`` is scored again. Only
+    previews shorter than the stored cut are complete answers; ``reliable``
+    marks them. Returns the stored and the new score side by side."""
+    r = (results.filter(F.col("test").startswith("tool_call"))
+         .withColumnRenamed("score", "stored_score")
+         .drop("has_tool_call_tags", "valid_json", "correct_tool", "correct_arg_key", "correct_arg_value", "error"))
+    joined = r.join(bounded_broadcast(cases.select("test", "expected_tool", "expected_arg_key",
+                                                   "expected_arg_contains")), ["test", "expected_tool"], "left")
+    out = score_tool_calls(joined, "answer_preview", "expected_tool", "expected_arg_key", "expected_arg_contains")
+    return out.withColumn("reliable", F.length("answer_preview") < preview_chars)
+
+
 def suite_filter(df: DataFrame, suites: Sequence[str]) -> DataFrame:
     """keep the chosen suites (pushed to the scan / partition filter)."""
     return df.filter(F.col("test").isin(list(suites)))

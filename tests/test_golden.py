@@ -51,3 +51,22 @@ def test_published_hard_averages(spark):
           .withColumn("correct_tool", F.col("score") == 5))
     got = {r.context_length: round(r.avg_score, 1) for r in tool_call_summary(df).collect()}
     assert got == PUBLISHED_HARD_INT4
+
+
+def test_old_scorer_run_rescores_to_five(spark):
+    """A stored run scored 0 by an older scorer: its answers are complete calls
+    without the opening tag, which the present cascade accepts."""
+    from evalkit.operators.summaries import cases_table, rescore_results
+    stored = [  # ---- fixed values: three stored rows of that run (score 0 as stored) ----
+        ("tool_call", 4096, "search_web", 0,
+         '{"name": "search_web", "arguments": {"query": "OpenVINO 2026 release notes"}}\n</tool_call>'),
+        ("tool_call", 4096, "read_file", 0,
+         '{"name": "read_file", "arguments": {"path": "/home/user/config.json"}}\n</tool_call>'),
+        ("tool_call", 4096, "run_command", 0,
+         '{"name": "run_command", "arguments": {"command": "pip install numpy"}}\n</tool_call>'),
+    ]
+    df = spark.createDataFrame(stored, "test string, context_length int, expected_tool string, score int, "
+                                       "answer_preview string")
+    out = rescore_results(df, cases_table(spark)).collect()
+    assert sorted((r.expected_tool, r.stored_score, r.score, r.reliable) for r in out) == [
+        ("read_file", 0, 5, True), ("run_command", 0, 5, True), ("search_web", 0, 5, True)]
