@@ -28,3 +28,22 @@ def test_degradation_onset(spark):
     df = spark.createDataFrame(rows, "model string, context_length int, score int")
     got = {r.model: r.onset_context for r in S.degradation_onset(df, ["model"], bound=4.5).collect()}
     assert got == {"m": 16384, "n": None}
+
+
+def test_chatml_render(spark):
+    from evalkit.operators.packing import render_messages
+    df = spark.createDataFrame([(1, 0, "system", "S"), (1, 1, "user", "U")], "conv_id long, turn long, role string, text string")
+    r = render_messages(df, template="chatml").first()
+    assert r.rendered == "<|im_start|>system\nS<|im_end|>\n<|im_start|>user\nU<|im_end|>\n<|im_start|>assistant\n"
+
+
+def test_batch_metadata_and_dropped_targets(spark):
+    from evalkit.operators import catalog as K
+    meta = spark.createDataFrame([(2, 64, "b2"), (0, 32, "b0"), (1, 16, "b1")], "batch int, subset_size int, note string")
+    m = K.first_metadata(meta).first()
+    assert (m.subset_size, m.note) == (32, "b0")
+    t = spark.createDataFrame([("t1",), ("t2",), ("t3",)], "saved_name string")
+    keys = spark.createDataFrame([("t2", 0), ("t9", 0)], "saved_name string, batch int")
+    assert [r.saved_name for r in K.dropped_targets(t, keys).orderBy("saved_name").collect()] == ["t1", "t3"]
+    kd = K.target_keep_drop(t, keys).first()
+    assert (kd.batch, kd.kept, kd.removed) == (0, 1, 2)
