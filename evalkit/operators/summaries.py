@@ -1,5 +1,6 @@
-"""Result analytics: NIAH and tool-call summaries, run comparison, suite union,
-degradation onset and narration outliers (A1-A5, A11, J1, J2, U1, W7, W8, O2, F3)."""
+"""Result analytics: scoring of result rows, NIAH and tool-call summaries, run
+comparison, suite union, degradation onset, narration outliers, first valid
+attempt and re-scoring of stored runs (A1-A5, A11, J1, J2, U1, W5, W7, W8, O2, F3)."""
 
 from __future__ import annotations
 
