@@ -142,10 +142,10 @@ def seeded_samples(spark: SparkSession, samples: DataFrame, exchanges: DataFrame
          .join(users.withColumnRenamed("idx", "user_idx"), "user_idx")
          .join(anas.withColumnRenamed("idx", "ana_idx"), "ana_idx"))
     block = F.concat(
-        F.lit("<|im_start|>user\nPlease help me with the codebase. "), F.col("user_line"), F.lit("<|im_end|>\n"),
+        F.lit("<|im_start|>user\n" + pools.CALIB_REQUEST_PREFIX), F.col("user_line"), F.lit("<|im_end|>\n"),
         F.lit("<|im_start|>assistant\n<tool_call>\n"), F.col("call"), F.lit("\n</tool_call><|im_end|>\n"),
-        F.lit("<|im_start|>user\n[Tool Result]\n"), F.col("result"),
-        F.lit("\n\nRelated code context:\n```\n"), F.col("snippet"), F.lit("\n```<|im_end|>\n"),
+        F.lit("<|im_start|>user\n" + pools.CALIB_RESULT_HEADER + "\n"), F.col("result"),
+        F.lit("\n\n" + pools.CALIB_SNIPPET_HEADER + "\n```\n"), F.col("snippet"), F.lit("\n```<|im_end|>\n"),
         F.lit("<|im_start|>assistant\n"), F.col("analysis"), F.lit("<|im_end|>\n"))
     per = (j.groupBy("sample", "num_exchanges", "final_idx")
            .agg(F.array_sort(F.collect_list(F.struct("slot", block.alias("b")))).alias("_bl")))

@@ -44,7 +44,7 @@ def q_passkey_pick(spark, sf):
     return table(spark, sf, "documents").select("doc_id", G.passkey("doc_id").alias("passkey"))
 
 
-NEEDLE_SQL = (f"{NL} || '**IMPORTANT: The secret passkey is ' || passkey || '. Remember this number.**' || {NL}")
+NEEDLE_SQL = f"{NL} || '{pools.NEEDLE_PREFIX}' || passkey || '{pools.NEEDLE_SUFFIX}' || {NL}"
 
 
 @register("needle_insert", f"""WITH c AS (
@@ -190,7 +190,7 @@ def _pick_sql(seed: str, slot: str, size: str) -> str:
     return f"(CAST(('0x' || substring(md5({seed} || ':{slot}'), 1, 8)) AS BIGINT) % ({size}))"
 
 
-USERS_VALUES = ", ".join(f"({i}, '{v}')" for i, v in enumerate(pools.CALIB_USER_LINES)).replace("Let's", "Let''s")
+USERS_VALUES = ", ".join(f"({i}, '{v}')" for i, v in enumerate(pools.CALIB_USER_LINES))
 ANA_VALUES = ", ".join(f"({i}, '{v}')" for i, v in enumerate(pools.CALIB_ANALYSIS_LINES))
 FIN_VALUES = ", ".join(f"({i}, '{q}', '{t}', '{k}', '{v}')" for i, (q, t, k, v) in enumerate(pools.CALIB_FINAL_REQUESTS))
 IMS, IME = "'<|im_start|>'", "'<|im_end|>'"
@@ -210,9 +210,9 @@ CALIB_WITH = f"""WITH pool AS (SELECT row_number() OVER (ORDER BY item_id) - 1 A
   anas AS (SELECT * FROM (VALUES {ANA_VALUES}) v(ana_idx, analysis)),
   fins AS (SELECT * FROM (VALUES {FIN_VALUES}) v(final_idx, final_request, expected_tool, arg_key, arg_value)),
   j AS (SELECT sl2.sample, sl2.num_exchanges, sl2.final_idx, sl2.slot,
-      {IMS} || 'user' || {NL} || 'Please help me with the codebase. ' || users.user_line || {IME} || {NL}
+      {IMS} || 'user' || {NL} || '{pools.CALIB_REQUEST_PREFIX}' || users.user_line || {IME} || {NL}
       || {IMS} || 'assistant' || {NL} || '<tool_call>' || {NL} || ex.call || {NL} || '</tool_call>' || {IME} || {NL}
-      || {IMS} || 'user' || {NL} || '[Tool Result]' || {NL} || ex.result || {NL} || {NL} || 'Related code context:' || {NL} || '```' || {NL}
+      || {IMS} || 'user' || {NL} || '{pools.CALIB_RESULT_HEADER}' || {NL} || ex.result || {NL} || {NL} || '{pools.CALIB_SNIPPET_HEADER}' || {NL} || '```' || {NL}
       || sn.result || {NL} || '```' || {IME} || {NL} || {IMS} || 'assistant' || {NL} || anas.analysis || {IME} || {NL} AS b
     FROM sl2 JOIN pool ex ON ex.idx = sl2.ex_idx JOIN pool sn ON sn.idx = sl2.snip_idx
       JOIN users USING (user_idx) JOIN anas USING (ana_idx)),
