@@ -17,7 +17,12 @@ from evalkit.functions import tensors as TF
 from evalkit.plans.joins import prefixes
 from evalkit.plans.ordering import global_index, running_sum
 
+# ---- fixed values -----------------------------------------------------------
 COMPONENTS = ["weight", "scale", "zero_point"]
+LAYER_RANGE_LABEL = "layers %d-%d"
+NON_LAYER_LABEL = "%d non-layer nodes"
+EMPTY_BATCH_LABEL = "empty"
+# -----------------------------------------------------------------------------
 
 
 def weight_constants(cat: DataFrame, pattern: str | None = None) -> DataFrame:
@@ -121,9 +126,9 @@ def batch_layer_range(batches: DataFrame) -> DataFrame:
         F.count_if(F.col("layer") < 0).alias("non_layer"))
     label = F.concat_ws(", ",
                         F.when(F.col("min_layer").isNotNull(),
-                               F.format_string("layers %d-%d", F.col("min_layer"), F.col("max_layer"))),
-                        F.when(F.col("non_layer") > 0, F.format_string("%d non-layer nodes", F.col("non_layer"))))
-    return g.withColumn("label", F.when(label == "", F.lit("empty")).otherwise(label))
+                               F.format_string(LAYER_RANGE_LABEL, F.col("min_layer"), F.col("max_layer"))),
+                        F.when(F.col("non_layer") > 0, F.format_string(NON_LAYER_LABEL, F.col("non_layer"))))
+    return g.withColumn("label", F.when(label == "", F.lit(EMPTY_BATCH_LABEL)).otherwise(label))
 
 
 def target_keep_drop(targets: DataFrame, batch_keys: DataFrame, key: str = "saved_name") -> DataFrame:

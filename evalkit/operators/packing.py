@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from evalkit.functions import text as T
 from evalkit.plans.ordering import running_count, running_sum, running_sums
 
+# ---- fixed values -----------------------------------------------------------
+MESSAGE_HEADER = "=== [%s] (msg %d/%d) ==="
+QUIT_WORDS = ("quit", "exit")
+RESET_WORD = "reset"
+# -----------------------------------------------------------------------------
+
 
 def pack_to_budget(msgs: DataFrame, budget: int | Column, key: str = "conv_id",
                    order: str = "turn", tokens: Column | None = None) -> DataFrame:
@@ -39,8 +45,8 @@ def session_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn",
     pass; the turn within a session is the counted position minus the session's
     first one (a grouped minimum joined back)."""
     inp = F.lower(T.py_strip(text))
-    is_quit = inp.isin("quit", "exit")
-    is_reset = inp == "reset"
+    is_quit = inp.isin(*QUIT_WORDS)
+    is_reset = inp == RESET_WORD
     counted = (inp != "") & ~is_reset & ~is_quit
     t = turns.withColumn("_counted_row", counted)
     t = running_sums(t, [key], order, {
@@ -60,7 +66,7 @@ def message_numbering(msgs: DataFrame, key: str = "conv_id", order: str = "turn"
     joined back, ``i`` from the bucketed running count."""
     n = msgs.groupBy(key).agg(F.count(F.lit(1)).alias("n_msgs"))
     numbered = running_count(msgs, [key], order, F.lit(True), "msg_no").join(n, key)
-    header = F.format_string("=== [%s] (msg %d/%d) ===", F.col("role"), F.col("msg_no"), F.col("n_msgs"))
+    header = F.format_string(MESSAGE_HEADER, F.col("role"), F.col("msg_no"), F.col("n_msgs"))
     return numbered.withColumn("header", header)
 
 

@@ -30,6 +30,9 @@ def q_results_json(spark, sf):
                                              "answer_preview string, valid_json boolean")
 
 
+# ---- fixed values -----------------------------------------------------------
+SAMPLE_FILE = "sample_%03d.txt"
+# -----------------------------------------------------------------------------
 NIAH_KEYS = ["test", "context_length", "depth", "passkey", "answer", "correct", "elapsed", "output_tokens"]
 NIAH_SCHEMA = ("test string, context_length int, depth double, passkey string, answer string, correct boolean, "
                "elapsed double, output_tokens int")
@@ -77,7 +80,7 @@ def q_prompt_text_dump(spark, sf):
 def q_prompt_manifest(spark, sf):
     s = _seeded(spark, sf)
     m = s.select(F.col("sample").cast("long").alias("sample"),
-                 F.format_string("sample_%03d.txt", F.col("sample")).alias("file"),
+                 F.format_string(SAMPLE_FILE, F.col("sample")).alias("file"),
                  T.word_count("text").cast("int").alias("token_len"), "num_exchanges", "final_request",
                  F.from_json("expected_tool_call", "name string, arguments map<string,string>").alias("expected_tool_call"),
                  F.length("text").cast("long").alias("char_len"))
