@@ -18,7 +18,10 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     checkpoint folder, so the size check and the join read that copy instead of
     recomputing it from the big table. The check reads at most ``max_rows + 1``
     rows."""
-    side = df.checkpoint(eager=True) if materialize else df
+    if df.isLocal():  # rows held by the driver (a literal table): nothing to materialise
+        side = df
+    else:
+        side = df.checkpoint(eager=True) if materialize else df
     n = side.limit(max_rows + 1).count()
     return F.broadcast(side) if n <= max_rows else side
 
