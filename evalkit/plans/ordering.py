@@ -1,10 +1,10 @@
 """Global positions, running sums and exact medians without a one-partition window.
 
 * ``global_index``: a 0-based position in a total order. The table is range
-  partitioned on the order (so a hot key is split across partitions), sorted
-  within partitions, numbered locally with ``monotonically_increasing_id`` and
-  shifted by the row counts of the earlier partitions. Only one row per
-  partition reaches the small offset table.
+  partitioned on the order and a tie column (so equal values are split across
+  partitions), sorted within partitions, numbered locally, written once to the
+  shared folder, and shifted by the row counts of the earlier partitions. Only one
+  row per partition reaches the small offset table.
 * ``running_sum``: a per-key prefix sum over an integral order column. Rows are
   cut into buckets of ``bucket_size`` consecutive order values; bucket totals
   (a partial aggregate) give each bucket its offset, then a window partitioned
@@ -20,6 +20,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalkit.session import scratch_path
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row
 
 
@@ -37,22 +39,30 @@ def global_index(df: DataFrame, order_cols: Sequence[str | Column], name: str =
                  num_partitions: int | None = None, materialize: bool = False) -> DataFrame:
     """Append ``name`` = 0-based position of each row in ``order_cols`` order.
 
-    Range partitioning samples its input in a separate job; ``materialize``
-    checkpoints the input first when it is expensive to recompute (an
-    aggregate over a big table, for example)."""
+    The range layout is evaluated once: rows are range partitioned, numbered within
+    their partition and written to the shared folder, and both the per-partition
+    offsets and the result read that copy, so they cannot disagree about where the
+    ranges were cut. A per-row tie column follows the order columns, so rows with
+    equal order values spread over partitions (their mutual order is arbitrary).
+    ``materialize`` checkpoints the input first when it is expensive to recompute:
+    range partitioning samples it in a job of its own."""
     order = _cols(order_cols)
     if materialize:
         df = df.checkpoint(eager=True)
     n = _num_partitions(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_ek_mid", F.monotonically_increasing_id())
+    ranged = (df.withColumn("_ek_tie", F.xxhash64(F.monotonically_increasing_id()))
+              .repartitionByRange(n, *order, F.col("_ek_tie")).sortWithinPartitions(*order, F.col("_ek_tie"))
+              .drop("_ek_tie").withColumn("_ek_mid", F.monotonically_increasing_id()))
+    path = scratch_path(df.sparkSession, "global-index")
+    ranged.write.parquet(path)
+    placed = (df.sparkSession.read.schema(ranged.schema).parquet(path)
               .withColumn("_ek_pid", F.shiftright("_ek_mid", _LOCAL_BITS))
               .withColumn("_ek_loc", F.col("_ek_mid").bitwiseAND((1 << _LOCAL_BITS) - 1)))
     before = Window.orderBy("_ek_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # at most one row per partition: a proven bound, so broadcasting is safe
-    offsets = (ranged.groupBy("_ek_pid").agg(F.count(F.lit(1)).alias("_ek_n"))
+    # at most one row per range partition: a proven bound, so broadcasting is safe
+    offsets = (placed.groupBy("_ek_pid").agg(F.count(F.lit(1)).alias("_ek_n"))
                .select("_ek_pid", F.coalesce(F.sum("_ek_n").over(before), F.lit(0)).alias("_ek_off")))
-    return (ranged.join(F.broadcast(offsets), "_ek_pid")
+    return (placed.join(F.broadcast(offsets), "_ek_pid")
             .withColumn(name, (F.col("_ek_off") + F.col("_ek_loc")).cast("long"))
             .drop("_ek_mid", "_ek_pid", "_ek_loc", "_ek_off"))
 

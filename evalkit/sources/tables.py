@@ -4,32 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SPLITS: dict[tuple[int, str], int] = {}
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None) -> DataFrame:
-    """The table ``name`` under ``sf_dir``.
-
-    A scan with fewer input splits than the cluster's parallelism (a small file
-    written as one row group) would run every per-row function in one task;
-    such scans are spread by a round-robin repartition. Large inputs already
-    have many splits and are returned as scanned. Column pruning and filters
-    still reach the parquet reader below the repartition."""
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table ``name`` under ``sf_dir``, as scanned: column pruning and filters reach
+    the parquet reader, and the split size decides the number of scan tasks."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    try:
-        target = min_partitions or spark.sparkContext.defaultParallelism
-        key = (id(spark.sparkContext), path)
-        if key not in _SPLITS:  # planning the scan lists the files; do it once per path
-            _SPLITS[key] = df.rdd.getNumPartitions()
-    except Exception:  # sessions without the RDD API (Spark Connect): read as scanned
-        return df
-    if _SPLITS[key] < target:
-        df = df.repartition(target)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
