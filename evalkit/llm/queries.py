@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalkit.llm import bpe, mixing, token_count
+from evalkit.llm import bpe, mixing, quality, token_count
 from evalkit.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                           F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), keep_text=False)
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "char_distance", "word_distance")
