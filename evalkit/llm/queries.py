@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalkit.llm import bpe, mixing, quality, token_count
+from evalkit.llm import bpe, langid, mixing, quality, token_count
 from evalkit.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), keep_text=False)
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "char_distance", "word_distance")
+
+
+@register("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    predicted = langid.predict(docs, langid.train(docs))
+    held = F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
+    return predicted.select("doc_id", held, "lang_pred", "score")
