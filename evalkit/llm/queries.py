@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalkit.llm import bpe, langid, mixing, quality, token_count
+from evalkit.llm import bpe, html_text, langid, mixing, quality, token_count
 from evalkit.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     predicted = langid.predict(docs, langid.train(docs))
     held = F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
     return predicted.select("doc_id", held, "lang_pred", "score")
+
+
+@register("op4_main_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", "n_chars")
