@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalkit.llm import bpe, html_text, langid, mixing, quality, token_count
+from evalkit.llm import bpe, html_text, langid, mixing, quality, token_count, token_files
 from evalkit.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", "n_chars")
+
+
+@register("op2_token_files")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = token_files.token_folder(spark)
+    found = token_files.write(docs, tokenizer_file("word_bpe_49k.json"), folder)
+    return token_files.read(found, folder)
