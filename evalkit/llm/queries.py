@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalkit.llm import bpe, html_text, langid, mixing, quality, token_count, token_files
+from evalkit.llm import bpe, fingerprint, html_text, langid, mixing, quality, token_count, token_files
 from evalkit.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.token_folder(spark)
     found = token_files.write(docs, tokenizer_file("word_bpe_49k.json"), folder)
     return token_files.read(found, folder)
+
+
+@register("op10_fingerprint")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    edited = fingerprint.with_edited(fingerprint.with_next(docs))
+    rows = edited.withColumn("edited_sketch", fingerprint.sketch(F.col("edited")))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                       fingerprint.as_string(F.col("sketch")).alias("fingerprint"),
+                       fingerprint.as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
+                       fingerprint.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+                       fingerprint.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
