@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalkit.llm import bpe, fingerprint, html_text, langid, mixing, quality, token_count, token_files
+from evalkit.llm import bpe, fingerprint, html_text, langid, mixing, near_dup, quality, token_count, token_files
 from evalkit.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                        fingerprint.as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
                        fingerprint.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
                        fingerprint.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+
+
+@register("op9_near_duplicates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
