@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalkit.llm import bpe, fingerprint, html_text, langid, mixing, near_dup, quality, token_count, token_files
+from evalkit.llm import bpe, fingerprint, html_text, langid, lm_score, mixing, near_dup, quality, token_count, token_files
 from evalkit.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_near_duplicates")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op7_lm_score", oracle="""
+WITH words AS (
+  SELECT rid, doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w
+  FROM (SELECT row_number() OVER () AS rid, doc_id,
+               regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)),
+total AS (SELECT count(*) AS n FROM words),
+freq AS (SELECT w, count(*) AS c FROM words GROUP BY w),
+vocab AS (SELECT w, c FROM freq, total WHERE c >= n * 1e-6),
+tokens AS (SELECT rid, doc_id, pos, v.w FROM words LEFT JOIN vocab v USING (w)),
+uni AS (SELECT w, c FROM vocab UNION ALL
+        SELECT NULL, greatest(1, (SELECT n FROM total) - (SELECT coalesce(sum(c), 0) FROM vocab))),
+pairs AS (SELECT *, lag(pos) OVER o AS before, lag(w) OVER o AS prev FROM tokens WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+seen AS (SELECT prev, w, count(*) AS c FROM pairs WHERE before IS NOT NULL GROUP BY prev, w),
+logs AS (
+  SELECT p.rid, CASE WHEN p.before IS NULL THEN ln(u.c / t.n)
+                     WHEN s.c >= 2 THEN ln(s.c / q.c) ELSE ln(0.4) + ln(u.c / t.n) END AS l
+  FROM pairs p CROSS JOIN total t
+  JOIN uni u ON u.w IS NOT DISTINCT FROM p.w
+  LEFT JOIN seen s ON p.before IS NOT NULL AND s.prev IS NOT DISTINCT FROM p.prev AND s.w IS NOT DISTINCT FROM p.w
+  LEFT JOIN uni q ON p.before IS NOT NULL AND q.w IS NOT DISTINCT FROM p.prev)
+SELECT d.doc_id, count(l) AS n_words, round(avg(l), 6) AS lm_score
+FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) d LEFT JOIN logs USING (rid)
+GROUP BY d.rid, d.doc_id
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.scores(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.withColumn("lm_score", F.round("lm_score", 6))
