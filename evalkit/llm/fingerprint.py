@@ -71,10 +71,9 @@ def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the smaller sketch that the other contains (two empty ones: 1)."""
-    smaller = F.least(F.size(a), F.size(b))
-    return (F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(smaller == 0, F.lit(0.0))
-            .otherwise(F.size(F.array_intersect(a, b)) / smaller))
+    """Containment: the share of sketch ``a`` that ``b`` holds (two empty ones: 1)."""
+    return (F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(F.size(a) == 0, F.lit(0.0))
+            .otherwise(F.size(F.array_intersect(a, b)) / F.size(a)))
 
 
 def as_string(s: Column) -> Column:
