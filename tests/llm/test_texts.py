@@ -142,7 +142,7 @@ def test_op4_query_gives_the_article(spark):
 
 
 def test_main_text_edge_rows(spark):
-    df = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (2, "<p>" + "x " * 50_000, "t")], "page_id long, html string, text string")
+    df = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (2, "<article><p>" + "x " * 50_000, "t")], "page_id long, html string, text string")
     rows = html_text.extract(df).collect()
     assert [r.n_chars for r in rows] == [0, 0, 99_999]
     assert html_text.extract(df.limit(0)).count() == 0
