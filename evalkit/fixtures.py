@@ -71,6 +71,48 @@ def needle_cells(spark: SparkSession, sf_dir: str, depths=None) -> DataFrame:
     )
 
 
+def history_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX4: the six-step cycle, its texts cut from the first six ``benchmark`` passages to
+    the fixed lengths (six rows come to the driver)."""
+    rows = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(len(pools.AGENTIC_CYCLE_TOOLS)).collect()
+    fit = lambda text, n: (text * (n // max(1, len(text)) + 1))[:n]
+    steps = zip(pools.AGENTIC_CYCLE_LENGTHS, pools.AGENTIC_CYCLE_TOOLS, rows)
+    return spark.createDataFrame(
+        [(i, tool, fit(r.text, u), fit(f'{{"name": "{tool}"}} ' + r.text, a), fit(r.text, n))
+         for i, ((u, a, n), tool, r) in enumerate(steps)],
+        "step int, tool string, user_text string, call_text string, result_text string")
+
+
+def history_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX4: one row: what filler questions are made of, and the paragraph of the answers."""
+    first = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1)
+    return first.select(F.col("text").alias("topic"), F.col("text").alias("paragraph"))
+
+
+def history_question(number):
+    """The question about a topic number, of the fixed length besides the number."""
+    n = pools.HISTORY_QUESTION_CHARS
+    return F.concat(F.rpad("topic", n, "."), number.cast("string"))
+
+
+def calibration_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX4 pools (kind, line) from ``benchmark``: user lines, analysis lines, snippets and
+    long snippets."""
+    b = table(spark, sf_dir, "benchmark")
+    kinds = F.array(F.struct(F.lit("user").alias("kind"), F.substring("text", 1, 80).alias("line")),
+                    F.struct(F.lit("analysis").alias("kind"), F.substring("text", 1, 60).alias("line")),
+                    F.struct(F.when(F.expr("pmod(item_id, 2) = 0"), "snippet").otherwise("long").alias("kind"),
+                             F.col("text").alias("line")))
+    return b.select(F.explode(kinds).alias("k")).select("k.*")
+
+
+def calibration_finals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX4: final requests and their expected calls, from the event types."""
+    return table(spark, sf_dir, "events").select("event_type").distinct().select(
+        F.concat(F.lit("Handle "), "event_type").alias("final_request"), F.col("event_type").alias("expected_tool"),
+        F.lit("k").alias("arg_key"), F.col("event_type").alias("arg_value"))
+
+
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX5: conversations with control words typed by the user."""
     conv = table(spark, sf_dir, "conversations")
@@ -109,9 +151,9 @@ def tensor_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stat_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stat_targets(spark: SparkSession, sf_dir: str, repeated: bool = True) -> DataFrame:
     """FX9: statistics mapping rows (saved_name, original_name, batch); every 50th
-    key repeated in the next batch."""
+    key repeated in the next batch (unless ``repeated`` is off)."""
     part = table(spark, sf_dir, "part")
     base = part.selectExpr(
         "p_partkey",
@@ -121,6 +163,8 @@ def stat_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN pmod(p_partkey, 2) = 0 THEN '.mlp.gate/MatMul' ELSE '.self_attn.q_proj/MatMul' END) END AS original_name",
         "cast(pmod(p_partkey, 3) as int) AS batch",
     )
+    if not repeated:
+        return base
     again = (base.filter("pmod(p_partkey, 50) = 0")
              .selectExpr("p_partkey", "saved_name", "concat(original_name, '#2') AS original_name",
                          "cast(batch + 1 as int) AS batch"))

@@ -97,18 +97,70 @@ def strict_json_flag(body: Column | str) -> Column:
     return _wrapped_ok(_wrapped(py_strip(_c(body))))
 
 
-def python_str(v: Column) -> Column:
-    """``str(value)`` of a JSON value held as a variant: strings as is, None,
-    True/False, integers, floats through double (2.50 -> 2.5); objects and
-    arrays as compact JSON (Python would print its repr)."""
+def python_float(text: Column) -> Column:
+    """The shortest decimal form of a double as Python prints it, from Spark's spelling
+    (``1.23E8``): plain digits for exponents from -4 to 15, else ``d.dde+XX``."""
+    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    mantissa = F.regexp_extract(text, r"^-?([0-9]+(?:\.[0-9]+)?)", 1)
+    whole, part = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
+    exp = F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    digits = F.concat(whole, part)  # a value of digits * 10 ** (exp - length(part))
+    sig = F.coalesce(F.nullif(F.regexp_extract(digits, "^0*(.*?)0*$", 1), F.lit("")), F.lit("0"))
+    lead = F.length(F.regexp_extract(digits, "^(0*)", 1))
+    point = F.length(whole) + exp - lead  # digits before the decimal point
+    n = F.length(sig)
+    plain = (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), sig))
+             .when(point >= n, F.concat(sig, F.repeat(F.lit("0"), point - n), F.lit(".0")))
+             .otherwise(F.concat(F.substring(sig, F.lit(1), point), F.lit("."), F.substring(sig, point + 1, n))))
+    shown = F.concat(F.when(point - 1 < 0, F.lit("-")).otherwise(F.lit("+")),
+                     F.lpad(F.abs(point - 1).cast("string"), 2, "0"))
+    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(sig, F.lit(2), n))).otherwise(F.lit(""))
+    scientific = F.concat(F.substring(sig, 1, 1), tail, F.lit("e"), shown)
+    return (F.when(text.isin("NaN", "Infinity", "-Infinity"),
+                   F.element_at(F.create_map(F.lit("NaN"), F.lit("nan"), F.lit("Infinity"), F.lit("inf"),
+                                             F.lit("-Infinity"), F.lit("-inf")), text))
+            .when(sig == "0", F.concat(sign, F.lit("0.0")))
+            .otherwise(F.concat(sign, F.when((point > -4) & (point <= 16), plain).otherwise(scientific))))
+
+
+def python_number(raw: Column) -> Column:
+    """``str`` of a JSON number: its spelling decides its kind, as in Python (an integer of
+    any length stays as it is, a point or an exponent makes a float)."""
+    return F.when(raw.rlike(r"^-?[0-9]+$"), raw).otherwise(python_float(raw.try_cast("double").cast("string")))
+
+
+def python_repr(raw: Column) -> Column:
+    """``str`` of a JSON list or object, from its compact text: tokens are spelled as Python
+    spells them and put together again, whatever the nesting."""
+    tokens = F.regexp_extract_all(raw, F.lit(r'"(?:[^"\\\\]|\\\\.)*"|[-+0-9.eE]+|NaN|-?Infinity|true|false|null|[\[\]{},:]'), F.lit(0))
+    names = {"true": "True", "false": "False", "null": "None", ",": ", ", ":": ": ", "NaN": "nan", "Infinity": "inf",
+             "-Infinity": "-inf"}
+
+    def spell(t: Column) -> Column:
+        text = F.try_variant_get(F.try_parse_json(t), "$", "string")
+        for char, escape in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            text = F.replace(text, F.lit(char), F.lit(escape))
+        double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+        quoted = F.when(double, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(
+            F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'")))
+        out = F.when(t.startswith('"'), quoted).when(t.rlike(r"^-?[0-9]"), python_number(t))
+        for name, shown in names.items():
+            out = out.when(t == name, F.lit(shown))
+        return out.otherwise(t)
+
+    return F.array_join(F.transform(tokens, spell), "")
+
+
+def python_str(v: Column, raw: Column) -> Column:
+    """``str(value)`` of a JSON value held as a variant with its text ``raw``: strings as
+    is, None, True/False, integers of any length, floats, lists and objects as Python
+    prints them."""
     t = F.schema_of_variant(v)
     return (F.when(v.isNull() | (t == "VOID"), F.lit("None"))
             .when(t == "STRING", F.try_variant_get(v, "$", "string"))
             .when(t == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
-            .when(t.isin("DOUBLE", "FLOAT") | t.startswith("DECIMAL"),
-                  F.try_variant_get(v, "$", "double").cast("string"))
-            .when(t.startswith("OBJECT") | t.startswith("ARRAY"), F.to_json(v))
-            .otherwise(F.try_variant_get(v, "$", "string")))
+            .when(t.startswith("OBJECT") | t.startswith("ARRAY"), python_repr(raw))
+            .otherwise(python_number(raw)))
 
 
 def arguments_kind(args: Column) -> Column:
@@ -160,7 +212,9 @@ def _stage_columns(answer: Column, tool: Column, key: Column, needle: Column) ->
            .when((kind == "array") & has, F.lit(TYPE_ERROR_LIST_INDEX)))
     obj = F.coalesce(F.col("_sc_obj"), F.lit(False))
     key_ok = obj & F.coalesce(kind == "object", F.lit(False)) & has
-    value = python_str(F.element_at(amap, key))
+    # the text of the value, kept as written; parsed again only for numbers, lists and objects
+    texts = F.from_json(F.col("_sc_sb"), "struct<arguments: map<string, string>>", STRICT_JSON)["arguments"]
+    value = python_str(F.element_at(amap, key), F.element_at(texts, key))
     checks = {
         "has_tool_call_tags": F.col("_sc_body").isNotNull(),
         "valid_json": F.col("_sc_json"),

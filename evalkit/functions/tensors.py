@@ -12,7 +12,10 @@ from evalkit import pools
 
 # ---- fixed values -----------------------------------------------------------
 BITS_PER_ELEMENT = {"uint4": 4, "int4": 4, "u4": 4, "i4": 4, "uint8": 8, "int8": 8, "u8": 8, "i8": 8,
-                    "float16": 16, "bfloat16": 16, "f16": 16, "bf16": 16, "float32": 32, "f32": 32}
+                    "float16": 16, "bfloat16": 16, "f16": 16, "bf16": 16, "float32": 32, "f32": 32,
+                    "float64": 64, "f64": 64, "int16": 16, "i16": 16, "uint16": 16, "u16": 16, "int32": 32, "i32": 32,
+                    "uint32": 32, "u32": 32, "int64": 64, "i64": 64, "uint64": 64, "u64": 64, "boolean": 8, "bool": 8,
+                    "u1": 1}
 # -----------------------------------------------------------------------------
 
 

@@ -31,6 +31,7 @@ ALLOC_BYTES = r"allocate (" + PY_DIGIT + r"+) bytes"
 ANSWER_PREVIEW_CHARS = 200
 SAMPLE_PREVIEW_CHARS = 500
 ERROR_PREVIEW_CHARS = 200
+ERROR_ANSWER = "ERROR"
 LOG_PREVIEW_CHARS = 300
 NO_THINK_SUFFIX = " /no_think"
 # -----------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
@@ -86,15 +86,18 @@ def calib_profile(samples: DataFrame) -> DataFrame:
 
 def fixed_quota(items: DataFrame, key: str, n: int) -> DataFrame:
     """Each item repeated max(1, n // k) times (k = number of items) in item
-    order, stopping after ``n`` samples (fewer when n % k > 0)."""
+    order, stopping after ``n`` samples (fewer when n % k > 0).
+
+    Only the first ``n`` items can be used: a top-n of the distinct keys and one count
+    are enough, and the positions are those of at most ``n`` rows."""
     distinct = items.select(key).distinct()
     k = distinct.agg(F.count(F.lit(1)).alias("_k"))
-    # the distinct keys come from a full aggregation: materialise before ranking
-    ranked = global_index(distinct, [key], name="_rank", materialize=True)
-    reps = ranked.crossJoin(k).withColumn("_r", F.greatest(F.lit(1), (F.lit(n) / F.col("_k")).cast("int")))
-    out = (reps.withColumn("rep", F.explode(F.sequence(F.lit(1), F.col("_r"))))
+    first = distinct.orderBy(key).limit(n)
+    ranked = first.withColumn("_rank", F.row_number().over(Window.orderBy(key)) - 1)  # at most n rows
+    reps = ranked.crossJoin(F.broadcast(k)).withColumn("_r", F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("_k"))).cast("long"))
+    out = (reps.withColumn("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_r"))))
            .withColumn("sample", F.col("_rank") * F.col("_r") + F.col("rep") - 1))
-    return out.filter(F.col("sample") < n).select("sample", key, "rep")
+    return out.filter(F.col("sample") < n).select("sample", key, F.col("rep").cast("int").alias("rep"))
 
 
 def _pick(seed: Column, slot: str, size: Column) -> Column:
@@ -103,61 +106,70 @@ def _pick(seed: Column, slot: str, size: Column) -> Column:
     return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), size.cast("long"))
 
 
-def _literal_pool(spark: SparkSession, values: list, name: str) -> DataFrame:
-    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"idx long, {name} string")
+def snippet_kinds(max_seq_len: int) -> list[str]:
+    """G12 (second half): long snippets are used only from the longest limit on."""
+    return ["snippet", "long"] if max_seq_len >= pools.EXCHANGE_RANGES[0][0] else ["snippet"]
+
+
+def line_pool(lines: DataFrame, max_seq_len: int) -> DataFrame:
+    """(kind, line) rows as (kind, idx, line, size): idx from 0 in line order within the
+    kind, size the kind's number of lines. Snippets are those the length limit allows."""
+    keep = ["user", "analysis", *snippet_kinds(max_seq_len)]
+    kind = F.when(F.col("kind") == "long", F.lit("snippet")).otherwise(F.col("kind"))
+    used = lines.filter(F.col("kind").isin(keep)).select(kind.alias("kind"), "line")
+    placed = global_index(used, ["kind", "line"], name="_pos")
+    per = placed.groupBy("kind").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("size"))
+    return placed.join(F.broadcast(per), "kind").select("kind", (F.col("_pos") - F.col("_first")).alias("idx"), "line", "size")
 
 
-def seeded_samples(spark: SparkSession, samples: DataFrame, exchanges: DataFrame, max_seq_len: int,
-                   sample: str = "sample") -> DataFrame:
-    """Per sample (seed = 42 + sample): an exchange count in the range of
-    G12, exchanges drawn with replacement from ``exchanges`` (exchange_id, call
-    JSON, result text), each with a user line, a code snippet (another exchange's
-    result), and an analysis line; then a final request and its expected call.
-    Picks are md5-based (deterministic, engine independent), not Mersenne Twister.
+def seeded_samples(samples: DataFrame, exchanges: DataFrame, lines: DataFrame, finals: DataFrame, system: DataFrame,
+                   max_seq_len: int, sample: str = "sample", tokenizer: Tokenizer = whitespace_tokens) -> DataFrame:
+    """Per sample (seed = 42 + sample): an exchange count in the range of G12,
+    exchanges drawn with replacement, each with a user line, the call, its result with a
+    code snippet, and an analysis line; then a final request and its expected call. The
+    text is tokenised and cut to ``max_seq_len`` by G13. Picks are md5-based
+    (deterministic, engine independent), not Mersenne Twister.
 
-    Returns one row per sample with the rendered text and manifest fields; the
-    per-sample gather is bounded by the exchange range (at most 6)."""
-    rng = exchange_range(F.lit(max_seq_len))
+    Pools are tables: ``exchanges`` (exchange_id, call, result), ``lines`` (kind: user,
+    analysis, snippet or long; line), ``finals`` (final_request, expected_tool, arg_key,
+    arg_value); ``system`` is one row with the system message (``system_text``). Returns
+    one row per sample: text, manifest fields, pre_len, token_len, truncated, input_ids;
+    the gather per sample is bounded by the exchange range (at most 6)."""
     pool = global_index(exchanges.select("exchange_id", "call", "result"), ["exchange_id"], name="idx")
-    pool_n = pool.agg(F.count(F.lit(1)).alias("_pn"))
-    pool_b = bounded_broadcast(pool)
-    s = samples.select(F.col(sample).alias("sample")).distinct().crossJoin(pool_n)
+    line = line_pool(lines, max_seq_len)
+    final = global_index(finals, ["final_request"], name="final_idx")
+    kinds = {k: line.filter(F.col("kind") == k) for k in ("user", "analysis", "snippet")}
+    sizes = pool.agg(F.count(F.lit(1)).alias("_pn")).crossJoin(F.broadcast(final.agg(F.count(F.lit(1)).alias("_fn"))))
+    for k, t in kinds.items():
+        sizes = sizes.crossJoin(F.broadcast(t.agg(F.count(F.lit(1)).alias(f"_n_{k}"))))
     seed = F.col("sample") + F.lit(pools.CALIB_SEED_BASE)
-    s = s.withColumn("_rng", rng).withColumn(
-        "num_exchanges", (F.col("_rng.lo") + _pick(seed, "n", F.col("_rng.hi") - F.col("_rng.lo") + 1)).cast("int"))
-    s = s.withColumn("final_idx", _pick(seed, "final", F.lit(len(pools.CALIB_FINAL_REQUESTS))))
+    s = samples.select(F.col(sample).alias("sample")).distinct().crossJoin(F.broadcast(sizes))  # one row of counts
+    s = s.withColumn("_rng", exchange_range(F.lit(max_seq_len)))
+    s = s.withColumn("num_exchanges", (F.col("_rng.lo") + _pick(seed, "n", F.col("_rng.hi") - F.col("_rng.lo") + 1)).cast("int"))
+    s = s.withColumn("final_idx", _pick(seed, "final", F.col("_fn")))
     slots = s.withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("num_exchanges"))))
-    sl = F.col("slot").cast("string")
-    slots = (slots.withColumn("ex_idx", _pick(F.concat(seed.cast("string"), F.lit(":ex"), sl), "x", F.col("_pn")))
-             .withColumn("snip_idx", _pick(F.concat(seed.cast("string"), F.lit(":sn"), sl), "x", F.col("_pn")))
-             .withColumn("user_idx", _pick(F.concat(seed.cast("string"), F.lit(":us"), sl), "x",
-                                           F.lit(len(pools.CALIB_USER_LINES))))
-             .withColumn("ana_idx", _pick(F.concat(seed.cast("string"), F.lit(":an"), sl), "x",
-                                          F.lit(len(pools.CALIB_ANALYSIS_LINES)))))
-    users = F.broadcast(_literal_pool(spark, pools.CALIB_USER_LINES, "user_line"))
-    anas = F.broadcast(_literal_pool(spark, pools.CALIB_ANALYSIS_LINES, "analysis"))
-    ex = pool_b.select(F.col("idx").alias("ex_idx"), "call", "result")
-    sn = pool_b.select(F.col("idx").alias("snip_idx"), F.col("result").alias("snippet"))
-    j = (slots.join(ex, "ex_idx").join(sn, "snip_idx")
-         .join(users.withColumnRenamed("idx", "user_idx"), "user_idx")
-         .join(anas.withColumnRenamed("idx", "ana_idx"), "ana_idx"))
-    block = F.concat(
-        F.lit("<|im_start|>user\n" + pools.CALIB_REQUEST_PREFIX), F.col("user_line"), F.lit("<|im_end|>\n"),
-        F.lit("<|im_start|>assistant\n<tool_call>\n"), F.col("call"), F.lit("\n</tool_call><|im_end|>\n"),
-        F.lit("<|im_start|>user\n" + pools.CALIB_RESULT_HEADER + "\n"), F.col("result"),
-        F.lit("\n\n" + pools.CALIB_SNIPPET_HEADER + "\n```\n"), F.col("snippet"), F.lit("\n```<|im_end|>\n"),
-        F.lit("<|im_start|>assistant\n"), F.col("analysis"), F.lit("<|im_end|>\n"))
+    draw = lambda name, size: _pick(F.concat(seed.cast("string"), F.lit(f":{name}"), F.col("slot").cast("string")),
+                                    "x", F.col(size))
+    j = slots.withColumn("idx", draw("ex", "_pn")).join(bounded_broadcast(pool), "idx").drop("idx")
+    for k, name in (("snippet", "sn"), ("user", "us"), ("analysis", "an")):
+        side = kinds[k].select("idx", F.col("line").alias(f"_{k}"))
+        j = j.withColumn("idx", draw(name, f"_n_{k}")).join(bounded_broadcast(side), "idx").drop("idx")
+
+    def turn(role: str, *content: Column) -> list[Column]:
+        return [F.lit(f"<|im_start|>{role}\n"), *content, F.lit("<|im_end|>\n")]
+
+    block = F.concat(*turn("user", F.col("_user")),
+                     *turn("assistant", F.lit("<tool_call>\n"), F.col("call"), F.lit("\n</tool_call>")),
+                     *turn("user", F.col("result"), F.lit("\n\n```\n"), F.col("_snippet"), F.lit("\n```")),
+                     *turn("assistant", F.col("_analysis")))
     per = (j.groupBy("sample", "num_exchanges", "final_idx")
            .agg(F.array_sort(F.collect_list(F.struct("slot", block.alias("b")))).alias("_bl")))
-    finals = spark.createDataFrame(
-        [(i, req, tool, key, val) for i, (req, tool, key, val) in enumerate(pools.CALIB_FINAL_REQUESTS)],
-        "final_idx long, final_request string, expected_tool string, arg_key string, arg_value string")
-    per = per.join(F.broadcast(finals), "final_idx")
+    per = per.join(bounded_broadcast(final), "final_idx").crossJoin(F.broadcast(system.select("system_text")))
     expected = F.to_json(F.struct(F.col("expected_tool").alias("name"),
                                   F.create_map(F.col("arg_key"), F.col("arg_value")).alias("arguments")))
-    text = F.concat(F.lit("<|im_start|>system\nYou are a coding assistant with tools.<|im_end|>\n"),
-                    F.array_join(F.transform("_bl", lambda x: x["b"]), ""),
-                    F.lit("<|im_start|>user\n"), F.col("final_request"), F.lit("<|im_end|>\n"),
-                    F.lit("<|im_start|>assistant\n<tool_call>\n"), expected, F.lit("\n</tool_call>"))
-    return per.select("sample", "num_exchanges", "final_request", "expected_tool",
-                      expected.alias("expected_tool_call"), text.alias("text"))
+    text = F.concat(*turn("system", F.col("system_text")), F.array_join(F.transform("_bl", lambda x: x["b"]), ""),
+                    *turn("user", F.col("final_request")), F.lit("<|im_start|>assistant\n<tool_call>\n"), expected,
+                    F.lit("\n</tool_call>"))
+    out = per.select("sample", "num_exchanges", "final_request", "expected_tool", expected.alias("expected_tool_call"),
+                     text.alias("text"))
+    return tokenise_truncate(out, max_seq_len, tokenizer)

@@ -3,7 +3,7 @@ A10, J3-J6, T5, U2, W1, W3).
 
 Catalog tables are small next to the data they describe, but nothing here
 assumes that: orders go through ``global_index`` (range partitioning), prefix
-matching is an equi-join on exploded prefixes, groups are aggregated partially."""
+matching is an equi-join on prefixes of the targets' lengths, groups are aggregated partially."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from evalkit import pools
 from evalkit.functions import tensors as TF
-from evalkit.plans.joins import prefixes
 from evalkit.plans.ordering import global_index, running_sum
 
 # ---- fixed values -----------------------------------------------------------
@@ -65,12 +64,22 @@ def component_join(cat: DataFrame, keys: Sequence[str] = ("model", "layer")) ->
             .agg(F.max("id").alias("id"), F.max("offset").alias("offset"), F.max("shape").alias("shape")))
 
 
+def with_size(cat: DataFrame) -> DataFrame:
+    """The catalog with ``size`` in bytes: the stored one, else shape times element type. A
+    row that has neither a stored size nor a known type stops the job: a layout must not
+    be built over data of unknown extent."""
+    computed = TF.tensor_bytes("shape", "element_type")
+    size = F.coalesce(F.col("size"), computed) if "size" in cat.columns else computed
+    unknown = F.concat(F.lit("no size and unknown element type: "), F.coalesce(F.col("element_type"), F.lit("null")))
+    return cat.withColumn("size", F.when(size.isNotNull(), size).otherwise(F.raise_error(unknown).cast("long")))
+
+
 def size_impact(cat: DataFrame, router_pattern: str = "mlp.gate.weight") -> DataFrame:
     """A10: per model, bytes of the INT4 router weights and zero points now,
     bytes of FP16 weights after dequantisation, and the increase. Only layers
-    with all three components count. Each layer uses its own shape."""
-    r = cat.filter(F.contains("name", F.lit(router_pattern)))
-    r = r.withColumn("size", TF.tensor_bytes("shape", "element_type"))
+    with all three components count. Each layer uses its own shape and the stored size
+    (only a missing size is computed from shape and type)."""
+    r = with_size(cat.filter(F.contains("name", F.lit(router_pattern))))
     ok = complete_groups(r).filter("complete").select("model", "layer")
     r = r.join(ok, ["model", "layer"], "left_semi")
     per = r.groupBy("model", "layer").agg(
@@ -87,8 +96,9 @@ def size_impact(cat: DataFrame, router_pattern: str = "mlp.gate.weight") -> Data
 def append_layout(cat: DataFrame, router_pattern: str = "mlp.gate.weight") -> DataFrame:
     """New offsets when the dequantised FP16 weight, a ones scale and a zeros
     zero point of every complete router layer are appended, in layer order,
-    after the end of the model's binary (max offset + size over the catalog)."""
-    sized = cat.withColumn("size", TF.tensor_bytes("shape", "element_type"))
+    after the end of the model's binary (max offset + size over all its constants, of
+    whatever type)."""
+    sized = with_size(cat)
     base = sized.groupBy("model").agg(F.max(F.col("offset") + F.col("size")).alias("base"))
     r = sized.filter(F.contains("name", F.lit(router_pattern)))
     ok = complete_groups(r).filter("complete").select("model", "layer")
@@ -152,18 +162,22 @@ def mapping_file_lookup(targets: DataFrame, files: DataFrame, key: str = "saved_
     ``name.safetensors``, else ``name``, else the first file (by name) that
     starts with ``name``; ``missing`` when none.
 
-    Both exact forms start with the name too, so every candidate is found by
-    one equi-join of the names with the exploded prefixes of the file names
-    (output bounded by the total length of the file names, no pairwise
-    comparison); the rank is decided after the join."""
+    Each file yields one key per form: the name without the suffix, the whole name, and
+    its prefixes of the lengths that target names have (a small aggregated set), so a
+    prefix all names share is no join key unless it is a target itself. One equi-join and
+    one minimum of (rank, file) then find the best candidate."""
     scope = list(scope)
     t = targets.select(*scope, key).distinct()
-    cands = prefixes(files.select(*scope, "file"), "file", out=key)
-    rank = (F.when(F.col("file") == F.concat(F.col(key), F.lit(".safetensors")), F.lit(1))
-            .when(F.col("file") == F.col(key), F.lit(2)).otherwise(F.lit(3)))
-    best = (cands.join(t, [*scope, key], "left_semi")
-            .groupBy(*scope, key)
-            .agg(F.min(F.struct(rank.alias("rank"), F.col("file").alias("file"))).alias("_b")))
+    lengths = t.select(F.length(key).alias("n")).distinct().agg(F.sort_array(F.collect_set("n")).alias("_lens"))
+    f = files.select(*scope, "file").crossJoin(F.broadcast(lengths))  # one row: the distinct lengths
+    suffix = ".safetensors"
+    exact = F.when(F.col("file").endswith(suffix), F.array(F.struct(F.lit(1).alias("rank"), F.expr(
+        f"substring(file, 1, length(file) - {len(suffix)})").alias(key)))).otherwise(F.array().cast(f"array<struct<rank:int,{key}:string>>"))
+    shorter = F.transform(F.filter("_lens", lambda n: n < F.length("file")),
+                          lambda n: F.struct(F.lit(3).alias("rank"), F.substring(F.col("file"), F.lit(1), n).alias(key)))
+    whole = F.array(F.struct(F.lit(2).alias("rank"), F.col("file").alias(key)))
+    cands = f.select(*scope, "file", F.explode(F.concat(exact, whole, shorter)).alias("_c")).select(*scope, "file", "_c.*")
+    best = cands.groupBy(*scope, key).agg(F.min(F.struct("rank", "file")).alias("_b"))
     out = t.join(best, [*scope, key], "left")
     kind = (F.when(F.col("_b.rank") == 1, F.lit("safetensors")).when(F.col("_b.rank") == 2, F.lit("exact"))
             .when(F.col("_b.rank") == 3, F.lit("prefix")).otherwise(F.lit("missing")))
@@ -183,9 +197,11 @@ def merge_batches(mapping: DataFrame, key: str = "saved_name", found: DataFrame
 
 
 def first_metadata(meta: DataFrame, order: str = "batch") -> DataFrame:
-    """Non-mapping metadata taken from the first batch that has any."""
+    """Non-mapping metadata, taken as one row from the first batch that has any
+    (batches whose metadata are all NULL are passed over; columns never mix batches)."""
     cols = [c for c in meta.columns if c != order]
-    return meta.agg(*[F.min_by(c, order).alias(c) for c in cols])
+    some = meta.filter(F.coalesce(*[F.col(c).cast("string") for c in cols]).isNotNull())
+    return some.agg(F.min_by(F.struct(*cols), order).alias("_m")).select("_m.*")
 
 
 def default_on_missing(nodes: DataFrame, stats: DataFrame, key: str, value: str,

@@ -3,40 +3,33 @@ requests are a table to hand to a serving system; replies come back as a table."
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalkit import schemas
 from evalkit.functions import text as T
-from evalkit.operators.packing import pack_to_budget
+from evalkit.operators.packing import CHUNK_MESSAGES, join_chunks, message_numbering, pack_to_budget
 
 REPLY_SCHEMA = schemas.CHAT_REPLY
-# fixed value: per-message template overhead in the request size estimate
-MESSAGE_OVERHEAD_TOKENS = 4
-
-
-def request_tokens(text: str) -> Column:
-    """Estimated tokens of a message inside a request: chars // 4 plus the
-    per-message template overhead (so a budget also bounds the message count)."""
-    return T.chars_div4(text) + F.lit(MESSAGE_OVERHEAD_TOKENS)
-
-
-def chat_requests(msgs: DataFrame, model: str, max_tokens: int, temperature: float,
-                  budget: int, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """One JSON request per conversation from the messages that fit the
-    budget (estimate chars // 4 + overhead per message, the crossing message
-    kept). The budget bounds how many messages are gathered per conversation."""
-    packed = pack_to_budget(msgs, budget, key, order, tokens=request_tokens("text"))
-    grouped = (packed.groupBy(key)
-               .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "role",
-                                                         F.col("text").alias("content")))).alias("_m"),
-                    F.count(F.lit(1)).alias("n_messages")))
-    payload = F.struct(F.lit(model).alias("model"),
-                       F.transform("_m", lambda m: F.struct(m["role"].alias("role"),
-                                                            m["content"].alias("content"))).alias("messages"),
-                       F.lit(max_tokens).alias("max_tokens"),
-                       F.lit(float(temperature)).alias("temperature"))
-    return grouped.select(key, "n_messages", F.to_json(payload).alias("request"))
+
+
+def chat_requests(msgs: DataFrame, model: str, max_tokens: int, temperature: float, budget: int | None = None,
+                  key: str = "conv_id", order: str = "turn", chunk_messages: int = CHUNK_MESSAGES) -> DataFrame:
+    """One JSON request per conversation with all its messages (or, with ``budget``,
+    those that W2 packs). A request comes in parts of ``chunk_messages`` messages: (key,
+    chunk from 0, n_msgs, request); the parts put end to end are the request, so no row
+    holds more of a conversation than one part."""
+    rows = msgs if budget is None else pack_to_budget(msgs, budget, key, order).drop("tokens", "tokens_before")
+    num = message_numbering(rows, key, order)
+    message = F.to_json(F.struct(F.col("role"), F.col("text").alias("content")), {"ignoreNullFields": "false"})
+    tail = F.to_json(F.struct(F.lit(max_tokens).alias("max_tokens"), F.lit(float(temperature)).alias("temperature")))
+    head = F.lit('{"model":' + json.dumps(model) + ',"messages":[')
+    first, last = F.col("msg_no") == 1, F.col("msg_no") == F.col("n_msgs")
+    piece = F.concat(F.when(first, head).otherwise(F.lit(",")), message,
+                     F.when(last, F.concat(F.lit("],"), F.substring(tail, 2, 2147483647))).otherwise(F.lit("")))
+    return join_chunks(num, piece, key, order, chunk_messages, "request")
 
 
 def parse_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:

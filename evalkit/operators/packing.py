@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalkit.functions import text as T
-from evalkit.plans.ordering import running_count, running_sum, running_sums
+from evalkit.plans.ordering import running_max, running_sum, running_sums
 
 # ---- fixed values -----------------------------------------------------------
 MESSAGE_HEADER = "=== [%s] (msg %d/%d) ==="
 QUIT_WORDS = ("quit", "exit")
 RESET_WORD = "reset"
 # -----------------------------------------------------------------------------
+#: Messages per chunk of a rendered conversation.
+CHUNK_MESSAGES = 256
 
 
 def pack_to_budget(msgs: DataFrame, budget: int | Column, key: str = "conv_id",
@@ -41,31 +43,30 @@ def session_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn",
     ``exit`` ends the conversation (that row and all later rows dropped). Returns
     the counted rows with ``session`` (1-based) and ``session_turn`` (1-based).
 
-    Quits, resets and counted inputs are three running counts from one bucketed
-    pass; the turn within a session is the counted position minus the session's
-    first one (a grouped minimum joined back)."""
+    Quits, resets and counted inputs are three running counts from one bucketed pass,
+    and the counted position at the last reset is a running maximum of the second; the
+    turn within a session is the difference, so no session is brought together."""
     inp = F.lower(T.py_strip(text))
     is_quit = inp.isin(*QUIT_WORDS)
     is_reset = inp == RESET_WORD
     counted = (inp != "") & ~is_reset & ~is_quit
-    t = turns.withColumn("_counted_row", counted)
+    t = turns.withColumn("_counted_row", counted).withColumn("_reset_row", is_reset)
     t = running_sums(t, [key], order, {
         "_quits": F.when(is_quit, 1).otherwise(0),
         "_resets": F.when(is_reset, 1).otherwise(0),
         "_pos": F.when(counted, 1).otherwise(0)})
+    t = running_max(t, [key], order, F.when(F.col("_reset_row"), F.col("_pos")), "_start")
     live = (t.filter((F.col("_quits") == 0) & F.col("_counted_row"))
             .withColumn("session", (F.col("_resets") + 1).cast("long")))
-    first = live.groupBy(key, "session").agg(F.min("_pos").alias("_first"))
-    return (live.join(first, [key, "session"])
-            .withColumn("session_turn", (F.col("_pos") - F.col("_first") + 1).cast("long"))
-            .drop("_quits", "_resets", "_pos", "_first", "_counted_row"))
+    turn = (F.col("_pos") - F.coalesce(F.col("_start"), F.lit(0))).cast("long")
+    return (live.withColumn("session_turn", turn)
+            .drop("_quits", "_resets", "_pos", "_start", "_counted_row", "_reset_row"))
 
 
 def message_numbering(msgs: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """``=== [role] (msg i/n) ===`` headers. ``n`` comes from a grouped count
-    joined back, ``i`` from the bucketed running count."""
-    n = msgs.groupBy(key).agg(F.count(F.lit(1)).alias("n_msgs"))
-    numbered = running_count(msgs, [key], order, F.lit(True), "msg_no").join(n, key)
+    """``=== [role] (msg i/n) ===`` headers. ``i`` and ``n`` come from the totals of
+    one bucketed running count, so no conversation is brought together."""
+    numbered = running_sums(msgs, [key], order, {"msg_no": F.lit(1)}, totals={"msg_no": "n_msgs"})
     header = F.format_string(MESSAGE_HEADER, F.col("role"), F.col("msg_no"), F.col("n_msgs"))
     return numbered.withColumn("header", header)
 
@@ -84,26 +85,31 @@ def head_tail_messages(msgs: DataFrame, key: str = "conv_id", order: str = "turn
 
 
 def render_messages(msgs: DataFrame, key: str = "conv_id", order: str = "turn",
-                    template: str = "numbered") -> DataFrame:
-    """One rendered text per conversation. ``numbered`` writes the dump form
-    (header line, content, blank line); ``chatml`` writes ``<|im_start|>role``
-    blocks and the generation prompt. Messages are gathered per conversation,
-    which callers bound by packing to a budget first."""
+                    template: str = "numbered", chunk_messages: int = CHUNK_MESSAGES) -> DataFrame:
+    """The rendered text of every conversation, whole, in chunks of ``chunk_messages``
+    messages (key, chunk from 0, n_msgs, rendered): the chunks of a conversation put end
+    to end are its text, and no row holds more than one chunk. ``numbered`` writes the
+    dump form (header line, content, blank line); ``chatml`` writes
+    ``<|im_start|>role`` blocks and, after the last message, the generation prompt."""
     num = message_numbering(msgs, key, order)
+    content = F.coalesce(F.col("text"), F.lit(""))
     if template == "numbered":
-        piece = F.concat(F.col("header"), F.lit("\n"), F.coalesce(F.col("text"), F.lit("")), F.lit("\n\n"))
-        suffix = F.lit("")
+        piece = F.concat(F.col("header"), F.lit("\n"), content, F.lit("\n\n"))
     elif template == "chatml":
-        piece = F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"),
-                         F.coalesce(F.col("text"), F.lit("")), F.lit("<|im_end|>\n"))
-        suffix = F.lit("<|im_start|>assistant\n")
+        prompt = F.when(F.col("msg_no") == F.col("n_msgs"), F.lit("<|im_start|>assistant\n")).otherwise(F.lit(""))
+        piece = F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), content, F.lit("<|im_end|>\n"), prompt)
     else:
         raise ValueError(f"unknown template {template!r}")
-    parts = num.select(key, F.struct(F.col(order).alias("o"), piece.alias("p")).alias("s"))
-    return (parts.groupBy(key)
+    return join_chunks(num, piece, key, order, chunk_messages, "rendered")
+
+
+def join_chunks(numbered: DataFrame, piece: Column, key: str, order: str, chunk_messages: int, name: str) -> DataFrame:
+    """Pieces of numbered messages joined per chunk, in order: (key, chunk, n_msgs, ``name``)."""
+    chunk = F.floor((F.col("msg_no") - 1) / chunk_messages).cast("long")
+    parts = numbered.select(key, chunk.alias("chunk"), F.struct(F.col(order).alias("o"), piece.alias("p")).alias("s"))
+    return (parts.groupBy(key, "chunk")
             .agg(F.array_sort(F.collect_list("s")).alias("_ps"), F.count(F.lit(1)).alias("n_msgs"))
-            .select(key, "n_msgs",
-                    F.concat(F.array_join(F.transform("_ps", lambda s: s["p"]), ""), suffix).alias("rendered")))
+            .select(key, "chunk", "n_msgs", F.array_join(F.transform("_ps", lambda s: s["p"]), "").alias(name)))
 
 
 def prompt_cell_stats(msgs: DataFrame, cell: list[str], order: str = "turn") -> DataFrame:

@@ -7,7 +7,7 @@ cell is a join, not a loop."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,10 +22,6 @@ CHARS_PER_TOKEN = 4
 STEP_PREFIX = "Step %d: "        # user turns of the agentic cycle
 # -----------------------------------------------------------------------------
 
-HISTORY_QUESTION = ("Please explain topic number {t} of software engineering, "
-                    "with its key ideas and good practices.")
-
-
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -78,78 +74,82 @@ def insert_needle(text: Column | str, needle: Column | str, at: Column | str) ->
     return F.concat(F.substring(t, F.lit(1), a), _c(needle), F.substring(t, a + 1, F.lit(2147483647)))
 
 
-def padded_history(budgets: DataFrame, budget: str = "budget",
-                   cap: int = pools.ANSWER_CAP_TOKENS) -> DataFrame:
+def padded_history(budgets: DataFrame, question: Callable[[Column], Column], paragraph: Column | str,
+                   budget: str = "budget", cap: int = pools.ANSWER_CAP_TOKENS) -> DataFrame:
     """question/answer filler turns until chars // 4 of the history reaches the
-    budget; each answer is ``min(cap, budget - history)`` tokens (4 chars each).
-    One row per (budget, turn, role); at most budget / cap + 1 turns per budget."""
-    b = budgets.select(budget).distinct()
+    budget; each answer is filler of ``min(cap, budget - history)`` tokens (4 chars each).
+
+    ``question`` gives the text of the question about a topic number (from 1),
+    ``paragraph`` the text that answers repeat; both may use columns of ``budgets``.
+    One row per (budget, turn, slot) with role and content; at most budget / cap + 1
+    turns per budget."""
+    b = budgets.dropDuplicates([budget]).withColumn("_p", _c(paragraph))
     turns = b.withColumn("turn", F.explode(F.sequence(F.lit(0), (F.col(budget) / cap).cast("int") + 1)))
-    q = F.format_string(HISTORY_QUESTION.replace("{t}", "%d"), F.col("turn") + 1)
-    turns = turns.withColumn("q_len", F.length(q)).withColumn("q_tok", F.floor(F.col("q_len") / 4))
+    turns = turns.withColumn("_q", question(F.col("turn") + 1)).withColumn("q_tok", F.floor(F.length("_q") / 4))
     # every turn but the last has a full answer; the crossing turn is kept
     w = Window.partitionBy(budget).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("before", F.coalesce(F.sum(F.col("q_tok") + cap).over(w), F.lit(0)))
     turns = turns.filter(F.col("before") < F.col(budget))
-    turns = turns.withColumn("a_tok", F.least(F.lit(cap), F.col(budget) - F.col("before")))
-    user = turns.select(budget, "turn", F.lit(0).alias("slot"), F.lit("user").alias("role"),
-                        F.col("q_len").alias("n_chars"), F.col("q_tok").alias("tokens"))
-    asst = turns.select(budget, "turn", F.lit(1).alias("slot"), F.lit("assistant").alias("role"),
-                        (F.col("a_tok") * CHARS_PER_TOKEN).alias("n_chars"), F.col("a_tok").alias("tokens"))
-    return user.unionByName(asst)
-
-
-def agentic_history(spark: SparkSession, budgets: DataFrame, budget: str = "budget") -> DataFrame:
-    """The six-step agentic cycle (user, tool call, tool result per
-    interaction) repeated until the estimate reaches the budget; the crossing
-    interaction is included. One row per (budget, interaction)."""
-    cyc = spark.createDataFrame(
-        [(i, u, a, r, tool) for i, ((u, a, r), tool) in
-         enumerate(zip(pools.AGENTIC_CYCLE_LENGTHS, pools.AGENTIC_CYCLE_TOOLS))],
-        "step int, u_len int, a_len int, r_len int, tool string")
+    a_tok = F.least(F.lit(cap), F.col(budget) - F.col("before"))
+    messages = F.array(
+        F.struct(F.lit(0).alias("slot"), F.lit("user").alias("role"), F.col("_q").alias("content"),
+                 F.col("q_tok").cast("long").alias("tokens")),
+        F.struct(F.lit(1).alias("slot"), F.lit("assistant").alias("role"),
+                 filler_text(F.col("_p"), a_tok * CHARS_PER_TOKEN).alias("content"),
+                 a_tok.cast("long").alias("tokens")))
+    return turns.select(budget, "turn", F.explode(messages).alias("_m")).select(budget, "turn", "_m.*")
+
+
+def agentic_history(budgets: DataFrame, cycle: DataFrame, budget: str = "budget") -> DataFrame:
+    """A cycle of interactions (user line, tool call, tool result) repeated until the
+    estimate (chars // 4 per message) reaches the budget; the crossing interaction is
+    included.
+
+    ``cycle`` has one row per step: step (from 0), tool, user_text, call_text,
+    result_text. One row per (budget, interaction, slot) with tool, role and content."""
+    size = cycle.agg(F.count(F.lit(1)).alias("n"),
+                     F.min(sum(F.floor(F.length(c) / 4) for c in ("user_text", "call_text", "result_text"))).alias("least")
+                     ).first()
+    # the cheapest step bounds the length of the sequence
+    least = max(1, int(size["least"] or 1))
     b = budgets.select(budget).distinct()
-    # every interaction costs at least 40 estimated tokens, which bounds the sequence
-    seq = b.withColumn("i", F.explode(F.sequence(F.lit(1), (F.col(budget) / 40).cast("int") + 1)))
-    seq = seq.withColumn("step", F.pmod(F.col("i") - 1, F.lit(6)).cast("int"))
-    seq = seq.join(F.broadcast(cyc), "step")  # 6-row literal side
-    prefix_len = F.length(F.format_string(STEP_PREFIX, F.col("i")))
-    seq = seq.withColumn("u_full", F.col("u_len") + prefix_len)
-    seq = seq.withColumn("tokens", F.floor(F.col("u_full") / 4) + F.floor(F.col("a_len") / 4)
-                         + F.floor(F.col("r_len") / 4))
-    w = Window.partitionBy(budget).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    seq = seq.withColumn("before", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
-    return seq.filter(F.col("before") < F.col(budget)).select(
-        budget, F.col("i").alias("interaction"), "step", "tool", "u_full", "a_len", "r_len", "tokens")
-
-
-def history_summary(history: DataFrame, budget: str = "budget", tokens: str = "tokens") -> DataFrame:
-    return history.groupBy(budget).agg(F.count(F.lit(1)).alias("n_rows"),
-                                       F.sum(tokens).cast("long").alias("history_tokens"))
-
-
-def attach_by_budget(cells: DataFrame, per_budget: DataFrame, budget: str = "budget",
-                     max_budgets: int = 100_000) -> DataFrame:
+    seq = b.withColumn("interaction", F.explode(F.sequence(F.lit(1), (F.col(budget) / least).cast("int") + 1)))
+    seq = seq.withColumn("step", F.pmod(F.col("interaction") - 1, F.lit(size["n"])).cast("int"))
+    seq = seq.join(F.broadcast(cycle), "step")  # the cycle is a short literal table
+    seq = seq.withColumn("user_text", F.concat(F.format_string(STEP_PREFIX, F.col("interaction")), F.col("user_text")))
+    texts = [("user", "user_text"), ("assistant", "call_text"), ("user", "result_text")]
+    cost = sum(F.floor(F.length(c) / 4) for _, c in texts)
+    w = Window.partitionBy(budget).orderBy("interaction").rowsBetween(Window.unboundedPreceding, -1)
+    seq = seq.withColumn("before", F.coalesce(F.sum(cost).over(w), F.lit(0))).filter(F.col("before") < F.col(budget))
+    messages = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(role).alias("role"), F.col(c).alias("content"),
+                                  F.floor(F.length(c) / 4).cast("long").alias("tokens"))
+                         for i, (role, c) in enumerate(texts)])
+    return (seq.select(budget, "interaction", "step", "tool", F.explode(messages).alias("_m"))
+            .select(budget, "interaction", "step", "tool", "_m.*"))
+
+
+def attach_by_budget(cells: DataFrame, per_budget: DataFrame, budget: str = "budget") -> DataFrame:
     """Join per-budget results back to the cells (broadcast after a size check)."""
-    return cells.join(bounded_broadcast(per_budget, max_budgets), budget, "left")
+    return cells.join(bounded_broadcast(per_budget), budget, "left")
 
 
 def prompt_messages(cells: DataFrame, history: DataFrame, system_text: str, instruction: str = "instruction",
                     budget: str = "budget", order: Sequence[str] = ("turn", "slot")) -> DataFrame:
-    """G7 (long form): per cell the system message, the history rows of its
-    budget (joined by budget, so each cell gets its own copy) and the user
-    instruction with the no-think suffix. One row per message with its position
-    and length; prompts are never gathered into one value here."""
+    """Per cell the system message, the history rows of its budget (joined by
+    budget, so each cell gets its own copy) and the user instruction with the no-think
+    suffix. One row per message: the cell's columns, part (0 to 2), the order columns,
+    role and content; prompts are never gathered into one value here."""
     keys = [c for c in cells.columns if c != instruction]
     order = list(order)
-    w_hist = history.select(budget, *[F.col(o) for o in order], "role", "n_chars")
-    hist = cells.select(*keys).join(w_hist, budget)
-    hist = hist.select(*keys, F.lit(1).alias("part"), *order, "role", "n_chars")
-    sys_rows = cells.select(*keys, F.lit(0).alias("part"), *[F.lit(0).alias(o) for o in order],
-                            F.lit("system").alias("role"), F.lit(len(system_text)).alias("n_chars"))
-    user = cells.select(*keys, F.lit(2).alias("part"), *[F.lit(0).alias(o) for o in order],
-                        F.lit("user").alias("role"),
-                        F.length(F.concat(F.col(instruction), F.lit(T.NO_THINK_SUFFIX))).alias("n_chars"))
-    return sys_rows.unionByName(hist).unionByName(user)
+    hist = cells.select(*keys).join(history.select(budget, *order, "role", "content"), budget)
+    hist = hist.select(*keys, F.lit(1).alias("part"), *order, "role", "content")
+
+    def edge(part: int, role: str, content: Column) -> DataFrame:
+        return cells.select(*keys, F.lit(part).alias("part"), *[F.lit(0).alias(o) for o in order],
+                            F.lit(role).alias("role"), content.alias("content"))
+
+    last = F.concat(F.col(instruction), F.lit(T.NO_THINK_SUFFIX))
+    return edge(0, "system", F.lit(system_text)).unionByName(hist).unionByName(edge(2, "user", last))
 
 
 def tool_definitions(tools: DataFrame, name: str = "name", description: str = "description",

@@ -43,11 +43,10 @@ def score_responses(df: DataFrame, answer: str = "answer") -> DataFrame:
                             extra={"answer_preview": prev, "output_tokens": words})
 
 
-def attach_cases(responses: DataFrame, cases: DataFrame, key: str = "case_id",
-                 max_cases: int = 100_000) -> DataFrame:
+def attach_cases(responses: DataFrame, cases: DataFrame, key: str = "case_id") -> DataFrame:
     """Pair each response with its case expectation (inner equi join). The
     case table is broadcast only after its size is checked."""
-    return responses.join(bounded_broadcast(cases, max_cases), key, "inner")
+    return responses.join(bounded_broadcast(cases), key, "inner")
 
 
 def cases_table(spark, triples=None) -> DataFrame:
@@ -73,6 +72,22 @@ def rescore_results(results: DataFrame, cases: DataFrame, preview_chars: int = T
     return out.withColumn("reliable", F.length("answer_preview") < preview_chars)
 
 
+def failed_niah(cells: DataFrame, message: Column | str = "message") -> DataFrame:
+    """Result rows of needle runs that raised: answer ``ERROR``, not correct, no time and no
+    output, the error text cut. ``cells`` has context_length, depth, passkey."""
+    return cells.select(F.lit("niah").alias("test"), "context_length", "depth", "passkey",
+                        F.lit(T.ERROR_ANSWER).alias("answer"), F.lit(False).alias("correct"),
+                        F.lit(0.0).alias("elapsed"), F.lit(0).alias("output_tokens"),
+                        T.preview(message, T.ERROR_PREVIEW_CHARS).alias("error"))
+
+
+def failed_tool_calls(cells: DataFrame, message: Column | str = "message") -> DataFrame:
+    """Result rows of tool-call runs that raised: score 0, no checks, no time, the error text
+    cut. ``cells`` has test, context_length, expected_tool, instruction."""
+    return cells.select("test", "context_length", "expected_tool", "instruction", F.lit(0).alias("score"),
+                        T.preview(message, T.ERROR_PREVIEW_CHARS).alias("error"), F.lit(0.0).alias("elapsed"))
+
+
 def suite_filter(df: DataFrame, suites: Sequence[str]) -> DataFrame:
     """keep the chosen suites (pushed to the scan / partition filter)."""
     return df.filter(F.col("test").isin(list(suites)))

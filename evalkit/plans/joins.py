@@ -1,36 +1,34 @@
-"""Join helpers: size-checked broadcast and an equi-join form of prefix matching."""
+"""Join helper: a broadcast behind a check of its size in bytes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 100_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      materialize: bool = True) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows; otherwise return
-    it so the planner shuffles (or AQE converts at run time).
-
-    A small side is often derived from a big table (distinct keys, per-budget
-    results). With ``materialize`` it is checkpointed once into the shared
-    checkpoint folder, so the size check and the join read that copy instead of
-    recomputing it from the big table. The check reads at most ``max_rows + 1``
-    rows."""
-    if df.isLocal():  # rows held by the driver (a literal table): nothing to materialise
-        side = df
-    else:
-        side = df.checkpoint(eager=True) if materialize else df
-    n = side.limit(max_rows + 1).count()
-    return F.broadcast(side) if n <= max_rows else side
-
-
-def prefixes(df: DataFrame, col: str, out: str = "prefix", max_len: int | None = None) -> DataFrame:
-    """One row per non-empty prefix of ``col`` (its own length bounds the fan-out),
-    so "name is a prefix of file" becomes an equi-join on ``out``."""
-    n = F.length(col) if max_len is None else F.least(F.length(col), F.lit(max_len))
-    return (df.filter(F.length(col) > 0)
-            .withColumn("_ek_i", F.explode(F.sequence(F.lit(1), n)))
-            .withColumn(out, F.expr(f"substring({col}, 1, _ek_i)"))
-            .drop("_ek_i"))
+#: Largest side that is broadcast, by an upper estimate of its rows' bytes.
+DEFAULT_BROADCAST_BYTES = 32 * 1024 * 1024
+ROW_OVERHEAD = 64
+
+
+def row_bytes(df: DataFrame):
+    """Upper estimate of a row's bytes: strings and arrays by their length, 16 for the rest."""
+    size = F.lit(ROW_OVERHEAD)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        elif "array" in kind or "struct" in kind or "map" in kind:
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        else:
+            size = size + 16
+    return size
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if its rows take at most ``max_bytes``; otherwise return it
+    unhinted, so the planner shuffles or adaptive execution decides at run time. The
+    check is one aggregate over ``df``; nothing is materialised before the size is known."""
+    if df.isLocal():  # rows held by the driver (a literal table)
+        return F.broadcast(df)
+    total = df.agg(F.sum(row_bytes(df)).alias("b")).first()["b"]
+    return F.broadcast(df) if (total or 0) <= max_bytes else df

@@ -10,7 +10,7 @@
   (a partial aggregate) give each bucket its offset, then a window partitioned
   by (key, bucket) finishes the sum. A key holding a third of the table is thus
   spread over many tasks.
-* ``exact_median``: the middle value(s) per group picked by global position.
+* ``exact_median``: the middle value(s) per group, by counts of cells of its range.
 """
 
 from __future__ import annotations
@@ -20,9 +20,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalkit.plans.joins import bounded_broadcast
 from evalkit.session import scratch_path
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row
+#: Cells into which a group's range of values is cut to find its middle.
+_CELLS = 65_536
 
 
 def _cols(cols: Sequence[str | Column]) -> list[Column]:
@@ -69,7 +72,8 @@ def global_index(df: DataFrame, order_cols: Sequence[str | Column], name: str =
 
 def running_sums(df: DataFrame, keys: Sequence[str], order_col: str, values: dict[str, Column],
                  inclusive: bool = True, bucket_size: int = 4096,
-                 keep_bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+                 keep_bucket: Callable[[Column], Column] | None = None,
+                 totals: dict[str, str] | None = None) -> DataFrame:
     """Several per-key running sums over an integral order column in one pass.
 
     Rows are cut into buckets of ``bucket_size`` consecutive order values;
@@ -77,16 +81,20 @@ def running_sums(df: DataFrame, keys: Sequence[str], order_col: str, values: dic
     window partitioned by (key, bucket) finishes the sums, so a key holding a
     third of the table is spread over many tasks. ``inclusive=False`` sums the
     rows strictly before. ``keep_bucket`` receives the offset of the first value
-    and may drop whole buckets before the per-row window runs."""
+    and may drop whole buckets before the per-row window runs. ``totals`` names a column
+    for the key's total of a value, taken from the bucket totals as well."""
     keys = list(keys)
     names = list(values)
     tmp = {n: f"_ek_v_{i}" for i, n in enumerate(names)}
     b = df.withColumn("_ek_b", F.floor(F.col(order_col) / F.lit(bucket_size)).cast("long"))
     b = b.select("*", *[F.coalesce(values[n], F.lit(0)).alias(tmp[n]) for n in names])
-    totals = b.groupBy(*keys, "_ek_b").agg(*[F.sum(tmp[n]).alias(tmp[n] + "_s") for n in names])
+    totals = totals or {}
+    sums = b.groupBy(*keys, "_ek_b").agg(*[F.sum(tmp[n]).alias(tmp[n] + "_s") for n in names])
     earlier = Window.partitionBy(*keys).orderBy("_ek_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_ek_b", *[F.coalesce(F.sum(tmp[n] + "_s").over(earlier), F.lit(0))
-                                              .alias(tmp[n] + "_o") for n in names])
+    whole = Window.partitionBy(*keys)
+    offsets = sums.select(*keys, "_ek_b", *[F.coalesce(F.sum(tmp[n] + "_s").over(earlier), F.lit(0))
+                                            .alias(tmp[n] + "_o") for n in names],
+                          *[F.sum(tmp[n] + "_s").over(whole).alias(t) for n, t in totals.items()])
     if keep_bucket is not None:
         offsets = offsets.filter(keep_bucket(F.col(tmp[names[0]] + "_o")))
     frame_end = Window.currentRow if inclusive else -1
@@ -106,6 +114,21 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_col: str, value: str |
     return running_sums(df, keys, order_col, {name: val}, inclusive, bucket_size, keep_bucket)
 
 
+def running_max(df: DataFrame, keys: Sequence[str], order_col: str, value: Column, name: str,
+                bucket_size: int = 4096) -> DataFrame:
+    """Per-key running maximum of ``value`` (NULLs skipped) in ``order_col`` order, bucketed
+    like ``running_sums``."""
+    keys = list(keys)
+    b = df.withColumn("_ek_b", F.floor(F.col(order_col) / F.lit(bucket_size)).cast("long")).withColumn("_ek_v", value)
+    earlier = Window.partitionBy(*keys).orderBy("_ek_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (b.groupBy(*keys, "_ek_b").agg(F.max("_ek_v").alias("_ek_m"))
+               .select(*keys, "_ek_b", F.max("_ek_m").over(earlier).alias("_ek_o")))
+    within = (Window.partitionBy(*keys, "_ek_b").orderBy(order_col)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (b.join(offsets, [*keys, "_ek_b"])
+            .withColumn(name, F.greatest("_ek_o", F.max("_ek_v").over(within))).drop("_ek_b", "_ek_v", "_ek_o"))
+
+
 def running_count(df: DataFrame, keys: Sequence[str], order_col: str, flag: Column,
                   name: str, inclusive: bool = True, bucket_size: int = 4096) -> DataFrame:
     """Running count of rows where ``flag`` holds (a running sum of 0/1)."""
@@ -119,8 +142,8 @@ def exact_median(df: DataFrame, group_cols: Sequence[str], value: str,
     """Exact median per group (mean of the two middle values for even counts),
     as Python's ``statistics.median``.
 
-    ``sort``: values are placed by a distributed sort and only the middle rows
-    are aggregated, so no group is gathered into one task (any value type).
+    ``sort``: values are counted per cell of their group's range, and only the cells
+    that hold the middle are ordered, so no group is gathered into one task.
     ``counts``: rows are first counted per (group, value) with a partial
     aggregate; the cumulative counts then run over the distinct values only.
     Use it for integral values with a bounded domain (token or word counts)."""
@@ -130,12 +153,10 @@ def exact_median(df: DataFrame, group_cols: Sequence[str], value: str,
 def exact_medians(df: DataFrame, group_cols: Sequence[str], values: Sequence[str],
                   names: Sequence[str] | None = None, num_partitions: int | None = None,
                   method: str = "sort", materialize: bool = True) -> DataFrame:
-    """Exact medians of several columns per group with one sort: the columns are
-    stacked as (metric, value) rows and placed together.
-
-    Range partitioning samples its input in a job of its own before the
-    shuffle; with ``materialize`` the narrow (group, metric, value) table is
-    checkpointed first, so an expensive upstream (e.g. scoring) runs once."""
+    """Exact medians of several columns per group in one pass: the columns are stacked as
+    (metric, value) rows. The values are read three times (range, cell counts, middle
+    cells); with ``materialize`` the narrow (group, metric, value) table is checkpointed
+    first, so an expensive upstream (e.g. scoring) runs once."""
     group_cols = list(group_cols)
     names = list(names or [f"median_{v}" for v in values])
     stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("m"), F.col(v).cast("double").alias("x"))
@@ -159,12 +180,28 @@ def exact_medians(df: DataFrame, group_cols: Sequence[str], values: Sequence[str
     else:
         if materialize:
             vals = vals.checkpoint(eager=True)
-        placed = global_index(vals, [*keys, "_ek_x"], name="_ek_g", num_partitions=num_partitions)
-        stats = placed.groupBy(*keys).agg(F.min("_ek_g").alias("_ek_start"), F.count(F.lit(1)).alias("_ek_n"))
-        rel = F.col("_ek_g") - F.col("_ek_start")
-        mid = (placed.join(stats, keys, "inner")
-               .filter((rel == F.floor((F.col("_ek_n") - 1) / 2)) | (rel == F.floor(F.col("_ek_n") / 2))))
-        med = mid.groupBy(*keys).agg(F.avg("_ek_x").alias("_ek_med"))
+        # equal-width cells of each group's range, counted by a partial aggregate; the cells
+        # before the middle give its rank inside the one or two cells that are kept, and only
+        # their distinct values are ordered
+        span = vals.groupBy(*keys).agg(F.min("_ek_x").alias("_lo"), F.max("_ek_x").alias("_hi"))
+        cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(_CELLS - 1), F.floor(
+            (F.col("_ek_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _CELLS))).otherwise(F.lit(0)).cast("int")
+        # one row per (group, metric): joined by broadcast where its size allows
+        celled = vals.join(bounded_broadcast(span), keys).select(*keys, cell.alias("_cell"), "_ek_x")
+        counted = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+        upto = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = counted.withColumn("_to", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(
+            Window.partitionBy(*keys)))
+        k1, k2 = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+        holds = lambda k: (F.col("_to") - F.col("_c") <= k) & (k < F.col("_to"))
+        kept = cum.filter(holds(k1) | holds(k2)).select(*keys, "_cell", (F.col("_to") - F.col("_c")).alias("_before"), "_n")
+        inside = (celled.join(bounded_broadcast(kept), [*keys, "_cell"])
+                  .groupBy(*keys, "_cell", "_before", "_n", "_ek_x").agg(F.count(F.lit(1)).alias("_c")))
+        order = Window.partitionBy(*keys, "_cell").orderBy("_ek_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = inside.withColumn("_to", F.col("_before") + F.sum("_c").over(order))
+        picked = inside.select(*keys, F.when(holds(k1), F.col("_ek_x")).alias("_a"),
+                               F.when(holds(k2), F.col("_ek_x")).alias("_b"))
+        med = picked.groupBy(*keys).agg(((F.max("_a") + F.max("_b")) / 2).alias("_ek_med"))
     if group_cols:
         return med.groupBy(*group_cols).pivot("_ek_m", names).agg(F.first("_ek_med"))
     return med.groupBy().pivot("_ek_m", names).agg(F.first("_ek_med"))

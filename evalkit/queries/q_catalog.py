@@ -133,7 +133,7 @@ FX9 = """fx9b AS (SELECT p_partkey, 't' || CAST(p_partkey AS VARCHAR) AS saved_n
 
 
 def targets_keys(spark, sf):
-    t = fx.stat_targets(spark, sf).filter("original_name NOT LIKE '%#2'")
+    t = fx.stat_targets(spark, sf, repeated=False)
     return t.select(F.concat("original_name", F.lit(":"), "saved_name").alias("key"))
 
 
@@ -162,7 +162,7 @@ def q_batch_layer_range(spark, sf):
   SELECT batch, kept, (SELECT count(*) FROM t) - kept AS removed FROM k""")
 def q_target_keep_drop(spark, sf):
     t = fx.stat_targets(spark, sf)
-    return K.target_keep_drop(t.filter("original_name NOT LIKE '%#2'"), t)
+    return K.target_keep_drop(fx.stat_targets(spark, sf, repeated=False), t)
 
 
 @register("mapping_file_lookup", f"""WITH {FX9}, t AS (SELECT DISTINCT batch, saved_name FROM fx9),
@@ -236,12 +236,18 @@ def q_dequantise(spark, sf):
                             F.array_min(dd).alias("deq_min"), F.array_max(dd).alias("deq_max")))
 
 
-@register("neutral_params", """SELECT vec_id, 2 AS n_groups, true AS holds FROM embeddings""")
+@register("neutral_params", f"""SELECT vec_id, '1.0,1.0' AS scales, '0,0' AS zero_points, round(list_sum(d), 6) AS again_sum
+  FROM (SELECT vec_id, {DEQ} AS d FROM (SELECT vec_id, {UNPACK} AS v FROM (
+    SELECT vec_id, md5(CAST(vec_id AS VARCHAR)) AS h FROM embeddings) a) b) c""")
 def q_neutral_params(spark, sf):
     d = dequantised(spark, sf)
-    ones, zeros = TO.neutral_params(F.lit(2))
-    again = TO.dequantise("deq", zeros, ones, 16)
-    return d.select("vec_id", F.size("scale").alias("n_groups"), (F.col("deq") == again).alias("holds"))
+    ones, zeros = TO.neutral_params(F.size("scale"))
+    d = d.withColumn("ones", ones).withColumn("zeros", zeros)
+    again = F.transform(TO.dequantise("deq", "zeros", "ones", 16), lambda x: x.cast("double"))
+    return rounded(d.select(
+        "vec_id", F.array_join(F.transform("ones", lambda x: x.cast("double").cast("string")), ",").alias("scales"),
+        F.array_join(F.transform("zeros", lambda x: x.cast("int").cast("string")), ",").alias("zero_points"),
+        F.aggregate(again, F.lit(0.0), lambda a, x: a + x).alias("again_sum")))
 
 
 @register("quantise_groups", """WITH g AS (SELECT vec_id, grp, list_transform(list_slice(embedding, grp * 16 + 1, grp * 16 + 16), lambda v: CAST(v AS DOUBLE)) AS x

@@ -8,10 +8,10 @@ from evalkit import fixtures as fx
 from evalkit import pools
 from evalkit.functions import text as T
 from evalkit.operators import calibration as C
-from evalkit.operators import chat, packing
+from evalkit.operators import packing
 from evalkit.operators import prompts as G
 from evalkit.queries import register
-from evalkit.queries.sqlfx import CTX5, FX1, NL, strip_sql
+from evalkit.queries.sqlfx import CTX5, FX1, NL, strip_sql, words_sql
 from evalkit.queries.util import rounded
 from evalkit.sources.tables import table
 
@@ -64,67 +64,85 @@ def q_needle_insert(spark, sf):
                     F.length(ctx).cast("long").alias("n_chars"), F.md5(ctx).alias("context_md5"))
 
 
-G5_SQL = f"""b5 AS (SELECT DISTINCT context_length - {pools.EASY_RESERVE} AS budget FROM fx1 WHERE test = 'tool_call'),
- t5 AS (SELECT budget, turn, length(printf('{G.HISTORY_QUESTION.replace("{t}", "%d")}', turn + 1)) AS q_len
-        FROM (SELECT budget, unnest(generate_series(0, budget // 200 + 1)) AS turn FROM b5) s),
- w5 AS (SELECT *, q_len // 4 AS q_tok, coalesce(sum(q_len // 4 + 200) OVER (PARTITION BY budget ORDER BY turn
+CYCLE_LENGTHS = ", ".join(f"({i}, {u}, {a}, {r}, '{t}')" for i, ((u, a, r), t) in
+                          enumerate(zip(pools.AGENTIC_CYCLE_LENGTHS, pools.AGENTIC_CYCLE_TOOLS)))
+# histories per budget: G5 as h5, G6 as h6 (budget, pos, role, content, tokens)
+HISTORY_SQL = f"""b5 AS (SELECT DISTINCT context_length - {pools.EASY_RESERVE} AS budget FROM fx1 WHERE test = 'tool_call'),
+ one AS (SELECT text AS topic FROM benchmark ORDER BY item_id LIMIT 1),
+ t5 AS (SELECT budget, turn, topic, rpad(topic, {pools.HISTORY_QUESTION_CHARS}, '.') || CAST(turn + 1 AS VARCHAR) AS q
+        FROM (SELECT budget, unnest(generate_series(0, budget // 200 + 1)) AS turn FROM b5) s, one),
+ w5 AS (SELECT *, length(q) // 4 AS q_tok, coalesce(sum(length(q) // 4 + 200) OVER (PARTITION BY budget ORDER BY turn
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t5),
- k5 AS (SELECT *, least(200, budget - before) AS a_tok FROM w5 WHERE before < budget),
- s5 AS (SELECT budget, count(*) AS n_turns, sum(q_tok + a_tok) AS history_tokens,
-        sum(q_len + a_tok * 4) AS history_chars FROM k5 GROUP BY budget)"""
+ k5 AS (SELECT *, CAST(least(200, budget - before) AS BIGINT) AS a_tok FROM w5 WHERE before < budget),
+ h5 AS (SELECT budget, turn * 2 AS pos, 'user' AS role, q AS content, CAST(q_tok AS BIGINT) AS tokens FROM k5
+   UNION ALL SELECT budget, turn * 2 + 1, 'assistant', substring(repeat(topic || {NL} || {NL},
+     CAST(ceil(a_tok * 4 / (length(topic) + 2)) AS BIGINT)), 1, a_tok * 4), a_tok FROM k5),
+ b6 AS (SELECT DISTINCT greatest(0, context_length - {pools.HARD_RESERVE}) AS budget FROM fx1 WHERE test = 'tool_call_hard'),
+ six AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS step, text FROM benchmark QUALIFY step < 6),
+ cyc AS (SELECT step, tool, substring(repeat(text, u // length(text) + 1), 1, u) AS ut,
+     substring(repeat('{{"name": "' || tool || '"}} ' || text, a // length(text) + 1), 1, a) AS ct,
+     substring(repeat(text, r // length(text) + 1), 1, r) AS rt
+   FROM (VALUES {CYCLE_LENGTHS}) v(step, u, a, r, tool) JOIN six USING (step)),
+ i6 AS (SELECT budget, i, (i - 1) % 6 AS step FROM (SELECT budget, unnest(generate_series(1, budget // 40 + 1)) AS i FROM b6) s),
+ t6 AS (SELECT budget, i, tool, 'Step ' || CAST(i AS VARCHAR) || ': ' || ut AS ut, ct, rt FROM i6 JOIN cyc USING (step)),
+ w6 AS (SELECT *, coalesce(sum(length(ut) // 4 + length(ct) // 4 + length(rt) // 4) OVER (PARTITION BY budget ORDER BY i
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t6),
+ h6 AS (SELECT budget, i * 3 + u.p AS pos, i, tool, u.p AS slot, CASE u.p WHEN 1 THEN 'assistant' ELSE 'user' END AS role,
+     CASE u.p WHEN 0 THEN ut WHEN 1 THEN ct ELSE rt END AS content
+   FROM w6, (VALUES (0), (1), (2)) u(p) WHERE before < budget)"""
+
+
+def _cells(spark, sf, suite: str, reserve: int):
+    """One row per response of a suite with the token budget of its history."""
+    budget = F.greatest(F.lit(0), F.col("context_length") - reserve)
+    return fx.responses(spark, sf).filter(F.col("test") == suite).withColumn("budget", budget)
+
+
+def easy_history(spark, sf):
+    b = _cells(spark, sf, "tool_call", pools.EASY_RESERVE).select("budget").distinct()
+    texts = fx.history_texts(spark, sf)  # one row
+    return G.padded_history(b.crossJoin(F.broadcast(texts)), fx.history_question, "paragraph")
+
+
+def hard_history(spark, sf):
+    b = _cells(spark, sf, "tool_call_hard", pools.HARD_RESERVE).select("budget")
+    return G.agentic_history(b, fx.history_cycle(spark, sf))
+
+
+@register("padded_history", f"""WITH {FX1}, {HISTORY_SQL}
+  SELECT event_id, CAST(count(*) FILTER (WHERE role = 'user') AS BIGINT) AS n_turns, CAST(sum(tokens) AS BIGINT) AS history_tokens,
+    md5(string_agg(role || ':' || md5(content), ',' ORDER BY pos)) AS history_md5
+  FROM fx1 JOIN h5 ON fx1.context_length - {pools.EASY_RESERVE} = h5.budget WHERE test = 'tool_call' GROUP BY event_id""")
+def q_padded_history(spark, sf):
+    h = easy_history(spark, sf).withColumn("pos", F.col("turn") * 2 + F.col("slot"))
+    per = h.groupBy("budget").agg(F.count_if(F.col("role") == "user").alias("n_turns"),
+                                  F.sum("tokens").alias("history_tokens"), _digest("pos").alias("history_md5"))
+    cells = _cells(spark, sf, "tool_call", pools.EASY_RESERVE)
+    return cells.join(F.broadcast(per), "budget").select("event_id", "n_turns", "history_tokens", "history_md5")
 
 
-@register("padded_history", f"""WITH {FX1}, {G5_SQL}
-  SELECT event_id, CAST(n_turns AS BIGINT) AS n_turns, CAST(history_tokens AS BIGINT) AS history_tokens,
-  CAST(history_chars AS BIGINT) AS history_chars
-  FROM fx1 JOIN s5 ON fx1.context_length - {pools.EASY_RESERVE} = s5.budget WHERE test = 'tool_call'""")
-def q_padded_history(spark, sf):
-    return _easy_history(spark, sf).select("event_id", "n_turns", "history_tokens", "history_chars")
+def _digest(order: str):
+    """md5 over role and content md5 of messages in order (a fixed number of bytes each;
+    their number is bounded by the token budget)."""
+    message = F.struct(F.col(order).alias("o"), F.concat("role", F.lit(":"), F.md5("content")).alias("m"))
+    return F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(message)), lambda x: x["m"]), ","))
 
 
-def _easy_history(spark, sf):
-    r = (fx.responses(spark, sf).filter("test = 'tool_call'")
-         .withColumn("budget", F.col("context_length") - pools.EASY_RESERVE))
-    h = G.padded_history(r.select("budget"))
-    per = h.groupBy("budget").agg(F.count_if(F.col("role") == "user").alias("n_turns"),
-                                  F.sum("tokens").cast("long").alias("history_tokens"),
-                                  F.sum("n_chars").cast("long").alias("history_chars"))
-    return G.attach_by_budget(r, per)
-
-
-CYCLE_VALUES = ", ".join(f"({i}, {u}, {a}, {r}, '{t}')" for i, ((u, a, r), t) in
-                         enumerate(zip(pools.AGENTIC_CYCLE_LENGTHS, pools.AGENTIC_CYCLE_TOOLS)))
-G6_SQL = f"""b6 AS (SELECT DISTINCT greatest(0, context_length - {pools.HARD_RESERVE}) AS budget FROM fx1 WHERE test = 'tool_call_hard'),
- cyc AS (SELECT * FROM (VALUES {CYCLE_VALUES}) v(step, u_len, a_len, r_len, tool)),
- i6 AS (SELECT budget, i, CAST((i - 1) % 6 AS INTEGER) AS step FROM (SELECT budget, unnest(generate_series(1, budget // 40 + 1)) AS i FROM b6) s),
- t6 AS (SELECT i6.*, cyc.tool, u_len + length('Step ' || CAST(i AS VARCHAR) || ': ') AS u_full, a_len, r_len,
-          (u_len + length('Step ' || CAST(i AS VARCHAR) || ': ')) // 4 + a_len // 4 + r_len // 4 AS tokens
-        FROM i6 JOIN cyc USING (step)),
- w6 AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY budget ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t6),
- s6 AS (SELECT budget, count(*) AS n_interactions, count(*) FILTER (WHERE tool = 'read_file') AS n_read_file,
-        sum(tokens) AS history_tokens, sum(u_full + a_len + r_len) AS history_chars FROM w6 WHERE before < budget GROUP BY budget)"""
-
-
-@register("agentic_history", f"""WITH {FX1}, {G6_SQL}
-  SELECT event_id, CAST(coalesce(n_interactions, 0) AS BIGINT) AS n_interactions,
-   CAST(coalesce(n_read_file, 0) AS BIGINT) AS n_read_file, CAST(coalesce(history_tokens, 0) AS BIGINT) AS history_tokens
+@register("agentic_history", f"""WITH {FX1}, {HISTORY_SQL},
+  s6 AS (SELECT budget, count(DISTINCT i) AS n, count(*) FILTER (WHERE slot = 0 AND tool = 'read_file') AS reads,
+     sum(length(content) // 4) AS tokens, md5(string_agg(role || ':' || md5(content), ',' ORDER BY pos)) AS h FROM h6 GROUP BY budget)
+  SELECT event_id, coalesce(n, 0) AS n_interactions, coalesce(reads, 0) AS n_read_file,
+    CAST(coalesce(tokens, 0) AS BIGINT) AS history_tokens, h AS history_md5
   FROM fx1 LEFT JOIN s6 ON greatest(0, fx1.context_length - {pools.HARD_RESERVE}) = s6.budget WHERE test = 'tool_call_hard'""")
 def q_agentic_history(spark, sf):
-    return _hard_history(spark, sf).select(
-        "event_id", F.coalesce("n_interactions", F.lit(0)).cast("long").alias("n_interactions"),
-        F.coalesce("n_read_file", F.lit(0)).cast("long").alias("n_read_file"),
-        F.coalesce("history_tokens", F.lit(0)).cast("long").alias("history_tokens"))
-
-
-def _hard_history(spark, sf):
-    r = (fx.responses(spark, sf).filter("test = 'tool_call_hard'")
-         .withColumn("budget", F.greatest(F.lit(0), F.col("context_length") - pools.HARD_RESERVE)))
-    h = G.agentic_history(spark, r.select("budget"))
+    h = hard_history(spark, sf).withColumn("pos", F.col("interaction") * 3 + F.col("slot"))
     per = h.groupBy("budget").agg(
-        F.count(F.lit(1)).alias("n_interactions"), F.count_if(F.col("tool") == "read_file").alias("n_read_file"),
-        F.sum("tokens").cast("long").alias("history_tokens"),
-        F.sum(F.col("u_full") + F.col("a_len") + F.col("r_len")).cast("long").alias("history_chars"))
-    return G.attach_by_budget(r, per)
+        F.count_if(F.col("slot") == 0).alias("n_interactions"),
+        F.count_if((F.col("slot") == 0) & (F.col("tool") == "read_file")).alias("n_read_file"),
+        F.sum("tokens").alias("history_tokens"), _digest("pos").alias("history_md5"))
+    cells = G.attach_by_budget(_cells(spark, sf, "tool_call_hard", pools.HARD_RESERVE), per)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return cells.select("event_id", zero("n_interactions"), zero("n_read_file"), zero("history_tokens"), "history_md5")
 
 
 SYSTEM_EASY = "You can call these tools: search_web, read_file, run_command, list_directory, calculate."
@@ -132,36 +150,45 @@ SYSTEM_HARD = ("You are a coding assistant. Tools: read_file, search_code, get_d
                "replace_in_file, run_command, list_directory.")
 
 
-@register("prompt_messages", f"""WITH {FX1}, {G5_SQL}, {G6_SQL}
-  SELECT event_id, CAST(2 + 2 * n_turns AS BIGINT) AS n_msgs,
-    CAST({len(SYSTEM_EASY)} + history_chars + length(instruction || ' /no_think') AS BIGINT) AS total_chars
-  FROM fx1 JOIN s5 ON fx1.context_length - {pools.EASY_RESERVE} = s5.budget WHERE test = 'tool_call'
-  UNION ALL
-  SELECT event_id, CAST(2 + 3 * coalesce(n_interactions, 0) AS BIGINT) AS n_msgs,
-    CAST({len(SYSTEM_HARD)} + coalesce(history_chars, 0) + length(instruction || ' /no_think') AS BIGINT) AS total_chars
-  FROM fx1 LEFT JOIN s6 ON greatest(0, fx1.context_length - {pools.HARD_RESERVE}) = s6.budget WHERE test = 'tool_call_hard'""")
+def _messages_sql(suite: str, budget: str, history: str, system: str) -> str:
+    cells = f"SELECT event_id, instruction, {budget} AS budget FROM fx1 WHERE test = '{suite}'"
+    return f"""SELECT event_id, -1 AS pos, 'system' AS role, '{system}' AS content FROM ({cells}) c
+  UNION ALL SELECT event_id, pos, role, content FROM ({cells}) c JOIN {history} USING (budget)
+  UNION ALL SELECT event_id, 1000000, 'user', instruction || ' /no_think' FROM ({cells}) c"""
+
+
+@register("prompt_messages", f"""WITH {FX1}, {HISTORY_SQL}, m AS (
+  {_messages_sql('tool_call', f'context_length - {pools.EASY_RESERVE}', 'h5', SYSTEM_EASY)} UNION ALL
+  {_messages_sql('tool_call_hard', f'greatest(0, context_length - {pools.HARD_RESERVE})', 'h6', SYSTEM_HARD)})
+  SELECT event_id, count(*) AS n_msgs, CAST(sum(length(content)) AS BIGINT) AS total_chars,
+    md5(string_agg(role || ':' || md5(content), ',' ORDER BY pos)) AS messages_md5 FROM m GROUP BY event_id""")
 def q_prompt_messages(spark, sf):
-    user_len = F.length(F.concat("instruction", F.lit(T.NO_THINK_SUFFIX)))
-    easy = _easy_history(spark, sf).select(
-        "event_id", (2 + 2 * F.col("n_turns")).cast("long").alias("n_msgs"),
-        (F.lit(len(SYSTEM_EASY)) + F.col("history_chars") + user_len).cast("long").alias("total_chars"))
-    hard = _hard_history(spark, sf).select(
-        "event_id", (2 + 3 * F.coalesce("n_interactions", F.lit(0))).cast("long").alias("n_msgs"),
-        (F.lit(len(SYSTEM_HARD)) + F.coalesce("history_chars", F.lit(0)) + user_len).cast("long").alias("total_chars"))
-    return easy.unionByName(hard)
-
-
-@register("prompt_render", f"""WITH p AS (SELECT conv_id, turn, role, text, coalesce(sum(length(text) // 4 + 4) OVER (
-    PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations),
-  k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS msg_no, count(*) OVER (PARTITION BY conv_id) AS n
-        FROM p WHERE before < 4096),
-  r AS (SELECT conv_id, count(*) AS n_msgs, string_agg('=== [' || role || '] (msg ' || CAST(msg_no AS VARCHAR) || '/' || CAST(n AS VARCHAR)
-        || ') ===' || {NL} || coalesce(text, '') || {NL} || {NL}, '' ORDER BY turn) AS rendered FROM k GROUP BY conv_id)
-  SELECT conv_id, n_msgs, CAST(length(rendered) AS BIGINT) AS rendered_len, md5(rendered) AS rendered_md5 FROM r""")
+    out = None
+    for suite, reserve, history, system, order in (
+            ("tool_call", pools.EASY_RESERVE, easy_history(spark, sf), SYSTEM_EASY, ("turn", "slot")),
+            ("tool_call_hard", pools.HARD_RESERVE, hard_history(spark, sf), SYSTEM_HARD, ("interaction", "slot"))):
+        cells = _cells(spark, sf, suite, reserve).select("event_id", "budget", "instruction")
+        m = G.prompt_messages(cells, history, system, order=order)
+        m = m.withColumn("pos", F.struct("part", *order)).select("event_id", "pos", "role", "content")
+        per = m.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_msgs"),
+                                        F.sum(F.length("content")).cast("long").alias("total_chars"),
+                                        _digest("pos").alias("messages_md5"))
+        out = per if out is None else out.unionByName(per)
+    return out
+
+
+RENDER_SQL = f"""num AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS msg_no,
+    count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+  pieces AS (SELECT conv_id, turn, (msg_no - 1) // {packing.CHUNK_MESSAGES} AS chunk, '=== [' || role || '] (msg ' || CAST(msg_no AS VARCHAR)
+    || '/' || CAST(n AS VARCHAR) || ') ===' || {NL} || coalesce(text, '') || {NL} || {NL} AS piece FROM num)"""
+
+
+@register("prompt_render", f"""WITH {RENDER_SQL},
+  r AS (SELECT conv_id, chunk, count(*) AS n_msgs, string_agg(piece, '' ORDER BY turn) AS rendered FROM pieces GROUP BY conv_id, chunk)
+  SELECT conv_id, chunk, n_msgs, CAST(length(rendered) AS BIGINT) AS rendered_len, md5(rendered) AS rendered_md5 FROM r""")
 def q_prompt_render(spark, sf):
-    packed = packing.pack_to_budget(table(spark, sf, "conversations"), 4096, tokens=chat.request_tokens("text"))
-    r = packing.render_messages(packed.drop("tokens", "tokens_before"))
-    return r.select("conv_id", "n_msgs", F.length("rendered").cast("long").alias("rendered_len"),
+    r = packing.render_messages(table(spark, sf, "conversations"))
+    return r.select("conv_id", "chunk", "n_msgs", F.length("rendered").cast("long").alias("rendered_len"),
                     F.md5("rendered").alias("rendered_md5"))
 
 
@@ -169,11 +196,7 @@ def q_prompt_render(spark, sf):
   SELECT DISTINCT {'name': event_type, 'description': 'Handle ' || event_type || ' events',
    'parameters': {'k': {'type': 'string'}}} AS t FROM events) x""")
 def q_tool_defs_json(spark, sf):
-    ev = table(spark, sf, "events").select("event_type").distinct()
-    tools = ev.select(F.col("event_type").alias("name"),
-                      F.concat(F.lit("Handle "), "event_type", F.lit(" events")).alias("description"),
-                      F.struct(F.struct(F.lit("string").alias("type")).alias("k")).alias("parameters"))
-    return G.tool_definitions(tools)
+    return event_tools(spark, sf)
 
 
 @register("calib_fixed_quota", """WITH c AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS rk
@@ -190,47 +213,63 @@ def _pick_sql(seed: str, slot: str, size: str) -> str:
     return f"(CAST(('0x' || substring(md5({seed} || ':{slot}'), 1, 8)) AS BIGINT) % ({size}))"
 
 
-USERS_VALUES = ", ".join(f"({i}, '{v}')" for i, v in enumerate(pools.CALIB_USER_LINES))
-ANA_VALUES = ", ".join(f"({i}, '{v}')" for i, v in enumerate(pools.CALIB_ANALYSIS_LINES))
-FIN_VALUES = ", ".join(f"({i}, '{q}', '{t}', '{k}', '{v}')" for i, (q, t, k, v) in enumerate(pools.CALIB_FINAL_REQUESTS))
 IMS, IME = "'<|im_start|>'", "'<|im_end|>'"
+CALIB_MAX = 512
+TOOLS_SQL = """SELECT count(*) AS n_tools, to_json(list(t ORDER BY t.name))::VARCHAR AS tools_json FROM (
+  SELECT DISTINCT {'name': event_type, 'description': 'Handle ' || event_type || ' events',
+   'parameters': {'k': {'type': 'string'}}} AS t FROM events) x"""
 
 
-CALIB_WITH = f"""WITH pool AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS idx,
+def _calib_with(max_len: int) -> str:
+    lo, hi = next((a, b) for floor, a, b in pools.EXCHANGE_RANGES if max_len >= floor)
+    kinds = "CASE WHEN item_id % 2 = 0 THEN 'snippet' END" if max_len < pools.EXCHANGE_RANGES[0][0] else "'snippet'"
+    draw = lambda name, size: _pick_sql(f"seed || ':{name}' || CAST(slot AS VARCHAR)", "x", size)
+    side = lambda k: f"SELECT idx AS {k}_idx, line AS {k}_line FROM lines WHERE kind = '{k}'"
+    return f"""WITH pool AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS idx,
     '{{"name": "read_file", "arguments": {{"path": "bench/' || CAST(item_id AS VARCHAR) || '.txt"}}}}' AS call, text AS result FROM benchmark),
-  pn AS (SELECT count(*) AS pn FROM pool),
+  lines AS (SELECT kind, line, row_number() OVER (PARTITION BY kind ORDER BY line) - 1 AS idx FROM (
+    SELECT 'user' AS kind, substring(text, 1, 80) AS line FROM benchmark UNION ALL
+    SELECT 'analysis', substring(text, 1, 60) FROM benchmark UNION ALL
+    SELECT {kinds}, text FROM benchmark) l WHERE kind IS NOT NULL),
+  fins AS (SELECT row_number() OVER (ORDER BY event_type) - 1 AS final_idx, 'Handle ' || event_type AS final_request,
+    event_type AS expected_tool FROM (SELECT DISTINCT event_type FROM events) e),
+  tools AS ({TOOLS_SQL}),
+  pn AS (SELECT (SELECT count(*) FROM pool) AS pn, (SELECT count(*) FROM fins) AS fn,
+    (SELECT count(*) FROM lines WHERE kind = 'user') AS un, (SELECT count(*) FROM lines WHERE kind = 'analysis') AS an,
+    (SELECT count(*) FROM lines WHERE kind = 'snippet') AS sn),
   s AS (SELECT conv_id AS sample, CAST(conv_id + 42 AS VARCHAR) AS seed FROM (SELECT DISTINCT conv_id FROM conversations) d),
-  s2 AS (SELECT sample, seed, pn, 3 + {_pick_sql('seed', 'n', '4')} AS num_exchanges, {_pick_sql('seed', 'final', '4')} AS final_idx FROM s, pn),
+  s2 AS (SELECT *, {lo} + {_pick_sql('seed', 'n', str(hi - lo + 1))} AS num_exchanges, {_pick_sql('seed', 'final', 'fn')} AS final_idx FROM s, pn),
   sl AS (SELECT *, unnest(generate_series(1, num_exchanges)) AS slot FROM s2),
-  sl2 AS (SELECT *, {_pick_sql("seed || ':ex' || CAST(slot AS VARCHAR)", 'x', 'pn')} AS ex_idx,
-      {_pick_sql("seed || ':sn' || CAST(slot AS VARCHAR)", 'x', 'pn')} AS snip_idx,
-      {_pick_sql("seed || ':us' || CAST(slot AS VARCHAR)", 'x', str(len(pools.CALIB_USER_LINES)))} AS user_idx,
-      {_pick_sql("seed || ':an' || CAST(slot AS VARCHAR)", 'x', str(len(pools.CALIB_ANALYSIS_LINES)))} AS ana_idx FROM sl),
-  users AS (SELECT * FROM (VALUES {USERS_VALUES}) v(user_idx, user_line)),
-  anas AS (SELECT * FROM (VALUES {ANA_VALUES}) v(ana_idx, analysis)),
-  fins AS (SELECT * FROM (VALUES {FIN_VALUES}) v(final_idx, final_request, expected_tool, arg_key, arg_value)),
-  j AS (SELECT sl2.sample, sl2.num_exchanges, sl2.final_idx, sl2.slot,
-      {IMS} || 'user' || {NL} || '{pools.CALIB_REQUEST_PREFIX}' || users.user_line || {IME} || {NL}
-      || {IMS} || 'assistant' || {NL} || '<tool_call>' || {NL} || ex.call || {NL} || '</tool_call>' || {IME} || {NL}
-      || {IMS} || 'user' || {NL} || '{pools.CALIB_RESULT_HEADER}' || {NL} || ex.result || {NL} || {NL} || '{pools.CALIB_SNIPPET_HEADER}' || {NL} || '```' || {NL}
-      || sn.result || {NL} || '```' || {IME} || {NL} || {IMS} || 'assistant' || {NL} || anas.analysis || {IME} || {NL} AS b
-    FROM sl2 JOIN pool ex ON ex.idx = sl2.ex_idx JOIN pool sn ON sn.idx = sl2.snip_idx
-      JOIN users USING (user_idx) JOIN anas USING (ana_idx)),
+  sl2 AS (SELECT *, {draw('ex', 'pn')} AS idx, {draw('sn', 'sn')} AS snippet_idx, {draw('us', 'un')} AS user_idx,
+      {draw('an', 'an')} AS analysis_idx FROM sl),
+  j AS (SELECT sample, num_exchanges, final_idx, slot,
+      {IMS} || 'user' || {NL} || user_line || {IME} || {NL}
+      || {IMS} || 'assistant' || {NL} || '<tool_call>' || {NL} || call || {NL} || '</tool_call>' || {IME} || {NL}
+      || {IMS} || 'user' || {NL} || result || {NL} || {NL} || '```' || {NL} || snippet_line || {NL} || '```' || {IME} || {NL}
+      || {IMS} || 'assistant' || {NL} || analysis_line || {IME} || {NL} AS b
+    FROM sl2 JOIN pool USING (idx) JOIN ({side('snippet')}) sn USING (snippet_idx)
+      JOIN ({side('user')}) us USING (user_idx) JOIN ({side('analysis')}) an USING (analysis_idx)),
   per AS (SELECT sample, num_exchanges, final_idx, string_agg(b, '' ORDER BY slot) AS blocks FROM j GROUP BY ALL),
-  t AS (SELECT per.sample, per.num_exchanges, fins.final_request, fins.expected_tool,
-      '{{"name":"' || fins.expected_tool || '","arguments":{{"' || fins.arg_key || '":"' || fins.arg_value || '"}}}}' AS etc,
-      blocks FROM per JOIN fins USING (final_idx)),
-  r AS (SELECT *, {IMS} || 'system' || {NL} || 'You are a coding assistant with tools.' || {IME} || {NL} || blocks
+  t AS (SELECT sample, num_exchanges, final_request, expected_tool,
+      '{{"name":"' || expected_tool || '","arguments":{{"k":"' || expected_tool || '"}}}}' AS etc, blocks, tools_json
+    FROM per JOIN fins USING (final_idx), tools),
+  r AS (SELECT *, {IMS} || 'system' || {NL} || '<tools>' || {NL} || tools_json || {NL} || '</tools>' || {IME} || {NL} || blocks
       || {IMS} || 'user' || {NL} || final_request || {IME} || {NL} || {IMS} || 'assistant' || {NL} || '<tool_call>' || {NL}
-      || etc || {NL} || '</tool_call>' AS text FROM t)
+      || etc || {NL} || '</tool_call>' AS text FROM t),
+  rt AS (SELECT *, {words_sql('text')} AS pre_len FROM r)
 """
 
 
-@register("calib_seeded_samples", CALIB_WITH + """  SELECT sample, CAST(num_exchanges AS INTEGER) AS num_exchanges, final_request, expected_tool, etc AS expected_tool_call,
-    CAST(length(text) AS BIGINT) AS char_len, md5(text) AS text_md5 FROM r""")
+CALIB_WITH = _calib_with(CALIB_MAX)
+
+
+@register("calib_seeded_samples", CALIB_WITH + f"""  SELECT sample, CAST(num_exchanges AS INTEGER) AS num_exchanges, final_request, expected_tool, etc AS expected_tool_call,
+    CAST(length(text) AS BIGINT) AS char_len, md5(text) AS text_md5, pre_len, least(pre_len, {CALIB_MAX}) AS token_len,
+    pre_len > {CALIB_MAX} AS truncated FROM rt""")
 def q_calib_seeded_samples(spark, sf):
-    return _seeded(spark, sf).select("sample", "num_exchanges", "final_request", "expected_tool", "expected_tool_call",
-                                     F.length("text").cast("long").alias("char_len"), F.md5("text").alias("text_md5"))
+    return seeded(spark, sf).select("sample", "num_exchanges", "final_request", "expected_tool", "expected_tool_call",
+                                    F.length("text").cast("long").alias("char_len"), F.md5("text").alias("text_md5"),
+                                    "pre_len", "token_len", "truncated")
 
 
 def exchanges_from_benchmark(spark, sf):
@@ -240,9 +279,19 @@ def exchanges_from_benchmark(spark, sf):
     return b.select(F.col("item_id").alias("exchange_id"), call.alias("call"), F.col("text").alias("result"))
 
 
-def _seeded(spark, sf):
+def event_tools(spark, sf):
+    ev = table(spark, sf, "events").select("event_type").distinct()
+    tools = ev.select(F.col("event_type").alias("name"),
+                      F.concat(F.lit("Handle "), "event_type", F.lit(" events")).alias("description"),
+                      F.struct(F.struct(F.lit("string").alias("type")).alias("k")).alias("parameters"))
+    return G.tool_definitions(tools)
+
+
+def seeded(spark, sf):
     samples = table(spark, sf, "conversations").select(F.col("conv_id").alias("sample"))
-    return C.seeded_samples(spark, samples, exchanges_from_benchmark(spark, sf), max_seq_len=4096)
+    system = event_tools(spark, sf).select(F.concat(F.lit("<tools>\n"), "tools_json", F.lit("\n</tools>")).alias("system_text"))
+    return C.seeded_samples(samples, exchanges_from_benchmark(spark, sf), fx.calibration_lines(spark, sf),
+                            fx.calibration_finals(spark, sf), system, max_seq_len=CALIB_MAX)
 
 
 @register("exchange_range_policy", """SELECT doc_id, CASE WHEN n_chars >= 4096 THEN 3 WHEN n_chars >= 2048 THEN 2 ELSE 1 END AS lo,

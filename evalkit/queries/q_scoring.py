@@ -8,7 +8,7 @@ from evalkit import fixtures as fx
 from evalkit.functions import text as T
 from evalkit.functions.scoring import score_status as status_col
 from evalkit.functions.scoring import score_tool_calls
-from evalkit.operators import chat, summaries
+from evalkit.operators import chat, packing, summaries
 from evalkit.queries import register
 from evalkit.queries.sqlfx import FX1, NL, SCORED, clean_sql, strip_sql, words_sql
 from evalkit.queries.util import rounded
@@ -185,26 +185,16 @@ def q_report_before_fence(spark, sf):
     return fx.fenced_texts(spark, sf).select("doc_id", T.report_before_fence("response").alias("report"))
 
 
-@register("code_syntax_flag")
-def q_code_syntax_flag(spark, sf):
-    from evalkit.functions.code import python_syntax
-    t = fx.fenced_texts(spark, sf).select("doc_id", T.code_block("response").alias("code"))
-    return (t.filter(F.col("code").isNotNull())
-            .withColumn("chk", python_syntax("code"))
-            .select("doc_id", "chk.ok", "chk.message"))
-
-
-@register("chat_request_json", """WITH m AS (SELECT conv_id, turn, role, text,
-    sum(length(text) // 4 + 4) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
-  FROM conversations)
-  SELECT conv_id, CAST(count(*) AS BIGINT) AS n_messages,
-    md5(json_object('model', 'local-model', 'messages', list(json_object('role', role, 'content', text) ORDER BY turn),
-                    'max_tokens', 256, 'temperature', 0.5)::VARCHAR) AS request_md5
-  FROM m WHERE coalesce(before, 0) < 2048 GROUP BY conv_id""")
+@register("chat_request_json", f"""WITH num AS (SELECT conv_id, turn, role, text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS msg_no, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+  p AS (SELECT conv_id, turn, (msg_no - 1) // {packing.CHUNK_MESSAGES} AS chunk,
+    CASE WHEN msg_no = 1 THEN '{{"model":"local-model","messages":[' ELSE ',' END
+    || json_object('role', role, 'content', text)::VARCHAR
+    || CASE WHEN msg_no = n THEN '],"max_tokens":256,"temperature":0.5}}' ELSE '' END AS piece FROM num)
+  SELECT conv_id, chunk, count(*) AS n_msgs, md5(string_agg(piece, '' ORDER BY turn)) AS request_md5 FROM p GROUP BY conv_id, chunk""")
 def q_chat_request(spark, sf):
-    req = chat.chat_requests(table(spark, sf, "conversations"), model="local-model",
-                             max_tokens=256, temperature=0.5, budget=2048)
-    return req.select("conv_id", "n_messages", F.md5("request").alias("request_md5"))
+    req = chat.chat_requests(table(spark, sf, "conversations"), model="local-model", max_tokens=256, temperature=0.5)
+    return req.select("conv_id", "chunk", "n_msgs", F.md5("request").alias("request_md5"))
 
 
 @register("chat_reply_parse", """WITH r AS (SELECT conv_id, turn,

@@ -1,4 +1,4 @@
-"""Queries for sources and sinks (S1-S3, S5-S10). Each writes to a fresh folder
+"""Queries for sources and sinks (S1-S3, S5-S9). Each writes to a fresh folder
 under the shared checkpoint folder and returns the lazy read-back."""
 
 from __future__ import annotations
@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from evalkit import fixtures as fx
 from evalkit.functions import tensors as TF
-from evalkit.functions import text as T
-from evalkit.operators import chat, packing
+from evalkit.operators import packing
 from evalkit.queries import register
 from evalkit.queries.q_catalog import FX7
-from evalkit.queries.q_generators import CALIB_WITH, _seeded
+from evalkit.queries.q_generators import CALIB_MAX, CALIB_WITH, RENDER_SQL, seeded
 from evalkit.queries.q_results import FX3, runs
 from evalkit.queries.q_scoring import scored
-from evalkit.queries.sqlfx import FX1, NL, SCORED, words_sql
+from evalkit.queries.sqlfx import FX1, SCORED
 from evalkit.session import scratch_path
 from evalkit.sources import results_io as IO
 from evalkit.sources.tables import table
@@ -55,50 +54,49 @@ def q_run_identity(spark, sf):
     return back.groupBy("model", "run_ts").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum"))
 
 
-@register("prompt_text_dump", f"""WITH p AS (SELECT conv_id, turn, role, text, coalesce(sum(length(text) // 4 + 4) OVER (
-    PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations),
-  k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS msg_no, count(*) OVER (PARTITION BY conv_id) AS n
-        FROM p WHERE before < 4096),
-  r AS (SELECT conv_id, string_agg('=== [' || role || '] (msg ' || CAST(msg_no AS VARCHAR) || '/' || CAST(n AS VARCHAR)
-        || ') ===' || {NL} || coalesce(text, '') || {NL} || {NL}, '' ORDER BY turn) AS rendered FROM k GROUP BY conv_id)
-  SELECT conv_id AS sample, CAST(length(rendered) AS BIGINT) AS n_chars, md5(rendered) AS text_md5 FROM r""")
+def sample_file(sample: str):
+    return F.format_string(SAMPLE_FILE, F.col(sample))
+
+
+@register("prompt_text_dump", f"""WITH {RENDER_SQL},
+  r AS (SELECT conv_id, string_agg(piece, '' ORDER BY turn) AS rendered FROM pieces GROUP BY conv_id)
+  SELECT printf('sample_%03d.txt', conv_id) AS file, CAST(length(rendered) AS BIGINT) AS n_chars, md5(rendered) AS text_md5 FROM r""")
 def q_prompt_text_dump(spark, sf):
-    packed = packing.pack_to_budget(table(spark, sf, "conversations"), 4096, tokens=chat.request_tokens("text"))
-    r = packing.render_messages(packed.drop("tokens", "tokens_before")).withColumnRenamed("conv_id", "sample")
+    r = packing.render_messages(table(spark, sf, "conversations")).withColumn("file", sample_file("conv_id"))
     path = scratch_path(spark, "prompts")
-    IO.write_text_per_key(r, path, "sample", "rendered")
-    back = IO.read_whole_files(spark, path)
-    return back.select(F.col("sample").cast("long").alias("sample"), F.length("value").cast("long").alias("n_chars"),
-                       F.md5("value").alias("text_md5"))
+    index = IO.write_named_files(r, path, "file", "rendered", order=["chunk"])
+    back = IO.read_whole_files(spark, path).select("file", F.md5("value").alias("text_md5"))
+    return index.select("file", "n_chars").join(back, "file")
 
 
 @register("prompt_manifest", CALIB_WITH + f"""
-  SELECT sample, printf('sample_%03d.txt', sample) AS file, {words_sql('text')} AS token_len,
+  SELECT sample, printf('sample_%03d.txt', sample) AS file, least(pre_len, {CALIB_MAX}) AS token_len,
     CAST(num_exchanges AS INTEGER) AS num_exchanges, final_request, expected_tool AS expected_name,
-    '{{"' || arg_key || '":"' || arg_value || '"}}' AS expected_args, CAST(length(text) AS BIGINT) AS char_len
-  FROM r JOIN fins USING (final_request, expected_tool)""")
+    '{{"k":"' || expected_tool || '"}}' AS expected_args, CAST(length(text) AS BIGINT) AS char_len, md5(text) AS file_md5
+  FROM rt""")
 def q_prompt_manifest(spark, sf):
-    s = _seeded(spark, sf)
-    m = s.select(F.col("sample").cast("long").alias("sample"),
-                 F.format_string(SAMPLE_FILE, F.col("sample")).alias("file"),
-                 T.word_count("text").cast("int").alias("token_len"), "num_exchanges", "final_request",
-                 F.from_json("expected_tool_call", "name string, arguments map<string,string>").alias("expected_tool_call"),
-                 F.length("text").cast("long").alias("char_len"))
-    path = scratch_path(spark, "manifest")
-    IO.write_manifest(m, path)
-    back = IO.read_manifest(spark, path)
-    return back.select("sample", "file", "token_len", "num_exchanges", "final_request",
-                       F.col("expected_tool_call.name").alias("expected_name"),
-                       F.to_json("expected_tool_call.arguments").alias("expected_args"), "char_len")
-
-
-@register("whole_file_scan", "SELECT page_id, CAST(length(html) AS BIGINT) AS n_chars, md5(html) AS html_md5 FROM pages")
+    s = seeded(spark, sf).withColumn("file", sample_file("sample"))
+    files, path = scratch_path(spark, "samples"), scratch_path(spark, "manifest")
+    IO.write_named_files(s, files, "file", "text")
+    IO.write_manifest(s.select(
+        F.col("sample").cast("long").alias("sample"), "file", "token_len", "num_exchanges", "final_request",
+        F.from_json("expected_tool_call", "name string, arguments map<string,string>").alias("expected_tool_call"),
+        F.length("text").cast("long").alias("char_len")), path)
+    back = IO.read_whole_files(spark, files).select("file", F.md5("value").alias("file_md5"))
+    return IO.read_manifest(spark, path).join(back, "file").select(
+        "sample", "file", "token_len", "num_exchanges", "final_request",
+        F.col("expected_tool_call.name").alias("expected_name"),
+        F.to_json("expected_tool_call.arguments").alias("expected_args"), "char_len", "file_md5")
+
+
+@register("whole_file_scan", """SELECT 'page-' || CAST(page_id AS VARCHAR) || '.html' AS file, CAST(length(html) AS BIGINT) AS n_chars,
+  md5(html) AS html_md5 FROM pages""")
 def q_whole_file_scan(spark, sf):
     path = scratch_path(spark, "pages")
-    IO.write_text_per_key(table(spark, sf, "pages"), path, "page_id", "html")
-    back = IO.read_whole_files(spark, path)
-    return back.select(F.col("page_id").cast("long").alias("page_id"), F.length("value").cast("long").alias("n_chars"),
-                       F.md5("value").alias("html_md5"))
+    named = table(spark, sf, "pages").withColumn("file", F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")))
+    index = IO.write_named_files(named, path, "file", "html").select("file")
+    back = index.join(IO.read_whole_files(spark, path), "file", "left").select("file", F.coalesce("value", F.lit("")).alias("value"))
+    return back.select("file", F.length("value").cast("long").alias("n_chars"), F.md5("value").alias("html_md5"))
 
 
 @register("tensor_catalog", f"""WITH {FX7} SELECT id, name, 'Const' AS type, element_type, shape, "offset", size,
@@ -122,8 +120,3 @@ def q_idempotent_write(spark, sf):
                                                   F.col("lang").alias("role"))
     IO.write_once(second, path)  # skipped: the output exists and force is off
     return spark.read.parquet(path)
-
-
-@register("artifact_sizes")
-def q_artifact_sizes(spark, sf):
-    return IO.artifact_sizes(spark, sf, "*.parquet")

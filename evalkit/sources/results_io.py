@@ -1,5 +1,4 @@
-"""Result files, prompt dumps, manifests, whole files, XML catalogs, sizes
-(S1-S3, S5-S10). Writers go to a folder the caller names (on a cluster, under
+"""Result files, prompt dumps, manifests, whole files, XML catalogs (S1-S3, S5-S9). Writers go to a folder the caller names (on a cluster, under
 the shared ``spark.checkpoint.dir``; see ``evalkit.session.scratch_path``)."""
 
 from __future__ import annotations
@@ -22,6 +21,30 @@ def write_results_json(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     df.write.mode(mode).json(path)
 
 
+def write_results_json_array(df: DataFrame, path: str) -> None:
+    """One JSON array of objects, as a single result file. The rows are written by one
+    task in their order, one at a time; use JSON lines for results of any size."""
+    shared, folder = shared_files(path)
+    shared.create_dir(folder.rpartition("/")[0], recursive=True)
+    opener = shared_files
+
+    def write(batches):
+        import pyarrow as pa
+        fs, place = opener(path)
+        n = 0
+        with fs.open_output_stream(place) as sink:
+            sink.write(b"[")
+            for batch in batches:
+                for row in batch.column(0).to_pylist():
+                    sink.write((b"," if n else b"") + b"\n" + row.encode("utf-8"))
+                    n += 1
+            sink.write(b"\n]\n")
+        yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
+
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "true"}).alias("row"))
+    rows.coalesce(1).mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+
+
 def read_results_json(spark: SparkSession, path: str, schema: str | StructType = RESULTS_SCHEMA,
                       multiline: bool = False) -> DataFrame:
     """Read result rows; ``multiline=True`` reads files holding one JSON
@@ -45,26 +68,63 @@ def read_results_csv(spark: SparkSession, path: str, schema: str | StructType) -
 
 
 def with_run_identity(df: DataFrame) -> DataFrame:
-    """S3: model and run timestamp from the file path (``_metadata``)."""
-    p = F.col("_metadata.file_path")
-    return (df.withColumn("model", F.regexp_extract(p, RUN_FILE, 1))
-            .withColumn("run_ts", F.to_timestamp_ntz(F.regexp_extract(p, RUN_FILE, 2), F.lit("yyyyMMdd_HHmmss"))))
-
-
-def write_text_per_key(df: DataFrame, path: str, key: str, text: str) -> None:
-    """One text file per key value (``key=<v>/part-*.txt``); rows are
-    hash-partitioned by key first so each value is written by one task."""
-    (df.select(key, text).repartition(key).write.mode("overwrite")
-     .partitionBy(key).text(path))
+    """S3: model and run timestamp from the last part of the file path that names a run:
+    the file name, or the run folder that holds Spark's part files."""
+    parts = F.transform(F.split(F.col("_metadata.file_path"), "/"), lambda x: F.url_decode(x))
+    run = F.element_at(F.filter(F.concat(F.array(F.lit("")), parts), lambda x: (x == "") | x.rlike(RUN_FILE)), -1)
+    return (df.withColumn("model", F.regexp_extract(run, RUN_FILE, 1))
+            .withColumn("run_ts", F.to_timestamp_ntz(F.regexp_extract(run, RUN_FILE, 2), F.lit("yyyyMMdd_HHmmss"))))
+
+
+def shared_files(uri: str):
+    """The file system and path of a folder that driver and executors share."""
+    from pyarrow import fs
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:"):]
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_named_files(df: DataFrame, path: str, file: str, text: str, order: Sequence[str] = ()) -> DataFrame:
+    """Text files of given names in one folder, and their index (file, n_chars,
+    n_parts), which is written beside them.
+
+    Rows of one file are put end to end in ``order``, so a long text may come in parts and
+    is never held whole. Files are dealt to tasks by name; a repeated task writes the same
+    bytes again. Null texts write nothing."""
+    shared, folder = shared_files(path)
+    shared.create_dir(folder, recursive=True)
+    opener = shared_files  # travels with the function below
+
+    def write(batches):
+        import pyarrow as pa
+        fs, base = opener(path)
+        name = sink = None
+        for batch in batches:
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for n, t in zip(names, texts):
+                if n != name:
+                    if sink is not None:
+                        sink.close()
+                    name, sink = n, fs.open_output_stream(f"{base}/{n}")
+                sink.write((t or "").encode("utf-8"))
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array([len(t or "") for t in texts], pa.int64())],
+                                  ["file", "n_chars"])
+        if sink is not None:
+            sink.close()
+
+    parts = df.select(F.col(file).alias("_file"), F.col(text).alias("_text"), *order).repartition("_file")
+    parts = parts.sortWithinPartitions("_file", *order).select("_file", "_text")
+    index = path.rstrip("/") + "-index"
+    (parts.mapInArrow(write, "file string, n_chars long").groupBy("file")
+     .agg(F.sum("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("n_parts")).write.mode("overwrite").parquet(index))
+    return df.sparkSession.read.parquet(index)
 
 
 def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file with its whole content (``value``); partition
-    folders become columns. The writer's final line break is removed."""
+    """One row per file: its name (``file``) and its whole content (``value``), to the
+    last byte. Spark's file listing leaves out files of zero bytes."""
     w = spark.read.text(path, wholetext=True)
-    v = F.col("value")
-    return w.withColumn("value", F.when(v.endswith("\n"), F.expr("substring(value, 1, length(value) - 1)"))
-                        .otherwise(v))
+    return w.select(F.url_decode(F.col("_metadata.file_name")).alias("file"), "value")
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
@@ -80,40 +140,34 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 CATALOG_XML_SCHEMA = ("_id string, _name string, _type string, _version string, "
-                      "data struct<_element_type: string, _shape: string, _offset: long, _size: long>")
+                      "data struct<_element_type: string, _shape: string, _offset: string, _size: string>")
+CONSTANT = "Const"
 
 
 def write_catalog_xml(cat: DataFrame, path: str) -> None:
     """S8 (writer for tests and fixtures): ``<layers><layer id name type
     version><data element_type shape offset size/></layer>...</layers>``."""
-    rows = cat.select(F.col("id").alias("_id"), F.col("name").alias("_name"), F.lit("Const").alias("_type"),
+    kind = F.col("type") if "type" in cat.columns else F.lit(CONSTANT)
+    rows = cat.select(F.col("id").alias("_id"), F.col("name").alias("_name"), kind.alias("_type"),
                       F.lit("opset1").alias("_version"),
                       F.struct(F.col("element_type").alias("_element_type"), F.col("shape").alias("_shape"),
-                               F.col("offset").alias("_offset"), F.col("size").alias("_size")).alias("data"))
+                               F.col("offset").cast("string").alias("_offset"), F.col("size").cast("string").alias("_size")).alias("data"))
     (rows.write.mode("overwrite").format("xml").option("rootTag", "layers").option("rowTag", "layer")
      .save(path))
 
 
 def read_catalog_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Constants of a model XML: id, name, type, element type, shape string,
-    offset, size (XML attributes)."""
+    """The constants of a model XML: id, name, type, element type, shape string,
+    offset, size (XML attributes). Layers of other types and constants without data (no
+    offset or size, or malformed ones) are left out."""
     x = spark.read.format("xml").option("rowTag", "layer").schema(CATALOG_XML_SCHEMA).load(path)
-    return x.select(F.col("_id").alias("id"), F.col("_name").alias("name"), F.col("_type").alias("type"),
+    rows = x.select(F.col("_id").alias("id"), F.col("_name").alias("name"), F.col("_type").alias("type"),
                     F.col("data._element_type").alias("element_type"), F.col("data._shape").alias("shape"),
-                    F.col("data._offset").alias("offset"), F.col("data._size").alias("size"))
+                    F.col("data._offset").try_cast("long").alias("offset"),
+                    F.col("data._size").try_cast("long").alias("size"))
+    return rows.filter((F.col("type") == CONSTANT) & F.col("offset").isNotNull() & F.col("size").isNotNull())
 
 
 def write_once(df: DataFrame, path: str, fmt: str = "parquet", force: bool = False) -> None:
     """Skip when the output exists unless forced (``ignore`` / ``overwrite``)."""
     df.write.mode("overwrite" if force else "ignore").format(fmt).save(path)
-
-
-def artifact_sizes(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """File count and total size of a folder tree (GiB too). Only ``length``
-    is selected, so file contents are never read."""
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if pattern:
-        r = r.option("pathGlobFilter", pattern)
-    files = r.load(path).select("length")
-    return files.agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").cast("long").alias("total_bytes"),
-                     (F.sum("length") / F.lit(1024.0 ** 3)).alias("gib"))

@@ -1,50 +1,57 @@
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
 from evalkit import pools
 from evalkit.operators import prompts as G
-from tests import pyref
+
+
+def _cycle(spark):
+    return spark.createDataFrame(
+        [(i, tool, "u" * u, "c" * c, "r" * r) for i, ((u, c, r), tool) in
+         enumerate(zip(pools.AGENTIC_CYCLE_LENGTHS, pools.AGENTIC_CYCLE_TOOLS))],
+        "step int, tool string, user_text string, call_text string, result_text string")
 
 
 def test_agentic_history_golden_counts(spark):
     budgets = [max(0, c - pools.HARD_RESERVE) for c in (4096, 8192, 16384, 24576, 32768, 49152, 65536)]
-    df = spark.createDataFrame([(b,) for b in budgets], "budget int")
-    h = G.agentic_history(spark, df)
-    got = {r.budget: (r.n, r.reads) for r in h.groupBy("budget").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("tool") == "read_file").alias("reads")).collect()}
+    h = G.agentic_history(spark.createDataFrame([(b,) for b in [0, *budgets]], "budget int"), _cycle(spark))
+    got = {r.budget: (r.n, r.reads, r.tokens, r.least) for r in h.groupBy("budget").agg(
+        F.count_if(F.col("slot") == 0).alias("n"),
+        F.count_if((F.col("tool") == "read_file") & (F.col("slot") == 0)).alias("reads"), F.sum("tokens").alias("tokens"),
+        F.min(F.length("content")).alias("least")).collect()}
+    assert 0 not in got
     assert [got[b][0] for b in budgets] == [17, 41, 90, 141, 190, 289, 389]
     assert [got[b][1] for b in budgets] == [9, 21, 45, 70, 95, 144, 195]
-    cycle = [(u, a, r, t) for (u, a, r), t in zip(pools.AGENTIC_CYCLE_LENGTHS, pools.AGENTIC_CYCLE_TOOLS)]
-    assert [pyref.agentic_counts(b, cycle) for b in budgets] == [got[b] for b in budgets]
+    assert all(got[b][2] >= b and got[b][3] == len("Step 6: ") + 23 for b in budgets)
+    first = h.filter("budget = 2546 and interaction = 1").orderBy("slot").collect()
+    assert [(r.role, r.content[:8]) for r in first] == [("user", "Step 1: "), ("assistant", "c" * 8), ("user", "r" * 8)]
+
 
+def _question(n):
+    return F.concat(F.lit("q" * pools.HISTORY_QUESTION_CHARS), n.cast("string"))
 
-def test_padded_history_matches_loop(spark):
-    budgets = [0, 1, 50, 199, 200, 201, 3246, 7342, 31918]
-    df = spark.createDataFrame([(b,) for b in budgets], "budget int")
-    h = G.padded_history(df)
+
+def test_padded_history_golden_turns(spark):
+    contexts = (4096, 8192, 16384, 24576, 32768)
+    budgets = [c - pools.EASY_RESERVE for c in contexts]
+    df = spark.createDataFrame([(b,) for b in [0, 1, *budgets]], "budget int")
+    h = G.padded_history(df, _question, F.lit("para"))
     got = {r.budget: (r.turns, r.tokens) for r in h.groupBy("budget").agg(
         F.count_if(F.col("role") == "user").alias("turns"), F.sum("tokens").alias("tokens")).collect()}
-    q = lambda t: G.HISTORY_QUESTION.format(t=t)
-    for b in budgets:
-        assert got.get(b, (0, 0)) == pyref.padded_turns(b, q), b
-
-
-def test_needle_position_matches_rfind(spark):
-    rng = random.Random(7)
-    alphabet = ["a", "b", "\n", "é", "😀", " "]
-    rows = []
-    for i in range(200):
-        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
-        for d in (0.0, 0.25, 0.5, 0.75, 1.0):
-            rows.append((i, t, d))
-    rows.append((999, "no separator here", 0.5))
-    df = spark.createDataFrame(rows, "i int, t string, d double")
-    for sep in ("\n", "\n\n"):
-        got = df.select("i", "t", "d", G.insert_position("t", "d", sep).alias("p")).collect()
-        for r in got:
-            assert r.p == pyref.needle_position(r.t, r.d, sep), (r.t, r.d, sep)
+    assert 0 not in got and [got[b][0] for b in budgets] == [15, 33, 69, 105, 141]
+    assert all(b <= got[b][1] < b + 30 for b in [1, *budgets])  # only the last question goes beyond
+    rows = h.filter("budget = 1").orderBy("slot").collect()
+    assert [(r.role, r.content) for r in rows] == [("user", "q" * pools.HISTORY_QUESTION_CHARS + "1"), ("assistant", "para")]
+
+
+@pytest.mark.parametrize("text, depth, sep, at", [
+    ("aa\nbb\ncc", 0.0, "\n", 0), ("aa\nbb\ncc", 0.25, "\n", 2), ("aa\nbb\ncc", 0.75, "\n", 5),
+    ("aa\nbb\ncc", 1.0, "\n", 5), ("aa\n\nbb\ncc", 1.0, "\n\n", 2), ("abcdef", 0.5, "\n", 3), ("", 0.5, "\n", 0),
+    ("é😀\né😀\n", 1.0, "\n", 5), ("é😀\né😀\n", 0.5, "\n", 2), ("\n\n\n", 1.0, "\n", 2), ("\nabc", 0.25, "\n", 0),
+])
+def test_needle_position(spark, text, depth, sep, at):
+    df = spark.createDataFrame([(text, depth)], "t string, d double")
+    assert df.select(G.insert_position("t", "d", sep)).first()[0] == at
 
 
 def test_needle_removed_gives_text_back(spark):
@@ -56,13 +63,9 @@ def test_needle_removed_gives_text_back(spark):
 
 
 def test_filler_text(spark):
-    df = spark.createDataFrame([(n,) for n in (0, 1, 10, 1000)], "n int")
-    got = df.select("n", G.filler_text(F.lit("para"), F.col("n")).alias("f")).collect()
-    for r in got:
-        want = ""
-        while len(want) < r.n:
-            want += "para\n\n"
-        assert r.f == want[:r.n]
+    df = spark.createDataFrame([(n,) for n in (0, 1, 10, 14)], "n int").orderBy("n")
+    got = [r.f for r in df.select(G.filler_text(F.lit("para"), F.col("n")).alias("f")).collect()]
+    assert got == ["", "p", "para\n\npara", "para\n\npara\n\npa"]
 
 
 def test_passkey_is_six_digits(spark):
@@ -84,16 +87,33 @@ def test_fixed_quota_undershoots(spark):
     assert [(r.sample, r.k, r.rep) for r in got] == [(0, 0, 1), (1, 0, 2), (2, 1, 1), (3, 1, 2), (4, 2, 1), (5, 2, 2)]
 
 
-def test_prompt_messages_long_form(spark):
+def test_prompt_messages(spark):
     cells = spark.createDataFrame([(1, 400, "Read it."), (2, 0, "Run it.")], "cell int, budget int, instruction string")
-    hist = G.padded_history(cells.select("budget"))
-    msgs = G.prompt_messages(cells, hist, "SYS")
-    got = {r.cell: (r.n, r.chars) for r in msgs.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")).collect()}
-    q = lambda t: G.HISTORY_QUESTION.format(t=t)
-    turns, _ = pyref.padded_turns(400, q)
-    assert got[2] == (2, 3 + len("Run it. /no_think"))
-    assert got[1][0] == 2 + 2 * turns
+    hist = G.padded_history(cells.select("budget"), _question, F.lit("para"))
+    rows = G.prompt_messages(cells, hist, "SYS").orderBy("cell", "part", "turn", "slot").collect()
+    assert [(r.role, r.content) for r in rows if r.cell == 2] == [("system", "SYS"), ("user", "Run it. /no_think")]
+    one = [r for r in rows if r.cell == 1]
+    assert [r.role for r in one] == ["system", "user", "assistant", "user", "assistant", "user"]
+    assert one[2].content.startswith("para\n\npara") and len(one[2].content) == 800
+
+
+def test_seeded_samples_follow_the_length_policy(spark):
+    from evalkit.operators.calibration import seeded_samples
+    exchanges = spark.createDataFrame([(i, f"call{i}", f"result{i}") for i in range(5)], "exchange_id int, call string, result string")
+    lines = spark.createDataFrame([("user", "U1"), ("user", "U2"), ("analysis", "A1"), ("snippet", "SHORT"), ("long", "LONG")],
+                                  "kind string, line string")
+    finals = spark.createDataFrame([("Do x", "x", "k", "v")], "final_request string, expected_tool string, arg_key string, arg_value string")
+    system = spark.createDataFrame([("SYS",)], "system_text string")
+    samples = spark.range(40).withColumnRenamed("id", "sample")
+    for limit, lo, hi, long in ((4096, 3, 6, True), (2048, 2, 4, False), (16, 1, 2, False)):
+        rows = seeded_samples(samples, exchanges, lines, finals, system, limit).collect()
+        assert len(rows) == 40 and {r.num_exchanges for r in rows} == set(range(lo, hi + 1))
+        assert any("LONG" in r.text for r in rows) == long
+        for r in rows:
+            assert r.text.startswith("<|im_start|>system\nSYS<|im_end|>\n")
+            assert r.text.endswith('<tool_call>\n{"name":"x","arguments":{"k":"v"}}\n</tool_call>')
+            assert r.text.count("<tool_call>") == r.num_exchanges + 1
+            assert r.token_len == min(limit, r.pre_len) == len(r.input_ids) and r.truncated == (r.pre_len > limit)
 
 
 def _char_codes(text):

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from evalkit.operators import packing
@@ -17,74 +18,87 @@ def test_pack_edges(spark):
     assert sorted((r.conv_id, r.turn) for r in packing.pack_to_budget(df, 101).collect()) == [(1, 0), (2, 0), (2, 1)]
 
 
-def _simulate(inputs):
-    out, session, turn = [], 1, 0
-    for t, text in inputs:
-        s = text.strip()
-        if not s:
-            continue
-        if s.lower() in ("quit", "exit"):
-            break
-        if s.lower() == "reset":
-            session, turn = session + 1, 0
-            continue
-        turn += 1
-        out.append((t, session, turn))
-    return out
-
-
-def test_session_turns_match_loop(spark):
-    texts = ["hi", "", "reset", "a", "b", "  RESET ", "c", "exit", "after"]
-    df = _conv(spark, [(5, i, "user", t) for i, t in enumerate(texts)])
+@pytest.mark.parametrize("inputs, turns", [
+    # (turn, session, turn in session) of the inputs that count
+    (["hi", "", "reset", "a", "b", "  RESET ", "c", "exit", "after"], [(0, 1, 1), (3, 2, 1), (4, 2, 2), (6, 3, 1)]),
+    (["reset", "reset", "x"], [(2, 3, 1)]),
+    (["quit", "x"], []),
+    ([" ", "a", "", "b", "QUIT"], [(1, 1, 1), (3, 1, 2)]),
+    (["a", "b", "reset"], [(0, 1, 1), (1, 1, 2)]),
+    (["exit now", "resetting", "b"], [(0, 1, 1), (1, 1, 2), (2, 1, 3)]),
+])
+def test_session_turns(spark, inputs, turns):
+    df = _conv(spark, [(5, i, "user", t) for i, t in enumerate(inputs)])
     got = [(r.turn, r.session, r.session_turn) for r in packing.session_turns(df).orderBy("turn").collect()]
-    assert got == _simulate(list(enumerate(texts)))
+    assert got == turns
 
 
 def test_numbering_and_render(spark):
     df = _conv(spark, [(1, 0, "system", "S"), (1, 1, "user", "U")])
     r = packing.render_messages(df).first()
     assert r.rendered == "=== [system] (msg 1/2) ===\nS\n\n=== [user] (msg 2/2) ===\nU\n\n"
+    c = packing.render_messages(df, template="chatml").first()
+    assert c.rendered == "<|im_start|>system\nS<|im_end|>\n<|im_start|>user\nU<|im_end|>\n<|im_start|>assistant\n"
     ht = packing.head_tail_messages(df).select("msg_no", "n_msgs").orderBy("msg_no").collect()
     assert [(x.msg_no, x.n_msgs) for x in ht] == [(1, 2), (2, 2)]
     assert packing.prompt_cell_stats(df, ["conv_id"]).select(F.col("total_chars")).first()[0] == 2
 
 
+def test_long_conversations_are_kept_whole_in_chunks(spark, tmp_path):
+    """A conversation of over 10,000 tokens: render, dump and request hold every message."""
+    import json
+
+    from evalkit.operators import chat
+    from evalkit.sources import results_io as IO
+    n, body = 700, "word " * 20
+    df = _conv(spark, [(7, i, "user" if i % 2 else "assistant", f"{i} {body}") for i in range(n)] + [(8, 0, "user", None)])
+    assert n * len(body) // 4 > 10_000
+    chunks = sorted(packing.render_messages(df).collect(), key=lambda r: (r.conv_id, r.chunk))
+    assert [(r.conv_id, r.chunk, r.n_msgs) for r in chunks] == [(7, 0, 256), (7, 1, 256), (7, 2, 188), (8, 0, 1)]
+    whole = "".join(r.rendered for r in chunks if r.conv_id == 7)
+    assert all(f"(msg {i + 1}/{n}) ===\n{i} {body}\n\n" in whole for i in range(n))
+    named = packing.render_messages(df).withColumn("file", F.format_string("sample_%03d.txt", "conv_id"))
+    index = IO.write_named_files(named, f"file://{tmp_path}/dump", "file", "rendered", order=["chunk"])
+    assert (tmp_path / "dump" / "sample_007.txt").read_text() == whole
+    assert {r.file: (r.n_chars, r.n_parts) for r in index.collect()}["sample_007.txt"] == (len(whole), 3)
+    parts = sorted(chat.chat_requests(df, "m", 16, 0.5).filter("conv_id = 7").collect(), key=lambda r: r.chunk)
+    request = json.loads("".join(r.request for r in parts))
+    assert [m["content"] for m in request["messages"]] == [f"{i} {body}" for i in range(n)]
+    assert (request["model"], request["max_tokens"], request["temperature"]) == ("m", 16, 0.5)
+
+
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
 convs = st.lists(st.lists(st.text(alphabet="ab \n", max_size=30), min_size=0, max_size=12), min_size=1, max_size=6)
 
 
-def _pack_loop(texts, budget):
-    kept, before = [], 0
-    for t, text in enumerate(texts):
-        if before >= budget:
-            break
-        kept.append(t)
-        before += len(text) // 4
-    return kept
-
-
-@settings(max_examples=20, deadline=None)
+@settings(max_examples=15, deadline=None)
 @given(convs, st.integers(min_value=0, max_value=20))
-def test_packing_keeps_the_loop_prefix(spark, conversations, budget):
+def test_packing_keeps_the_shortest_prefix_that_reaches_the_budget(spark, conversations, budget):
     rows = [(c, t, "user", text) for c, texts in enumerate(conversations) for t, text in enumerate(texts)]
     if not rows:
         return
-    df = _conv(spark, rows)
     got = {}
-    for r in packing.pack_to_budget(df, budget).collect():
+    for r in packing.pack_to_budget(_conv(spark, rows), budget).collect():
         got.setdefault(r.conv_id, []).append(r.turn)
     for c, texts in enumerate(conversations):
-        assert sorted(got.get(c, [])) == _pack_loop(texts, budget)
+        kept = sorted(got.get(c, []))
+        cost = [len(t) // 4 for t in texts]
+        assert kept == list(range(len(kept)))  # a prefix
+        assert not kept or sum(cost[:len(kept) - 1]) < budget  # its last message began below the budget
+        assert len(kept) == len(texts) or sum(cost[:len(kept)]) >= budget  # and nothing more fits
 
 
 words = st.sampled_from(["hi", "", " ", "reset", "RESET", "quit", "exit", "x y"])
 
 
-@settings(max_examples=20, deadline=None)
+@settings(max_examples=10, deadline=None)
 @given(st.lists(words, min_size=1, max_size=15))
-def test_sessions_match_loop(spark, texts):
+def test_properties_of_sessions(spark, texts):
     df = _conv(spark, [(9, i, "user", t) for i, t in enumerate(texts)])
     got = [(r.turn, r.session, r.session_turn) for r in packing.session_turns(df).orderBy("turn").collect()]
-    assert got == _simulate(list(enumerate(texts)))
+    for (t, session, turn), (t2, session2, turn2) in zip(got, got[1:]):
+        assert t < t2 and (turn2 == turn + 1 if session2 == session else session2 > session and turn2 == 1)
+    assert all(texts[t] in ("hi", "x y") for t, _, _ in got) and (not got or got[0][2] == 1)
+    assert all(s == 1 + sum(x.lower() == "reset" for x in texts[:t]) for t, s, _ in got)

@@ -2,6 +2,8 @@ import random
 import statistics
 
 import pandas as pd
+import pytest
+from pyspark.sql.functions import lit as F_lit
 
 from evalkit.operators import catalog as K
 from evalkit.plans.ordering import exact_median, global_index, running_sum
@@ -16,6 +18,70 @@ def test_global_index_is_a_total_order(spark):
     assert {r.i: r.gidx for r in got} == want
 
 
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_global_index_beyond_the_range_sample(spark, reuse):
+    """More rows than range partitioning samples, five distinct order values and a column
+    that is not part of the order; with and without exchange reuse and adaptive plans."""
+    from pyspark.sql import functions as F
+    n = 400_000
+    df = spark.range(n).select("id", (F.col("id") % 5).alias("v"), F.lit("x").alias("extra"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled",)}
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    spark.conf.set("spark.sql.adaptive.enabled", reuse)
+    try:
+        got = global_index(df, ["v"], num_partitions=16)
+        r = got.agg(F.countDistinct("gidx").alias("d"), F.min("gidx").alias("lo"), F.max("gidx").alias("hi"),
+                    F.count_if(F.floor(F.col("gidx") / (n // 5)) != F.col("v")).alias("wrong"),
+                    F.countDistinct("id").alias("ids")).first()
+        assert (r.d, r.lo, r.hi, r.wrong, r.ids) == (n, 0, n - 1, 0, n)
+        # equal values are spread over the partitions
+        most = got.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+        assert most < n / 8
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_medians_do_not_depend_on_exchange_reuse(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(400_001).select((F.col("id") % 3).alias("g"), (F.col("id") / 400_000).alias("x"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r.g: r.median for r in exact_median(df, ["g"], "x").collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    want = {g: statistics.median([i / 400_000 for i in range(g, 400_001, 3)]) for g in range(3)}
+    assert all(abs(got[g] - want[g]) < 1e-12 for g in want)
+
+
+def test_layout_starts_after_constants_of_any_type(spark):
+    rows = [("m", i, c, f"layers.{i}.mlp.gate.weight{s}", t, "4, 4, 4", o, None)
+            for i in range(2) for c, s, t, o in (("weight", "", "u4", i * 96), ("scale", "/scale", "f16", i * 96 + 32),
+                                                 ("zero_point", "/zero_point", "u4", i * 96 + 64))]
+    rows.append(("m", -1, "other", "shape_of", "i64", "1000", 200, 8000))
+    cat = spark.createDataFrame([(str(n), *r) for n, r in enumerate(rows)], "id string, model string, layer int, "
+                                "component string, name string, element_type string, shape string, offset long, size long")
+    assert K.append_layout(cat).agg({"new_offset": "min"}).first()[0] == 8200
+    strange = cat.withColumn("element_type", F_lit("mystery")).withColumn("size", F_lit(None).cast("long"))
+    with pytest.raises(Exception, match="unknown element type"):
+        K.append_layout(strange).collect()
+
+
+def test_first_metadata_takes_one_batch_that_has_any(spark):
+    meta = spark.createDataFrame([(0, None, None), (2, "c", "z"), (1, "b", None)], "batch int, a string, z string")
+    assert tuple(K.first_metadata(meta).first()) == ("b", None)
+
+
+def test_shared_prefixes_do_not_multiply_rows(spark):
+    names = [f"self.model.layers.{i}.gate" for i in range(300)] + ["t"]
+    files = [n + ".safetensors" for n in names[:200]] + [n + "_x" for n in names[200:300]]
+    t = spark.createDataFrame([(0, n) for n in names], "batch int, saved_name string")
+    f = spark.createDataFrame([(0, x) for x in files], "batch int, file string")
+    got = {r.saved_name: r.match for r in K.mapping_file_lookup(t, f).collect()}
+    assert [got[n] for n in names] == ["safetensors"] * 200 + ["prefix"] * 100 + ["missing"]
+
+
 def test_running_sum_across_buckets(spark):
     rng = random.Random(2)
     rows = [(k, t, rng.randint(0, 9)) for k in range(5) for t in range(rng.randint(0, 60))]

@@ -2,8 +2,6 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from evalkit.sources import results_io as IO
 
 
@@ -30,30 +28,54 @@ def test_json_array_files_and_run_identity(spark):
     assert got == [("INT4", "2026-03-28 10:51:17", "000123"), ("INT4", "2026-04-02 13:55:00", "000123")]
 
 
-def test_write_once_and_sizes(spark):
+def test_run_identity_from_run_folders_below_other_names(spark):
+    d = tempfile.mkdtemp(prefix="evalkit-json-") + "/benchmark_runs"
+    spark.createDataFrame([("niah",)], "test string").write.json(d + "/benchmark_My Model_20260101_000000")
+    r = IO.with_run_identity(spark.read.schema("test string").json(d + "/*")).first()
+    assert (r.model, str(r.run_ts)) == ("My Model", "2026-01-01 00:00:00")
+
+
+def test_results_as_one_json_array(spark):
+    d = tempfile.mkdtemp(prefix="evalkit-array-")
+    df = spark.createDataFrame([(1, "é \"x\"", None), (2, "y", 0.5)], "context_length int, answer string, depth double")
+    IO.write_results_json_array(df, f"file://{d}/out.json")
+    with open(d + "/out.json", encoding="utf-8") as f:
+        assert json.load(f) == [{"context_length": 1, "answer": "é \"x\""}, {"context_length": 2, "answer": "y", "depth": 0.5}]
+    back = IO.read_results_json(spark, d + "/out.json", "context_length int, answer string, depth double", multiline=True)
+    assert sorted(map(tuple, back.collect())) == [(1, "é \"x\"", None), (2, "y", 0.5)]
+
+
+def test_write_once(spark):
     d = tempfile.mkdtemp(prefix="evalkit-once-") + "/t"
     IO.write_once(spark.range(3), d)
     IO.write_once(spark.range(10), d)
     assert spark.read.parquet(d).count() == 3
     IO.write_once(spark.range(10), d, force=True)
     assert spark.read.parquet(d).count() == 10
-    s = IO.artifact_sizes(spark, d).first()
-    assert s.n_files >= 1 and s.total_bytes > 0
 
 
-def test_whole_files_and_xml(spark):
+def test_named_and_whole_files(spark):
     d = tempfile.mkdtemp(prefix="evalkit-files-")
-    df = spark.createDataFrame([(1, "a\nb"), (2, "")], "k long, v string")
-    IO.write_text_per_key(df, d + "/w", "k", "v")
-    got = sorted((int(r.k), r.value) for r in IO.read_whole_files(spark, d + "/w").collect())
-    assert got == [(1, "a\nb"), (2, "")]
-    cat = spark.createDataFrame([("7", "m.layers.3.mlp.gate.weight", "uint4", "128, 16, 128", 64, 131072)],
-                                "id string, name string, element_type string, shape string, offset long, size long")
+    df = spark.createDataFrame([("a 1.txt", 1, "a\nb"), ("a 1.txt", 0, "x=1\n"), ("b.txt", 0, ""), ("c.txt", 0, "end\n")],
+                               "name string, part int, v string")
+    index = IO.write_named_files(df, f"file://{d}/w", "name", "v", order=["part"])
+    assert sorted(map(tuple, index.collect())) == [("a 1.txt", 7, 2), ("b.txt", 0, 1), ("c.txt", 4, 1)]
+    got = sorted((r.file, r.value) for r in IO.read_whole_files(spark, d + "/w").collect())
+    # every byte is kept, the last line break too
+    assert got == [("a 1.txt", "x=1\na\nb"), ("c.txt", "end\n")]  # a file of zero bytes has no row
+
+
+def test_catalog_xml_keeps_constants_with_data(spark):
+    d = tempfile.mkdtemp(prefix="evalkit-xml-")
+    rows = [("7", "m.layers.3.mlp.gate.weight", "Const", "u4", "128, 16, 128", 64, 131072),
+            ("8", "relu", "ReLU", None, None, None, None), ("9", "no data", "Const", "f16", "1", None, None)]
+    cat = spark.createDataFrame(rows, "id string, name string, type string, element_type string, shape string, "
+                                      "offset long, size long")
     IO.write_catalog_xml(cat, d + "/x")
-    r = IO.read_catalog_xml(spark, d + "/x").first()
-    assert (r.id, r.name, r.type, r.element_type, r.shape, r.offset, r.size) == \
-        ("7", "m.layers.3.mlp.gate.weight", "Const", "uint4", "128, 16, 128", 64, 131072)
-    assert F is not None
+    assert [tuple(r) for r in IO.read_catalog_xml(spark, d + "/x").collect()] == [rows[0]]
+    with open(d + "/bad.xml", "w") as f:
+        f.write('<layers><layer id="1" name="n" type="Const"><data element_type="u4" shape="2" offset="x" size="1"/></layer></layers>')
+    assert IO.read_catalog_xml(spark, d + "/bad.xml").count() == 0
 
 
 def test_schemas_parse(spark):

@@ -47,3 +47,30 @@ def test_batch_metadata_and_dropped_targets(spark):
     assert [r.saved_name for r in K.dropped_targets(t, keys).orderBy("saved_name").collect()] == ["t1", "t3"]
     kd = K.target_keep_drop(t, keys).first()
     assert (kd.batch, kd.kept, kd.removed) == (0, 1, 2)
+
+
+def test_rows_of_failed_runs_count_in_summaries_and_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from evalkit.operators import summaries as S
+    from evalkit.sources import results_io as IO
+    bad = spark.createDataFrame([(4096, 0.5, "000123", "x" * 300)], "context_length int, depth double, passkey string, message string")
+    good = spark.createDataFrame([(4096, 0.25, "000123", "000123")], "context_length int, depth double, passkey string, raw_answer string")
+    niah = S.suite_union(S.score_niah(good).withColumn("test", F.lit("niah")), S.failed_niah(bad))
+    assert S.niah_accuracy(niah).first().accuracy_pct == 50.0
+    row = niah.filter("answer = 'ERROR'").first()
+    assert (row.correct, row.elapsed, row.output_tokens, row.error) == (False, 0.0, 0, "x" * 200)
+    cells = spark.createDataFrame([("tool_call", 4096, "read_file", "Read.", "boom")],
+                                  "test string, context_length int, expected_tool string, instruction string, message string")
+    ok = spark.createDataFrame([("tool_call", 4096, '{"name": "read_file", "arguments": {"path": "a"}}', "read_file", "path", "a")],
+                               "test string, context_length int, answer string, expected_tool string, expected_arg_key string, "
+                               "expected_arg_contains string")
+    scored = S.suite_union(S.score_responses(ok), S.failed_tool_calls(cells))
+    a3 = S.tool_call_summary(scored).first()
+    assert (a3.n, a3.avg_score, a3.perfect, a3.has_tags) == (2, 2.5, 1, 1)
+    both = S.suite_union(niah, scored.select("test", "context_length", "expected_tool", "score", "error"))
+    IO.write_results_json(both, f"{tmp_path}/out")
+    back = IO.read_results_json(spark, f"{tmp_path}/out", "test string, error string, score int")
+    assert sorted(r.error for r in back.filter("error is not null").collect()) == ["boom", "x" * 200]
+    IO.write_results_csv(both, f"{tmp_path}/csv", first_columns=["test", "context_length", "answer", "correct"])
+    assert IO.read_results_csv(spark, f"{tmp_path}/csv", "test string, context_length int, answer string, correct boolean").count() == 4
