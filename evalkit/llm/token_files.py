@@ -35,11 +35,18 @@ from evalkit.session import scratch_path
 SEQUENCE, ROWS = 1024, 256
 #: Pieces whose ids a worker keeps, and the longest (characters) that it keeps.
 KEPT, KEPT_CHARS = 300_000, 48
+#: Words encoded together.
+TOGETHER = 64
 INDEX = "doc_id long, shard int, file string, start long, n_tokens long"
 
 
 class Encoder:
-    """Ids of texts, as the bytes of little-endian unsigned integers."""
+    """Ids of texts, as the bytes of little-endian unsigned integers.
+
+    What the tokenizer treats alike is probed once: whether a space or a line feed parts
+    its input, whether case matters, whether a stop or comma after a letter stands alone,
+    and whether a token's suffix marks the end of a word (then words are encoded together
+    and their ids told apart)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,26 +54,77 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_type(self.tokenizer.get_vocab_size())
         self.known: dict[str, bytes] = {}
+        one = lambda t: self._ids([t])[0]
         probes = ["a b", "a\nb", "a  b", " a", "a ", "\n", "Ab, c.\n\nd's 12 e"]
-        self.by_piece = all(self._ids([p])[0] == b"".join(self._ids(p.replace("\n", " ").split(" "))) for p in probes)
+        self.by_piece = all(one(p) == b"".join(self._ids(p.replace("\n", " ").split(" "))) for p in probes)
+        self.any_case = all(one(w) == one(w.lower()) for w in ("Abc", "THE", "iPhone"))
+        self.stops = {c: one(c) for c in ".," if all(one(w + c) == one(w) + one(c) for w in ("a", "the", "Xyz"))}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if self.by_piece and suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        plain = "abc the zyzzyva".split()
+        self.plain = all(self._model(w) == one(w) for w in plain) if self.any_case else False
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes()
                 for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _model(self, word: str) -> bytes:
+        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], self.kind).tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, encoded together."""
+        out: list[bytes] = []
+        for i in range(0, len(words), TOGETHER):
+            part = words[i:i + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or len(ids) != (cuts[-1] if len(cuts) else 0):
+                out += self._ids(part)
+            else:
+                out += [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+        return out
+
+    def _core(self, piece: str) -> tuple[str, bytes]:
+        """What of a piece has to be encoded, and the ids of a stop or comma that ends it."""
+        tail = b""
+        if len(piece) > 1 and piece[-1] in self.stops and piece[-2].isascii() and piece[-2].isalpha():
+            piece, tail = piece[:-1], self.stops[piece[-1]]
+        if self.any_case and piece.isascii() and piece.isalpha():
+            piece = piece.lower()
+        return piece, tail
+
+    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        cores = {p: self._core(p) for p in pieces}
+        need = {c for c, _ in cores.values()}
+        got = {c: self.known[c] for c in need if c in self.known}
+        words, rest = [], []
+        for c in need - got.keys():
+            if self.plain and c.isascii() and c.isalpha() and len(c) <= KEPT_CHARS:
+                got[c] = self._model(c)
+            elif self.ends is not None and c.isalpha():
+                words.append(c)
+            else:
+                rest.append(c)
+        got.update(zip(words, self._words(words)))
+        got.update(zip(rest, self._ids(rest)))
+        return {p: got[c] + tail for p, (c, tail) in cores.items()}
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._ids(texts)
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
         new = list({p for parts in split for p in parts if p not in known})
-        if len(known) + len(new) > KEPT:
-            known.clear()
-            new = list({p for parts in split for p in parts})
-        found = dict(zip(new, self._ids(new)))
-        known.update((p, b) for p, b in found.items() if len(p) <= KEPT_CHARS)
-        every = known if all(len(p) <= KEPT_CHARS for p in found) else {**known, **found}
-        return [b"".join(map(every.__getitem__, parts)) for parts in split]
+        found = self._encode(new)
+        # frequent pieces come early, so a full table keeps what it has
+        room = max(0, KEPT - len(known))
+        known.update([(p, b) for p, b in found.items() if len(p) <= KEPT_CHARS][:room])
+        if all(p in known for p in found):
+            return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        return [b"".join([known.get(p) or found.get(p, b"") for p in parts]) for parts in split]
 
 
 def id_type(n: int) -> str:
