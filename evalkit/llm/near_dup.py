@@ -32,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalkit.llm.common import materialize, per_worker, small_enough
+from evalkit.llm.common import WORD, materialize, small_enough
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -44,8 +44,8 @@ SIMILARITY = 0.8
 #: overlap so that texts of similarity 0.8 always have a set in common.
 LONG_SET, SHORT_SET = (64, 8), (16, 2)
 LONG_MIN, SHORT_MAX = 40, 50
-#: Distinct words whose hash a worker keeps; products of a sketch computed at a time.
-KEPT, PRODUCTS = 300_000, 1 << 21
+#: Products of a sketch computed at a time.
+PRODUCTS = 1 << 19
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -55,37 +55,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    import xxhash
-    known = per_worker(("words",), dict)
-    words = text.lower().encode("utf-8", "replace").split()
-    if len(known) > KEPT:
-        known.clear()
-    for w in set(words) - known.keys():
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hashes(text: str) -> Column:
+    """Hashes of the lower-case words of a text column, in order (in the JVM)."""
+    words = F.filter(F.split(F.lower(F.col(text)), WORD.replace("[^", "[")), lambda w: w != "")
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def labelled_shingles(text: str) -> np.ndarray:
+def labelled_shingles(words: np.ndarray) -> np.ndarray:
     """Hashes of the shingles in text order; equal shingles differ by their occurrence."""
-    w = word_hashes(text)
-    if not len(w):
-        return w
-    size = min(SHINGLE, len(w))
-    n = len(w) - size + 1
-    h = np.zeros(n, np.uint64)
-    for i in range(size):
-        h = mix(h * np.uint64(31) + w[i:i + n])
+    if not len(words):
+        return words
+    size = min(SHINGLE, len(words))
+    n = len(words) - size + 1
+    h = words[:n].copy()
+    for i in range(1, size):
+        h *= np.uint64(MIX)
+        h += words[i:i + n]
+    h = mix(h)
+    ordered = np.sort(h)
+    if (ordered[1:] != ordered[:-1]).all():
+        return h
     order = np.argsort(h, kind="stable")
     first = np.r_[True, h[order[1:]] != h[order[:-1]]]
-    if first.all():
-        return h
     at = np.arange(n)
     occurrence = np.empty(n, np.uint64)
     occurrence[order] = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
     return np.where(occurrence > 0, mix(h ^ (occurrence * np.uint64(MIX))), h)
 
 
+def smallest(h: np.ndarray, factors: np.ndarray, size: int) -> np.ndarray:
+    """Positions, in text order, of the ``size`` smallest values under each hash function
+    (a product of 32 bits).
+
+    Only values below a limit that about three times ``size`` of them pass are looked at;
+    a function that too few pass is done in full."""
+    n = len(h)
+    values = (h >> np.uint64(32)).astype(np.uint32)[None, :] * factors.astype(np.uint32)[:, None]
+    if n <= 6 * size:
+        return np.sort(np.argsort(values, axis=1, kind="stable")[:, :size], axis=1)
+    flat = values.ravel()
+    found = np.flatnonzero(flat < np.uint32(3 * size / n * 2.0**32))
+    row = found // n
+    found = found[np.argsort((row.astype(np.uint64) << np.uint64(32)) | flat[found])]
+    start = np.searchsorted(row, np.arange(len(factors) + 1))
+    low = found[np.minimum(start[:-1, None] + np.arange(size), max(len(found) - 1, 0))] if len(found) else \
+        np.zeros((len(factors), size), np.int64)
+    low -= np.arange(len(factors))[:, None] * n
+    for i in np.flatnonzero(np.diff(start) < size):
+        low[i] = np.argsort(values[i], kind="stable")[:size]
+    return np.sort(low, axis=1)
+
+
 def sketch_set(h: np.ndarray, functions: int, size: int, seed: int) -> np.ndarray:
     """One key per hash function: the ``size`` smallest labelled shingles in text order."""
     size = min(size, len(h))
@@ -93,11 +113,7 @@ def sketch_set(h: np.ndarray, functions: int, size: int, seed: int) -> np.ndarra
     keys = mix(factors)
     per = max(1, PRODUCTS // len(h))
     for start in range(0, functions, per):
-        some = factors[start:start + per]
-        values = h[None, :] * some[:, None]
-        low = np.argpartition(values, size - 1, axis=1)[:, :size] if size < len(h) else \
-            np.broadcast_to(np.arange(len(h)), values.shape)
-        chosen = h[np.sort(low, axis=1)]
+        chosen = h[smallest(h, factors[start:start + per], size)]
         acc = keys[start:start + per]
         for i in range(size):
             acc = mix(acc ^ chosen[:, i])
@@ -143,28 +159,29 @@ def long_lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
 
 
+def lists_of(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of an Arrow column as arrays of unsigned numbers, not copied."""
+    ends = column.offsets.to_numpy()
+    flat = column.values.to_numpy().view(np.uint64)
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def to_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shingles = [labelled_shingles(t) for t in batch.column(1).to_pylist()]
+        shingles = [labelled_shingles(w) for w in lists_of(batch.column(1))]
         yield pa.record_batch([batch.column(0), pa.array([len(h) for h in shingles], pa.int32()),
                                long_lists([sketches(h) for h in shingles])], ["tid", "n", "keys"])
 
 
 def to_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch([batch.column(0), long_lists([labelled_shingles(t) for t in batch.column(1).to_pylist()])],
+        yield pa.record_batch([batch.column(0), long_lists([labelled_shingles(w) for w in lists_of(batch.column(1))])],
                               ["tid", "shingles"])
 
 
 def to_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sides = []
-        for c in (2, 3):
-            column = batch.column(c)
-            ends = column.offsets.to_numpy()
-            flat = column.values.to_numpy().view(np.uint64)
-            sides.append([flat[a:b] for a, b in zip(ends, ends[1:])])
-        ok = pa.array([aligned(a, b) for a, b in zip(*sides)], pa.bool_())
+        ok = pa.array([aligned(a, b) for a, b in zip(lists_of(batch.column(2)), lists_of(batch.column(3)))], pa.bool_())
         yield pa.record_batch([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
 
@@ -201,14 +218,16 @@ def keep_of(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame) -> DataFrame:
     """Links (a, b) between different texts of (tid, text), as many as join each class."""
-    sketched = materialize(texts.mapInArrow(to_sketches, "tid long, n int, keys array<long>")
+    words = texts.select("tid", word_hashes("text").alias("words"))
+    sketched = materialize(words.mapInArrow(to_sketches, "tid long, n int, keys array<long>")
                            .filter("n > 0").dropDuplicates(["tid"]), "near-sketches")
     alone = (sketched.select("tid", F.explode("keys").alias("key")).groupBy("key")
              .agg(F.count(F.lit(1)).alias("c"), F.min("tid").alias("tid")).filter("c = 1")
              .groupBy("tid").agg(F.count(F.lit(1)).alias("own")))
     some = materialize(sketched.select("tid", F.size("keys").alias("k")).join(alone, "tid", "left")
                        .filter(F.coalesce("own", F.lit(0)) < F.col("k")).select("tid"), "near-candidates")
-    shingles = materialize(keep_of(texts, some).mapInArrow(to_shingles, "tid long, shingles array<long>")
+    shingles = materialize(keep_of(texts, some).select("tid", word_hashes("text").alias("words"))
+                           .mapInArrow(to_shingles, "tid long, shingles array<long>")
                            .dropDuplicates(["tid"]), "near-shingles")
     unique = (shingles.select("tid", F.explode("shingles").alias("s")).groupBy("s")
               .agg(F.count(F.lit(1)).alias("c"), F.min("tid").alias("tid")).filter("c = 1")

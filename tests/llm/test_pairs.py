@@ -98,13 +98,26 @@ def test_alignment_respects_order():
     assert near_dup.aligned(h[:80], h) and not near_dup.aligned(h[:79], h)
 
 
+def shingles(text: str) -> np.ndarray:
+    import xxhash
+    return near_dup.labelled_shingles(np.array([xxhash.xxh3_64_intdigest(w) for w in text.split()], np.uint64))
+
+
+def test_the_smallest_values_are_found():
+    factors = near_dup.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+    for n in (9, 48, 49, 200, 3000):
+        h = near_dup.mix(np.arange(n, dtype=np.uint64))
+        values = (h >> np.uint64(32)).astype(np.uint32)[None, :] * factors.astype(np.uint32)[:, None]
+        assert (near_dup.smallest(h, factors, 8) == np.sort(np.argsort(values, axis=1)[:, :8], axis=1)).all()
+
+
 def test_sketches_are_order_sensitive():
-    h = near_dup.labelled_shingles(prose(3, 300))
+    h = shingles(prose(3, 300))
     assert len(set(h.tolist())) == len(h) == 296
     same = (near_dup.sketches(h) == near_dup.sketches(h.copy())).mean()
     swapped = (near_dup.sketches(h) == near_dup.sketches(np.r_[h[148:], h[:148]])).mean()
     assert same == 1 and swapped < 0.2
-    twice = near_dup.labelled_shingles("a b c d e " * 4)
+    twice = shingles("a b c d e " * 4)
     assert len(set(twice.tolist())) == len(twice)  # occurrence labels tell equal shingles apart
 
 
