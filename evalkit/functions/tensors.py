@@ -79,6 +79,16 @@ def precision_class(element_type: Column | str) -> Column:
             .otherwise(F.lit("other")))
 
 
+def pack_uint4(values: Column | str) -> Column:
+    """The inverse of T1: two 4-bit values per byte, low nibble first (an odd last value
+    gets an empty high nibble)."""
+    v = _c(values)
+    last = F.ceil(F.size(v) / 2).cast("int") - 1
+    digit = lambda i: F.hex(F.coalesce(F.get(v, i), F.lit(0)).cast("long"))
+    digits = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(digit(i * 2 + 1), digit(i * 2)))
+    return F.when(F.size(v) > 0, F.unhex(F.array_join(digits, ""))).otherwise(F.unhex(F.lit("")))
+
+
 def unpack_uint4(packed: Column | str, n_values: Column | int | None = None) -> Column:
     """Two 4-bit values per byte, low nibble first (bytes 2F 10 -> [15, 2, 0, 1])."""
     h = F.hex(_c(packed))

@@ -230,11 +230,9 @@ def narration_outliers(scored: DataFrame, by: Sequence[str] = ("test", "context_
 def sorted_distinct_axes(df: DataFrame, axes: Sequence[str]) -> DataFrame:
     """O2: the distinct values of each axis with their rank in sorted order.
     The distinct sets are small (grid axes), so ranking them in one window is fine."""
-    out = None
-    for a in axes:
-        d = (df.select(F.lit(a).alias("axis"), F.col(a).cast("double").alias("value"))
-             .filter(F.col("value").isNotNull()).distinct())
-        out = d if out is None else out.unionByName(d)
+    values = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("value")) for a in axes])
+    out = (df.select(F.explode(values).alias("_a")).select("_a.*")  # one scan for all axes
+           .filter(F.col("value").isNotNull()).distinct())
     w = Window.partitionBy("axis").orderBy("value")
     return out.withColumn("pos", F.row_number().over(w).cast("long"))
 

@@ -200,35 +200,44 @@ def q_default_on_missing(spark, sf):
     return rounded(out.select("saved_name", "four_bit", "used_default", "stat"))
 
 
-UNPACK = """list_transform(range(32), lambda i: CAST(('0x' || substring(h, CAST(2 * (i // 2) + 2 - (i % 2) AS INTEGER), 1)) AS INTEGER))"""
+# 4-bit groups of the embeddings (T4), and per vector their codes, zero points and scales
+QUANT = """g AS (SELECT vec_id, grp, list_transform(list_slice(embedding, grp * 16 + 1, grp * 16 + 16), lambda v: CAST(v AS DOUBLE)) AS x
+    FROM (SELECT vec_id, embedding, CAST(unnest(range(CAST(ceil(len(embedding) / 16) AS BIGINT))) AS INTEGER) AS grp FROM embeddings) e),
+  s AS (SELECT *, least(list_min(x), 0.0) AS lo, greatest(list_max(x), 0.0) AS hi FROM g),
+  s2 AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / 15 ELSE 1.0 END AS scale FROM s),
+  s3 AS (SELECT *, CAST(least(greatest(floor(-lo / scale + 0.5), 0), 15) AS INTEGER) AS zero_point FROM s2),
+  s4 AS (SELECT *, list_transform(x, lambda v: CAST(least(greatest(floor(v / scale + 0.5) + zero_point, 0), 15) AS INTEGER)) AS q FROM s3),
+  vec AS (SELECT vec_id, flatten(list(q ORDER BY grp)) AS v, list(zero_point ORDER BY grp) AS zp, list(scale ORDER BY grp) AS sc
+    FROM s4 GROUP BY vec_id)"""
 
 
 def packed(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id")
-    return e.withColumn("packed", F.unhex(F.md5(F.col("vec_id").cast("string"))))
+    """Per vector its T4 codes as packed bytes, with the groups' zero points and scales (a
+    vector has as many groups as its length allows: four here)."""
+    g = TO.quantise_groups(table(spark, sf, "embeddings"), "embedding", 16, "vec_id")
+    per = g.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("grp", "q", "zero_point", "scale"))).alias("g"))
+    return per.select("vec_id", TF.pack_uint4(F.flatten(F.transform("g", lambda x: x["q"]))).alias("packed"),
+                      F.transform("g", lambda x: x["zero_point"]).alias("zp"),
+                      F.transform("g", lambda x: x["scale"]).alias("scale"))
 
 
-@register("unpack_uint4", f"""SELECT vec_id, array_to_string(v, ',') AS vals, CAST(list_sum(v) AS BIGINT) AS total FROM (
-  SELECT vec_id, {UNPACK} AS v FROM (SELECT vec_id, md5(CAST(vec_id AS VARCHAR)) AS h FROM embeddings) a) b""")
+@register("unpack_uint4", f"""WITH {QUANT} SELECT vec_id, array_to_string(v, ',') AS vals, CAST(list_sum(v) AS BIGINT) AS total FROM vec""")
 def q_unpack_uint4(spark, sf):
     p = packed(spark, sf).withColumn("v", TF.unpack_uint4("packed"))
     return p.select("vec_id", F.array_join("v", ",").alias("vals"),
                     F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-DEQ = """list_transform(v, lambda x, i: CAST((x - 8) * (CASE WHEN i <= 16 THEN (vec_id % 7 + 1) ELSE (vec_id % 5 + 1) END) / 64.0 AS FLOAT))"""
+DEQ = "list_transform(v, lambda x, i: CAST((x - zp[(i - 1) // 16 + 1]) * sc[(i - 1) // 16 + 1] AS FLOAT))"
 
 
 def dequantised(spark, sf):
     p = packed(spark, sf).withColumn("q", TF.unpack_uint4("packed"))
-    p = (p.withColumn("zp", F.array(F.lit(8), F.lit(8)))
-         .withColumn("scale", F.array((F.pmod("vec_id", F.lit(7)) + 1) / 64.0, (F.pmod("vec_id", F.lit(5)) + 1) / 64.0)))
     return p.withColumn("deq", TO.dequantise("q", "zp", "scale", 16))
 
 
-@register("dequantise_groups", f"""SELECT vec_id, round(list_sum(d), 6) AS deq_sum, round(list_min(d), 6) AS deq_min,
-  round(list_max(d), 6) AS deq_max FROM (SELECT vec_id, {DEQ} AS d FROM (
-    SELECT vec_id, {UNPACK} AS v FROM (SELECT vec_id, md5(CAST(vec_id AS VARCHAR)) AS h FROM embeddings) a) b) c""")
+@register("dequantise_groups", f"""WITH {QUANT} SELECT vec_id, round(list_sum(list_transform(d, lambda x: CAST(x AS DOUBLE))), 6) AS deq_sum,
+  round(list_min(d), 6) AS deq_min, round(list_max(d), 6) AS deq_max FROM (SELECT vec_id, {DEQ} AS d FROM vec) c""")
 def q_dequantise(spark, sf):
     d = dequantised(spark, sf)
     dd = F.transform("deq", lambda x: x.cast("double"))
@@ -236,9 +245,8 @@ def q_dequantise(spark, sf):
                             F.array_min(dd).alias("deq_min"), F.array_max(dd).alias("deq_max")))
 
 
-@register("neutral_params", f"""SELECT vec_id, '1.0,1.0' AS scales, '0,0' AS zero_points, round(list_sum(d), 6) AS again_sum
-  FROM (SELECT vec_id, {DEQ} AS d FROM (SELECT vec_id, {UNPACK} AS v FROM (
-    SELECT vec_id, md5(CAST(vec_id AS VARCHAR)) AS h FROM embeddings) a) b) c""")
+@register("neutral_params", f"""WITH {QUANT} SELECT vec_id, '1.0,1.0,1.0,1.0' AS scales, '0,0,0,0' AS zero_points,
+  round(list_sum(list_transform(d, lambda x: CAST(x AS DOUBLE))), 6) AS again_sum FROM (SELECT vec_id, {DEQ} AS d FROM vec) c""")
 def q_neutral_params(spark, sf):
     d = dequantised(spark, sf)
     ones, zeros = TO.neutral_params(F.size("scale"))
@@ -250,12 +258,7 @@ def q_neutral_params(spark, sf):
         F.aggregate(again, F.lit(0.0), lambda a, x: a + x).alias("again_sum")))
 
 
-@register("quantise_groups", """WITH g AS (SELECT vec_id, grp, list_transform(list_slice(embedding, grp * 16 + 1, grp * 16 + 16), lambda v: CAST(v AS DOUBLE)) AS x
-    FROM (SELECT vec_id, embedding, CAST(unnest(range(CAST(ceil(len(embedding) / 16) AS BIGINT))) AS INTEGER) AS grp FROM embeddings) e),
-  s AS (SELECT *, least(list_min(x), 0.0) AS lo, greatest(list_max(x), 0.0) AS hi FROM g),
-  s2 AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / 15 ELSE 1.0 END AS scale FROM s),
-  s3 AS (SELECT *, CAST(least(greatest(floor(-lo / scale + 0.5), 0), 15) AS INTEGER) AS zero_point FROM s2),
-  s4 AS (SELECT *, list_transform(x, lambda v: CAST(least(greatest(floor(v / scale + 0.5) + zero_point, 0), 15) AS INTEGER)) AS q FROM s3),
+@register("quantise_groups", f"""WITH {QUANT},
   s5 AS (SELECT *, list_transform(list_zip(x, q), lambda p: abs(p[1] - (p[2] - zero_point) * scale)) AS err FROM s4)
   SELECT vec_id, grp, round(scale, 6) AS scale, zero_point, array_to_string(q, ',') AS codes, round(list_max(err), 6) AS max_err,
     round(list_sum(list_transform(err, lambda e: e * e)) / len(x), 6) AS mse FROM s5""")
