@@ -16,6 +16,20 @@ RESULTS_SCHEMA = schemas.RESULT_FILE
 RUN_FILE = r"benchmark_(.+?)(?:_long_toolcall)?_(\d{8}_\d{6})"
 
 
+def _file_opener():
+    def shared_files(uri: str):
+        """The file system and path of a folder that driver and executors share."""
+        from pyarrow import fs
+        if uri.startswith("file:/") and not uri.startswith("file://"):
+            uri = "file://" + uri[len("file:"):]
+        return fs.FileSystem.from_uri(uri)
+    return shared_files
+
+
+#: A nested function travels to the workers by value: they need not import this package.
+shared_files = _file_opener()
+
+
 def write_results_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines, UTF-8, non-ASCII kept as is."""
     df.write.mode(mode).json(path)
@@ -76,14 +90,6 @@ def with_run_identity(df: DataFrame) -> DataFrame:
             .withColumn("run_ts", F.to_timestamp_ntz(F.regexp_extract(run, RUN_FILE, 2), F.lit("yyyyMMdd_HHmmss"))))
 
 
-def shared_files(uri: str):
-    """The file system and path of a folder that driver and executors share."""
-    from pyarrow import fs
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[len("file:"):]
-    return fs.FileSystem.from_uri(uri)
-
-
 def write_named_files(df: DataFrame, path: str, file: str, text: str, order: Sequence[str] = ()) -> DataFrame:
     """Text files of given names in one folder, and their index (file, n_chars,
     n_parts), which is written beside them.
