@@ -13,9 +13,13 @@ No pairs of a group are spelled out, and no candidate is capped:
 3. A shingle that only one remaining text has cannot be matched, so a text with more than
    a fifth of such shingles has no partner at this similarity and leaves (an exact bound).
 4. Every remaining text is compared with the best of its groups' centers (the member with
-   the smallest share of shingles of its own). Their links join most of each group.
-5. Pairs that share a sketch but not yet a component are all verified: in each group, the
-   members outside its largest component against the others.
+   the smallest share of shingles of its own). Their links join most of each group. Then the
+   members still outside their group's largest component are compared with two members of
+   each of their groups, drawn by a hash.
+5. Pairs that share a sketch but not yet a component are all verified, unless their counts
+   of unmatchable shingles or their distances from a common center rule the similarity out
+   (exact bounds too): in each group, the members outside its largest component against the
+   others.
 Joins that a large group could skew read written tables, so that adaptive execution can
 split them.
 
@@ -44,6 +48,8 @@ SIMILARITY = 0.8
 #: overlap so that texts of similarity 0.8 always have a set in common.
 LONG_SET, SHORT_SET = (64, 8), (16, 2)
 LONG_MIN, SHORT_MAX = 40, 50
+#: Rounds of comparisons with members drawn by a hash, and how many of each group.
+ROUNDS, PARTNERS = 1, 2
 #: Products of a sketch computed at a time.
 PRODUCTS = 1 << 19
 MIX = 0x9E3779B97F4A7C15
@@ -130,11 +136,19 @@ def sketches(h: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Positions of the equal labelled shingles of two texts, and their Jaccard similarity."""
+    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return ia, ib, len(ia) / max(1, len(a) + len(b) - len(ia))
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether an order-preserving matching of equal labelled shingles, within the band that
     this similarity leaves, covers ``similarity`` of their union."""
-    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    total = len(a) + len(b)
+    return matched(len(a) + len(b), *overlap(a, b)[:2], similarity)
+
+
+def matched(total: int, ia: np.ndarray, ib: np.ndarray, similarity: float = SIMILARITY) -> bool:
     least = similarity * total / (1 + similarity)  # matches that the similarity needs
     if len(ia) < least - 1e-9:
         return False
@@ -179,17 +193,28 @@ def to_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               ["tid", "shingles"])
 
 
-def to_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def to_checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = pa.array([aligned(a, b) for a, b in zip(lists_of(batch.column(2)), lists_of(batch.column(3)))], pa.bool_())
-        yield pa.record_batch([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+        linked, jaccard = [], []
+        for a, b in zip(lists_of(batch.column(2)), lists_of(batch.column(3))):
+            ia, ib, j = overlap(a, b)
+            linked.append(matched(len(a) + len(b), ia, ib))
+            jaccard.append(j)
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(jaccard, pa.float64()),
+                               pa.array(linked, pa.bool_())], ["a", "b", "jaccard", "linked"])
+
+
+def checked(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their Jaccard similarity and whether an alignment links them.
+    Both joins read written tables."""
+    side = {c: shingles.select(F.col("tid").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"}
+    both = pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "sa", "sb")
+    return materialize(both.mapInArrow(to_checked, "a long, b long, jaccard double, linked boolean"), "near-checked")
 
 
 def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar enough. Both joins read written tables."""
-    side = {c: shingles.select(F.col("tid").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"}
-    both = pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "sa", "sb")
-    return materialize(both.mapInArrow(to_links, "a long, b long"), "near-links")
+    """The pairs (a, b) that are similar enough."""
+    return checked(pairs, shingles).filter("linked").select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,6 +241,13 @@ def keep_of(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if small_enough(ids, 16) else ids, "tid", "left_semi")
 
 
+def matchable(n: str, own: str, m: str, mine: str) -> Column:
+    """Whether two texts of n and m shingles, own and mine of which no other text has, can
+    reach the similarity: the matches are at most the shared shingles of either."""
+    matches = F.least(F.col(n) - F.col(own), F.col(m) - F.col(mine))
+    return matches * (1 + SIMILARITY) >= (F.col(n) + F.col(m)) * SIMILARITY - 1e-9
+
+
 def links(texts: DataFrame) -> DataFrame:
     """Links (a, b) between different texts of (tid, text), as many as join each class."""
     words = texts.select("tid", word_hashes("text").alias("words"))
@@ -235,38 +267,66 @@ def links(texts: DataFrame) -> DataFrame:
     n, own = F.size("shingles"), F.coalesce("own", F.lit(0))
     able = materialize(shingles.select("tid", n.alias("n")).join(unique, "tid", "left")
                        .filter(F.col("n") - own >= F.col("n") * SIMILARITY - 1e-9)
-                       .select("tid", "n", (own / F.col("n")).alias("r")), "near-able")
+                       .select("tid", "n", own.cast("int").alias("own")), "near-able")
     shingles = materialize(keep_of(shingles, able.select("tid")), "near-able-shingles")
     # members of the groups (texts that share a sketch), each with its group's center
     member = materialize(keep_of(sketched.select("tid", "keys"), able.select("tid")).join(able, "tid")
-                         .select("tid", "n", "r", F.explode("keys").alias("key")), "near-members")
-    center = materialize(member.groupBy("key").agg(F.min(F.struct("r", "tid", "n")).alias("center"),
-                                                   F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"),
-                         "near-centers")
-    member = materialize(member.join(center, "key").select("key", "tid", "n", "center"), "near-groups")
-    like = lambda m, n: F.least(m, n) >= F.greatest(m, n) * SIMILARITY - 1e-9
-    first = (member.filter(like(F.col("n"), F.col("center.n"))).groupBy("tid").agg(F.min("center").alias("c"))
-             .filter(F.col("tid") != F.col("c.tid")).select(F.col("c.tid").alias("a"), F.col("tid").alias("b")))
-    first = materialize(first, "near-pairs")
-    found = verified(first, shingles)
-    label = components(found)
-    # what is left: members of one group in different components
-    placed = materialize(member.select("key", "tid", "n").join(label.withColumnRenamed("v", "tid"), "tid", "left")
-                         .select("key", "tid", "n", F.coalesce("label", "tid").alias("comp")), "near-placed")
-    split = materialize(placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
-                        .agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k"))
-                        .filter("k > 1").select("key", F.col("top.comp").alias("top")), "near-split")
-    rest = materialize(placed.join(split, "key"), "near-rest")
-    stray = materialize(rest.filter("comp != top")
-                        .select("key", F.col("tid").alias("t"), F.col("n").alias("m"), F.col("comp").alias("other")),
-                        "near-strays")
-    second = (stray.join(rest, "key")
-              .filter((F.col("comp") != F.col("other")) & ((F.col("comp") == F.col("top")) | (F.col("t") < F.col("tid")))
-                      & like(F.col("m"), F.col("n")))
-              .select(F.least("t", "tid").alias("a"), F.greatest("t", "tid").alias("b")).distinct())
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = materialize(second.join(tried, ["a", "b"], "left_anti"), "near-more-pairs")
-    return found.union(verified(second, shingles))
+                         .select("tid", "n", "own", F.explode("keys").alias("key")), "near-members")
+    best = F.struct((F.col("own") / F.col("n")).alias("share"), "tid", "n", "own")
+    center = materialize(member.groupBy("key").agg(F.min(best).alias("center"), F.count(F.lit(1)).alias("c"))
+                         .filter("c > 1").drop("c"), "near-centers")
+    member = materialize(member.join(center, "key"), "near-groups")
+    first = materialize(to_centers(member), "near-pairs")
+    ends = [F.least("tid", "c").alias("a"), F.greatest("tid", "c").alias("b")]
+    tried = first.select(*ends)
+    done = checked(tried, shingles)
+    found = done.filter("linked").select("a", "b")
+    # each text's distance from its center; a text without one is its own
+    distance = first.select("tid", "c", *ends).join(done, ["a", "b"]).select("tid", "c", (1 - F.col("jaccard")).alias("d"))
+    member = materialize(member.drop("center").join(distance, "tid", "left").select(
+        "key", "tid", "n", "own", F.coalesce("c", "tid").alias("c"), F.coalesce("d", F.lit(0.0)).alias("d")), "near-placed")
+    for r in range(ROUNDS):
+        # members outside their group's largest component against a few of the group
+        rest, stray = outside(member, components(found))
+        some = rest.groupBy("key").agg(*[
+            F.min(F.struct(F.xxhash64("tid", F.lit(r * PARTNERS + i)).alias("h"), "tid", "n", "own", "comp")).alias(f"p{i}")
+            for i in range(PARTNERS)])
+        some = materialize(some.select("key", F.array(*[f"p{i}" for i in range(PARTNERS)]).alias("some")), "near-some")
+        near = stray.join(some, "key").withColumn("center", F.explode("some")).filter(F.col("comp") != F.col("center.comp"))
+        near = near.filter(matchable("n", "own", "center.n", "center.own"))
+        more = near.select(F.least("tid", "center.tid").alias("a"), F.greatest("tid", "center.tid").alias("b")).distinct()
+        more = materialize(more.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        found, tried = found.union(verified(more, shingles)), tried.union(more)
+    rest, stray = outside(member, components(found))
+    stray = stray.select("key", F.col("tid").alias("t"), F.col("n").alias("m"), F.col("own").alias("mine"),
+                         F.col("comp").alias("other"), F.col("c").alias("oc"), F.col("d").alias("od"))
+    # Jaccard distance obeys the triangle inequality
+    apart = (F.col("c") == F.col("oc")) & (F.abs(F.col("d") - F.col("od")) > 1 - SIMILARITY + 1e-9)
+    last = (stray.join(rest, "key")
+            .filter((F.col("comp") != F.col("other")) & ((F.col("comp") == F.col("top")) | (F.col("t") < F.col("tid")))
+                    & matchable("m", "mine", "n", "own") & ~apart)
+            .select(F.least("t", "tid").alias("a"), F.greatest("t", "tid").alias("b")).distinct())
+    last = materialize(last.join(tried, ["a", "b"], "left_anti"), "near-last-pairs")
+    return found.union(verified(last, shingles))
+
+
+def to_centers(member: DataFrame) -> DataFrame:
+    """(tid, c): each text with the best of its groups' centers that it could match."""
+    fit = matchable("n", "own", "center.n", "center.own") & (F.col("tid") != F.col("center.tid"))
+    best = member.filter(fit).groupBy("tid").agg(F.min("center").alias("c"))
+    return best.select("tid", F.col("c.tid").alias("c")).filter("tid != c")
+
+
+def outside(member: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of groups of several components, with their component (comp) and the
+    group's largest (top); and those outside the largest."""
+    placed = materialize(member.join(label.withColumnRenamed("v", "tid"), "tid", "left")
+                         .select("key", "tid", "n", "own", "c", "d", F.coalesce("label", "tid").alias("comp")), "near-placed")
+    split = (placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+             .agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k"))
+             .filter("k > 1").select("key", F.col("top.comp").alias("top")))
+    rest = materialize(placed.join(materialize(split, "near-split"), "key"), "near-rest")
+    return rest, materialize(rest.filter("comp != top"), "near-strays")
 
 
 def text_id(text: str):
