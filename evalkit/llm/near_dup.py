@@ -220,11 +220,11 @@ def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(v, label): the smallest vertex of each vertex's connected component. Labels spread
     along the edges and then jump to their own labels, until nothing changes."""
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "cc-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")), "cc")
+    both = materialize(edges.select(F.col("a").alias("v"), F.col("b").alias("near"))
+                       .union(edges.select(F.col("b"), F.col("a"))).distinct(), "cc-edges")
+    labels = materialize(both.groupBy("v").agg(F.least(F.col("v"), F.min("near")).alias("label")), "cc")
     while True:
-        heard = (both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v"))
-                 .agg(F.min("label").alias("heard")))
+        heard = (both.join(labels.withColumnRenamed("v", "near"), "near").groupBy("v").agg(F.min("label").alias("heard")))
         spread = materialize(labels.join(heard, "v").select(
             "v", F.least("label", "heard").alias("label"), F.col("label").alias("old")), "cc")
         up = spread.select(F.col("v").alias("label"), F.col("label").alias("root"))
