@@ -151,16 +151,21 @@ def python_repr(raw: Column) -> Column:
     return F.array_join(F.transform(tokens, spell), "")
 
 
-def python_str(v: Column, raw: Column) -> Column:
-    """``str(value)`` of a JSON value held as a variant with its text ``raw``: strings as
-    is, None, True/False, integers of any length, floats, lists and objects as Python
-    prints them."""
-    t = F.schema_of_variant(v)
-    return (F.when(v.isNull() | (t == "VOID"), F.lit("None"))
-            .when(t == "STRING", F.try_variant_get(v, "$", "string"))
-            .when(t == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
-            .when(t.startswith("OBJECT") | t.startswith("ARRAY"), python_repr(raw))
-            .otherwise(python_number(raw)))
+#: Kinds of variants whose Python text is found without the JSON text.
+PLAIN_KINDS = ("STRING", "BOOLEAN", "VOID", "BIGINT")
+
+
+def python_str(v: Column, kind: Column, raw: Column, double: Column) -> Column:
+    """``str(value)`` of a JSON value held as a variant: strings as is, None, True/False,
+    integers of any length, floats, lists and objects as Python prints them. ``kind`` is
+    the variant's schema, ``raw`` the value's JSON text and ``double`` Spark's text of it as
+    a double (both needed for other kinds than the plain ones only)."""
+    return (F.when(v.isNull() | (kind == "VOID"), F.lit("None"))
+            .when(kind.isin("STRING", "BIGINT"), F.try_variant_get(v, "$", "string"))
+            .when(kind == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
+            .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), python_repr(raw))
+            .when(raw.rlike(r"^-?[0-9]+$"), raw)
+            .otherwise(python_float(double)))
 
 
 def arguments_kind(args: Column) -> Column:
@@ -212,9 +217,16 @@ def _stage_columns(answer: Column, tool: Column, key: Column, needle: Column) ->
            .when((kind == "array") & has, F.lit(TYPE_ERROR_LIST_INDEX)))
     obj = F.coalesce(F.col("_sc_obj"), F.lit(False))
     key_ok = obj & F.coalesce(kind == "object", F.lit(False)) & has
-    # the text of the value, kept as written; parsed again only for numbers, lists and objects
+    # the value, its kind, its text as written (parsed again only where the kind needs it),
+    # and that text as a double: a projection each, so nothing is computed twice
+    stages.append([F.element_at(amap, key).alias("_sc_value"), err.alias("_sc_error"),
+                   key_ok.alias("_sc_key_ok")])
+    stages.append([F.schema_of_variant(F.col("_sc_value")).alias("_sc_type")])
     texts = F.from_json(F.col("_sc_sb"), "struct<arguments: map<string, string>>", STRICT_JSON)["arguments"]
-    value = python_str(F.element_at(amap, key), F.element_at(texts, key))
+    stages.append([F.when(~F.col("_sc_type").isin(*PLAIN_KINDS), F.element_at(texts, key)).alias("_sc_raw")])
+    stages.append([F.col("_sc_raw").try_cast("double").cast("string").alias("_sc_double")])
+    value = python_str(F.col("_sc_value"), F.col("_sc_type"), F.col("_sc_raw"), F.col("_sc_double"))
+    key_ok, err = F.col("_sc_key_ok"), F.col("_sc_error")
     checks = {
         "has_tool_call_tags": F.col("_sc_body").isNotNull(),
         "valid_json": F.col("_sc_json"),
