@@ -4,8 +4,9 @@ One pass over the texts gives each document its base counts, a histogram of char
 classes and one of common words. The histograms of the documents that pass the base
 rules are summed per language into references (over the whole corpus; one row per
 language), and a document is kept if both its histograms lie within a Jensen-Shannon
-distance of its language's references. A document in a language without a reference
-is held against the nearest one. Guards: a histogram of too few items is not judged.
+distance of its language's references. A document without a language is held against
+the nearest reference. Guards: a histogram of too few items is not judged, nor is a
+document whose language has too few documents for a reference (its distances are null).
 
 Base rules: at least 50 words, and at most half of them inside three-word windows that
 the text holds twice or more.
@@ -38,7 +39,8 @@ MAX_CHAR_DISTANCE = 0.28
 MAX_WORD_DISTANCE, NOISE = 0.20, 1.5
 #: Characters and words below which the histogram is not judged.
 MIN_CHARS, MIN_WORDS_JUDGED = 200, 50
-#: Languages that get a reference: the most frequent ones, each with this many documents.
+#: Languages whose references go to the driver, the most frequent ones (the rest are joined),
+#: and documents a language needs for a reference.
 MAX_LANGUAGES, MIN_DOCS = 1000, 20
 SYMBOLS = b"#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -149,50 +151,100 @@ def histogram_sum(col: str, n: int) -> Column:
 
 def distances(hists: np.ndarray, refs: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distances (base 2) of each histogram to each reference."""
-    p = hists / np.maximum(hists.sum(1, keepdims=True), 1)
     out = np.empty((len(hists), len(refs)))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for j, r in enumerate(refs):
-            q = r / r.sum()
-            m = (p + q) / 2
-            kl = lambda a: np.where(a > 0, a * np.log2(a / m), 0).sum(1)
-            out[:, j] = np.sqrt(np.clip((kl(p) + kl(np.broadcast_to(q, p.shape))) / 2, 0, 1))
+    for j, r in enumerate(refs):
+        out[:, j] = own_distances(hists, np.broadcast_to(r, hists.shape))
     return out
 
 
-def references(features: DataFrame, lang: str, n_bins: int) -> dict[str, tuple[list[int], list[int]]]:
-    """Summed histograms per language over the documents that pass the base rules."""
-    sums = (features.filter(~F.col("base_failed") & F.col(lang).isNotNull()).groupBy(lang)
+def own_distances(hists: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance (base 2) of each histogram to the reference of its row."""
+    p = hists / np.maximum(hists.sum(1, keepdims=True), 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        q = refs / refs.sum(1, keepdims=True)
+        m = (p + q) / 2
+        kl = lambda a: np.where(a > 0, a * np.log2(a / m), 0).sum(1)
+        return np.sqrt(np.clip((kl(p) + kl(q)) / 2, 0, 1))
+
+
+def references(features: DataFrame, lang: str, n_bins: int) -> DataFrame:
+    """Summed histograms per language over the documents that pass the base rules: lang, n, c, w."""
+    return (features.filter(~F.col("base_failed") & F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang"))
             .agg(F.count(F.lit(1)).alias("n"), histogram_sum("_llm_chars", len(CHAR_CLASSES)).alias("c"),
                  histogram_sum("_llm_words", n_bins).alias("w"))
-            .filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), lang).limit(MAX_LANGUAGES))
-    return {r[lang]: (r["c"], r["w"]) for r in sums.collect()}
+            .filter(F.col("n") >= MIN_DOCS))
+
+
+def matrix(col: pa.ListArray) -> np.ndarray:
+    return np.asarray(col.flatten(), float).reshape(len(col), -1)
+
+
+DISTANCES = "struct<char_distance:double, word_distance:double>"
+
+
+def distance_structs(both: list[np.ndarray], judged: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(d, mask=~judged) for d in both], ["char_distance", "word_distance"])
 
 
 def divergence(refs: Mapping[str, tuple[list[int], list[int]]]):
     """A column function (lang, chars, words) -> struct of both distances, to the reference
-    of the language or else the nearest."""
+    of the language or, without a language, the nearest; null for a language not in ``refs``."""
     names = sorted(refs)
     tables = [np.array([refs[n][k] for n in names], float) for k in (0, 1)]
 
-    def matrix(col: pa.ListArray) -> np.ndarray:
-        return np.asarray(col.flatten(), float).reshape(len(col), -1)
-
-    @F.arrow_udf("struct<char_distance:double, word_distance:double>")
+    @F.arrow_udf(DISTANCES)
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         at = {n: i for i, n in enumerate(names)}
         for langs, chars, words in batches:
-            both = [distances(matrix(c), t) for c, t in zip((chars, words), tables)]
+            hists = [matrix(c) for c in (chars, words)]
             own = np.array([at.get(x, -1) for x in langs.to_pylist()], np.int64)
-            nearest = (both[0] + both[1]).argmin(1) if len(own) else own
-            own = np.where(own < 0, nearest, own)
-            yield pa.StructArray.from_arrays([pa.array(d[np.arange(len(own)), own]) for d in both],
-                                             ["char_distance", "word_distance"])
+            no_lang = langs.is_null().to_numpy(zero_copy_only=False)
+            if no_lang.any():
+                own[no_lang] = sum(distances(h[no_lang], t) for h, t in zip(hists, tables)).argmin(1)
+            yield distance_structs([own_distances(h, t[own]) for h, t in zip(hists, tables)], own >= 0)
     return run
 
 
+def joined_divergence():
+    """A column function (chars, words, c, w) -> struct of both distances to the references
+    c and w beside the histograms, null without them."""
+    @F.arrow_udf(DISTANCES)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for chars, words, c, w in batches:
+            keep = c.is_valid()
+            judged = keep.to_numpy(zero_copy_only=False)
+            both = [np.zeros(len(judged)) for _ in range(2)]
+            if judged.any():
+                for out, hists, refs in zip(both, (chars, words), (c, w)):
+                    out[judged] = own_distances(matrix(hists.filter(keep)), matrix(refs.filter(keep)))
+            yield distance_structs(both, judged)
+    return run
+
+
+def with_distances(out: DataFrame, n_bins: int, max_languages: int) -> DataFrame:
+    """``out`` with the struct _llm_d of both distances."""
+    refs = materialize(references(out, "_llm_lang", n_bins), "quality-references")
+    top = refs.orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    if not top:
+        return out.withColumn("_llm_d", F.lit(None).cast(DISTANCES))
+    known = {r["lang"]: (r["c"], r["w"]) for r in top}
+    direct = divergence(known)("_llm_lang", "_llm_chars", "_llm_words")
+    if len(top) < max_languages:
+        return out.withColumn("_llm_d", direct)
+    # a language past the most frequent ones has at most 1 / max_languages of the judged
+    # documents, so no key of this join is hot
+    held = F.col("_llm_lang").isNull() | F.col("_llm_lang").isin(list(known))
+    rest = refs.filter(~F.col("lang").isin(list(known))).select(F.col("lang").alias("_llm_ref"), F.col("c").alias("_llm_c"),
+                                                               F.col("w").alias("_llm_w"))
+    others = (out.filter(~held).join(rest, F.col("_llm_lang") == F.col("_llm_ref"), "left")
+              .withColumn("_llm_d", joined_divergence()("_llm_chars", "_llm_words", "_llm_c", "_llm_w"))
+              .drop("_llm_ref", "_llm_c", "_llm_w"))
+    return out.filter(held).withColumn("_llm_d", direct).unionByName(others)
+
+
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang",
-          common_words: Mapping[str, Sequence[str]] = COMMON_WORDS, keep_text: bool = True) -> DataFrame:
+          common_words: Mapping[str, Sequence[str]] = COMMON_WORDS, keep_text: bool = True,
+          max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """``docs`` with the base counts, base_failed, both distances and kept. The texts are
     read once: what the second step needs is written with the documents' columns, all of
     them or (``keep_text=False``) all but the text."""
@@ -204,15 +256,11 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang",
               | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
     out = with_columns(out, {"base_failed": failed})
     out = materialize(out if keep_text else out.drop(text), "quality-features")
-    refs = references(out, "_llm_lang", len(common) + 1)
-    if refs:
-        out = out.withColumn("_llm_d", divergence(refs)("_llm_lang", "_llm_chars", "_llm_words"))
-        char_distance, word_distance = F.col("_llm_d.char_distance"), F.col("_llm_d.word_distance")
-    else:
-        char_distance = word_distance = F.lit(0.0)
-    out = with_columns(out, {"char_distance": char_distance, "word_distance": word_distance})
+    out = with_distances(out, len(common) + 1, max_languages)
+    out = with_columns(out, {n: F.col(f"_llm_d.{n}") for n in ("char_distance", "word_distance")})
     n_chars = F.aggregate("_llm_chars", F.lit(0).cast("long"), lambda a, x: a + x)
     allowed = MAX_WORD_DISTANCE + NOISE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
-    near = (((n_chars < MIN_CHARS) | (F.col("char_distance") <= MAX_CHAR_DISTANCE))
-            & ((F.col("n_words") < MIN_WORDS_JUDGED) | (F.col("word_distance") <= allowed)))
+    no_reference = F.col("char_distance").isNull()
+    near = no_reference | (((n_chars < MIN_CHARS) | (F.col("char_distance") <= MAX_CHAR_DISTANCE))
+                           & ((F.col("n_words") < MIN_WORDS_JUDGED) | (F.col("word_distance") <= allowed)))
     return with_columns(out, {"kept": ~F.col("base_failed") & near}).drop("_llm_d", "_llm_lang", "_llm_chars", "_llm_words")

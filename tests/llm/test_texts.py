@@ -87,6 +87,35 @@ def test_quality_keeps_prose_and_drops_noise(spark):
     assert got[101].base_failed and got[102].base_failed and not got[102].kept
 
 
+RARE = "rzeka kamień zielony okno papier cichy ogród list muzyka zima droga dom pies kot stół krzesło niebo".split()
+
+
+def rare_prose(seed: int, n: int) -> str:
+    r = np.random.default_rng(seed)
+    return " ".join(str(w) + (str(k) if k % 3 == 0 else "") for w, k in zip(r.choice(RARE, n), r.integers(0, 40, n)))
+
+
+def test_quality_keeps_a_language_without_a_reference(spark):
+    """Clean texts of a language too rare for a reference are kept on the base rules."""
+    rows = [(i, prose(i, 300), "en") for i in range(60)] + [(100 + i, rare_prose(i, 300), "pl") for i in range(19)]
+    rows += [(200, "za krótki", "pl")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[100 + i].kept and got[100 + i].word_distance is None for i in range(19))
+    assert got[200].base_failed and not got[200].kept
+
+
+def test_quality_references_past_the_most_frequent_languages(spark):
+    """Each language is judged by its own reference, however many languages there are."""
+    junk = " ".join(f"{w}###" for w in rare_prose(5, 200).split())
+    rows = [(1000 * k + i, (prose if k < 2 else rare_prose)(i, 150), lang) for k, lang in enumerate(("en", "de", "pl", "cs"))
+            for i in range(40 - k)] + [(5000, junk, "pl"), (5001, junk, "cs"), (5002, prose(3, 150), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {r.doc_id: r for r in quality.judge(docs).collect()}
+    got = {r.doc_id: r for r in quality.judge(docs, max_languages=2).collect()}
+    assert got == want and len(got) == len(rows)
+    assert [got[i].kept for i in (2000, 3000, 5000, 5001, 5002)] == [True, True, False, False, True]
+
+
 def test_quality_edge_rows(spark):
     rows = quality.judge(edge_table(spark, {"kept": "x", "n_words": "y"})).collect()
     assert [r.n_words for r in rows] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, *_ in sorted(
