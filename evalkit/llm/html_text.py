@@ -7,6 +7,9 @@ or comments settle a block at once. The second pass gives every undecided block
 or middling in stop words) the label of the nearest decided blocks, first of those in
 its own section of the page, then of the page.
 
+Stop words decide nothing on a page whose text has almost none of them, which is in a
+language the list does not hold: there length and link density alone decide.
+
 Defined cases: a null or empty page has no text; markup that is cut off or not closed
 is read as far as it goes; comments, scripts, styles and attributes never count as
 text; character references are decoded; white space inside a block becomes one space
@@ -160,8 +163,21 @@ class Blocks(HTMLParser):
             self.current.linked += len(data)
 
 
-def label(block: Block, text: str, stop_words: frozenset[str]) -> int | None:
-    """The first pass: a block on its own."""
+def stop_share(blocks: Sequence[Block], texts: Sequence[str], stop_words: frozenset[str]) -> tuple[list[float], float]:
+    """The share of stop words of each block, and that of the page: of its blocks that are
+    not short, not links, and not settled as bad by a name."""
+    shares, found, n = [], 0, 0
+    for b, t in zip(blocks, texts):
+        words = t.split()
+        hits = sum(w.strip(".,;:!?'\"()").lower() in stop_words for w in words)
+        shares.append(hits / max(1, len(words)))
+        if b.zone is not BAD and len(t) >= SHORT and b.linked <= MAX_LINKED * len(t):
+            found, n = found + hits, n + len(words)
+    return shares, found / max(1, n)
+
+
+def label(block: Block, text: str, share: float, page_share: float) -> int | None:
+    """The first pass: a block on its own, but for the language of the page."""
     if block.zone is BAD:
         return BAD
     if block.zone is not GOOD and (block.linked > MAX_LINKED * len(text)
@@ -169,8 +185,8 @@ def label(block: Block, text: str, stop_words: frozenset[str]) -> int | None:
         return BAD
     if len(text) < SHORT:
         return UNDECIDED
-    words = text.split()
-    share = sum(w.strip(".,;:!?'\"()").lower() in stop_words for w in words) / len(words)
+    if page_share < LOW_STOP:
+        return GOOD
     if share >= HIGH_STOP and len(text) >= LONG:
         return GOOD
     if share < LOW_STOP and block.zone is not GOOD:
@@ -206,7 +222,8 @@ def main_text(html: str | None, stop_words: frozenset[str]) -> str:
         return ""
     blocks = Blocks(html).blocks
     texts = [SPACES.sub(" ", "".join(b.parts)).strip() for b in blocks]
-    labels = [label(b, t, stop_words) for b, t in zip(blocks, texts)]
+    shares, page_share = stop_share(blocks, texts, stop_words)
+    labels = [label(b, t, s, page_share) for b, t, s in zip(blocks, texts, shares)]
     # what an element's name settles as bad says nothing of the text around it
     rest = [i for i, b in enumerate(blocks) if b.zone is not BAD]
     kept = spread([labels[i] for i in rest], [blocks[i].section for i in rest], [blocks[i].zone for i in rest])

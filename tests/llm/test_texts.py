@@ -161,6 +161,24 @@ def test_main_text(html, text):
     assert html_text.main_text(html, STOP) == text
 
 
+FOREIGN = {
+    "pl": "Strażnik ogrodu opuścił dom wczesnym rankiem, ponieważ rzeka wylała nocą. Sąsiedzi pomagali przenosić łodzie, "
+          "sieci oraz zimowe zapasy. Wieczorem wszyscy wrócili zmęczeni, lecz zadowoleni, że niczego nie stracili.",
+    "ru": "Сторож сада ушёл из дома рано утром, потому что ночью разлилась река. Соседи помогали переносить лодки и сети. "
+          "Вечером все вернулись усталые, но довольные тем, что ничего не потеряли.",
+    "ja": "庭の番人は朝早く家を出た。夜のうちに川があふれたからである。隣の人たちは舟と網と冬の蓄えを運ぶのを手伝った。"
+          "夕方にはみな疲れて帰ってきたが、何も失わなかったことを喜んでいた。そして火のまわりで長いあいだ話をした。",
+}
+
+
+@pytest.mark.parametrize("lang", FOREIGN)
+def test_main_text_in_a_language_without_stop_words(lang):
+    text = FOREIGN[lang]
+    menu = "<ul><li><a href=a>Dom</a></li><li><a href=b>Inne</a></li></ul>"
+    html = page(menu, f"<div><h1>Rzeka</h1><p>{text}</p><p>{text}</p></div>", f"<div class=ad>{text}</div>", menu)
+    assert html_text.main_text(html, STOP) == f"Rzeka {text} {text}"
+
+
 def test_op4_query_gives_the_article(spark):
     import html as H
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
