@@ -3,9 +3,12 @@
 Markup is cut into text blocks at block-level tags. The first pass classifies each
 block on its own: link density, length and stop-word density; elements, roles and
 class names that mark menus, headers, footers, side columns, notices, adverts, forms
-or comments settle a block at once. The second pass gives every undecided block (short,
-or middling in stop words) the label of the nearest decided blocks, first of those in
-its own section of the page, then of the page.
+or comments settle a block at once, unless an article inside them opens a zone of its
+own. Names of main text decide where a block's own text does not: link density is
+judged inside them too, stop words inside class names. A form that holds most of the
+page's text is its wrapper and says nothing. The second pass
+gives every undecided block (short, or middling in stop words) the label of the nearest
+decided blocks, first of those in its own section of the page, then of the page.
 
 Stop words decide nothing on a page whose text has almost none of them, which is in a
 language the list does not hold: there length and link density alone decide.
@@ -21,6 +24,7 @@ result column give way to it.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -48,7 +52,7 @@ SILENT_TAGS = frozenset("script style noscript template iframe object svg math c
                         " textarea button datalist".split())
 #: Elements that open a section, and of these the ones that are never main text.
 SECTION_TAGS = frozenset("article aside body dialog div footer form header main nav search section".split())
-BAD_TAGS = frozenset("aside dialog footer form menu nav search".split())
+BAD_TAGS = frozenset("aside dialog footer menu nav search".split())
 MAIN_TAGS = frozenset("article main".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note"
@@ -60,35 +64,61 @@ menu modal nav navbar navigation newsletter notice overlay pagination pager popu
 recommended related reply respond share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe
 syndication tags toolbar widget""".split())
 MAIN_WORDS = frozenset("article articlebody content entry maincontent post posttext story storybody".split())
+#: Parts of a name beside those words that leave their meaning; any other part changes it
+#: (has-sidebar, no-header, with-navbar).
+PLACE_WORDS = frozenset("""area articles bar block body bottom box btn button buttons col column container div el elem
+element fixed form global group holder icon icons inner item items js left link links list main mobile module outer page
+panel post posts primary right row secondary section site sticky text title top widgets wp wrap wrapper""".split())
+#: Names of lists of others' texts, whose articles are not the page's.
+OTHERS_WORDS = frozenset("""ad ads adbox advert advertisement advertising adverts comment comments commentlist disqus promo
+promoted promotion recommended related reply respond shoutbox sponsor sponsored""".split())
 WORD_PARTS = re.compile(r"[a-z]+|[0-9]+")
 SPACES = re.compile(r"\s+")
 COPYRIGHT = re.compile(r"©|\(c\) ?(19|20)\d\d|\ball rights reserved\b", re.I)
 
-GOOD, BAD, UNDECIDED = 1, 0, None
+#: Zones are labels too, and MAIN: an element of main text (GOOD: a class name of it), and
+#: CLOSED: bad, and an article inside is not the page's either.
+MAIN, GOOD, BAD, CLOSED, UNDECIDED = 2, 1, 0, -1, None
 
 
 @dataclass
 class Block:
     section: int
-    zone: int | None  # GOOD: inside an element of main text, BAD: inside one that never is
+    zone: int | None  # MAIN, GOOD: inside an element of main text or one named so, BAD: inside one that never is
+    form: int  # the number of the form around it, 0 without one
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     heading: bool = False
+    code: bool = False
+
+
+def named_words(attrs: dict[str, str | None]) -> set[str]:
+    """The words of lists above that an element's class and id say as whole names: a name's
+    other parts must be of these lists, of places, or numbers."""
+    found = set()
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split():
+        if name in BAD_WORDS or name in MAIN_WORDS:
+            found.add(name)
+            continue
+        parts = set(WORD_PARTS.findall(name))
+        bad, main = parts & BAD_WORDS, parts & MAIN_WORDS
+        if all(p.isdigit() or p in PLACE_WORDS for p in parts - bad - main) and not (bad and "content" in main):
+            found |= bad or main
+    return found
 
 
 def zone_of(tag: str, attrs: dict[str, str | None]) -> int | None:
     """What an element's name, role, class and id say of its text."""
     role = (attrs.get("role") or "").lower()
     if tag in BAD_TAGS or role in BAD_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return BAD
-    named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
-    words = set(named.split()) | set(WORD_PARTS.findall(named))
+        return CLOSED
+    words = named_words(attrs)
     if tag in MAIN_TAGS or role in ("main", "article") or (attrs.get("itemprop") or "").lower() == "articlebody":
-        return BAD if words & {"comment", "comments"} else GOOD
+        return CLOSED if words & {"comment", "comments"} else MAIN
     if tag in ("html", "body"):
         return UNDECIDED
     if words & BAD_WORDS:
-        return BAD
+        return CLOSED if words & OTHERS_WORDS else BAD
     return GOOD if words & MAIN_WORDS else UNDECIDED
 
 
@@ -98,8 +128,8 @@ class Blocks(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, int, int | None]] = []  # tag, section, zone
-        self.sections = self.silent = self.links = 0
+        self.open: list[tuple[str, int, int | None, int]] = []  # tag, section, zone, form
+        self.sections = self.silent = self.links = self.pres = 0
         self.current: Block | None = None
         self.feed(html)
         self.close()
@@ -118,34 +148,39 @@ class Blocks(HTMLParser):
         if tag == "p" or tag == "li":  # their end tags are often left out
             if self.open and self.open[-1][0] == tag:
                 self.handle_endtag(tag)
-        _, section, zone = self.open[-1] if self.open else ("", 0, UNDECIDED)
+        _, section, zone, form = self.open[-1] if self.open else ("", 0, UNDECIDED, 0)
         own = zone_of(tag, dict(attrs))
-        if tag == "header" and zone is not GOOD:
+        if tag == "header" and zone not in (GOOD, MAIN):
             own = BAD
-        if own is not UNDECIDED and zone is not BAD:
-            zone = own
+        opens = tag in MAIN_TAGS and own is MAIN and (zone is not CLOSED or tag == "main")
+        if own is not UNDECIDED and zone not in (BAD, CLOSED) or opens or own is CLOSED:
+            zone = MAIN if zone is MAIN and own is GOOD else own
         if tag in SECTION_TAGS or own is not UNDECIDED:
             self.sections += 1
             section = self.sections
-        self.open.append((tag, section, zone))
+        if tag == "form" or opens:
+            form = 0 if opens else section
+        self.open.append((tag, section, zone, form))
         self.silent += tag in SILENT_TAGS
         self.links += tag == "a"
+        self.pres += tag == "pre"
 
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self.cut()
-        if not any(t == tag for t, _, _ in self.open):
+        if not any(t == tag for t, *_ in self.open):
             return
         # a section's end closes what is open inside it; an inner end tag never closes a section
-        for t, _, _ in reversed(self.open):
+        for t, *_ in reversed(self.open):
             if t == tag:
                 break
             if t in SECTION_TAGS and tag not in SECTION_TAGS and tag not in ("html",):
                 return
         while self.open:
-            t, _, _ = self.open.pop()
+            t, *_ = self.open.pop()
             self.silent -= t in SILENT_TAGS
             self.links -= t == "a"
+            self.pres -= t == "pre"
             if t == tag:
                 return
 
@@ -155,9 +190,10 @@ class Blocks(HTMLParser):
         if self.current is None:
             if not data.strip():
                 return
-            _, section, zone = self.open[-1] if self.open else ("", 0, UNDECIDED)
-            self.current = Block(section, zone)
-            self.current.heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _, _ in self.open[-3:])
+            _, section, zone, form = self.open[-1] if self.open else ("", 0, UNDECIDED, 0)
+            self.current = Block(section, BAD if zone is CLOSED else zone, form)
+            self.current.heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, *_ in self.open[-3:])
+            self.current.code = self.pres > 0
         self.current.parts.append(data)
         if self.links:
             self.current.linked += len(data)
@@ -180,20 +216,34 @@ def label(block: Block, text: str, share: float, page_share: float) -> int | Non
     """The first pass: a block on its own, but for the language of the page."""
     if block.zone is BAD:
         return BAD
-    if block.zone is not GOOD and (block.linked > MAX_LINKED * len(text)
-                                   or len(text) < LONG and COPYRIGHT.search(text)):
+    named = block.zone in (GOOD, MAIN)
+    if block.linked > MAX_LINKED * len(text) or not named and len(text) < LONG and COPYRIGHT.search(text):
         return BAD
-    if len(text) < SHORT:
+    if len(text) < SHORT or named and block.code:
         return UNDECIDED
     if page_share < LOW_STOP:
         return GOOD
     if share >= HIGH_STOP and len(text) >= LONG:
         return GOOD
-    if share < LOW_STOP and block.zone is not GOOD:
+    # a short run of words may lack stop words by chance, which is no proof against a class
+    # name; lists and tables of an article's own lack them as well
+    if share < LOW_STOP and (not named or block.zone is GOOD and len(text) >= LONG):
         return BAD
     return UNDECIDED
 
 
+def settle_forms(blocks: Sequence[Block], texts: Sequence[str]) -> None:
+    """The blocks of a form are bad, unless it holds more than half of the text that no name
+    settles as bad: then it wraps the page."""
+    chars: Counter[int] = Counter()
+    for b, t in zip(blocks, texts):
+        if b.zone is not BAD:
+            chars[b.form] += len(t)
+    for b in blocks:
+        if b.form and 2 * chars[b.form] <= chars.total():
+            b.zone = BAD
+
+
 def spread(labels: Sequence[int | None], sections: Sequence[int], fallback: Sequence[int | None]) -> list[bool]:
     """The second pass: undecided blocks take the label of the nearest decided block of
     their section (the better one at equal distance), else what the section says of
@@ -222,11 +272,14 @@ def main_text(html: str | None, stop_words: frozenset[str]) -> str:
         return ""
     blocks = Blocks(html).blocks
     texts = [SPACES.sub(" ", "".join(b.parts)).strip() for b in blocks]
+    settle_forms(blocks, texts)
     shares, page_share = stop_share(blocks, texts, stop_words)
     labels = [label(b, t, s, page_share) for b, t, s in zip(blocks, texts, shares)]
     # what an element's name settles as bad says nothing of the text around it
     rest = [i for i, b in enumerate(blocks) if b.zone is not BAD]
     kept = spread([labels[i] for i in rest], [blocks[i].section for i in rest], [blocks[i].zone for i in rest])
+    # inside an element named as main text only what a block's own text says drops it
+    kept = [labels[i] is not BAD if blocks[i].zone in (GOOD, MAIN) else k for i, k in zip(rest, kept)]
     return " ".join(texts[i] for i, k in zip(rest, kept) if k and texts[i])
 
 

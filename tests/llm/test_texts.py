@@ -161,6 +161,29 @@ def test_main_text(html, text):
     assert html_text.main_text(html, STOP) == text
 
 
+LINKS = "<ul>" + "".join(f"<li><a href=x{i}>Another story of the day</a></li>" for i in range(4)) + "</ul>"
+ADVERT = "Buy cheap watches online today: best prices, free shipping, limited offer, order now, premium quality! "
+ADVERT = (ADVERT * 2).strip()
+
+
+@pytest.mark.parametrize("html, text", [
+    (page(f"<div class='has-sidebar'><p>{BODY}</p><p>Yes.</p></div>"), f"{BODY} Yes."),
+    (page(f"<div id='content' class='no-sidebar'><p>{BODY}</p></div>"), BODY),
+    (page(f"<div class='page with-navbar'><p>{BODY}</p></div>"), BODY),
+    (page(f"<div class='site-header'>{BODY}</div><p>{BODY}</p><div id=left-sidebar-2>{BODY}</div>"), BODY),
+    (page(f"<div class=sidebar><p>{BODY}</p><article><p>{BODY}</p><p>Yes.</p></article></div>"), f"{BODY} Yes."),
+    (page(f"<header><p>Site</p><main><p>{BODY}</p></main></header>"), BODY),
+    (page(f"<div class=comments><article><p>{BODY}</p></article></div><p>{BODY}</p>"), BODY),
+    (page(f"<form><div class=menu>Home</div><p>{BODY}</p><p>{BODY}</p></form><div>Page 1</div>"), f"{BODY} {BODY} Page 1"),
+    (page(f"<form><label>Name</label><article><p>{BODY}</p></article></form>"), BODY),
+    (page(f"<article><p>{BODY}</p>{LINKS}<p>Yes.</p></article>"), f"{BODY} Yes."),
+    (page(f"<div class=content><p>{BODY}</p><div>{ADVERT}</div></div>"), BODY),
+    (page(f"<main><p>{BODY}</p><pre>{'x = f(y); ' * 20}</pre></main>"), f"{BODY} {('x = f(y); ' * 20).strip()}"),
+])
+def test_main_text_names_are_no_verdict(html, text):
+    assert html_text.main_text(html, STOP) == text
+
+
 FOREIGN = {
     "pl": "Strażnik ogrodu opuścił dom wczesnym rankiem, ponieważ rzeka wylała nocą. Sąsiedzi pomagali przenosić łodzie, "
           "sieci oraz zimowe zapasy. Wieczorem wszyscy wrócili zmęczeni, lecz zadowoleni, że niczego nie stracili.",
