@@ -35,16 +35,12 @@ def write_results_json(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     df.write.mode(mode).json(path)
 
 
-def write_results_json_array(df: DataFrame, path: str) -> None:
-    """One JSON array of objects, as a single result file. The rows are written by one
-    task in their order, one at a time; use JSON lines for results of any size."""
-    shared, folder = shared_files(path)
-    shared.create_dir(folder.rpartition("/")[0], recursive=True)
-    opener = shared_files
-
+def _array_writer(opener, place_of):
+    """Writes a task's rows as one array; nested, so it travels to the workers by value."""
     def write(batches):
         import pyarrow as pa
-        fs, place = opener(path)
+        from pyspark import TaskContext
+        fs, place = opener(place_of(TaskContext.get().partitionId()))
         n = 0
         with fs.open_output_stream(place) as sink:
             sink.write(b"[")
@@ -54,9 +50,33 @@ def write_results_json_array(df: DataFrame, path: str) -> None:
                     n += 1
             sink.write(b"\n]\n")
         yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
+    return write
+
+
+def write_results_json_arrays(df: DataFrame, path: str) -> None:
+    """Results of any size as JSON arrays of objects, one file per partition in a folder,
+    which is emptied before; each task writes its own rows in their order, one at a time.
+    For a file per run, partition ``df`` by the run."""
+    shared, folder = shared_files(path)
+    shared.create_dir(folder, recursive=True)
+    shared.delete_dir_contents(folder)
+    base = path.rstrip("/")
+    _json_rows(df).mapInArrow(_array_writer(shared_files, lambda i: f"{base}/part-{i:05d}.json"), "n long"
+                              ).write.format("noop").mode("overwrite").save()
+
+
+def write_results_json_array(df: DataFrame, path: str) -> None:
+    """One JSON array of objects, as a single result file, of a bounded table: one task
+    reads and writes all rows, in their order, one at a time. For results of any size use
+    ``write_results_json_arrays`` or JSON lines."""
+    shared, folder = shared_files(path)
+    shared.create_dir(folder.rpartition("/")[0], recursive=True)
+    _json_rows(df).coalesce(1).mapInArrow(_array_writer(shared_files, lambda _: path), "n long"
+                                          ).write.format("noop").mode("overwrite").save()
+
 
-    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "true"}).alias("row"))
-    rows.coalesce(1).mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+def _json_rows(df: DataFrame) -> DataFrame:
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "true"}).alias("row"))
 
 
 def read_results_json(spark: SparkSession, path: str, schema: str | StructType = RESULTS_SCHEMA,

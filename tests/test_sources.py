@@ -45,6 +45,17 @@ def test_results_as_one_json_array(spark):
     assert sorted(map(tuple, back.collect())) == [(1, "é \"x\"", None), (2, "y", 0.5)]
 
 
+def test_results_as_json_arrays_of_each_partition(spark):
+    d = tempfile.mkdtemp(prefix="evalkit-arrays-") + "/runs"
+    IO.write_results_json_arrays(spark.range(5, numPartitions=5), f"file://{d}")
+    IO.write_results_json_arrays(spark.range(1000, numPartitions=4), f"file://{d}")
+    files = sorted(os.listdir(d))
+    assert files == [f"part-{i:05d}.json" for i in range(4)]
+    arrays = [json.load(open(f"{d}/{f}", encoding="utf-8")) for f in files]
+    assert [len(a) for a in arrays] == [250] * 4 and [r["id"] for a in arrays for r in a] == list(range(1000))
+    assert IO.read_results_json(spark, d, "id long", multiline=True).count() == 1000
+
+
 def test_write_once(spark):
     d = tempfile.mkdtemp(prefix="evalkit-once-") + "/t"
     IO.write_once(spark.range(3), d)
