@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalkit.llm import bpe, fingerprint, html_text, langid, lm_score, mixing, near_dup, quality, token_count, token_files
+from evalkit.llm import (bpe, fingerprint, hard_negatives, html_text, langid, lm_score, merkle, mixing, near_dup,
+                         piece_bpe, quality, token_count, token_files)
 from evalkit.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +124,98 @@ GROUP BY d.rid, d.doc_id
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_score.scores(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scored.withColumn("lm_score", F.round("lm_score", 6))
+
+
+@register("op13_piece_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = piece_bpe.encode_documents(docs, tokenizer_file("piece_bpe_32k.model"), arrays=False)
+    return encoded.select("doc_id", piece_bpe.n_ids(F.col("packed")).alias("n_tokens"),
+                          F.sha2("packed", 256).alias("ids_sha256"),
+                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def _leaf_sql(text: str) -> str:
+    def written(c: str) -> str:
+        c = f"CAST({c} AS VARCHAR)"
+        return f"coalesce(CAST(octet_length(encode({c})) AS VARCHAR) || ':' || {c}, '-')"
+    return f"sha256({' || '.join(map(written, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+
+
+def _crc_table_sql() -> str:
+    """The table of crc32: eight steps over the bits of every byte."""
+    rows = "(SELECT n, n AS c FROM range(256) r(n))"
+    for _ in range(8):
+        rows = f"(SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM {rows})"
+    return f"SELECT list(c ORDER BY n) AS t FROM {rows}"
+
+
+@register("op12_merkle_manifest", oracle=f"""
+WITH RECURSIVE crc AS ({_crc_table_sql()}),
+rows AS (
+  SELECT row_number() OVER () AS rid, *, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+      list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda a, x: xor(a >> 8, t[CAST((xor(a, x) & 255) + 1 AS INTEGER)])) AS rest
+  FROM documents, crc),
+leaves AS (
+  SELECT rid, doc_id, lang, {_leaf_sql('text')} AS leaf,
+    CASE WHEN xor(rest, 4294967295) % 3 = 0
+         THEN {_leaf_sql(f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')")} END AS other FROM rows),
+ranked AS (
+  SELECT *, coalesce(other, leaf) AS presented, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+lv(g, l, i, d) AS (
+  SELECT g, 0, pos, leaf FROM ranked UNION ALL
+  SELECT g, l + 1, i >> 3, sha256(string_agg(d, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM lv) x WHERE n > 1 GROUP BY g, l, i >> 3),
+sub AS (SELECT g, l AS h, min(d) AS d FROM lv GROUP BY g, l HAVING count(*) = 1),
+tp(l, i, d) AS (
+  SELECT 0, g, d FROM sub UNION ALL
+  SELECT l + 1, i >> 3, sha256(string_agg(d, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER () AS n FROM tp) x WHERE n > 1 GROUP BY l, i >> 3),
+root AS (SELECT d FROM tp ORDER BY l DESC LIMIT 1), top AS (SELECT max(l) AS h FROM tp),
+runs AS (
+  SELECT rid, lv.l AS k, pos >> (3 * lv.l) AS own, lv.i, lv.d
+  FROM ranked r JOIN sub s USING (g) JOIN lv ON lv.g = r.g AND lv.l < s.h AND lv.i >> 3 = pos >> (3 * lv.l + 3)
+  UNION ALL
+  SELECT rid, s.h + tp.l, g >> (3 * tp.l), tp.i, tp.d
+  FROM ranked r JOIN sub s USING (g), tp, top WHERE tp.l < top.h AND tp.i >> 3 = g >> (3 * tp.l + 3)),
+proof AS (SELECT rid, string_agg(d, '' ORDER BY k, i) AS p FROM runs WHERE i <> own GROUP BY rid),
+fold(rid, k, d) AS (
+  SELECT rid, 0, presented FROM ranked UNION ALL
+  SELECT f.rid, f.k + 1, sha256(string_agg(CASE WHEN r.i = r.own THEN f.d ELSE r.d END, '' ORDER BY r.i))
+  FROM fold f JOIN runs r ON r.rid = f.rid AND r.k = f.k GROUP BY f.rid, f.k),
+folded AS (SELECT rid, arg_max(d, k) AS d FROM fold GROUP BY rid)
+SELECT doc_id, leaf, s.d AS subroot, root.d AS root, sha256(coalesce(p, '')) AS proof_sha256, f.d AS folded_root,
+  f.d = root.d AS verified
+FROM ranked r JOIN sub s USING (g) JOIN folded f USING (rid) LEFT JOIN proof USING (rid), root
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    audited = merkle.audit(docs, tampered, merkle.lowered(F.col("text")))
+    return audited.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@register("op11_hard_negatives", oracle="""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM e WHERE vec_id % 100 = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = e.label AS same, e.vec_id AS id,
+        CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score FROM a, e WHERE a.vec_id <> e.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score,
+        row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS slot FROM s WHERE same),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, slot ORDER BY s.score DESC, s.id) AS rank
+      FROM p JOIN s USING (anchor_id)
+      WHERE slot <= 5 AND NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 10
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.whole_vectors(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label)
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
