@@ -113,10 +113,19 @@ def calibration_finals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("k").alias("arg_key"), F.col("event_type").alias("arg_value"))
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX15: the conversations with what real message tables hold besides: messages without a
+    conversation, without a turn, with the turn of their predecessor, and turns far apart."""
+    return table(spark, sf_dir, "conversations").selectExpr(
+        "CASE WHEN pmod(conv_id, 13) <> 5 THEN conv_id END AS conv_id",
+        """CASE WHEN pmod(conv_id + turn, 17) = 3 THEN NULL WHEN pmod(conv_id, 5) = 2 THEN turn * 1000003
+                WHEN pmod(conv_id * 3 + turn, 19) = 4 THEN greatest(turn - 1, 0) ELSE turn END AS turn""",
+        "role", "text")
+
+
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FX5: conversations with control words typed by the user."""
-    conv = table(spark, sf_dir, "conversations")
-    return conv.selectExpr(
+    """FX5: conversations (FX15) with control words typed by the user."""
+    return messages(spark, sf_dir).selectExpr(
         "conv_id", "turn", "role",
         """CASE WHEN pmod(conv_id + turn, 7) = 0 THEN 'reset'
                 WHEN pmod(conv_id, 10) = 0 AND turn = 4 THEN 'quit'
@@ -211,6 +220,18 @@ def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
              ELSE concat('Model compile error at node ', cast(event_id as string)) END AS message""")
 
 
+def failed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX16: needle and tool-call runs that raised: the events of type ``error``, with the
+    messages of FX12."""
+    depths = ", ".join(f"cast({d} as double)" for d in pools.QUICK_DEPTHS)
+    cells = table(spark, sf_dir, "events").filter("event_type = 'error'").selectExpr(
+        "event_id", "event_id AS id", CTX5.format(id="event_id") + " AS context_length",
+        f"element_at(array({depths}), cast(pmod(event_id, 3) + 1 as int)) AS depth", passkey_sql("event_id") + " AS passkey",
+        "CASE WHEN pmod(event_id div 2, 2) = 0 THEN 'tool_call' ELSE 'tool_call_hard' END AS test",
+        "event_type AS expected_tool", "concat('Call ', event_type, ' for event ', cast(event_id as string)) AS instruction")
+    return cells.join(job_log(spark, sf_dir), "event_id")
+
+
 def chat_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX13: chat-completion reply JSON per conversation turn; usage only on even turns."""
     conv = table(spark, sf_dir, "conversations")

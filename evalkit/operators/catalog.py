@@ -3,7 +3,7 @@ A10, J3-J6, T5, U2, W1, W3).
 
 Catalog tables are small next to the data they describe, but nothing here
 assumes that: orders go through ``global_index`` (range partitioning), prefix
-matching is an equi-join on prefixes of the targets' lengths, groups are aggregated partially."""
+matching is an ordered join with the next file name, groups are aggregated partially."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evalkit import pools
 from evalkit.functions import tensors as TF
-from evalkit.plans.ordering import global_index, running_sum
+from evalkit.plans.ordering import global_index, running_sum, successors
 
 # ---- fixed values -----------------------------------------------------------
 COMPONENTS = ["weight", "scale", "zero_point"]
@@ -108,7 +108,7 @@ def append_layout(cat: DataFrame, router_pattern: str = "mlp.gate.weight") -> Da
                 .otherwise(F.col("size")))
     order = F.col("layer") * 3 + F.array_position(F.array(*[F.lit(c) for c in COMPONENTS]), F.col("component")) - 1
     r = r.withColumn("new_size", new_size.cast("long")).withColumn("_o", order.cast("long"))
-    r = running_sum(r, ["model"], "_o", "new_size", "_before", inclusive=False)
+    r = running_sum(r, ["model"], "_o", "new_size", "_before", inclusive=False, ties=["id"])
     return (r.join(base, "model")
             .select("model", "layer", "component", "id", "new_size",
                     (F.col("base") + F.col("_before")).cast("long").alias("new_offset")))
@@ -162,26 +162,25 @@ def mapping_file_lookup(targets: DataFrame, files: DataFrame, key: str = "saved_
     ``name.safetensors``, else ``name``, else the first file (by name) that
     starts with ``name``; ``missing`` when none.
 
-    Each file yields one key per form: the name without the suffix, the whole name, and
-    its prefixes of the lengths that target names have (a small aggregated set), so a
-    prefix all names share is no join key unless it is a target itself. One equi-join and
-    one minimum of (rank, file) then find the best candidate."""
-    scope = list(scope)
+    The files that start with a name follow it in the order of names, so the first of them is
+    the name's successor among the files, if it starts with the name at all: an ordered join
+    finds it, without spelling out prefixes. Null names are missing."""
+    scope, suffix = list(scope), ".safetensors"
     t = targets.select(*scope, key).distinct()
-    lengths = t.select(F.length(key).alias("n")).distinct().agg(F.sort_array(F.collect_set("n")).alias("_lens"))
-    f = files.select(*scope, "file").crossJoin(F.broadcast(lengths))  # one row: the distinct lengths
-    suffix = ".safetensors"
-    exact = F.when(F.col("file").endswith(suffix), F.array(F.struct(F.lit(1).alias("rank"), F.expr(
-        f"substring(file, 1, length(file) - {len(suffix)})").alias(key)))).otherwise(F.array().cast(f"array<struct<rank:int,{key}:string>>"))
-    shorter = F.transform(F.filter("_lens", lambda n: n < F.length("file")),
-                          lambda n: F.struct(F.lit(3).alias("rank"), F.substring(F.col("file"), F.lit(1), n).alias(key)))
-    whole = F.array(F.struct(F.lit(2).alias("rank"), F.col("file").alias(key)))
-    cands = f.select(*scope, "file", F.explode(F.concat(exact, whole, shorter)).alias("_c")).select(*scope, "file", "_c.*")
-    best = cands.groupBy(*scope, key).agg(F.min(F.struct("rank", "file")).alias("_b"))
-    out = t.join(best, [*scope, key], "left")
-    kind = (F.when(F.col("_b.rank") == 1, F.lit("safetensors")).when(F.col("_b.rank") == 2, F.lit("exact"))
-            .when(F.col("_b.rank") == 3, F.lit("prefix")).otherwise(F.lit("missing")))
-    return out.select(*scope, key, F.col("_b.file").alias("file"), kind.alias("match"))
+    f = files.select(*scope, "file").filter(F.col("file").isNotNull()).distinct()
+    near = successors(t, f, scope, key, "file", "_next")
+    whole = f.filter(F.col("file").endswith(suffix)).select(
+        *[F.col(c).alias(f"_{c}") for c in scope], F.col("file").alias("_whole"),
+        F.expr(f"substring(file, 1, length(file) - {len(suffix)})").alias("_stem"))
+    on = F.col(key) == F.col("_stem")
+    for c in scope:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = near.join(whole, on, "left")
+    exact, prefix = F.col("_next") == F.col(key), F.startswith(F.col("_next"), F.col(key))
+    kind = (F.when(F.col("_whole").isNotNull(), F.lit("safetensors")).when(exact, F.lit("exact"))
+            .when(prefix, F.lit("prefix")).otherwise(F.lit("missing")))
+    file = F.coalesce(F.col("_whole"), F.when(prefix, F.col("_next")))
+    return out.select(*scope, key, file.alias("file"), kind.alias("match"))
 
 
 def merge_batches(mapping: DataFrame, key: str = "saved_name", found: DataFrame | None = None) -> DataFrame:

@@ -1,29 +1,32 @@
 """Conversation-shaped window operators: budget packing (W2), chat sessions (W4),
 message numbering (W6), head/tail previews (F7).
 
-All per-conversation prefix sums go through ``plans.ordering.running_sum``, which
-splits a conversation into buckets of turns, so one enormous conversation does
-not end up in a single task."""
+All per-conversation prefix sums go through ``plans.ordering.running_sums``, which cuts an
+enormous conversation into buckets of about as many messages, so it does not end up in a
+single task. No message is lost: rows with a null key are one conversation, messages with a
+null turn come first in theirs, and messages of one turn are ordered by md5 of role and text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalkit.functions import text as T
-from evalkit.plans.ordering import running_max, running_sum, running_sums
+from evalkit.plans.ordering import BUCKET_ROWS, cut_keys, of_cut_keys, running_sum, running_sums, tie_of, with_offsets
 
 # ---- fixed values -----------------------------------------------------------
 MESSAGE_HEADER = "=== [%s] (msg %d/%d) ==="
 QUIT_WORDS = ("quit", "exit")
 RESET_WORD = "reset"
 # -----------------------------------------------------------------------------
+#: Columns that order messages of one turn.
+TIES = ("role", "text")
 #: Messages per chunk of a rendered conversation.
 CHUNK_MESSAGES = 256
 
 
 def pack_to_budget(msgs: DataFrame, budget: int | Column, key: str = "conv_id",
-                   order: str = "turn", tokens: Column | None = None) -> DataFrame:
+                   order: str = "turn", tokens: Column | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Keep messages while the running estimate *before* them is below the
     budget (so the message that crosses the budget is kept). Adds ``tokens``
     (chars // 4 unless given) and ``tokens_before``."""
@@ -31,43 +34,63 @@ def pack_to_budget(msgs: DataFrame, budget: int | Column, key: str = "conv_id",
     b = F.lit(budget) if not isinstance(budget, Column) else budget
     m = msgs.withColumn("tokens", tok)
     # whole buckets whose offset already reaches the budget are dropped before the window
-    out = running_sum(m, [key], order, "tokens", "tokens_before", inclusive=False,
+    out = running_sum(m, [key], order, "tokens", "tokens_before", inclusive=False, bucket_rows=bucket_rows, ties=TIES,
                       keep_bucket=(lambda off: off < b) if not isinstance(budget, Column) else None)
     return out.filter(F.col("tokens_before") < b)
 
 
 def session_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn",
-                  text: str = "text") -> DataFrame:
-    """Interactive chat bookkeeping over typed inputs. Empty inputs are
+                  text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Interactive chat bookkeeping over typed inputs. Empty and null inputs are
     skipped, ``reset`` starts a new session (turn counter back to 0), ``quit`` or
     ``exit`` ends the conversation (that row and all later rows dropped). Returns
     the counted rows with ``session`` (1-based) and ``session_turn`` (1-based).
 
-    Quits, resets and counted inputs are three running counts from one bucketed pass,
-    and the counted position at the last reset is a running maximum of the second; the
-    turn within a session is the difference, so no session is brought together."""
-    inp = F.lower(T.py_strip(text))
-    is_quit = inp.isin(*QUIT_WORDS)
-    is_reset = inp == RESET_WORD
+    A segmented scan: up to a row, the state is how many quits, resets and counted inputs
+    there were, and how many were counted at the last reset. States of consecutive runs of
+    rows compose (the first three add up; the last is the later run's, raised by what was
+    counted before it, or the earlier one's if the later run has no reset), so one exchange
+    brings buckets of a conversation together, and what precedes a bucket is composed from a
+    small table of the buckets' states."""
+    inp = F.coalesce(F.lower(T.py_strip(text)), F.lit(""))
+    is_quit, is_reset = inp.isin(*QUIT_WORDS), inp == RESET_WORD
     counted = (inp != "") & ~is_reset & ~is_quit
-    t = turns.withColumn("_counted_row", counted).withColumn("_reset_row", is_reset)
-    t = running_sums(t, [key], order, {
-        "_quits": F.when(is_quit, 1).otherwise(0),
-        "_resets": F.when(is_reset, 1).otherwise(0),
-        "_pos": F.when(counted, 1).otherwise(0)})
-    t = running_max(t, [key], order, F.when(F.col("_reset_row"), F.col("_pos")), "_start")
-    live = (t.filter((F.col("_quits") == 0) & F.col("_counted_row"))
-            .withColumn("session", (F.col("_resets") + 1).cast("long")))
-    turn = (F.col("_pos") - F.coalesce(F.col("_start"), F.lit(0))).cast("long")
-    return (live.withColumn("session_turn", turn)
-            .drop("_quits", "_resets", "_pos", "_start", "_counted_row", "_reset_row"))
-
-
-def message_numbering(msgs: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """``=== [role] (msg i/n) ===`` headers. ``i`` and ``n`` come from the totals of
-    one bucketed running count, so no conversation is brought together."""
-    numbered = running_sums(msgs, [key], order, {"msg_no": F.lit(1)}, totals={"msg_no": "n_msgs"})
-    header = F.format_string(MESSAGE_HEADER, F.col("role"), F.col("msg_no"), F.col("n_msgs"))
+    flagged = turns.withColumns({"_ek_quit": is_quit.cast("int"), "_ek_reset": is_reset.cast("int"), "_ek_in": counted.cast("int")})
+    cut, large = cut_keys(flagged, [key], order, [c for c in TIES if c in turns.columns] or [text], bucket_rows)
+    scanned = _scan(cut, key, order)
+    before = {n: F.lit(0) for n in ("_ek_q0", "_ek_r0", "_ek_p0", "_ek_s0")}
+    if large is not None:
+        flags = of_cut_keys(cut, large, [key]).select(key, order, "_ek_t", "_ek_b", "_ek_quit", "_ek_reset", "_ek_in")
+        ends = _scan(flags, key, order).groupBy(key, "_ek_b").agg(*[F.max(c).alias(c) for c in ("_ek_q", "_ek_r", "_ek_p", "_ek_s")])
+        earlier = Window.partitionBy(key).orderBy("_ek_b").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(key, "_ek_b", "_ek_s", *[F.coalesce(F.sum(f"_ek_{c}").over(earlier), F.lit(0)).alias(f"_ek_{c}0")
+                                                    for c in "qrp"])
+        # positions only grow, so the last reset before a bucket is the one at the highest position
+        ends = ends.withColumn("_ek_s0", F.max(F.col("_ek_p0") + F.col("_ek_s")).over(earlier)).drop("_ek_s")
+        scanned = with_offsets(scanned, ends, [key])
+        before = {n: F.coalesce(F.col(n), F.lit(0)) for n in before}
+    start = F.coalesce(before["_ek_p0"] + F.col("_ek_s"), before["_ek_s0"])
+    live = scanned.filter((F.col("_ek_q") + before["_ek_q0"] == 0) & (F.col("_ek_in") == 1))
+    return live.select(*turns.columns, (F.col("_ek_r") + before["_ek_r0"] + 1).cast("long").alias("session"),
+                       (F.col("_ek_p") + before["_ek_p0"] - start).cast("long").alias("session_turn"))
+
+
+def _scan(cut: DataFrame, key: str, order: str) -> DataFrame:
+    """The state at every row, counted from the start of its bucket."""
+    upto = (Window.partitionBy(key, "_ek_b").orderBy(order, "_ek_t")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = cut.withColumns({n: F.sum(f).over(upto) for n, f in (("_ek_q", "_ek_quit"), ("_ek_r", "_ek_reset"), ("_ek_p", "_ek_in"))})
+    return sums.withColumn("_ek_s", F.max(F.when(F.col("_ek_reset") == 1, F.col("_ek_p"))).over(upto))
+
+
+def message_numbering(msgs: DataFrame, key: str = "conv_id", order: str = "turn",
+                      bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``=== [role] (msg i/n) ===`` headers (a null role is written as ``None``). ``i``
+    and ``n`` come from one bucketed running count, so no conversation is brought together."""
+    numbered = running_sums(msgs, [key], order, {"msg_no": F.lit(1)}, totals={"msg_no": "n_msgs"}, ties=TIES,
+                            bucket_rows=bucket_rows)
+    role = F.coalesce(F.col("role"), F.lit("None"))
+    header = F.format_string(MESSAGE_HEADER, role, F.col("msg_no"), F.col("n_msgs"))
     return numbered.withColumn("header", header)
 
 
@@ -106,7 +129,7 @@ def render_messages(msgs: DataFrame, key: str = "conv_id", order: str = "turn",
 def join_chunks(numbered: DataFrame, piece: Column, key: str, order: str, chunk_messages: int, name: str) -> DataFrame:
     """Pieces of numbered messages joined per chunk, in order: (key, chunk, n_msgs, ``name``)."""
     chunk = F.floor((F.col("msg_no") - 1) / chunk_messages).cast("long")
-    parts = numbered.select(key, chunk.alias("chunk"), F.struct(F.col(order).alias("o"), piece.alias("p")).alias("s"))
+    parts = numbered.select(key, chunk.alias("chunk"), F.struct(F.col("msg_no").alias("o"), piece.alias("p")).alias("s"))
     return (parts.groupBy(key, "chunk")
             .agg(F.array_sort(F.collect_list("s")).alias("_ps"), F.count(F.lit(1)).alias("n_msgs"))
             .select(key, "chunk", "n_msgs", F.array_join(F.transform("_ps", lambda s: s["p"]), "").alias(name)))

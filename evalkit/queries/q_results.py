@@ -11,7 +11,7 @@ from evalkit.functions import text as T
 from evalkit.operators import packing, summaries as S
 from evalkit.queries import register
 from evalkit.queries.q_scoring import FX2, FX14
-from evalkit.queries.sqlfx import FX1, SCORED, strip_sql, words_sql
+from evalkit.queries.sqlfx import FX1, FX15, MESSAGE_ORDER, SCORED, strip_sql, words_sql
 from evalkit.queries.util import rounded
 from evalkit.sources.tables import table
 
@@ -138,24 +138,25 @@ def q_throughput_overall(spark, sf):
     return rounded(S.throughput_overall(fx.throughput_runs(spark, sf)))
 
 
-@register("pack_to_budget", """SELECT conv_id, turn, tokens, CAST(tokens_before AS BIGINT) AS tokens_before FROM (SELECT conv_id, turn, length(text) // 4 AS tokens,
-  coalesce(sum(length(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tokens_before
-  FROM conversations) x WHERE tokens_before < 300""")
+@register("pack_to_budget", f"""WITH {FX15} SELECT conv_id, turn, tokens, CAST(tokens_before AS BIGINT) AS tokens_before FROM (SELECT conv_id, turn, length(text) // 4 AS tokens,
+  coalesce(sum(length(text) // 4) OVER ({MESSAGE_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tokens_before
+  FROM fx15) x WHERE tokens_before < 300""")
 def q_pack_to_budget(spark, sf):
-    p = packing.pack_to_budget(table(spark, sf, "conversations"), 300)
+    p = packing.pack_to_budget(fx.messages(spark, sf), 300)
     return p.select("conv_id", "turn", "tokens", F.col("tokens_before").cast("long").alias("tokens_before"))
 
 
-FX5 = """fx5 AS (SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 7 = 0 THEN 'reset'
-    WHEN conv_id % 10 = 0 AND turn = 4 THEN 'quit' WHEN (conv_id + turn) % 11 = 0 THEN '' ELSE text END AS text FROM conversations)"""
+FX5 = f"""{FX15}, fx5 AS (SELECT conv_id, turn, text, md5(coalesce(role, '') || ':' || coalesce(text, '')) AS tie FROM (
+  SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 7 = 0 THEN 'reset'
+    WHEN conv_id % 10 = 0 AND turn = 4 THEN 'quit' WHEN (conv_id + turn) % 11 = 0 THEN '' ELSE text END AS text FROM fx15) c)"""
 
 
-@register("session_turns", f"""WITH {FX5}, f AS (SELECT *, lower({strip_sql('text')}) AS inp FROM fx5),
-  q AS (SELECT conv_id, min(turn) AS qt FROM f WHERE inp IN ('quit', 'exit') GROUP BY conv_id),
-  l AS (SELECT f.* FROM f LEFT JOIN q USING (conv_id) WHERE q.qt IS NULL OR f.turn < q.qt),
-  r AS (SELECT *, sum(CASE WHEN inp = 'reset' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS resets FROM l)
+@register("session_turns", f"""WITH {FX5}, f AS (SELECT *, lower({strip_sql('text')}) AS inp, row_number() OVER ({MESSAGE_ORDER}) AS pos FROM fx5),
+  q AS (SELECT conv_id, min(pos) AS qt FROM f WHERE inp IN ('quit', 'exit') GROUP BY conv_id),
+  l AS (SELECT f.* FROM f LEFT JOIN q ON f.conv_id IS NOT DISTINCT FROM q.conv_id WHERE q.qt IS NULL OR f.pos < q.qt),
+  r AS (SELECT *, sum(CASE WHEN inp = 'reset' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS resets FROM l)
   SELECT conv_id, turn, CAST(resets + 1 AS BIGINT) AS session,
-    row_number() OVER (PARTITION BY conv_id, resets ORDER BY turn) AS session_turn FROM r WHERE inp <> '' AND inp <> 'reset'""")
+    row_number() OVER (PARTITION BY conv_id, resets ORDER BY pos) AS session_turn FROM r WHERE inp <> '' AND inp <> 'reset'""")
 def q_session_turns(spark, sf):
     s = packing.session_turns(fx.chat_turns(spark, sf))
     return s.select("conv_id", "turn", "session", F.col("session_turn").cast("long").alias("session_turn"))
@@ -171,17 +172,17 @@ def q_first_valid_attempt(spark, sf):
     return S.first_valid_attempt(fx.attempts(spark, sf))
 
 
-@register("message_numbering", """SELECT conv_id, turn, row_number() OVER w AS msg_no, count(*) OVER (PARTITION BY conv_id) AS n_msgs,
+@register("message_numbering", f"""WITH {FX15} SELECT conv_id, turn, row_number() OVER w AS msg_no, count(*) OVER (PARTITION BY conv_id) AS n_msgs,
   '=== [' || role || '] (msg ' || CAST(row_number() OVER w AS VARCHAR) || '/' || CAST(count(*) OVER (PARTITION BY conv_id) AS VARCHAR) || ') ===' AS header
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+  FROM fx15 WINDOW w AS ({MESSAGE_ORDER})""")
 def q_message_numbering(spark, sf):
-    m = packing.message_numbering(table(spark, sf, "conversations"))
+    m = packing.message_numbering(fx.messages(spark, sf))
     return m.select("conv_id", "turn", F.col("msg_no").cast("long").alias("msg_no"), "n_msgs", "header")
 
 
-@register("head_tail_messages", """SELECT conv_id, turn, msg_no, n_msgs, CASE WHEN msg_no = n_msgs THEN text WHEN msg_no = 1 THEN substring(text, 1, 500)
-  ELSE substring(text, 1, 200) END AS preview FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS msg_no,
-  count(*) OVER (PARTITION BY conv_id) AS n_msgs FROM conversations) x WHERE msg_no <= 4 OR msg_no > n_msgs - 3""")
+@register("head_tail_messages", f"""WITH {FX15} SELECT conv_id, turn, msg_no, n_msgs, CASE WHEN msg_no = n_msgs THEN text WHEN msg_no = 1 THEN substring(text, 1, 500)
+  ELSE substring(text, 1, 200) END AS preview FROM (SELECT conv_id, turn, text, row_number() OVER ({MESSAGE_ORDER}) AS msg_no,
+  count(*) OVER (PARTITION BY conv_id) AS n_msgs FROM fx15) x WHERE msg_no <= 4 OR msg_no > n_msgs - 3""")
 def q_head_tail(spark, sf):
-    h = packing.head_tail_messages(table(spark, sf, "conversations"))
+    h = packing.head_tail_messages(fx.messages(spark, sf))
     return h.select("conv_id", "turn", F.col("msg_no").cast("long").alias("msg_no"), "n_msgs", "preview")

@@ -10,7 +10,7 @@ from evalkit.functions.scoring import score_status as status_col
 from evalkit.functions.scoring import score_tool_calls
 from evalkit.operators import chat, packing, summaries
 from evalkit.queries import register
-from evalkit.queries.sqlfx import FX1, NL, SCORED, clean_sql, strip_sql, words_sql
+from evalkit.queries.sqlfx import FX1, FX15, MESSAGE_ORDER, NL, SCORED, clean_sql, strip_sql, words_sql
 from evalkit.queries.util import rounded
 from evalkit.sources.tables import table
 
@@ -185,15 +185,15 @@ def q_report_before_fence(spark, sf):
     return fx.fenced_texts(spark, sf).select("doc_id", T.report_before_fence("response").alias("report"))
 
 
-@register("chat_request_json", f"""WITH num AS (SELECT conv_id, turn, role, text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS msg_no, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
-  p AS (SELECT conv_id, turn, (msg_no - 1) // {packing.CHUNK_MESSAGES} AS chunk,
+@register("chat_request_json", f"""WITH {FX15}, num AS (SELECT conv_id, role, text,
+    row_number() OVER ({MESSAGE_ORDER}) AS msg_no, count(*) OVER (PARTITION BY conv_id) AS n FROM fx15),
+  p AS (SELECT conv_id, msg_no, (msg_no - 1) // {packing.CHUNK_MESSAGES} AS chunk,
     CASE WHEN msg_no = 1 THEN '{{"model":"local-model","messages":[' ELSE ',' END
     || json_object('role', role, 'content', text)::VARCHAR
     || CASE WHEN msg_no = n THEN '],"max_tokens":256,"temperature":0.5}}' ELSE '' END AS piece FROM num)
-  SELECT conv_id, chunk, count(*) AS n_msgs, md5(string_agg(piece, '' ORDER BY turn)) AS request_md5 FROM p GROUP BY conv_id, chunk""")
+  SELECT conv_id, chunk, count(*) AS n_msgs, md5(string_agg(piece, '' ORDER BY msg_no)) AS request_md5 FROM p GROUP BY conv_id, chunk""")
 def q_chat_request(spark, sf):
-    req = chat.chat_requests(table(spark, sf, "conversations"), model="local-model", max_tokens=256, temperature=0.5)
+    req = chat.chat_requests(fx.messages(spark, sf), model="local-model", max_tokens=256, temperature=0.5)
     return req.select("conv_id", "chunk", "n_msgs", F.md5("request").alias("request_md5"))
 
 

@@ -27,6 +27,13 @@ def words_sql(x: str) -> str:
     return f"CAST(len(list_filter(regexp_split_to_array({x}, '{PY_WS}+'), lambda w: w <> '')) AS INTEGER)"
 
 
+# FX15, with what orders messages of one turn
+FX15 = """fx15 AS (SELECT *, md5(coalesce(role, '') || ':' || coalesce(text, '')) AS tie FROM (
+  SELECT CASE WHEN conv_id % 13 <> 5 THEN conv_id END AS conv_id,
+    CASE WHEN (conv_id + turn) % 17 = 3 THEN NULL WHEN conv_id % 5 = 2 THEN turn * 1000003
+         WHEN (conv_id * 3 + turn) % 19 = 4 THEN greatest(turn - 1, 0) ELSE turn END AS turn, role, text FROM conversations) m)"""
+MESSAGE_ORDER = "PARTITION BY conv_id ORDER BY turn NULLS FIRST, tie"
+
 CTX5 = "[4096, 8192, 16384, 24576, 32768][{id} % 5 + 1]"
 
 FX1 = f"""fx1 AS (

@@ -102,3 +102,67 @@ def test_properties_of_sessions(spark, texts):
         assert t < t2 and (turn2 == turn + 1 if session2 == session else session2 > session and turn2 == 1)
     assert all(texts[t] in ("hi", "x y") for t, _, _ in got) and (not got or got[0][2] == 1)
     assert all(s == 1 + sum(x.lower() == "reset" for x in texts[:t]) for t, s, _ in got)
+
+
+ODD = [(1, 0, "user", "x" * 40), (1, None, "user", "y" * 8), (None, 3, "user", "z" * 4), (None, None, None, "w"), (2, 0, "user", None)]
+
+
+def test_null_keys_turns_roles_and_texts_are_kept(spark):
+    df = _conv(spark, ODD)
+    assert packing.pack_to_budget(df, 100).count() == 5
+    assert sorted(((r.conv_id or 0, r.msg_no, r.n_msgs, r.header) for r in packing.message_numbering(df).collect())) == [
+        (0, 1, 2, "=== [None] (msg 1/2) ==="), (0, 2, 2, "=== [user] (msg 2/2) ==="),
+        (1, 1, 2, "=== [user] (msg 1/2) ==="), (1, 2, 2, "=== [user] (msg 2/2) ==="), (2, 1, 1, "=== [user] (msg 1/1) ===")]
+    assert sum(r.n_msgs for r in packing.render_messages(df).collect()) == 5
+    assert {r.conv_id: r.n_msgs for r in packing.prompt_cell_stats(df, ["conv_id"]).collect()} == {None: 2, 1: 2, 2: 1}
+    assert packing.head_tail_messages(df).count() == 5
+    from evalkit.operators import chat
+    assert sum(r.n_msgs for r in chat.chat_requests(df, "m", 1, 0.5).collect()) == 5
+    turns = sorted((r.conv_id or 0, r.turn or -1, r.session_turn) for r in packing.session_turns(df).collect())
+    assert turns == [(0, -1, 1), (0, 3, 2), (1, -1, 1), (1, -1, 2)]  # the null text is skipped; turn 0 is written as -1 here
+
+
+def test_turns_that_repeat_have_a_fixed_order(spark):
+    rows = [(1, 5, "user", f"t{i}") for i in range(30)]
+    orders = set()
+    for seed in range(3):
+        df = _conv(spark, rows).repartition(3 + seed)
+        orders.add(tuple(r.text for r in packing.message_numbering(df).orderBy("msg_no").collect()))
+    assert len(orders) == 1
+
+
+@pytest.mark.parametrize("bucket_rows", [10, 100_000])
+def test_sessions_of_a_huge_conversation_by_hand(spark, bucket_rows):
+    """Conversations of hundreds of inputs, cut into buckets: the composed states give what a
+    walk over the inputs gives."""
+    import random
+    rng = random.Random(3)
+    rows = []
+    for c in (1, 2, None):
+        turns = rng.sample(range(10**12), 400)
+        rows += [(c, t, "user", rng.choice(["a", "b", "reset", " ", "c"])) for t in turns]
+        if c == 2:
+            rows.append((c, sorted(turns)[350], "zz", "quit"))
+    want = {}
+    for c in (1, 2, None):
+        session, n = 1, 0
+        import hashlib
+        tie = lambda r: hashlib.md5(f"{r[2]}:{r[3]}".encode()).hexdigest()
+        for r in sorted((r for r in rows if r[0] == c), key=lambda r: (r[1], tie(r))):
+            word = r[3].strip().lower()
+            if word == "quit":
+                break
+            if word == "reset":
+                session, n = session + 1, 0
+            elif word:
+                n += 1
+                want[c, r[1], r[3]] = (session, n)
+    got = packing.session_turns(_conv(spark, rows), bucket_rows=bucket_rows).collect()
+    assert {(r.conv_id, r.turn, r.text): (r.session, r.session_turn) for r in got} == want and len(got) == len(want)
+
+
+def test_packing_a_huge_conversation_drops_whole_buckets(spark):
+    rows = [(1, i * 10**6, "user", "x" * 40) for i in range(500)] + [(None, i, "user", "y" * 40) for i in range(300)]
+    df = _conv(spark, rows)
+    got = packing.pack_to_budget(df, 1000, bucket_rows=20).collect()
+    assert sorted((r.conv_id or 0, r.turn) for r in got) == [(0, i) for i in range(100)] + [(1, i * 10**6) for i in range(100)]

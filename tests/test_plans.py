@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql.functions import lit as F_lit
 
 from evalkit.operators import catalog as K
-from evalkit.plans.ordering import exact_median, global_index, running_sum
+from evalkit.plans.ordering import exact_median, exact_medians, global_index, running_sum, running_sums, successors
 
 
 def test_global_index_is_a_total_order(spark):
@@ -90,7 +90,7 @@ def test_running_sum_across_buckets(spark):
     rows += [(99, t, 1) for t in range(500)]  # one hot key over many buckets
     df = spark.createDataFrame(rows, "k int, t int, v int")
     for inclusive in (True, False):
-        got = running_sum(df, ["k"], "t", "v", "s", inclusive=inclusive, bucket_size=7).toPandas()
+        got = running_sum(df, ["k"], "t", "v", "s", inclusive=inclusive, bucket_rows=7).toPandas()
         pdf = pd.DataFrame(rows, columns=["k", "t", "v"]).sort_values(["k", "t"])
         pdf["s"] = pdf.groupby("k")["v"].cumsum() - (0 if inclusive else pdf["v"])
         m = got.merge(pdf, on=["k", "t"], suffixes=("", "_w"))
@@ -101,7 +101,7 @@ def test_exact_median(spark):
     rng = random.Random(3)
     rows = [(g, rng.random() * 100) for g in "abc" for _ in range(rng.randint(1, 40))] + [("d", 5.0)]
     df = spark.createDataFrame(rows, "g string, x double")
-    got = {r.g: r.median for r in exact_median(df, ["g"], "x", num_partitions=5).collect()}
+    got = {r.g: r.median for r in exact_median(df, ["g"], "x").collect()}
     for g in "abcd":
         assert abs(got[g] - statistics.median([x for k, x in rows if k == g])) < 1e-9
     (overall,) = exact_median(df, [], "x").collect()
@@ -132,7 +132,6 @@ def test_exact_median_by_counts_and_stacked(spark):
     got = {r.g: r.m for r in exact_median(df, ["g"], "k", name="m", method="counts").collect()}
     for g in "abc":
         assert got[g] == statistics.median([k for h, k, _ in rows if h == g])
-    from evalkit.plans.ordering import exact_medians
     both = {r.g: (r.mk, r.mx) for r in exact_medians(df, ["g"], ["k", "x"], ["mk", "mx"]).collect()}
     for g in "abc":
         assert both[g][0] == statistics.median([k for h, k, _ in rows if h == g])
@@ -168,3 +167,109 @@ def test_hot_conversation_is_split_into_buckets(spark):
     assert all(g[c] == (40, 39) for c in range(2, 52))
     buckets = out.filter("conv_id = 1").select(F.floor(F.col("turn") / 4096).alias("b")).groupBy("b").count()
     assert buckets.agg(F.max("count")).first()[0] <= 4096
+
+
+def hand_sums(rows, inclusive=True):
+    """Running sums over (key, order, tie, value), in Python's order with nulls first."""
+    out, sums = {}, {}
+    for i, (k, o, t, v) in sorted(enumerate(rows), key=lambda r: (r[1][1] is not None, r[1][1] or 0, r[1][2])):
+        before = sums.get(k, 0)
+        sums[k] = before + (v or 0)
+        out[i] = sums[k] if inclusive else before
+    return out
+
+
+@pytest.mark.parametrize("orders", ["sparse", "timestamps", "one", "nulls", "dense"])
+def test_running_sums_lose_no_row_whatever_the_orders(spark, orders):
+    rng = random.Random(6)
+    of = {"sparse": lambda i: i * 10**9, "timestamps": lambda i: 1_700_000_000_000 + rng.randrange(10**9), "one": lambda i: 5,
+          "nulls": lambda i: None if i % 2 else i, "dense": lambda i: i}[orders]
+    rows = [(None if i % 7 == 0 else ("hot" if i % 3 else f"k{i % 11}"), of(i), f"t{i:05d}", rng.choice([None, 1, 2, 5])) for i in range(900)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, k string, o long, t string, v int")
+    # ties are ordered by md5 of the tie columns
+    import hashlib
+    hashed = [(k, o, hashlib.md5(t.encode()).hexdigest(), v) for k, o, t, v in rows]
+    totals = {}
+    for k, _, _, v in rows:
+        totals[k] = totals.get(k, 0) + (v or 0)
+    for inclusive in (True, False):
+        for size in (20, 100_000):
+            from pyspark.sql import functions as F
+            got = running_sums(df, ["k"], "o", {"s": F.col("v")}, inclusive, size, totals={"s": "all"}, ties=["t"]).collect()
+            assert {r.i: r.s for r in got} == hand_sums(hashed, inclusive) and len(got) == len(rows)
+            assert all(r["all"] == totals[r.k] for r in got)
+
+
+def test_buckets_hold_about_as_many_rows_on_sparse_orders(spark):
+    from pyspark.sql import functions as F
+    from evalkit.plans.ordering import cut_keys
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"),
+                                    (F.col("id") * F.col("id") * 1_000).alias("o"))
+    cut, large = cut_keys(df, ["k"], "o", [], bucket_rows=1000)
+    assert [r[0] for r in large.select("_ek_k0").collect()] == ["hot"]
+    per = [r["count"] for r in cut.filter("k = 'hot'").groupBy("_ek_b").count().collect()]
+    assert sum(per) == 20_000 and max(per) <= 1100 and len(per) >= 18
+    assert cut.count() == 60_000
+
+
+def test_sums_without_rows_or_columns_beside_the_key(spark):
+    from pyspark.sql import functions as F
+    assert running_sums(spark.createDataFrame([], "k int, o int"), ["k"], "o", {"s": F.lit(1)}).count() == 0
+    one = running_sums(spark.createDataFrame([(None, None)], "k int, o int"), ["k"], "o", {"s": F.lit(1)}).collect()
+    assert [tuple(r) for r in one] == [(None, None, 1)]
+
+
+MEDIAN_ROWS = {
+    "outlier": [1e12] + [random.Random(1).random() * 100 for _ in range(5000)],
+    "ties": [3.0] * 3000 + [float(i) for i in range(2000)],
+    "two values": [1.0, 2.0] * 2500,
+    "powers": [10.0 ** random.Random(i).uniform(-300, 300) for i in range(3001)],
+    "negative": [-float(i) ** 3 for i in range(2500)] + [0.0, -0.0],
+    "infinite": [float("inf")] * 40 + [float("-inf")] * 40 + [float(i) for i in range(1001)],
+}
+
+
+@pytest.mark.parametrize("kind", MEDIAN_ROWS)
+@pytest.mark.parametrize("n", [0, 1])
+def test_medians_by_splitters(spark, kind, n):
+    """Many rounds: few values may be ordered at once, few are drawn."""
+    values = MEDIAN_ROWS[kind][n:]
+    rows = [("a", x) for x in values] + [(None, 5.0), (None, 7.0), ("b", 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(4)
+    got = {r.g: r.m for r in exact_medians(df, ["g"], ["x"], ["m"], select_rows=60, drawn=100).collect()}
+    assert got == {"a": pytest.approx(statistics.median(values), rel=1e-15), None: 6.0, "b": 1.0}
+
+
+def test_no_task_orders_more_than_its_share_with_an_outlier(spark, monkeypatch):
+    """One value of 1e12 among many small ones: what is left between the splitters stays small."""
+    from pyspark.sql import functions as F
+    from evalkit.plans import ordering
+    seen, middle = [], ordering._middle_values
+
+    def watched(vals, keys, state):
+        seen.append(ordering._between(vals, state.filter("_v1 IS NULL"), keys).count())
+        return middle(vals, keys, state)
+    monkeypatch.setattr(ordering, "_middle_values", watched)
+    df = spark.range(400_000).select((F.col("id") % 100_003 / 1000.0).alias("x")).union(spark.range(1).select(F.lit(1e12)))
+    want = statistics.median([i % 100_003 / 1000.0 for i in range(400_000)] + [1e12])
+    assert exact_median(df, [], "x", select_rows=5000, drawn=4000).first().median == pytest.approx(want)
+    assert len(seen) == 1 and seen[0] <= 5000
+
+
+def test_nan_is_the_largest_value(spark):
+    rows = [(float("nan"),)] * 3 + [(float(i),) for i in range(4)]
+    assert exact_median(spark.createDataFrame(rows, "x double"), [], "x").first().median == 3.0
+    assert exact_median(spark.createDataFrame([], "x double"), [], "x").first().median is None
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_successors_match_brute_force(spark, parts):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("ab/") for _ in range(rng.randrange(1, 6)))
+    left = {(rng.choice([0, 1, None]), word()) for _ in range(150)} | {(0, None), (2, "zz"), (3, "a")}
+    right = {(rng.choice([0, 1, None, 2]), word()) for _ in range(120)} | {(0, None)}
+    t = spark.createDataFrame(list(left), "s int, k string")
+    f = spark.createDataFrame(list(right), "s int, o string")
+    got = {(r.s, r.k): r.n for r in successors(t, f, ["s"], "k", "o", "n", num_partitions=parts).collect()}
+    assert got == {(s, k): min((o for z, o in right if z == s and o is not None and k is not None and o >= k), default=None)
+                   for s, k in left}
