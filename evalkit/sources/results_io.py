@@ -3,6 +3,7 @@ the shared ``spark.checkpoint.dir``; see ``evalkit.session.scratch_path``)."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,50 +30,186 @@ def _file_opener():
 #: A nested function travels to the workers by value: they need not import this package.
 shared_files = _file_opener()
 
+# Files of given names are written in three steps. Every attempt of a task writes to files of
+# its own under ``_attempts``; the rows that name them are written as a table by Spark, which
+# keeps those of one attempt per task; then the files this table names are moved to their
+# final names. Moving can be repeated: a file that stands whole under its final name is done.
+ATTEMPTS = "_attempts"
+WRITTEN = "file string, place long, temp string, n_bytes long, n_chars long, n_parts long"
+
 
 def write_results_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines, UTF-8, non-ASCII kept as is."""
     df.write.mode(mode).json(path)
 
 
-def _array_writer(opener, place_of):
-    """Writes a task's rows as one array; nested, so it travels to the workers by value."""
+def _attempt_writer(opener, path, framed, place_of):
+    """A task's function: writes rows (file, text) that follow each other to one file of this
+    attempt per file name. ``framed`` writes the texts as the elements of a JSON array;
+    ``place_of`` names the file of a task instead of a column."""
     def write(batches):
+        import uuid
+
         import pyarrow as pa
         from pyspark import TaskContext
-        fs, place = opener(place_of(TaskContext.get().partitionId()))
-        n = 0
-        with fs.open_output_stream(place) as sink:
-            sink.write(b"[")
-            for batch in batches:
-                for row in batch.column(0).to_pylist():
-                    sink.write((b"," if n else b"") + b"\n" + row.encode("utf-8"))
-                    n += 1
-            sink.write(b"\n]\n")
-        yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
+        fs, base = opener(path)
+        task = TaskContext.get().partitionId()
+        name = sink = None
+        found = []
+
+        def close():
+            if framed:
+                sink.write(b"\n]\n")
+            found[-1][3] = sink.tell()
+            sink.close()
+
+        def start(n):
+            temp = f"_attempts/{task:06d}-{len(found):06d}-{uuid.uuid4().hex}"
+            out = fs.open_output_stream(f"{base}/{temp}")
+            if framed:
+                out.write(b"[")
+            found.append([n, task, temp, 0, 0, 0])
+            return out
+
+        if place_of is not None:  # a file for every task, also for one without rows
+            name, sink = place_of(task), start(place_of(task))
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            names = batch.column(0).to_pylist() if place_of is None else [name] * len(texts)
+            for n, t in zip(names, texts):
+                if sink is None or n != name:
+                    if sink is not None:
+                        close()
+                    name, sink = n, start(n)
+                row = found[-1]
+                if framed:
+                    sink.write((b"," if row[5] else b"") + b"\n")
+                sink.write((t or "").encode("utf-8"))
+                row[4] += len(t or "")
+                row[5] += 1
+        if sink is not None:
+            close()
+        names = ["file", "place", "temp", "n_bytes", "n_chars", "n_parts"]
+        types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 6, types)], names)
     return write
 
 
+def _mover(opener, path, whole_bytes):
+    """A task's function: gives written files their final names; runs of one file are put
+    together, or stay parts of it if together they are longer than ``whole_bytes``."""
+    def move(batches):
+        import uuid
+
+        import pyarrow as pa
+        fs, base = opener(path)
+
+        def size(name):
+            info = fs.get_file_info(f"{base}/{name}")
+            return info.size if info.is_file else -1
+
+        def settle(temp, final, n):
+            if size(final) == n and size(temp) < 0:
+                return  # an earlier attempt has moved it
+            if size(final) >= 0:
+                fs.delete_file(f"{base}/{final}")
+            try:
+                fs.move(f"{base}/{temp}", f"{base}/{final}")
+            except OSError:
+                if size(final) != n:  # else another attempt was faster
+                    raise
+
+        for batch in batches:
+            out = []
+            for file, runs in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                total = sum(r["n_bytes"] for r in runs)
+                if len(runs) == 1:
+                    settle(runs[0]["temp"], file, total)
+                    finals = [file]
+                elif total <= whole_bytes:
+                    if size(file) != total or all(size(r["temp"]) >= 0 for r in runs):
+                        joined = f"_attempts/joined-{uuid.uuid4().hex}"
+                        with fs.open_output_stream(f"{base}/{joined}") as sink:
+                            for r in runs:
+                                with fs.open_input_stream(f"{base}/{r['temp']}") as source:
+                                    while block := source.read(1 << 20):
+                                        sink.write(block)
+                        settle(joined, file, total)
+                    finals = [file]
+                else:
+                    finals = [f"{file}.part-{i:05d}" for i in range(len(runs))]
+                    for r, final in zip(runs, finals):
+                        settle(r["temp"], final, r["n_bytes"])
+                out.append((file, finals, sum(r["n_chars"] for r in runs), sum(r["n_parts"] for r in runs)))
+            columns = list(zip(*out)) if out else [[]] * 4
+            yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.list_(pa.string())),
+                                   pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())],
+                                  ["file", "files", "n_chars", "n_parts"])
+    return move
+
+
+#: Files that several tasks wrote are put together up to this size; longer ones stay in parts.
+WHOLE_FILE_BYTES = 256 * 1024 * 1024
+
+
+def _commit(rows: DataFrame, path: str, framed: bool, place_of, whole_bytes: int, clean: bool) -> DataFrame:
+    """Write ``rows`` (file, text; in their order within partitions) under ``path``. Returns the
+    index (file, files, n_chars, n_parts), which is written beside the folder at the end."""
+    spark, base = rows.sparkSession, path.rstrip("/")
+    shared, folder = shared_files(base)
+    shared.create_dir(f"{folder}/{ATTEMPTS}", recursive=True)
+    attempt = uuid.uuid4().hex
+    winners = f"{base}/{ATTEMPTS}/_winners-{attempt}"
+    rows.mapInArrow(_attempt_writer(shared_files, base, framed, place_of), WRITTEN).write.parquet(winners)
+    found = spark.read.schema(WRITTEN).parquet(winners)
+    if clean:  # what an earlier result left and this one does not write
+        from pyarrow import fs as afs
+        for info in shared.get_file_info(afs.FileSelector(folder)):
+            if info.is_file:
+                shared.delete_file(info.path)
+    # as many runs of a file as tasks wrote of it
+    runs = found.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("place", "temp", "n_bytes", "n_chars", "n_parts"))).alias("runs"))
+    index = f"{base}-index"
+    (runs.mapInArrow(_mover(shared_files, base, whole_bytes), "file string, files array<string>, n_chars long, n_parts long")
+     .write.mode("overwrite").parquet(index))
+    shared.delete_dir(f"{folder}/{ATTEMPTS}")
+    return spark.read.parquet(index)
+
+
 def write_results_json_arrays(df: DataFrame, path: str) -> None:
-    """Results of any size as JSON arrays of objects, one file per partition in a folder,
-    which is emptied before; each task writes its own rows in their order, one at a time.
-    For a file per run, partition ``df`` by the run."""
-    shared, folder = shared_files(path)
-    shared.create_dir(folder, recursive=True)
-    shared.delete_dir_contents(folder)
-    base = path.rstrip("/")
-    _json_rows(df).mapInArrow(_array_writer(shared_files, lambda i: f"{base}/part-{i:05d}.json"), "n long"
-                              ).write.format("noop").mode("overwrite").save()
+    """Results of any size as JSON arrays of objects, one file per partition in a folder;
+    each task writes its own rows in their order, one at a time. The files of an earlier
+    result are replaced only when all new ones are written. For a file per run, partition
+    ``df`` by the run."""
+    _commit(_json_rows(df), path, True, _part_name(), 0, clean=True)
+
+
+def _part_name():
+    def name(task):
+        return f"part-{task:05d}.json"
+    return name
+
+
+def _one_name(file):
+    def name(task):
+        return file
+    return name
 
 
 def write_results_json_array(df: DataFrame, path: str) -> None:
     """One JSON array of objects, as a single result file, of a bounded table: one task
     reads and writes all rows, in their order, one at a time. For results of any size use
     ``write_results_json_arrays`` or JSON lines."""
-    shared, folder = shared_files(path)
-    shared.create_dir(folder.rpartition("/")[0], recursive=True)
-    _json_rows(df).coalesce(1).mapInArrow(_array_writer(shared_files, lambda _: path), "n long"
-                                          ).write.format("noop").mode("overwrite").save()
+    folder, _, file = path.rstrip("/").rpartition("/")
+    staged = f"{folder}/_{file}-{uuid.uuid4().hex}"
+    _commit(_json_rows(df).coalesce(1), staged, True, _one_name(file), 0, clean=False)
+    shared, place = shared_files(staged)
+    final = place.rpartition("/")[0] + "/" + file
+    if shared.get_file_info(final).is_file:
+        shared.delete_file(final)
+    shared.move(f"{place}/{file}", final)
+    shared.delete_dir(place)
+    shared.delete_dir(f"{place}-index")
 
 
 def _json_rows(df: DataFrame) -> DataFrame:
@@ -110,40 +247,21 @@ def with_run_identity(df: DataFrame) -> DataFrame:
             .withColumn("run_ts", F.to_timestamp_ntz(F.regexp_extract(run, RUN_FILE, 2), F.lit("yyyyMMdd_HHmmss"))))
 
 
-def write_named_files(df: DataFrame, path: str, file: str, text: str, order: Sequence[str] = ()) -> DataFrame:
-    """Text files of given names in one folder, and their index (file, n_chars,
-    n_parts), which is written beside them.
+def write_named_files(df: DataFrame, path: str, file: str, text: str, order: Sequence[str] = (),
+                      whole_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """Text files of given names in one folder, and their index (file, files, n_chars,
+    n_parts), which is written beside them when all files stand.
 
     Rows of one file are put end to end in ``order``, so a long text may come in parts and
-    is never held whole. Files are dealt to tasks by name; a repeated task writes the same
-    bytes again. Null texts write nothing."""
-    shared, folder = shared_files(path)
-    shared.create_dir(folder, recursive=True)
-    opener = shared_files  # travels with the function below
-
-    def write(batches):
-        import pyarrow as pa
-        fs, base = opener(path)
-        name = sink = None
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for n, t in zip(names, texts):
-                if n != name:
-                    if sink is not None:
-                        sink.close()
-                    name, sink = n, fs.open_output_stream(f"{base}/{n}")
-                sink.write((t or "").encode("utf-8"))
-            yield pa.record_batch([pa.array(names, pa.string()), pa.array([len(t or "") for t in texts], pa.int64())],
-                                  ["file", "n_chars"])
-        if sink is not None:
-            sink.close()
-
-    parts = df.select(F.col(file).alias("_file"), F.col(text).alias("_text"), *order).repartition("_file")
-    parts = parts.sortWithinPartitions("_file", *order).select("_file", "_text")
-    index = path.rstrip("/") + "-index"
-    (parts.mapInArrow(write, "file string, n_chars long").groupBy("file")
-     .agg(F.sum("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("n_parts")).write.mode("overwrite").parquet(index))
-    return df.sparkSession.read.parquet(index)
+    is never held whole. Rows are dealt to tasks by ranges of (file, order), so a very long
+    file is written by several tasks; it is put together up to ``whole_bytes`` and stays in
+    files of its own (``files``) beyond. Killed and doubled attempts leave no trace under the
+    final names. Null texts write nothing."""
+    rows = df.select(F.coalesce(F.col(file), F.lit("none")).alias("_file"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
+                     F.col(text).alias("_text"))
+    keys = ["_file", *[f"_o{i}" for i in range(len(order))]]
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("_file", "_text")
+    return _commit(placed, path, False, None, whole_bytes, clean=False)
 
 
 def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -194,6 +312,35 @@ def read_catalog_xml(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter((F.col("type") == CONSTANT) & F.col("offset").isNotNull() & F.col("size").isNotNull())
 
 
-def write_once(df: DataFrame, path: str, fmt: str = "parquet", force: bool = False) -> None:
-    """Skip when the output exists unless forced (``ignore`` / ``overwrite``)."""
-    df.write.mode("overwrite" if force else "ignore").format(fmt).save(path)
+#: Names the result that stands whole in a folder (readers pass over names with an underscore).
+COMMITTED = "_COMMITTED"
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether ``write_once`` has finished a result in ``path``."""
+    fs, place = _hadoop(spark, f"{path.rstrip('/')}/{COMMITTED}")
+    return fs.exists(place)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def write_once(df: DataFrame, path: str, fmt: str = "parquet", force: bool = False) -> bool:
+    """Write unless a finished result is there (or ``force``); returns whether it wrote.
+
+    The result is staged beside ``path``, moved there as a whole, and then marked. Only the
+    mark counts: a folder that a crashed run left, in whatever state, is written anew."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    if not force and committed(spark, path):
+        return False
+    staged = f"{path}-staged-{uuid.uuid4().hex}"
+    df.write.format(fmt).save(staged)
+    fs, place = _hadoop(spark, path)
+    if fs.exists(place):
+        fs.delete(place, True)
+    if not fs.rename(_hadoop(spark, staged)[1], place):
+        raise OSError(f"{staged} cannot be moved to {path}")
+    fs.create(_hadoop(spark, f"{path}/{COMMITTED}")[1], True).close()
+    return True

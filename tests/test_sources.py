@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 import tempfile
@@ -56,6 +57,85 @@ def test_results_as_json_arrays_of_each_partition(spark):
     assert IO.read_results_json(spark, d, "id long", multiline=True).count() == 1000
 
 
+def files_below(d):
+    return sorted(os.path.relpath(os.path.join(a, f), d) for a, _, names in os.walk(d) for f in names if not f.endswith(".crc"))
+
+
+def test_doubled_and_killed_attempts_leave_whole_files(spark):
+    """An attempt that died half-way and one that ran twice: only what the winners wrote has a
+    final name, and nothing else stays."""
+    d = tempfile.mkdtemp(prefix="evalkit-attempts-") + "/w"
+    os.makedirs(d + "/_attempts")
+    with open(d + "/_attempts/000000-000000-dead", "w") as f:
+        f.write("half a fi")  # a lost task's file
+    with open(d + "/b.txt", "w") as f:
+        f.write("an old and longer text under a final name")
+    df = spark.createDataFrame([(f"{c}.txt", i, f"{c}{i};") for c in "abc" for i in range(50)], "name string, part int, v string")
+    IO.write_named_files(df, f"file://{d}", "name", "v", order=["part"])
+    assert files_below(d) == ["a.txt", "b.txt", "c.txt"]
+    for c in "abc":
+        assert open(f"{d}/{c}.txt").read() == "".join(f"{c}{i};" for i in range(50))
+
+
+def test_moves_can_be_repeated(spark):
+    """The step that gives final names may run again, in part or as a whole."""
+    import pyarrow as pa
+    d = tempfile.mkdtemp(prefix="evalkit-moves-")
+    os.makedirs(d + "/_attempts")
+    for name, text in (("t0", "one"), ("t1", "tw"), ("t2", "o")):
+        with open(f"{d}/_attempts/{name}", "w") as f:
+            f.write(text)
+    run = lambda t, n: {"place": 0, "temp": f"_attempts/{t}", "n_bytes": n, "n_chars": n, "n_parts": 1}
+    batch = pa.record_batch([pa.array(["x", "y"]), pa.array([[run("t0", 3)], [run("t1", 2), run("t2", 1)]])], ["file", "runs"])
+    move = IO._mover(IO.shared_files, f"file://{d}", 100)
+    for _ in range(3):
+        out = next(move([batch]))
+        assert out.column("files").to_pylist() == [["x"], ["y"]]
+        assert open(d + "/x").read() == "one" and open(d + "/y").read() == "two"
+
+
+def test_a_very_long_file_is_written_by_several_tasks_as_parts(spark):
+    d = tempfile.mkdtemp(prefix="evalkit-long-") + "/w"
+    df = spark.range(40_000).selectExpr("'long.txt' AS name", "id AS part", "concat(md5(cast(id as string)), md5(cast(-id as string)), md5(concat('a', id)), md5(concat('b', id)), '\n') AS v")
+    df = df.union(spark.createDataFrame([("short.txt", 0, "s")], "name string, part long, v string"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        index = {r.file: r for r in IO.write_named_files(df, f"file://{d}", "name", "v", order=["part"], whole_bytes=1000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    long = index["long.txt"]
+    assert len(long.files) > 1 and long.n_parts == 40_000 and index["short.txt"].files == ["short.txt"]
+    text = "".join(open(f"{d}/{f}").read() for f in long.files)
+    h = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert text == "".join(h(f"{i}") + h(f"{-i}") + h(f"a{i}") + h(f"b{i}") + "\n" for i in range(40_000)) and len(text) == long.n_chars
+
+
+def test_an_array_file_is_replaced_only_when_the_new_one_is_whole(spark):
+    from pyspark.sql import functions as F
+    d = tempfile.mkdtemp(prefix="evalkit-arrays-") + "/runs"
+    IO.write_results_json_arrays(spark.range(10, numPartitions=2), f"file://{d}")
+    bad = spark.range(10, numPartitions=3).select(F.when(F.col("id") < 9, F.col("id")).otherwise(F.raise_error(F.lit("no"))).alias("id"))
+    try:
+        IO.write_results_json_arrays(bad, f"file://{d}")
+        raise AssertionError("the job should fail")
+    except AssertionError:
+        raise
+    except Exception:
+        pass
+    kept = [json.load(open(f"{d}/part-{i:05d}.json")) for i in range(2)]
+    assert [r["id"] for a in kept for r in a] == list(range(10)) and not os.path.exists(f"{d}/part-00002.json")
+
+
+def test_write_once_rewrites_what_a_crashed_run_left(spark):
+    d = tempfile.mkdtemp(prefix="evalkit-crash-") + "/t"
+    spark.range(7).write.parquet(d)  # whole, but never marked
+    assert not IO.committed(spark, d)
+    assert IO.write_once(spark.range(3), d) and spark.read.parquet(d).count() == 3
+    assert not IO.write_once(spark.range(10), d) and IO.committed(spark, d)
+    os.remove(d + "/_COMMITTED")  # the run died between the move and the mark
+    assert IO.write_once(spark.range(4), d) and spark.read.parquet(d).count() == 4
+
+
 def test_write_once(spark):
     d = tempfile.mkdtemp(prefix="evalkit-once-") + "/t"
     IO.write_once(spark.range(3), d)
@@ -70,7 +150,7 @@ def test_named_and_whole_files(spark):
     df = spark.createDataFrame([("a 1.txt", 1, "a\nb"), ("a 1.txt", 0, "x=1\n"), ("b.txt", 0, ""), ("c.txt", 0, "end\n")],
                                "name string, part int, v string")
     index = IO.write_named_files(df, f"file://{d}/w", "name", "v", order=["part"])
-    assert sorted(map(tuple, index.collect())) == [("a 1.txt", 7, 2), ("b.txt", 0, 1), ("c.txt", 4, 1)]
+    assert sorted(map(tuple, index.collect())) == [("a 1.txt", ["a 1.txt"], 7, 2), ("b.txt", ["b.txt"], 0, 1), ("c.txt", ["c.txt"], 4, 1)]
     got = sorted((r.file, r.value) for r in IO.read_whole_files(spark, d + "/w").collect())
     # every byte is kept, the last line break too
     assert got == [("a 1.txt", "x=1\na\nb"), ("c.txt", "end\n")]  # a file of zero bytes has no row
