@@ -5,7 +5,7 @@ are FloatType."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalkit import pools
@@ -79,24 +79,47 @@ def precision_class(element_type: Column | str) -> Column:
             .otherwise(F.lit("other")))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once per row (inside a lambda it would be worked
+    out for every element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def pack_uint4(values: Column | str) -> Column:
     """The inverse of T1: two 4-bit values per byte, low nibble first (an odd last value
     gets an empty high nibble)."""
-    v = _c(values)
-    last = F.ceil(F.size(v) / 2).cast("int") - 1
-    digit = lambda i: F.hex(F.coalesce(F.get(v, i), F.lit(0)).cast("long"))
-    digits = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(digit(i * 2 + 1), digit(i * 2)))
-    return F.when(F.size(v) > 0, F.unhex(F.array_join(digits, ""))).otherwise(F.unhex(F.lit("")))
+    def digits(v: Column) -> Column:
+        last = F.ceil(F.size(v) / 2).cast("int") - 1
+        digit = lambda i: F.hex(F.coalesce(F.get(v, i), F.lit(0)).cast("long"))
+        pairs = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(digit(i * 2 + 1), digit(i * 2)))
+        return F.when(F.size(v) > 0, F.unhex(F.array_join(pairs, ""))).otherwise(F.unhex(F.lit("")))
+    return _let(_c(values), digits)
 
 
 def unpack_uint4(packed: Column | str, n_values: Column | int | None = None) -> Column:
-    """Two 4-bit values per byte, low nibble first (bytes 2F 10 -> [15, 2, 0, 1])."""
-    h = F.hex(_c(packed))
-    n = F.length(h) if n_values is None else (F.lit(n_values) if isinstance(n_values, int) else n_values)
-
-    idx = F.sequence(F.lit(0), n - 1)
-    return F.transform(idx, lambda i: F.when(
-        F.pmod(i, F.lit(2)) == 0,
-        F.conv(F.substr(h, (F.floor(i / 2) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int").bitwiseAND(15))
-        .otherwise(F.shiftright(F.conv(F.substr(h, (F.floor(i / 2) * 2 + 1).cast("int"), F.lit(2)), 16, 10)
-                                .cast("int"), 4).bitwiseAND(15)))
+    """Two 4-bit values per byte, low nibble first (bytes 2F 10 -> [15, 2, 0, 1]), or the
+    first ``n_values`` of them. The bytes are cut into pieces once and every piece is decoded
+    once, so the time is proportional to the length. No bytes give no values, null gives null."""
+    def nibble(digit: Column) -> Column:
+        code = F.ascii(digit)
+        return F.when(code < 58, code - 48).otherwise(code - 55)  # 0 to 9, A to F
+    pieces = F.regexp_extract_all(F.hex(_c(packed)), F.lit(".."), 0)
+    values = F.flatten(F.transform(pieces, lambda p: F.array(nibble(F.substring(p, 2, 1)), nibble(p))))
+    if n_values is None:
+        return values
+    return F.slice(values, F.lit(1), F.lit(n_values) if isinstance(n_values, int) else n_values)
+
+
+#: Bytes of a packed tensor that one row decodes.
+CHUNK_BYTES = 1 << 16
+
+
+def packed_chunks(df: DataFrame, packed: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """T1 for large tensors: one row per ``chunk_bytes`` of ``packed``, with ``chunk`` (from 0)
+    and ``first`` (the place of its first value), so the values of a tensor are decoded by
+    many tasks and no row holds them all. An empty tensor has one empty chunk, null none."""
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length(packed) / chunk_bytes)).cast("int")
+    others = [c for c in df.columns if c not in (packed, "chunk", "first")]
+    cut = df.filter(F.col(packed).isNotNull()).select(*others, packed, F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    piece = F.substring(F.col(packed), F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes))
+    return cut.select(*others, "chunk", (F.col("chunk").cast("long") * chunk_bytes * 2).alias("first"), piece.alias(packed))

@@ -164,7 +164,7 @@ def seeded_samples(samples: DataFrame, exchanges: DataFrame, lines: DataFrame, f
                      *turn("assistant", F.col("_analysis")))
     per = (j.groupBy("sample", "num_exchanges", "final_idx")
            .agg(F.array_sort(F.collect_list(F.struct("slot", block.alias("b")))).alias("_bl")))
-    per = per.join(bounded_broadcast(final), "final_idx").crossJoin(F.broadcast(system.select("system_text")))
+    per = per.join(bounded_broadcast(final), "final_idx").crossJoin(bounded_broadcast(system.select("system_text")))
     expected = F.to_json(F.struct(F.col("expected_tool").alias("name"),
                                   F.create_map(F.col("arg_key"), F.col("arg_value")).alias("arguments")))
     text = F.concat(*turn("system", F.col("system_text")), F.array_join(F.transform("_bl", lambda x: x["b"]), ""),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from evalkit import pools
 from evalkit.functions import text as T
 from evalkit.plans.joins import bounded_broadcast
+from evalkit.plans.ordering import global_index
 
 # ---- fixed values -----------------------------------------------------------
 NIAH_RESERVE_TOKENS = 200        # filler tokens = context - 200
@@ -80,10 +81,13 @@ def padded_history(budgets: DataFrame, question: Callable[[Column], Column], par
     budget; each answer is filler of ``min(cap, budget - history)`` tokens (4 chars each).
 
     ``question`` gives the text of the question about a topic number (from 1),
-    ``paragraph`` the text that answers repeat; both may use columns of ``budgets``.
+    ``paragraph`` the text that answers repeat; both may use columns of ``budgets`` (of several
+    rows with one budget, those of the smallest row in the order of its columns).
     One row per (budget, turn, slot) with role and content; at most budget / cap + 1
     turns per budget."""
-    b = budgets.dropDuplicates([budget]).withColumn("_p", _c(paragraph))
+    rest = [c for c in budgets.columns if c != budget]
+    first = budgets.groupBy(budget).agg(F.min(F.struct(*rest, F.lit(0).alias("_"))).alias("_first"))
+    b = first.select(budget, *[F.col(f"_first.{c}").alias(c) for c in rest]).withColumn("_p", _c(paragraph))
     turns = b.withColumn("turn", F.explode(F.sequence(F.lit(0), (F.col(budget) / cap).cast("int") + 1)))
     turns = turns.withColumn("_q", question(F.col("turn") + 1)).withColumn("q_tok", F.floor(F.length("_q") / 4))
     # every turn but the last has a full answer; the crossing turn is kept
@@ -115,7 +119,7 @@ def agentic_history(budgets: DataFrame, cycle: DataFrame, budget: str = "budget"
     b = budgets.select(budget).distinct()
     seq = b.withColumn("interaction", F.explode(F.sequence(F.lit(1), (F.col(budget) / least).cast("int") + 1)))
     seq = seq.withColumn("step", F.pmod(F.col("interaction") - 1, F.lit(size["n"])).cast("int"))
-    seq = seq.join(F.broadcast(cycle), "step")  # the cycle is a short literal table
+    seq = seq.join(bounded_broadcast(cycle), "step")
     seq = seq.withColumn("user_text", F.concat(F.format_string(STEP_PREFIX, F.col("interaction")), F.col("user_text")))
     texts = [("user", "user_text"), ("assistant", "call_text"), ("user", "result_text")]
     cost = sum(F.floor(F.length(c) / 4) for _, c in texts)
@@ -152,14 +156,41 @@ def prompt_messages(cells: DataFrame, history: DataFrame, system_text: str, inst
     return edge(0, "system", F.lit(system_text)).unionByName(hist).unionByName(edge(2, "user", last))
 
 
+#: Tools per part of a tool list, and bytes that a prompt's tool list may have as a whole.
+PART_TOOLS, WHOLE_BYTES = 256, 8 * 1024 * 1024
+
+
 def tool_definitions(tools: DataFrame, name: str = "name", description: str = "description",
-                     params: str = "parameters") -> DataFrame:
-    """All tool definitions as one compact JSON array (sorted by name)."""
+                     params: str = "parameters", part_tools: int = PART_TOOLS) -> DataFrame:
+    """All distinct tool definitions as one compact JSON array, sorted by name, in parts:
+    (part from 0, n_tools, tools_json). The parts put end to end are the array, so no row
+    holds more than one part; an empty table is the empty array."""
     s = F.struct(F.col(name).alias("name"), F.col(description).alias("description"),
                  F.col(params).alias("parameters"))
-    return (tools.select(s.alias("t")).distinct()
-            .agg(F.count(F.lit(1)).alias("n_tools"),
-                 F.to_json(F.array_sort(F.collect_list("t"))).alias("tools_json")))
+    rows = tools.select(s.alias("t")).distinct().withColumn("_j", F.to_json("t"))
+    placed = global_index(rows, ["t.name", "t.description", "_j"], name="_pos")
+    part = F.floor(F.col("_pos") / part_tools).cast("long")
+    per = (placed.select(part.alias("part"), F.struct("_pos", "_j").alias("_s")).groupBy("part")
+           .agg(F.array_sort(F.collect_list("_s")).alias("_s"), F.count(F.lit(1)).alias("n_tools")))
+    total = placed.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    body = F.array_join(F.transform("_s", lambda x: x["_j"]), ",")
+    last = (F.col("part") + 1) * part_tools >= F.col("_n")
+    out = (per.crossJoin(F.broadcast(total))
+           .select("part", "n_tools", F.concat(F.when(F.col("part") == 0, "[").otherwise(","), body,
+                                               F.when(last, "]").otherwise("")).alias("tools_json")))
+    none = total.filter("_n = 0").select(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("n_tools"),
+                                         F.lit("[]").alias("tools_json"))
+    return out.unionByName(none)
+
+
+def whole_definitions(parts: DataFrame, max_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """The tool list of a prompt as one row (n_tools, tools_json). A prompt holds all its tools,
+    so the list is bounded by what a prompt may hold; a longer one stops the job."""
+    size = parts.agg(F.sum(F.octet_length("tools_json")).alias("b")).first()["b"] or 0
+    if size > max_bytes:
+        raise ValueError(f"the tool list has {size} bytes, more than the {max_bytes} of a prompt")
+    s = F.array_sort(F.collect_list(F.struct("part", "tools_json")))
+    return parts.agg(F.sum("n_tools").alias("n_tools"), F.array_join(F.transform(s, lambda x: x["tools_json"]), "").alias("tools_json"))
 
 
 def exchange_range(max_seq_len: Column | str) -> Column:

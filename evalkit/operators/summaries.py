@@ -57,34 +57,36 @@ def cases_table(spark, triples=None) -> DataFrame:
                                        "expected_arg_contains string")
 
 
-def rescore_results(results: DataFrame, cases: DataFrame, preview_chars: int = T.ANSWER_PREVIEW_CHARS) -> DataFrame:
+def rescore_results(results: DataFrame, cases: DataFrame, preview_chars: int = T.ANSWER_PREVIEW_CHARS,
+                    on: Sequence[str] = ("test", "expected_tool")) -> DataFrame:
     """Re-score stored tool-call rows with the present scorer: each row gets its
-    case expectation (equi-join on suite and tool against the case table,
-    broadcast after a size check) and ``answer_preview`` is scored again. Only
+    case expectation (equi-join on suite and tool, or the columns ``on``, against the case
+    table, broadcast after a size check) and ``answer_preview`` is scored again. Only
     previews shorter than the stored cut are complete answers; ``reliable``
     marks them. Returns the stored and the new score side by side."""
     r = (results.filter(F.col("test").startswith("tool_call"))
          .withColumnRenamed("score", "stored_score")
          .drop("has_tool_call_tags", "valid_json", "correct_tool", "correct_arg_key", "correct_arg_value", "error"))
-    joined = r.join(bounded_broadcast(cases.select("test", "expected_tool", "expected_arg_key",
-                                                   "expected_arg_contains")), ["test", "expected_tool"], "left")
+    side = cases.select(*on, "expected_arg_key", "expected_arg_contains")
+    joined = r.join(bounded_broadcast(side), list(on), "left")
     out = score_tool_calls(joined, "answer_preview", "expected_tool", "expected_arg_key", "expected_arg_contains")
     return out.withColumn("reliable", F.length("answer_preview") < preview_chars)
 
 
-def failed_niah(cells: DataFrame, message: Column | str = "message") -> DataFrame:
+def failed_niah(cells: DataFrame, message: Column | str = "message", keep: Sequence[str] = ()) -> DataFrame:
     """Result rows of needle runs that raised: answer ``ERROR``, not correct, no time and no
-    output, the error text cut. ``cells`` has context_length, depth, passkey."""
-    return cells.select(F.lit("niah").alias("test"), "context_length", "depth", "passkey",
+    output, the error text cut. ``cells`` has context_length, depth, passkey; its
+    columns ``keep`` are kept."""
+    return cells.select(*keep, F.lit("niah").alias("test"), "context_length", "depth", "passkey",
                         F.lit(T.ERROR_ANSWER).alias("answer"), F.lit(False).alias("correct"),
                         F.lit(0.0).alias("elapsed"), F.lit(0).alias("output_tokens"),
                         T.preview(message, T.ERROR_PREVIEW_CHARS).alias("error"))
 
 
-def failed_tool_calls(cells: DataFrame, message: Column | str = "message") -> DataFrame:
+def failed_tool_calls(cells: DataFrame, message: Column | str = "message", keep: Sequence[str] = ()) -> DataFrame:
     """Result rows of tool-call runs that raised: score 0, no checks, no time, the error text
-    cut. ``cells`` has test, context_length, expected_tool, instruction."""
-    return cells.select("test", "context_length", "expected_tool", "instruction", F.lit(0).alias("score"),
+    cut. ``cells`` has test, context_length, expected_tool, instruction; its columns ``keep`` are kept."""
+    return cells.select(*keep, "test", "context_length", "expected_tool", "instruction", F.lit(0).alias("score"),
                         T.preview(message, T.ERROR_PREVIEW_CHARS).alias("error"), F.lit(0.0).alias("elapsed"))
 
 
@@ -240,16 +242,22 @@ def sorted_distinct_axes(df: DataFrame, axes: Sequence[str]) -> DataFrame:
 def first_valid_attempt(attempts: DataFrame, key: str = "case_id", attempt: str = "attempt",
                         has_code: str = "has_code", ok: str = "ok") -> DataFrame:
     """Per case, the first attempt whose code parses; syntax errors and
-    no-code attempts before it (each uses one attempt up). Two grouped
-    aggregates joined on the case key: nothing per case is gathered."""
-    first = attempts.groupBy(key).agg(
-        F.min(F.when(F.col(ok) & F.col(has_code), F.col(attempt))).alias("first_ok"),
-        F.max(attempt).alias("_last"))
-    stop = F.coalesce(F.col("first_ok"), F.col("_last") + 1)
-    before = F.col(attempt) < stop
-    counts = (attempts.join(first, key).groupBy(key, "first_ok", "_last").agg(
-        F.count_if(before & F.col(has_code) & ~F.col(ok)).alias("syntax_errors"),
-        F.count_if(before & ~F.col(has_code)).alias("no_code")))
-    return counts.select(key, "first_ok", "syntax_errors", "no_code",
-                         F.coalesce(F.col("first_ok"), F.col("_last")).alias("attempts_used"),
-                         F.col("first_ok").isNotNull().alias("succeeded"))
+    no-code attempts before it (each uses one attempt up).
+
+    Equal attempts of a case are counted first, so what is kept per case is bounded by its
+    attempt numbers, whatever the number of rows: a sorted array, from which one aggregate
+    reads all results without a join. Attempts without a number are passed over; missing flags
+    count as false."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    code, parses = flag(has_code), flag(ok)
+    counted = attempts.groupBy(key, attempt).agg(
+        F.count_if(code & parses).alias("_ok"), F.count_if(code & ~parses).alias("_bad"), F.count_if(~code).alias("_none"))
+    state = F.array_sort(F.collect_list(F.when(F.col(attempt).isNotNull(), F.struct(
+        F.col(attempt).alias("a"), F.col("_ok"), F.col("_bad"), F.col("_none")))))
+    per = counted.groupBy(key).agg(state.alias("_s"))
+    per = per.withColumn("first_ok", F.try_element_at(F.filter("_s", lambda s: s["_ok"] > 0), F.lit(1))["a"])
+    before = F.filter("_s", lambda s: F.col("first_ok").isNull() | (s["a"] < F.col("first_ok")))
+    total = lambda c: F.aggregate(before, F.lit(0).cast("long"), lambda n, s: n + s[c])
+    return per.select(key, "first_ok", total("_bad").alias("syntax_errors"), total("_none").alias("no_code"),
+                      F.coalesce(F.col("first_ok"), F.try_element_at("_s", F.lit(-1))["a"]).alias("attempts_used"),
+                      F.col("first_ok").isNotNull().alias("succeeded"))

@@ -2,8 +2,8 @@
 
 Vectors stay arrays inside rows; group work uses higher-order functions
 (``transform``/``slice``/``aggregate``), so it is a narrow projection with no
-shuffle. Channel statistics explode positions and aggregate partially on the
-map side, so the shuffle carries one partial row per channel and task."""
+shuffle. Channel statistics merge moment vectors inside the tasks, so the shuffle
+carries one row per channel, group and task."""
 
 from __future__ import annotations
 
@@ -59,15 +59,114 @@ def quantise_groups(df: DataFrame, vec: str, group_size: int, key: str) -> DataF
     return g.drop("x", "lo", "hi")
 
 
-def channel_stats(df: DataFrame, vec: str, by: list[str] | None = None) -> DataFrame:
+MOMENTS = ["n", "seen", "mean", "m2", "max_abs", "sum_abs", "sum_sq"]
+#: Groups whose moment vectors a task keeps before it passes them on.
+KEPT_GROUPS = 4096
+
+
+def _vector_moments(n_by: int):
+    """A task's function: moment vectors per group of its rows (nested, so that it travels by
+    value). Columns are the group's key as JSON, the ``n_by`` group columns and the vector."""
+    names, kept_groups = list(MOMENTS), KEPT_GROUPS
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def of(values):
+            """Moments of the rows of one group in one batch."""
+            lengths = values.value_lengths().to_numpy(zero_copy_only=False)
+            flat = values.flatten()
+            place = np.arange(int(lengths.max(initial=0)))[None, :] < lengths[:, None]
+            x, known = np.zeros(place.shape), np.zeros(place.shape, bool)
+            known[place] = flat.is_valid().to_numpy(zero_copy_only=False)
+            x[place] = flat.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+            n = known.sum(0)
+            with np.errstate(all="ignore"):
+                mean = np.where(n > 0, np.where(known, x, 0.0).sum(0) / np.maximum(n, 1), 0.0)
+                apart = np.where(known, x - mean, 0.0)
+                size = np.where(known, np.abs(x), 0.0)
+                return [n, place.sum(0), mean, (apart * apart).sum(0), size.max(0, initial=0.0), size.sum(0), (size * size).sum(0)]
+
+        def merged(a, b):
+            """Moments of two sets of rows together (the parallel-variance rule)."""
+            wide = max(len(a[0]), len(b[0]))
+            a, b = ([np.concatenate([v, np.zeros(wide - len(v), v.dtype)]) for v in side] for side in (a, b))
+            n = a[0] + b[0]
+            with np.errstate(all="ignore"):
+                delta, share = b[2] - a[2], b[0] / np.maximum(n, 1)
+                # a side without values leaves the other's mean as it is
+                mean = np.where(a[0] == 0, b[2], np.where(b[0] == 0, a[2], a[2] + delta * share))
+                m2 = a[3] + b[3] + np.where((a[0] == 0) | (b[0] == 0), 0.0, delta * delta * a[0] * share)
+                return [n, a[1] + b[1], mean, m2, np.maximum(a[4], b[4]), a[5] + b[5], a[6] + b[6]]
+
+        def rows(kept):
+            keys = list(zip(*[k for k, _ in kept.values()])) if n_by else []
+            columns = [pa.array(c, t) for c, t in zip(keys, by_types)]
+            columns += [pa.array([m[i].tolist() for _, m in kept.values()], pa.list_(pa.int64() if i < 2 else pa.float64()))
+                        for i in range(len(names))]
+            return pa.record_batch(columns, [*by_names, *names])
+
+        kept, by_types, by_names = {}, [], []
+        for batch in batches:
+            by_types, by_names = [batch.schema.field(i + 1).type for i in range(n_by)], batch.schema.names[1:n_by + 1]
+            groups = batch.column(0).dictionary_encode()
+            codes, values = groups.indices.to_numpy(zero_copy_only=False), batch.column(n_by + 1)
+            for code, name in enumerate(groups.dictionary.to_pylist()):
+                at = np.flatnonzero(codes == code)
+                own = of(values if len(at) == len(codes) else values.take(pa.array(at)))
+                if name in kept:
+                    kept[name] = (kept[name][0], merged(kept[name][1], own))
+                else:
+                    kept[name] = (tuple(batch.column(i + 1)[int(at[0])].as_py() for i in range(n_by)), own)
+            if len(kept) > kept_groups:
+                yield rows(kept)
+                kept = {}
+        if kept:
+            yield rows(kept)
+    return run
+
+
+def _merge_moments(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Moments per key from those of parts, by the parallel-variance rule."""
+    first = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("seen"),
+                     *[F.lit(0.0).alias(c) for c in MOMENTS[2:]])
+
+    def add(a, b):
+        n = a["n"] + b["n"]
+        delta = b["mean"] - a["mean"]
+        mean = F.when(a["n"] == 0, b["mean"]).when(b["n"] == 0, a["mean"]).otherwise(a["mean"] + delta * b["n"] / n)
+        between = F.when((a["n"] == 0) | (b["n"] == 0), 0.0).otherwise(delta * delta * a["n"] * b["n"] / n)
+        return F.struct(n.alias("n"), (a["seen"] + b["seen"]).alias("seen"), mean.alias("mean"),
+                        (a["m2"] + b["m2"] + between).alias("m2"), F.greatest(a["max_abs"], b["max_abs"]).alias("max_abs"),
+                        (a["sum_abs"] + b["sum_abs"]).alias("sum_abs"), (a["sum_sq"] + b["sum_sq"]).alias("sum_sq"))
+
+    got = parts.groupBy(*keys).agg(F.aggregate(F.collect_list(F.struct(*MOMENTS)), first, add).alias("_m"))
+    return got.select(*keys, "_m.*")
+
+
+def channel_stats(df: DataFrame, vec: str, by: list[str] | None = None, spread: int = 64) -> DataFrame:
     """Per channel (and per ``by`` group, e.g. layer): max |x|, mean |x|,
-    population variance, mean square over the sample vectors."""
+    population variance, mean square over the sample vectors.
+
+    Every task turns the vectors of a batch into moment vectors (count, mean, sum of squared
+    deviations, maximum, sums) and merges those of its batches, so only one short row per
+    group and task is passed on, and no row per element is made. These parts are merged by
+    the parallel-variance rule, first in ``spread`` shares, then together. Null elements
+    count in ``n`` only; vectors may differ in length; null vectors are passed over."""
     by = list(by or [])
-    e = df.select(*by, F.posexplode(vec).alias("channel", "x")).withColumn("x", F.col("x").cast("double"))
-    return e.groupBy(*by, "channel").agg(
-        F.max(F.abs("x")).alias("max_abs"), F.avg(F.abs("x")).alias("mean_abs"),
-        F.var_pop("x").alias("var_pop"), F.avg(F.col("x") * F.col("x")).alias("mean_sq"),
-        F.count(F.lit(1)).alias("n"))
+    own = F.to_json(F.struct(*[F.col(c) for c in by], F.lit(0).alias("_")), {"ignoreNullFields": "false"})
+    rows = df.filter(F.col(vec).isNotNull()).select(own.alias("_g"), *by, F.col(vec).alias("_v"))
+    types = "".join(f"`{c}` {t}, " for c, t in df.select(*by).dtypes)
+    schema = types + "n array<bigint>, seen array<bigint>, " + ", ".join(f"{c} array<double>" for c in MOMENTS[2:])
+    parts = rows.mapInArrow(_vector_moments(len(by)), schema).withColumn("_share", F.pmod(F.spark_partition_id(), F.lit(spread)))
+    each = parts.select(*by, "_share", F.posexplode(F.arrays_zip(*MOMENTS)).alias("channel", "_m")).select(*by, "_share", "channel", "_m.*")
+    merged = _merge_moments(_merge_moments(each, [*by, "_share", "channel"]), [*by, "channel"])
+    known = F.col("n") > 0
+    return merged.select(
+        *by, "channel", F.when(known, F.col("max_abs")).alias("max_abs"), F.when(known, F.col("sum_abs") / F.col("n")).alias("mean_abs"),
+        F.when(known, F.col("m2") / F.col("n")).alias("var_pop"), F.when(known, F.col("sum_sq") / F.col("n")).alias("mean_sq"),
+        F.col("seen").alias("n"))
 
 
 def layer_sensitivity(stats: DataFrame, by: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("q_scoring", "q_generators", "q_catalog", "q_results", "q_sources")
+MODULES = ("q_scoring", "q_generators", "q_catalog", "q_results", "q_sources", "q_runs")
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}

@@ -245,8 +245,8 @@ def q_dequantise(spark, sf):
                             F.array_min(dd).alias("deq_min"), F.array_max(dd).alias("deq_max")))
 
 
-@register("neutral_params", f"""WITH {QUANT} SELECT vec_id, '1.0,1.0,1.0,1.0' AS scales, '0,0,0,0' AS zero_points,
-  round(list_sum(list_transform(d, lambda x: CAST(x AS DOUBLE))), 6) AS again_sum FROM (SELECT vec_id, {DEQ} AS d FROM vec) c""")
+@register("neutral_params", f"""WITH {QUANT} SELECT vec_id, array_to_string(list_transform(sc, lambda x: '1.0'), ',') AS scales, array_to_string(list_transform(zp, lambda x: '0'), ',') AS zero_points,
+  round(list_sum(list_transform(d, lambda x: CAST(x AS DOUBLE))), 6) AS again_sum FROM (SELECT vec_id, sc, zp, {DEQ} AS d FROM vec) c""")
 def q_neutral_params(spark, sf):
     d = dequantised(spark, sf)
     ones, zeros = TO.neutral_params(F.size("scale"))

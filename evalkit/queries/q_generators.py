@@ -11,7 +11,7 @@ from evalkit.operators import calibration as C
 from evalkit.operators import packing
 from evalkit.operators import prompts as G
 from evalkit.queries import register
-from evalkit.queries.sqlfx import CTX5, FX1, NL, strip_sql, words_sql
+from evalkit.queries.sqlfx import CTX5, FX1, FX15, MESSAGE_ORDER, NL, strip_sql, words_sql
 from evalkit.queries.util import rounded
 from evalkit.sources.tables import table
 
@@ -118,7 +118,7 @@ def q_padded_history(spark, sf):
     per = h.groupBy("budget").agg(F.count_if(F.col("role") == "user").alias("n_turns"),
                                   F.sum("tokens").alias("history_tokens"), _digest("pos").alias("history_md5"))
     cells = _cells(spark, sf, "tool_call", pools.EASY_RESERVE)
-    return cells.join(F.broadcast(per), "budget").select("event_id", "n_turns", "history_tokens", "history_md5")
+    return G.attach_by_budget(cells, per).select("event_id", "n_turns", "history_tokens", "history_md5")
 
 
 def _digest(order: str):
@@ -177,26 +177,32 @@ def q_prompt_messages(spark, sf):
     return out
 
 
-RENDER_SQL = f"""num AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS msg_no,
-    count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
-  pieces AS (SELECT conv_id, turn, (msg_no - 1) // {packing.CHUNK_MESSAGES} AS chunk, '=== [' || role || '] (msg ' || CAST(msg_no AS VARCHAR)
+RENDER_SQL = f"""{FX15}, num AS (SELECT conv_id, role, text, row_number() OVER ({MESSAGE_ORDER}) AS msg_no,
+    count(*) OVER (PARTITION BY conv_id) AS n FROM fx15),
+  pieces AS (SELECT conv_id, msg_no, (msg_no - 1) // {packing.CHUNK_MESSAGES} AS chunk, '=== [' || role || '] (msg ' || CAST(msg_no AS VARCHAR)
     || '/' || CAST(n AS VARCHAR) || ') ===' || {NL} || coalesce(text, '') || {NL} || {NL} AS piece FROM num)"""
 
 
 @register("prompt_render", f"""WITH {RENDER_SQL},
-  r AS (SELECT conv_id, chunk, count(*) AS n_msgs, string_agg(piece, '' ORDER BY turn) AS rendered FROM pieces GROUP BY conv_id, chunk)
+  r AS (SELECT conv_id, chunk, count(*) AS n_msgs, string_agg(piece, '' ORDER BY msg_no) AS rendered FROM pieces GROUP BY conv_id, chunk)
   SELECT conv_id, chunk, n_msgs, CAST(length(rendered) AS BIGINT) AS rendered_len, md5(rendered) AS rendered_md5 FROM r""")
 def q_prompt_render(spark, sf):
-    r = packing.render_messages(table(spark, sf, "conversations"))
+    r = packing.render_messages(fx.messages(spark, sf))
     return r.select("conv_id", "chunk", "n_msgs", F.length("rendered").cast("long").alias("rendered_len"),
                     F.md5("rendered").alias("rendered_md5"))
 
 
-@register("tool_defs_json", """SELECT count(*) AS n_tools, to_json(list(t ORDER BY t.name))::VARCHAR AS tools_json FROM (
-  SELECT DISTINCT {'name': event_type, 'description': 'Handle ' || event_type || ' events',
-   'parameters': {'k': {'type': 'string'}}} AS t FROM events) x""")
+#: Tools per part of the registered tool list (small, so that the few tools make several parts).
+TOOL_PART = 2
+
+
+@register("tool_defs_json", f"""WITH t AS (SELECT to_json(t)::VARCHAR AS j, row_number() OVER (ORDER BY t.name) - 1 AS pos, count(*) OVER () AS n
+  FROM (SELECT DISTINCT {{'name': event_type, 'description': 'Handle ' || event_type || ' events',
+   'parameters': {{'k': {{'type': 'string'}}}}}} AS t FROM events) x)
+  SELECT pos // {TOOL_PART} AS part, count(*) AS n_tools, CASE WHEN min(pos) = 0 THEN '[' ELSE ',' END || string_agg(j, ',' ORDER BY pos)
+    || CASE WHEN max(pos) + 1 = max(n) THEN ']' ELSE '' END AS tools_json FROM t GROUP BY pos // {TOOL_PART}""")
 def q_tool_defs_json(spark, sf):
-    return event_tools(spark, sf)
+    return event_tools(spark, sf, TOOL_PART)
 
 
 @register("calib_fixed_quota", """WITH c AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS rk
@@ -279,17 +285,17 @@ def exchanges_from_benchmark(spark, sf):
     return b.select(F.col("item_id").alias("exchange_id"), call.alias("call"), F.col("text").alias("result"))
 
 
-def event_tools(spark, sf):
+def event_tools(spark, sf, part_tools=G.PART_TOOLS):
     ev = table(spark, sf, "events").select("event_type").distinct()
     tools = ev.select(F.col("event_type").alias("name"),
                       F.concat(F.lit("Handle "), "event_type", F.lit(" events")).alias("description"),
                       F.struct(F.struct(F.lit("string").alias("type")).alias("k")).alias("parameters"))
-    return G.tool_definitions(tools)
+    return G.tool_definitions(tools, part_tools=part_tools)
 
 
 def seeded(spark, sf):
     samples = table(spark, sf, "conversations").select(F.col("conv_id").alias("sample"))
-    system = event_tools(spark, sf).select(F.concat(F.lit("<tools>\n"), "tools_json", F.lit("\n</tools>")).alias("system_text"))
+    system = G.whole_definitions(event_tools(spark, sf)).select(F.concat(F.lit("<tools>\n"), "tools_json", F.lit("\n</tools>")).alias("system_text"))
     return C.seeded_samples(samples, exchanges_from_benchmark(spark, sf), fx.calibration_lines(spark, sf),
                             fx.calibration_finals(spark, sf), system, max_seq_len=CALIB_MAX)
 
@@ -323,14 +329,14 @@ def q_position_columns(spark, sf):
                     F.element_at("beam_idx", 1).alias("beam_idx"))
 
 
-@register("prompt_cell_stats", """SELECT conv_id, count(*) AS n_msgs, CAST(sum(length(text)) AS BIGINT) AS total_chars,
+@register("prompt_cell_stats", f"""WITH {FX15} SELECT conv_id, count(*) AS n_msgs, CAST(sum(length(text)) AS BIGINT) AS total_chars,
   CAST(sum(length(text)) // 4 AS BIGINT) AS est_tokens,
   CAST(sum(octet_length(encode('=== [' || role || '] (msg ' || CAST(msg_no AS VARCHAR) || '/' || CAST(n AS VARCHAR) || ') ==='))
     + octet_length(encode(coalesce(text, ''))) + 3) // 1024 AS BIGINT) AS kb
-  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS msg_no,
-        count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) c GROUP BY conv_id""")
+  FROM (SELECT *, row_number() OVER ({MESSAGE_ORDER}) AS msg_no,
+        count(*) OVER (PARTITION BY conv_id) AS n FROM fx15) c GROUP BY conv_id""")
 def q_prompt_cell_stats(spark, sf):
-    return packing.prompt_cell_stats(table(spark, sf, "conversations"), ["conv_id"])
+    return packing.prompt_cell_stats(fx.messages(spark, sf), ["conv_id"])
 
 
 USABLE = f"length({strip_sql('text')}) >= 50"

@@ -55,14 +55,14 @@ def q_run_identity(spark, sf):
 
 
 def sample_file(sample: str):
-    return F.format_string(SAMPLE_FILE, F.col(sample))
+    return F.when(F.col(sample).isNotNull(), F.format_string(SAMPLE_FILE, F.col(sample))).otherwise(F.lit("sample_none.txt"))
 
 
 @register("prompt_text_dump", f"""WITH {RENDER_SQL},
-  r AS (SELECT conv_id, string_agg(piece, '' ORDER BY turn) AS rendered FROM pieces GROUP BY conv_id)
-  SELECT printf('sample_%03d.txt', conv_id) AS file, CAST(length(rendered) AS BIGINT) AS n_chars, md5(rendered) AS text_md5 FROM r""")
+  r AS (SELECT conv_id, string_agg(piece, '' ORDER BY msg_no) AS rendered FROM pieces GROUP BY conv_id)
+  SELECT coalesce(printf('sample_%03d.txt', conv_id), 'sample_none.txt') AS file, CAST(length(rendered) AS BIGINT) AS n_chars, md5(rendered) AS text_md5 FROM r""")
 def q_prompt_text_dump(spark, sf):
-    r = packing.render_messages(table(spark, sf, "conversations")).withColumn("file", sample_file("conv_id"))
+    r = packing.render_messages(fx.messages(spark, sf)).withColumn("file", sample_file("conv_id"))
     path = scratch_path(spark, "prompts")
     index = IO.write_named_files(r, path, "file", "rendered", order=["chunk"])
     back = IO.read_whole_files(spark, path).select("file", F.md5("value").alias("text_md5"))

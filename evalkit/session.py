@@ -52,11 +52,8 @@ def apply_session_conf(spark: SparkSession) -> None:
     """Set the runtime SQL settings above on an existing session (the caller's
     time zone is left alone: timestamps here are wall-clock TIMESTAMP_NTZ)."""
     for k, v in SESSION_CONF.items():
-        if k.startswith("spark.sql.") and k not in CALLER_OWNED:
-            try:
-                spark.conf.set(k, v)
-            except Exception:  # static or unknown settings are left alone
-                pass
+        if k not in CALLER_OWNED and spark.conf.isModifiable(k) and spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

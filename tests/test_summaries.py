@@ -74,3 +74,41 @@ def test_rows_of_failed_runs_count_in_summaries_and_files(spark, tmp_path):
     assert sorted(r.error for r in back.filter("error is not null").collect()) == ["boom", "x" * 200]
     IO.write_results_csv(both, f"{tmp_path}/csv", first_columns=["test", "context_length", "answer", "correct"])
     assert IO.read_results_csv(spark, f"{tmp_path}/csv", "test string, context_length int, answer string, correct boolean").count() == 4
+
+
+def test_first_valid_attempt_by_hand(spark):
+    import random
+
+    from evalkit.operators import summaries as S
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([1, 2, 3, 4, None]), rng.choice([True, False, None]), rng.choice([True, False, None]))
+            for _ in range(60)] + [(9, None, True, True), (8, 2, True, False), (7, 1, False, True)]
+    df = spark.createDataFrame(rows, "case_id int, attempt int, has_code boolean, ok boolean")
+    got = {r.case_id: tuple(r)[1:] for r in S.first_valid_attempt(df).collect()}
+    for c in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == c and r[1] is not None]
+        first = min((a for _, a, h, o in own if h and o), default=None)
+        before = [(h, o) for _, a, h, o in own if first is None or a < first]
+        used = first if first is not None else max((a for _, a, _, _ in own), default=None)
+        assert got[c] == (first, sum(bool(h and not o) for h, o in before), sum(not h for h, o in before), used, first is not None)
+    plan = S.first_valid_attempt(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_tool_lists_in_parts(spark):
+    import json
+
+    import pytest
+
+    from evalkit.operators import prompts as G
+    rows = [(f"tool{i % 37:03d}", f"does {i % 37}", "string") for i in range(90)]
+    tools = spark.createDataFrame(rows, "name string, description string, parameters string")
+    parts = sorted(G.tool_definitions(tools, part_tools=10).collect(), key=lambda r: r.part)
+    assert [(r.part, r.n_tools) for r in parts] == [(0, 10), (1, 10), (2, 10), (3, 7)]
+    whole = json.loads("".join(r.tools_json for r in parts))
+    assert [t["name"] for t in whole] == [f"tool{i:03d}" for i in range(37)] and whole[3]["description"] == "does 3"
+    one = G.whole_definitions(G.tool_definitions(tools, part_tools=10)).first()
+    assert one.n_tools == 37 and json.loads(one.tools_json) == whole
+    assert G.whole_definitions(G.tool_definitions(tools.limit(0))).first().tools_json == "[]"
+    with pytest.raises(ValueError, match="tool list"):
+        G.whole_definitions(G.tool_definitions(tools), max_bytes=100)

@@ -52,3 +52,65 @@ def test_channel_stats_and_layer_sensitivity(spark):
         assert abs(got[lbl].mean_activation_variance - m.var(axis=0).mean()) < 1e-9
         assert abs(got[lbl].mean_activation_magnitude - np.abs(m).mean()) < 1e-9
         assert abs(got[lbl].hessian_input_activation - (m * m).mean()) < 1e-9
+
+
+def test_unpacking_takes_time_in_proportion_to_the_length(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(bytes(i % 256 for i in range(n // 2)),)], "b binary")
+        start = time.time()
+        values = df.select(TF.unpack_uint4("b").alias("v")).first().v
+        assert values[:6] == [0, 0, 1, 0, 2, 0] and len(values) == n
+        return time.time() - start
+    seconds(1024)
+    short, long = min(seconds(65_536) for _ in range(3)), min(seconds(1_048_576) for _ in range(2))
+    assert short < 1 and long < 16 * short + 3
+
+
+def test_unpack_edges(spark):
+    df = spark.createDataFrame([(b"",), (None,), (bytes([0xF0]),)], "b binary")
+    assert [r.v for r in df.select(TF.unpack_uint4("b").alias("v")).collect()] == [[], None, [0, 15]]
+    assert [r.v for r in df.select(TF.unpack_uint4("b", 1).alias("v")).collect()] == [[], None, [0]]
+
+
+def test_large_tensors_are_cut_into_chunks(spark):
+    rows = [(1, bytes(i * 7 % 256 for i in range(1001))), (2, b""), (3, None), (4, b"x" * 64)]
+    df = spark.createDataFrame(rows, "id int, packed binary")
+    cut = TF.packed_chunks(df, "packed", chunk_bytes=64).withColumn("v", TF.unpack_uint4("packed")).collect()
+    for i, packed in rows[:2] + rows[3:]:
+        own = sorted((r for r in cut if r.id == i), key=lambda r: r.chunk)
+        assert [r.first for r in own] == [128 * k for k in range(len(own))] and all(len(r.packed) <= 64 for r in own)
+        assert [x for r in own for x in r.v] == [x for b in packed for x in (b & 15, b >> 4)]
+    assert {r.id for r in cut} == {1, 2, 4} and len(cut) == 16 + 1 + 1
+
+
+def hand_moments(vectors, channel):
+    import math
+    seen = [v[channel] for v in vectors if v is not None and len(v) > channel]
+    x = [a for a in seen if a is not None]
+    if not x:
+        return (None, None, None, None, len(seen))
+    mean = math.fsum(x) / len(x)
+    return (max(map(abs, x)), math.fsum(map(abs, x)) / len(x), math.fsum((a - mean) ** 2 for a in x) / len(x),
+            math.fsum(a * a for a in x) / len(x), len(seen))
+
+
+def test_moment_vectors_match_the_values(spark):
+    import pytest
+    rng = random.Random(11)
+    vectors = [(rng.choice(["a", "b", None]), [rng.choice([None, rng.gauss(1e6, 1)]) for _ in range(rng.randrange(9))]) for _ in range(300)]
+    vectors += [("c", None), ("c", [None, None]), ("d", [1.5])]
+    df = spark.createDataFrame(vectors, "g string, v array<double>").repartition(6)
+    got = {(r.g, r.channel): (r.max_abs, r.mean_abs, r.var_pop, r.mean_sq, r.n) for r in TO.channel_stats(df, "v", by=["g"]).collect()}
+    for g in ("a", "b", None, "c", "d"):
+        own = [v for k, v in vectors if k == g]
+        for channel in range(max(len(v) for v in own if v is not None)):
+            want = hand_moments(own, channel)
+            assert [x is None for x in got[g, channel]] == [x is None for x in want]
+            # deviations stay exact although the mean is a million times as large
+            assert [x for x in got[g, channel] if x is not None] == pytest.approx([x for x in want if x is not None], rel=1e-9)
+    assert len(got) == sum(max(len(v) for k, v in vectors if k == g and v is not None) for g in ("a", "b", None, "c", "d"))
+    assert TO.channel_stats(df.limit(0), "v", by=["g"]).count() == 0
+    assert TO.channel_stats(spark.createDataFrame([([1.0, float("nan")],), ([3.0, 2.0],)], "v array<double>"), "v").filter(
+        "channel = 0").first().var_pop == 1.0
