@@ -2,16 +2,23 @@
 
 The score of a word after its predecessor is count(pair) / count(predecessor) if the pair
 was seen often enough, else a fixed factor times the word's share of the corpus; the score
-of a document is the mean logarithm over its words. It is computed as a join:
-1. Words are counted over the whole corpus (per batch, then by a partial aggregate). Words
-   with at least a fixed share of the corpus form the vocabulary; that share bounds its
-   size (1e-6: a million words), so it may be broadcast. The rest is one unknown word.
-2. Pairs with at least a fixed share (1e-4: ten thousand pairs at most) are counted first
-   and broadcast, so no key of the join below can hold more than that share of the rows.
-3. All other pairs, counted per document, are partitioned by a hash. Each partition counts
-   its pairs over the corpus, joins the counts to the documents' pairs and returns a sum per
-   document; the sums are partitioned by document, in blocks, and added up. Everything gathered grows with the corpus and
-   nothing of it passes the driver but the two bounded tables.
+of a document is the mean logarithm over its words. Every word and pair of the corpus has its
+own count, whatever its size. It is computed as a join:
+1. Words are counted over the whole corpus (per batch, then by a partial aggregate). The
+   frequent ones get numbers and are broadcast with their counts: those above ``WORD_ROWS``
+   occurrences, or a fixed share of a small corpus. What is broadcast is bounded; it changes
+   where a count is looked up, not the count.
+2. So are the frequent pairs of frequent words. No key of the join below has more rows than
+   these two numbers.
+3. All other occurrences go to count tables partitioned by a hash: a pair of frequent words by
+   the pair, a rare word by the word, with its neighbour. A partition counts its keys over the
+   corpus, joins the counts to the occurrences and returns a sum per document. The count of a
+   rare word meets both the pairs that end and those that begin with it there, so a pair of two
+   rare words goes to both words' partitions, each of which knows its count.
+4. The sums are partitioned by blocks of documents and added up.
+
+Occurrences travel packed: one row per task, partition and block of documents, which holds
+places in the block (2 bytes) and keys. Nothing passes the driver but the bounded tables.
 
 Defined cases: a null text and a text without words have no words and a null score; the
 first word of a text is scored by its share; repeated rows each count and get equal
@@ -34,19 +41,26 @@ from evalkit.llm.common import materialize, per_worker
 BACKOFF = 0.4
 #: A pair seen less often backs off.
 MIN_PAIR = 2
-#: Shares of the corpus from which a word is in the vocabulary and a pair is broadcast.
-WORD_SHARE, PAIR_SHARE = 1e-6, 1e-4
-#: Pairs of words per hash partition aimed at.
-PAIRS_PER_BUCKET = 500_000
-BITS = 20  # of a word's number: 1e6 words and the unknown one
+#: Occurrences, or a share of all, from which a word or pair is broadcast, and how many are at most.
+WORD_ROWS, WORD_SHARE, MAX_WORDS = 4_000_000, 1e-6, 2_000_000
+PAIR_ROWS, PAIR_SHARE, MAX_PAIRS = 4_000_000, 1e-4, 4_000_000
+#: Occurrences per hash partition aimed at (more in a very large corpus, so that a task still
+#: sends several of them to each), and occurrences that a task collects before it sends them.
+BUCKET_ROWS, COLLECTED = 500_000, 4_000_000
+BITS = 21  # of a frequent word's number
 MIX = 0x9E3779B97F4A7C15
-#: Distinct words whose number a worker keeps.
-KEPT = 300_000
+#: Documents of a block: their places take two bytes.
+BLOCK_BITS = 16
+#: Frequent words whose number a worker keeps.
+KEPT = 200_000
+PACKED = "bucket long, block long, payload binary"
+NAMES = ["bucket", "block", "payload"]
 
 
 def digest(words: list[bytes]) -> np.ndarray:
+    """A negative number per word (63 bits of its hash)."""
     import xxhash
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64) | np.int64(-2**63)
 
 
 def batch_words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
@@ -62,171 +76,284 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               ["h", "c"])
 
 
+def in_sorted(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of each value in a sorted table and whether it is there."""
+    at = np.minimum(np.searchsorted(table, values), max(len(table) - 1, 0))
+    return at, (table[at] == values if len(table) else np.zeros(len(values), bool))
+
+
 class Vocabulary:
-    """Numbers and counts of the frequent words; number 0 is any other word."""
+    """Numbers (from 1) and counts of the frequent words; any other word is named by its hash,
+    a negative number."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
         order = np.argsort(hashes)
-        self.hashes, self.total = hashes[order], total
-        self.counts = np.r_[max(1, total - int(counts.sum())), counts[order]]
+        self.hashes, self.total = hashes[order], max(total, 1)
+        self.logs = np.log(np.r_[1, counts[order]])  # by number
+        self.counts = np.r_[0, counts[order]]
         self.known: dict[bytes, int] = {}
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def codes(self, words: list[bytes]) -> np.ndarray:
         known = self.known
         if len(known) > KEPT:
             known.clear()
         new = list(set(words) - known.keys())
-        if new:
-            h = digest(new)
-            at = np.searchsorted(self.hashes, h)
-            hit = np.zeros(len(h), bool)
-            inside = at < len(self.hashes)
-            hit[inside] = self.hashes[at[inside]] == h[inside]
-            known.update(zip(new, np.where(hit, at + 1, 0).tolist()))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-    def pairs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words' numbers, the words per text, and the pair that ends at each word (-1 at a
-        text's first)."""
-        words, n = batch_words(texts)
-        ids = self.numbers(words)
-        pair = np.full(len(ids), -1, np.int64)
-        pair[1:] = ids[:-1] << BITS | ids[1:]
-        pair[(np.cumsum(n) - n)[n > 0]] = -1
-        return ids, n, pair
-
-    def log_share(self, ids: np.ndarray) -> np.ndarray:
-        return np.log(self.counts[ids] / self.total)
-
-    def log_score(self, pair: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Logarithm of the Stupid Backoff score of pairs with these corpus counts."""
-        seen = np.log(np.maximum(count, 1) / self.counts[pair >> BITS])
-        back = np.log(BACKOFF) + self.log_share(pair & ((1 << BITS) - 1))
-        return np.where(count >= MIN_PAIR, seen, back)
-
-
-def in_sorted(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Position of each value in a sorted table and whether it is there."""
-    at = np.minimum(np.searchsorted(table, values), max(len(table) - 1, 0))
-    return at, (table[at] == values if len(table) else np.zeros(len(values), bool))
-
-
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word_share: float = WORD_SHARE,
-           pair_share: float = PAIR_SHARE) -> DataFrame:
+        if not new:
+            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        h = digest(new)
+        at, hit = in_sorted(h, self.hashes)
+        code = np.where(hit, at + 1, h)
+        of = dict(zip(new, code.tolist()))
+        known.update([(new[i], of[new[i]]) for i in np.flatnonzero(hit).tolist()])
+        of.update(known)
+        return np.fromiter(map(of.__getitem__, words), np.int64, len(words))
+
+    def log_share(self, number: np.ndarray) -> np.ndarray:
+        return self.logs[number] - np.log(self.total)
+
+    def log_pairs(self, pair: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Logarithm of the Stupid Backoff score of pairs of frequent words with these counts."""
+        seen = np.log(np.maximum(count, 1)) - self.logs[pair >> BITS]
+        return np.where(count >= MIN_PAIR, seen, np.log(BACKOFF) + self.log_share(pair & ((1 << BITS) - 1)))
+
+
+def least_rows(total: int, rows: int, share: float, most: int) -> float:
+    """From how many occurrences a key is broadcast: at most ``most`` keys can have as many."""
+    return max(total / most, min(total * share, rows), 1)
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(MIX)) >> np.uint64(20)).astype(np.int64) % buckets
+
+
+# --- packed rows: five lengths, then the places and keys of five kinds of occurrences ------------
+#: Bytes of the keys of a kind: a pair of frequent words; a rare word and the number of the word
+#: before it (0: none), or of the word after it; two rare words, at the second's and the first's.
+PAIR, ENDS, BEGINS, BOTH_ENDS, BOTH_BEGINS = range(5)
+KEY_BYTES = ((6,), (8, 3), (8, 3), (8, 8), (8, 8))
+
+
+def low_bytes(values: np.ndarray, n: int) -> bytes:
+    if n == 8:
+        return values.astype("<i8").tobytes()
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
+
+
+def from_low_bytes(data: bytes, n: int) -> np.ndarray:
+    if n == 8:
+        return np.frombuffer(data, "<i8")
+    out = np.zeros((len(data) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(data, np.uint8).reshape(-1, n)
+    return out.view("<i8").ravel()
+
+
+def pack(kinds: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, block, payload) rows from (bucket, rid, key, ...) arrays of each kind."""
+    parts: dict[tuple[int, int], list] = {}
+    for kind, (bucket, rid, *keys) in enumerate(kinds):
+        block = rid >> BLOCK_BITS
+        order = np.lexsort((rid, bucket))
+        b, k = bucket[order], block[order]
+        cut = np.flatnonzero(np.r_[True, (np.diff(b) != 0) | (np.diff(k) != 0)]) if len(b) else np.empty(0, np.int64)
+        place = (rid[order] & ((1 << BLOCK_BITS) - 1)).astype("<u2").tobytes()
+        data = [low_bytes(x[order], n) for x, n in zip(keys, KEY_BYTES[kind])]
+        for start, stop, at in zip(cut.tolist(), [*cut[1:].tolist(), len(b)], zip(b[cut].tolist(), k[cut].tolist())):
+            row = parts.setdefault(at, [[0] * len(KEY_BYTES), []])
+            row[0][kind] = stop - start
+            row[1] += [place[2 * start:2 * stop], *[d[n * start:n * stop] for d, n in zip(data, KEY_BYTES[kind])]]
+    for (bucket, block), (lengths, data) in parts.items():
+        yield bucket, block, np.array(lengths, "<u4").tobytes() + b"".join(data)
+
+
+def unpack(blocks: list[int], payloads: list[bytes]) -> list[list[np.ndarray]]:
+    """Per kind: rid and keys of all occurrences of the rows."""
+    rids: list[list] = [[] for _ in KEY_BYTES]
+    keys: list[list[list]] = [[[] for _ in n] for n in KEY_BYTES]
+    for block, payload in zip(blocks, payloads):
+        at = 4 * len(KEY_BYTES)
+        for kind, n in enumerate(np.frombuffer(payload[:at], "<u4").tolist()):
+            if n:
+                rids[kind].append(np.frombuffer(payload, "<u2", n, at).astype(np.int64) + (block << BLOCK_BITS))
+                at += 2 * n
+                for i, size in enumerate(KEY_BYTES[kind]):
+                    keys[kind][i].append(payload[at:at + size * n])
+                    at += size * n
+    joined = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
+    return [[joined(r), *[from_low_bytes(b"".join(x), size) for x, size in zip(k, KEY_BYTES[kind])]]
+            for kind, (r, k) in enumerate(zip(rids, keys))]
+
+
+def occurrences(first: np.ndarray, second: np.ndarray, starts: np.ndarray, rid: np.ndarray, direct: np.ndarray,
+                buckets: int) -> list[tuple[np.ndarray, ...]]:
+    """Each kind's (bucket, rid, keys) of words ``second`` after ``first``; ``starts``: the word
+    starts a text; ``direct``: it is scored already."""
+    after_rare, rare = (first < 0) & ~starts, second < 0
+    pair = ~direct & ~starts & ~after_rare & ~rare
+    ends, begins, both = rare & ~after_rare, after_rare & ~rare, rare & after_rare
+    key = first[pair] << BITS | second[pair]
+    before = np.where(starts, 0, first)
+    return [(bucket_of(key, buckets), rid[pair], key),
+            (bucket_of(second[ends], buckets), rid[ends], second[ends], before[ends]),
+            (bucket_of(first[begins], buckets), rid[begins], first[begins], second[begins]),
+            (bucket_of(second[both], buckets), rid[both], second[both], first[both]),
+            (bucket_of(first[both], buckets), rid[both], first[both], second[both])]
+
+
+def counted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How often each (a, b) occurs, per occurrence."""
+    order = np.lexsort((b, a))
+    new = np.r_[True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)] if len(a) else np.empty(0, bool)
+    group = np.cumsum(new) - 1
+    out = np.empty(len(a), np.int64)
+    out[order] = np.bincount(group)[group] if len(a) else 0
+    return out
+
+
+def joined_sums(kinds: list[list[np.ndarray]], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and their sums of logarithms, from all occurrences of the keys of a partition."""
+    (r0, key), (r1, a1, o1), (r2, a2, o2), (r3, a3, o3), (r4, a4, o4) = kinds
+    found, inverse = np.unique(key, return_inverse=True)
+    pairs = v.log_pairs(found, np.bincount(inverse, minlength=len(found)))[inverse] if len(found) else np.empty(0)
+    # every occurrence of a rare word ends a pair or starts a text, so this is its count in the corpus
+    words, times = np.unique(np.concatenate([a1, a3]), return_counts=True)
+    log_of = lambda a: np.log(times[np.searchsorted(words, a)]) if len(a) else np.empty(0)
+    share = lambda a: log_of(a) - np.log(v.total)
+    back = np.log(BACKOFF)
+    c1, c2, c3, c4 = counted(a1, o1), counted(a2, o2), counted(a3, o3), counted(a4, o4)
+    seen = lambda c: np.log(np.maximum(c, 1))
+    s1 = np.where(o1 == 0, share(a1), np.where(c1 >= MIN_PAIR, seen(c1) - v.logs[o1], back + share(a1)))
+    s2 = np.where(c2 >= MIN_PAIR, seen(c2) - log_of(a2), back + v.log_share(o2))
+    s3 = np.where(c3 >= MIN_PAIR, seen(c3), back + share(a3))
+    again = c4 >= MIN_PAIR
+    rid = np.concatenate([r0, r1, r2, r3, r4[again]])
+    logs = np.concatenate([pairs, s1, s2, s3, -log_of(a4[again])])
+    docs, at = np.unique(rid, return_inverse=True)
+    return docs, np.bincount(at, logs, len(docs))
+
+
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word_rows: int = WORD_ROWS,
+           word_share: float = WORD_SHARE, pair_rows: int = PAIR_ROWS, pair_share: float = PAIR_SHARE) -> DataFrame:
     """doc_id, n_words, lm_score (mean natural logarithm per word), one row per document."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("text"))
     words = materialize(texts.mapInArrow(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")),
                         "lm-words")
     total = words.agg(F.sum("c")).first()[0] or 0
-    # at most 1 / word_share rows, since their counts add up to no more than the total
-    frequent = words.filter(F.col("c") >= total * word_share).toPandas()
-    vocabulary = Vocabulary(frequent["h"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64), max(total, 1))
-    shared = spark.sparkContext.broadcast((vocabulary.hashes, vocabulary.counts[1:], vocabulary.total))
-    key = uuid.uuid4().hex
-    common = vocabulary.counts >= total * pair_share
+    # at most MAX_WORDS rows, since their counts add up to no more than the total
+    frequent = words.filter(F.col("c") >= least_rows(total, word_rows, word_share, MAX_WORDS)).toPandas()
+    vocabulary = Vocabulary(frequent["h"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64), total)
+    shared = spark.sparkContext.broadcast((vocabulary.hashes, vocabulary.counts[1:], total))
+    run = uuid.uuid4().hex
+    pair_least = least_rows(total, pair_rows, pair_share, MAX_PAIRS)
+    common = vocabulary.counts >= pair_least
 
     def worker_vocabulary() -> Vocabulary:
         cache = per_worker(("lm-vocabulary",), dict)  # of one corpus at a time
-        if cache.get("key") != key:
-            cache.update(key=key, vocabulary=Vocabulary(*shared.value))
+        if cache.get("run") != run:
+            cache.update(run=run, vocabulary=Vocabulary(*shared.value))
         return cache["vocabulary"]
 
+    def chained(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the words and of those before them, which of them start a text, words per text."""
+        found, n = batch_words(texts)
+        second = worker_vocabulary().codes(found)
+        starts = np.zeros(len(second), bool)
+        starts[(np.cumsum(n) - n)[n > 0]] = True
+        return np.where(starts, 0, np.roll(second, 1)), second, starts, n
+
     def count_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pair = worker_vocabulary().pairs(batch.column(0).to_pylist())[2]
-            pair = pair[pair >= 0]
-            pair = pair[common[pair >> BITS] & common[pair & ((1 << BITS) - 1)]]
-            found, n = np.unique(pair, return_counts=True)
+            first, second, _, _ = chained(batch.column(0).to_pylist())
+            both = common[np.maximum(first, 0)] & common[np.maximum(second, 0)]
+            found, n = np.unique(first[both] << BITS | second[both], return_counts=True)
             yield pa.record_batch([pa.array(found), pa.array(n.astype(np.int64))], ["pair", "c"])
 
-    # at most 1 / pair_share rows, by the same argument
+    # at most MAX_PAIRS rows, by the same argument
     hot = (texts.mapInArrow(count_common, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
-           .filter(F.col("c") >= total * pair_share).orderBy("pair").toPandas())
-    hot_pairs, hot_counts = hot["pair"].to_numpy(np.int64), hot["c"].to_numpy(np.int64)
-    hot_logs = vocabulary.log_score(hot_pairs, hot_counts)
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // PAIRS_PER_BUCKET, 1)
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        own = -1 - TaskContext.get().partitionId()
+           .filter(F.col("c") >= pair_least).orderBy("pair").toPandas())
+    hot_pairs = hot["pair"].to_numpy(np.int64)
+    hot_table = spark.sparkContext.broadcast((hot_pairs, vocabulary.log_pairs(hot_pairs, hot["c"].to_numpy(np.int64))))
+    per_bucket = max(BUCKET_ROWS, 4 * int(total ** 0.5))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // per_bucket, 1)
+
+    def rows_of(rows) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [[], [], []]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], NAMES)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_pairs, hot_logs = hot_table.value
+        collected, n_collected = [], 0
+
+        def flush():
+            kinds = [tuple(np.concatenate(x) for x in zip(*parts)) for parts in zip(*collected)]
+            return rows_of(pack(kinds))
+
         for batch in batches:
             v = worker_vocabulary()
             rid = batch.column(0).to_numpy(zero_copy_only=False)
-            ids, n, pair = v.pairs(batch.column(2).to_pylist())
+            first, second, starts, n = chained(batch.column(2).to_pylist())
             row = np.repeat(np.arange(len(n)), n)
-            at, is_hot = in_sorted(pair, hot_pairs)
-            first = pair < 0
-            direct = np.zeros(len(ids))
-            direct[first] = v.log_share(ids[first])
+            at, is_hot = in_sorted(first << BITS | second, hot_pairs)
+            is_hot &= (first > 0) & (second > 0)
+            direct = np.zeros(len(second))
+            alone = starts & (second > 0)
+            direct[alone] = v.log_share(second[alone])
             direct[is_hot] = hot_logs[at[is_hot]]
-            base = np.bincount(row, direct, len(n))
-            rest = ~is_hot & ~first
-            # one entry per document and pair, with its count in the document
-            (r, p), times = unique_pairs(row[rest], pair[rest])
-            bucket = ((p.astype(np.uint64) * np.uint64(MIX)) >> np.uint64(20)).astype(np.int64) % buckets
-            order = np.lexsort((r, bucket))
-            cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0]) if len(order) else np.empty(0, np.int64)
-            ends = np.r_[cut, len(order)].astype(np.int32)
-            lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, kind))
-            yield pa.record_batch(
-                [pa.array(bucket[order][cut]), lists(rid[r[order]], pa.int64()), lists(p[order], pa.int64()),
-                 lists(times[order], pa.int32()), pa.array([None] * len(cut), pa.list_(pa.float64()))], BLOCK_NAMES)
+            own = np.bincount(row, direct, len(n)) if len(row) else np.zeros(len(n))
             # the documents themselves, with what is known of their sums already
-            whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), x)
-            yield pa.record_batch(
-                [pa.array([own], pa.int64()), whole(pa.array(rid, pa.int64())), whole(batch.column(1)),
-                 whole(pa.array(n, pa.int32())), whole(pa.array(base, pa.float64()))], BLOCK_NAMES)
-
-    def dealt(rid, doc_id, n_words, total) -> pa.Table:
-        """Rows per document as one row of lists for each part of the documents."""
-        part = ((rid.astype(np.uint64) * np.uint64(MIX)) >> np.uint64(20)).astype(np.int64) % buckets
-        order = np.argsort(part, kind="stable")
-        cut = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0]) if len(order) else np.empty(0, np.int64)
-        ends = pa.array(np.r_[cut, len(order)].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, x.take(pa.array(order))) for x in (pa.array(rid), doc_id, n_words, total)]
-        return pa.table([pa.array(part[order][cut]), *lists], names=SUM_NAMES)
+            ids, known = batch.column(1).fill_null(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            block, place = rid >> BLOCK_BITS, (rid & ((1 << BLOCK_BITS) - 1)).astype("<u2")
+            yield rows_of([(-1 - int(b), int(b), document_rows(place[s], ids[s], known[s], n[s], own[s]))
+                           for b in np.unique(block) for s in [block == b]])
+            collected.append(occurrences(first, second, starts, rid[row], is_hot | starts, buckets))
+            n_collected += len(second)
+            if n_collected >= COLLECTED:
+                yield flush()
+                collected, n_collected = [], 0
+        if collected:
+            yield flush()
 
     def join_counts(table: pa.Table) -> pa.Table:
-        flat = {c: table.column(c).combine_chunks().flatten() for c in BLOCK_NAMES[1:]}
-        rid = flat["rid"].to_numpy(zero_copy_only=False)
-        times = flat["times"].to_numpy(zero_copy_only=False)
         if table.column("bucket")[0].as_py() < 0:
-            return dealt(rid, flat["pair"], pa.array(times.astype(np.int64)), flat["sum"])
-        pair, inverse = np.unique(flat["pair"].to_numpy(zero_copy_only=False), return_inverse=True)
-        count = np.bincount(inverse, times)
-        logs = worker_vocabulary().log_score(pair, count)
-        rows, at = np.unique(rid, return_inverse=True)
-        return dealt(rows, pa.nulls(len(rows), pa.int64()), pa.array(np.zeros(len(rows), np.int64)),
-                     pa.array(np.bincount(at, logs[inverse] * times)))
+            return table
+        kinds = unpack(table.column("block").to_pylist(), table.column("payload").to_pylist())
+        rid, sums = joined_sums(kinds, worker_vocabulary())
+        block = rid >> BLOCK_BITS
+        cut = np.flatnonzero(np.r_[True, np.diff(block) != 0]) if len(rid) else np.empty(0, np.int64)
+        place = (rid & ((1 << BLOCK_BITS) - 1)).astype("<u2")
+        rows = [(1, int(block[a]), place[a:b].tobytes() + sums[a:b].tobytes())
+                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rid)])]
+        return pa.Table.from_batches([rows_of(rows)])
 
     def add_up(table: pa.Table) -> pa.Table:
-        rid, doc_id, n_words, total = (table.column(c).combine_chunks().flatten() for c in SUM_NAMES[1:])
-        rows, first, at = np.unique(rid.to_numpy(), return_index=True, return_inverse=True)
-        words = np.bincount(at, n_words.to_numpy(), len(rows)).astype(np.int64)
-        named = doc_id.is_valid().to_numpy(zero_copy_only=False)
-        source = first.copy()
-        source[at[named]] = np.flatnonzero(named)
-        return pa.table([doc_id.take(pa.array(source)), pa.array(words), pa.array(np.bincount(at, total.to_numpy(), len(rows)))],
-                        names=["doc_id", "n_words", "sum"])
+        own, places, parts = [], [], []
+        for bucket, payload in zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist()):
+            if bucket < 0:
+                own.append(np.frombuffer(payload, DOCUMENT))
+            else:
+                n = len(payload) // 10
+                places.append(np.frombuffer(payload, "<u2", n))
+                parts.append(np.frombuffer(payload, "<f8", n, 2 * n))
+        rows = np.concatenate(own)
+        sums = np.zeros(1 << BLOCK_BITS)
+        if parts:
+            sums = np.bincount(np.concatenate(places), np.concatenate(parts), 1 << BLOCK_BITS)
+        return pa.table([pa.array(rows["id"].astype(np.int64), pa.int64(), mask=~rows["known"]), pa.array(rows["n"].astype(np.int64)),
+                         pa.array(rows["own"] + sums[rows["place"]])], names=["doc_id", "n_words", "sum"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"),
                            F.col(text).alias("text"))
-    sums = (numbered.mapInArrow(blocks, BLOCK).groupBy("bucket").applyInArrow(join_counts, SUMS)
-            .groupBy("part").applyInArrow(add_up, "doc_id long, n_words long, sum double"))
+    sums = (numbered.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(join_counts, PACKED)
+            .groupBy("block").applyInArrow(add_up, "doc_id long, n_words long, sum double"))
     return sums.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("sum") / F.col("n_words")).alias("lm_score"))
 
 
-BLOCK = "bucket long, rid array<long>, pair array<long>, times array<int>, sum array<double>"
-BLOCK_NAMES = ["bucket", "rid", "pair", "times", "sum"]
-SUMS = "part long, rid array<long>, doc_id array<long>, n_words array<long>, sum array<double>"
-SUM_NAMES = ["part", "rid", "doc_id", "n_words", "sum"]
+#: A document in a packed row.
+DOCUMENT = np.dtype([("place", "<u2"), ("id", "<i8"), ("known", "?"), ("n", "<i8"), ("own", "<f8")])
 
 
-def unique_pairs(row: np.ndarray, pair: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Distinct (row, pair) and how often each occurs."""
-    order = np.lexsort((pair, row))
-    r, p = row[order], pair[order]
-    new = np.r_[True, (np.diff(r) != 0) | (np.diff(p) != 0)] if len(r) else np.empty(0, bool)
-    start = np.flatnonzero(new)
-    return (r[start], p[start]), np.diff(np.r_[start, len(r)])
+def document_rows(*columns: np.ndarray) -> bytes:
+    rows = np.empty(len(columns[0]), DOCUMENT)
+    for name, values in zip(DOCUMENT.names, columns):
+        rows[name] = values
+    return rows.tobytes()

@@ -19,7 +19,10 @@ No pairs of a group are spelled out, and no candidate is capped:
 5. Pairs that share a sketch but not yet a component are all verified, unless their counts
    of unmatchable shingles or their distances from a common center rule the similarity out
    (exact bounds too): in each group, the members outside its largest component against the
-   others.
+   others. A parity sketch of the two texts gives a further exact bound on the way: two sets
+   of shingles differ in at least as many as the bits in which their sketches differ, so the
+   members of a group of near misses are ruled out where the group is joined, and are not
+   written, shuffled or compared.
 Joins that a large group could skew read written tables, so that adaptive execution can
 split them.
 
@@ -52,6 +55,8 @@ LONG_MIN, SHORT_MAX = 40, 50
 ROUNDS, PARTNERS = 1, 2
 #: Products of a sketch computed at a time.
 PRODUCTS = 1 << 19
+#: Words of 64 bits of a parity sketch.
+PARITY = 32
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -187,10 +192,25 @@ def to_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                long_lists([sketches(h) for h in shingles])], ["tid", "n", "keys"])
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """Bits that tell whether an odd number of shingles falls on them."""
+    at = mix(h ^ np.uint64(MIX)) % np.uint64(64 * PARITY)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def to_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch([batch.column(0), long_lists([labelled_shingles(w) for w in lists_of(batch.column(1))])],
-                              ["tid", "shingles"])
+        shingles = [labelled_shingles(w) for w in lists_of(batch.column(1))]
+        yield pa.record_batch([batch.column(0), long_lists(shingles), long_lists([parity(h) for h in shingles])],
+                              ["tid", "shingles", "bits"])
+
+
+def may_match(n: str, bits: str, m: str, others: str) -> Column:
+    """Whether the parity sketches of two texts of n and m shingles leave room for the similarity:
+    each bit that differs takes a shingle that only one of them has."""
+    apart = sum((F.bit_count(F.get(F.col(bits), i).bitwiseXOR(F.get(F.col(others), i))) for i in range(PARITY)), F.lit(0))
+    return apart * (1 + SIMILARITY) <= (F.col(n) + F.col(m)) * (1 - SIMILARITY) + 1e-9
 
 
 def to_checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +279,7 @@ def links(texts: DataFrame) -> DataFrame:
     some = materialize(sketched.select("tid", F.size("keys").alias("k")).join(alone, "tid", "left")
                        .filter(F.coalesce("own", F.lit(0)) < F.col("k")).select("tid"), "near-candidates")
     shingles = materialize(keep_of(texts, some).select("tid", word_hashes("text").alias("words"))
-                           .mapInArrow(to_shingles, "tid long, shingles array<long>")
+                           .mapInArrow(to_shingles, "tid long, shingles array<long>, bits array<long>")
                            .dropDuplicates(["tid"]), "near-shingles")
     unique = (shingles.select("tid", F.explode("shingles").alias("s")).groupBy("s")
               .agg(F.count(F.lit(1)).alias("c"), F.min("tid").alias("tid")).filter("c = 1")
@@ -298,13 +318,17 @@ def links(texts: DataFrame) -> DataFrame:
         more = materialize(more.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         found, tried = found.union(verified(more, shingles)), tried.union(more)
     rest, stray = outside(member, components(found))
-    stray = stray.select("key", F.col("tid").alias("t"), F.col("n").alias("m"), F.col("own").alias("mine"),
-                         F.col("comp").alias("other"), F.col("c").alias("oc"), F.col("d").alias("od"))
+    # both sides with their parity sketches (a few hundred bytes each), for groups that are still split
+    bits = keep_of(shingles.select("tid", "bits"), rest.select("tid").distinct())
+    rest = materialize(rest.join(bits, "tid"), "near-rest-bits")
+    stray = materialize(stray.join(bits, "tid").select(
+        "key", F.col("tid").alias("t"), F.col("n").alias("m"), F.col("own").alias("mine"), F.col("comp").alias("other"),
+        F.col("c").alias("oc"), F.col("d").alias("od"), F.col("bits").alias("others")), "near-stray-bits")
     # Jaccard distance obeys the triangle inequality
     apart = (F.col("c") == F.col("oc")) & (F.abs(F.col("d") - F.col("od")) > 1 - SIMILARITY + 1e-9)
     last = (stray.join(rest, "key")
             .filter((F.col("comp") != F.col("other")) & ((F.col("comp") == F.col("top")) | (F.col("t") < F.col("tid")))
-                    & matchable("m", "mine", "n", "own") & ~apart)
+                    & matchable("m", "mine", "n", "own") & ~apart & may_match("n", "bits", "m", "others"))
             .select(F.least("t", "tid").alias("a"), F.greatest("t", "tid").alias("b")).distinct())
     last = materialize(last.join(tried, ["a", "b"], "left_anti"), "near-last-pairs")
     return found.union(verified(last, shingles))

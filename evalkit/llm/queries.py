@@ -88,8 +88,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                        fingerprint.as_string(F.col("sketch")).alias("fingerprint"),
                        fingerprint.as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
-                       fingerprint.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-                       fingerprint.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+                       *[F.coalesce(fingerprint.likeness(F.col("sketch"), F.col(other)), F.lit(0.0)).alias(name)
+                         for other, name in (("edited_sketch", "near_edited"), ("next_sketch", "near_next"))])
 
 
 @register("op9_near_duplicates")
@@ -103,20 +103,14 @@ WITH words AS (
   FROM (SELECT row_number() OVER () AS rid, doc_id,
                regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)),
 total AS (SELECT count(*) AS n FROM words),
-freq AS (SELECT w, count(*) AS c FROM words GROUP BY w),
-vocab AS (SELECT w, c FROM freq, total WHERE c >= n * 1e-6),
-tokens AS (SELECT rid, doc_id, pos, v.w FROM words LEFT JOIN vocab v USING (w)),
-uni AS (SELECT w, c FROM vocab UNION ALL
-        SELECT NULL, greatest(1, (SELECT n FROM total) - (SELECT coalesce(sum(c), 0) FROM vocab))),
-pairs AS (SELECT *, lag(pos) OVER o AS before, lag(w) OVER o AS prev FROM tokens WINDOW o AS (PARTITION BY rid ORDER BY pos)),
-seen AS (SELECT prev, w, count(*) AS c FROM pairs WHERE before IS NOT NULL GROUP BY prev, w),
+uni AS (SELECT w, count(*) AS c FROM words GROUP BY w),
+pairs AS (SELECT *, lag(w) OVER (PARTITION BY rid ORDER BY pos) AS prev FROM words),
+seen AS (SELECT prev, w, count(*) AS c FROM pairs WHERE prev IS NOT NULL GROUP BY prev, w),
 logs AS (
-  SELECT p.rid, CASE WHEN p.before IS NULL THEN ln(u.c / t.n)
+  SELECT p.rid, CASE WHEN p.prev IS NULL THEN ln(u.c / t.n)
                      WHEN s.c >= 2 THEN ln(s.c / q.c) ELSE ln(0.4) + ln(u.c / t.n) END AS l
-  FROM pairs p CROSS JOIN total t
-  JOIN uni u ON u.w IS NOT DISTINCT FROM p.w
-  LEFT JOIN seen s ON p.before IS NOT NULL AND s.prev IS NOT DISTINCT FROM p.prev AND s.w IS NOT DISTINCT FROM p.w
-  LEFT JOIN uni q ON p.before IS NOT NULL AND q.w IS NOT DISTINCT FROM p.prev)
+  FROM pairs p CROSS JOIN total t JOIN uni u ON u.w = p.w
+  LEFT JOIN seen s ON s.prev = p.prev AND s.w = p.w LEFT JOIN uni q ON q.w = p.prev)
 SELECT d.doc_id, count(l) AS n_words, round(avg(l), 6) AS lm_score
 FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) d LEFT JOIN logs USING (rid)
 GROUP BY d.rid, d.doc_id

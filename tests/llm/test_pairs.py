@@ -1,8 +1,10 @@
 """Near duplicates, fingerprints, language-model scores and the pipeline."""
 
+import functools
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -151,6 +153,61 @@ def test_sketches_merge_and_contain(spark):
     assert 60 < len(r.a) < 140  # a quarter of 396 shingles
 
 
+def test_parity_sketches_never_rule_out_a_pair_that_matches():
+    r = np.random.default_rng(2)
+    for n in (5, 40, 300, 3000):
+        for _ in range(20):
+            a = r.integers(0, 2**63, n).astype(np.uint64)
+            b = a.copy()
+            gone = r.integers(0, n, n // 9)
+            b[gone] = r.integers(0, 2**63, len(gone)).astype(np.uint64)
+            differ = len(set(a.tolist()) ^ set(b.tolist()))
+            bits = np.unpackbits((near_dup.parity(a) ^ near_dup.parity(b)).view(np.uint8)).sum()
+            assert bits <= differ
+    far = [near_dup.parity(r.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(2)]
+    assert np.unpackbits((far[0] ^ far[1]).view(np.uint8)).sum() > 2 * 300 / 9
+
+
+def hand_sketch(text: str) -> list[int]:
+    """The fingerprint from its definition, with the public hash function."""
+    import struct
+
+    import xxhash
+    chain = lambda parts: functools.reduce(lambda seed, x: xxhash.xxh64_intdigest(struct.pack("<Q", x), seed), parts, 42)
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split("[ \t-\r]", text.lower()) if w]
+    shingles = [chain(words[i:i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [chain(words)] if words else []
+    signed = {x - 2**64 if x >= 2**63 else x for x in shingles}
+    below = {x for x in signed if x < -(2**63) + 2**64 // fingerprint.SCALE}
+    return sorted(below or ({min(signed)} if signed else set()))
+
+
+def test_fingerprints_and_likeness_match_their_definition(spark):
+    rows = [(i, prose(i, n)) for i, n in enumerate([0, 1, 4, 5, 6, 9, 30, 200, 900])] + [(50, "Ärger  é\n中文 x Y z"), (51, "a b " * 40)]
+    df = spark.createDataFrame(rows, "i int, t string").select("i", "t", fingerprint.sketch(F.col("t")).alias("s"))
+    got = {r.i: r.s for r in df.collect()}
+    assert got == {i: hand_sketch(t) for i, t in rows}
+    pairs = df.alias("a").crossJoin(df.alias("b")).select(F.col("a.i"), F.col("b.i").alias("j"),
+                                                          fingerprint.likeness(F.col("a.s"), F.col("b.s")).alias("x")).collect()
+    least = -(2**63) + 2**64 // fingerprint.SCALE
+    for r in pairs:
+        a, b = set(got[r.i]), set(got[r.j])
+        want = 1.0 if a == b else 0.0 if not a else len(a & b) / len(a) if min(a) < least else None
+        assert r.x == (want if want is None else pytest.approx(want))
+
+
+def test_short_texts_inside_longer_ones_are_contained_or_undecided(spark):
+    rows = []
+    for i in range(400):
+        n = (5, 6, 8, 12)[i % 4]
+        part = " ".join(f"w{i}x{k}" for k in range(n))
+        rows.append((n, part, prose(i, 60) + " " + part + " " + prose(i + 1000, 60)))
+    s = spark.createDataFrame(rows, "n int, a string, b string").select("n", fingerprint.likeness(
+        fingerprint.sketch(F.col("a")), fingerprint.sketch(F.col("b"))).alias("x")).collect()
+    assert {r.x for r in s if r.x is not None} == {1.0}
+    told = Counter(r.n for r in s if r.x is not None)
+    assert told[5] > 10 and told[12] > 80  # one shingle in four, and nearly all
+
+
 def test_fingerprint_over_many_ranges_and_edge_rows(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", 7)
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
@@ -162,33 +219,65 @@ def test_fingerprint_over_many_ranges_and_edge_rows(spark, monkeypatch):
     assert fingerprint.with_next(empty_table(spark)).count() == 0
 
 
-def brute_lm(texts, word_share):
+def brute_lm(texts):
     words = [(t or "").split() for t in texts]
-    freq = Counter(w for ws in words for w in ws)
-    total = sum(freq.values())
-    known = {w for w, c in freq.items() if c >= total * word_share}
-    toks = [[w if w in known else None for w in ws] for ws in words]
-    uni = {**{w: freq[w] for w in known}, None: max(1, total - sum(freq[w] for w in known))}
-    pairs = Counter(p for ts in toks for p in zip(ts, ts[1:]))
+    uni = Counter(w for ws in words for w in ws)
+    total = sum(uni.values())
+    pairs = Counter(p for ws in words for p in zip(ws, ws[1:]))
     out = []
-    for ts in toks:
-        logs = [math.log(uni[w] / total) for w in ts[:1]]
+    for ws in words:
+        logs = [math.log(uni[w] / total) for w in ws[:1]]
         logs += [math.log(pairs[v, w] / uni[v]) if pairs[v, w] >= 2 else math.log(0.4 * uni[w] / total)
-                 for v, w in zip(ts, ts[1:])]
+                 for v, w in zip(ws, ws[1:])]
         out.append(sum(logs) / len(logs) if logs else None)
     return out
 
 
-@pytest.mark.parametrize("word_share, pair_share", [(1e-6, 1e-4), (0.01, 0.005), (0.002, 1.0)])
-def test_scores_match_brute_force(spark, word_share, pair_share):
-    texts = [prose(i % 40, 20 + i) for i in range(60)] + [None, "", "word", "a a a a"]
+SHARES = [{}, {"word_share": 0.01, "pair_share": 0.005}, {"word_share": 0.002, "pair_share": 1.0},
+          {"word_share": 1.0, "pair_share": 1.0}, {"word_rows": 30, "pair_rows": 5, "word_share": 1.0, "pair_share": 1.0}]
+
+
+@pytest.mark.parametrize("options", SHARES)
+def test_scores_match_brute_force(spark, options):
+    texts = [prose(i % 40, 20 + i) for i in range(60)] + [None, "", "word", "a a a a", "rare rarer rare rarer rarest", "rare rarer"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.lm_score for r in lm_score.scores(docs, word_share=word_share, pair_share=pair_share).collect()}
+    got = {r.doc_id: r.lm_score for r in lm_score.scores(docs, **options).collect()}
     assert len(got) == len(texts)
-    for i, want in enumerate(brute_lm(texts, word_share)):
+    for i, want in enumerate(brute_lm(texts)):
         assert got[i] is None if want is None else got[i] == pytest.approx(want)
 
 
+def test_scores_with_small_flushes_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "COLLECTED", 50)
+    monkeypatch.setattr(lm_score, "BUCKET_ROWS", 100)
+    texts = [prose(i % 30, 15 + i % 50) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.lm_score for r in lm_score.scores(docs, word_share=0.004, pair_share=0.002).collect()}
+    assert [got[i] for i in range(300)] == pytest.approx(brute_lm(texts))
+
+
+@pytest.mark.parametrize("copies", [1, 30])
+def test_random_strings_score_below_the_corpus_at_every_size(spark, copies):
+    """Rare words keep their own counts, so noise does not gain by the corpus's size."""
+    r = random.Random(3)
+    noise = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(60)) for _ in range(20)]
+    texts = [prose(i, 80) for i in range(40)] * copies
+    docs = spark.createDataFrame(list(enumerate(noise + texts)), "doc_id long, text string")
+    got = {x.doc_id: x.lm_score for x in lm_score.scores(docs, word_share=1e-4, pair_share=1e-3).collect()}
+    assert max(got[i] for i in range(20)) < min(got[i] for i in range(20, len(got)))
+
+
+def test_packed_rows_come_back_as_they_were():
+    r = np.random.default_rng(5)
+    kinds = [(r.integers(0, 4, 50), r.integers(0, 1 << 18, 50), *[r.integers(0, 1 << 8 * n - 1, 50) if n < 8 else
+                                                                 r.integers(-2**63, 2**63 - 1, 50) for n in sizes])
+             for sizes in lm_score.KEY_BYTES]
+    rows = list(lm_score.pack(kinds))
+    back = lm_score.unpack([b for _, b, _ in rows], [p for _, _, p in rows])
+    for (_, *want), got in zip(kinds, back):
+        assert sorted(zip(*[x.tolist() for x in want])) == sorted(zip(*[x.tolist() for x in got]))
+
+
 def test_score_edge_rows(spark):
     rows = lm_score.scores(edge_table(spark, {"rid": "x", "n_words": "y"})).collect()
     assert len(rows) == 11 and len({r.lm_score for r in rows if r.doc_id in (4, 5)}) == 1
