@@ -173,7 +173,7 @@ class ByteBpe:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.boundaries = per_worker(("boundaries",), Boundaries)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # packed ids
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the pair of lowest rank merges first, leftmost on ties."""
@@ -221,7 +221,7 @@ class ByteBpe:
             i = end[i]
         return out
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[np.ndarray]]:
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of each text and the code point at which each of its pre-tokens starts."""
         starts, begins = self.boundaries(texts)
         cut = np.searchsorted(starts, begins)
@@ -234,18 +234,18 @@ class ByteBpe:
             for p in pieces:
                 got = known.get(p)
                 if got is None:
-                    got = self.merge(p.encode())
+                    got = np.array(self.merge(p.encode()), "<i4").tobytes()
                     if len(p) <= KEPT_CHARS:
                         if len(known) >= KEPT:
                             known.clear()
                         known[p] = got
-                out += got
-            ids.append(out)
+                out.append(got)
+            ids.append(np.frombuffer(b"".join(out), "<i4"))
             offsets.append(own)
         return ids, offsets
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 
 
 def lists(parts: list, kind: np.dtype, arrow: pa.DataType) -> pa.ListArray:

@@ -51,10 +51,26 @@ def with_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
                      *[c.alias(n) for n, c in new.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken, name = {c.lower() for c in df.columns}, f"_llm_{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+#: Objects that a worker keeps: those of one operator (a table and what is built on it).
+WORKER_OBJECTS = 2
+
+
 def per_worker(key: tuple, make: Callable):
     """An object made once per Python worker (functions pickled by value have no
-    module globals that outlive a task)."""
+    module globals that outlive a task). The objects used last are kept, so a worker that
+    turns to another operator lets those of the one before go."""
     store = sys.modules.setdefault("_llm_worker_store", types.ModuleType("_llm_worker_store")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    kept = store.setdefault("_llm_kept", {})
+    found = kept.pop(key) if key in kept else make()
+    kept[key] = found
+    for old in list(kept)[:-WORKER_OBJECTS]:
+        del kept[old]
+    return found

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalkit.llm.common import WORD, materialize, small_enough, with_columns
+from evalkit.llm.common import WORD, fresh, materialize, small_enough, with_columns
 from evalkit.plans.ordering import global_index
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -72,25 +72,26 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     """``docs`` with size, source_size, target, rate and the number of copies to emit."""
     targets = source_targets(docs, word_count(F.col(text)), source, weights, share, max_repeat)
     sized = with_columns(docs, {"size": word_count(F.col(text))})
-    t = targets.select(F.col("source").alias("_t"), F.col("source_size").alias("_tn"), F.col("target").alias("_tt"))
-    on = F.col(source).eqNullSafe(F.col("_t"))
-    if small_enough(t, F.coalesce(F.octet_length("_t"), F.lit(0)) + 64):
+    own, n, goal, salt, spread = (fresh(sized, x) for x in ("source", "source_size", "target", "salt", "spread"))
+    t = targets.select(F.col("source").alias(own), F.col("source_size").alias(n), F.col("target").alias(goal))
+    on = F.col(source).eqNullSafe(F.col(own))
+    if small_enough(t, F.coalesce(F.octet_length(own), F.lit(0)) + 64):
         joined = sized.join(F.broadcast(t), on)
     else:
-        sized = sized.withColumn("_salt", F.pmod(F.xxhash64(doc_id, "size"), F.lit(SALTS)))
-        t = t.withColumn("_tsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = sized.join(t, on & (F.col("_salt") == F.col("_tsalt")))
-    rate = F.when(F.col("_tn") > 0, F.col("_tt") / F.col("_tn")).otherwise(0.0)
+        sized = sized.withColumn(salt, F.pmod(F.xxhash64(doc_id, "size"), F.lit(SALTS)))
+        t = t.withColumn(spread, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = sized.join(t, on & (F.col(salt) == F.col(spread)))
+    rate = F.when(F.col(n) > 0, F.col(goal) / F.col(n)).otherwise(0.0)
     whole = F.floor(rate).cast("long")
     extra = (uniform(seed, F.col(doc_id)) < rate - whole).cast("long")
-    out = with_columns(joined, {"source_size": F.col("_tn"), "target": F.col("_tt"), "rate": rate,
+    out = with_columns(joined, {"source_size": F.col(n), "target": F.col(goal), "rate": rate,
                                 "copies": whole + extra})
-    return out.drop("_t", "_tn", "_tt", "_salt", "_tsalt")
+    return out.drop(own, n, goal, salt, spread)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed table: the columns of ``docs``, each document as often as its copies say."""
-    names = [f"`{c}`" for c in docs.columns]
-    plan = copies(docs.select(*names, F.struct(*names).alias("_row")), **options)
+    names, row = [f"`{c}`" for c in docs.columns], fresh(docs, "row")
+    plan = copies(docs.select(*names, F.struct(*names).alias(row)), **options)
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return plan.filter(F.col("copies") > 0).select("_row", times.alias("_copy")).select("_row.*")
+    return plan.filter(F.col("copies") > 0).select(row, times.alias("copy")).select(f"{row}.*")

@@ -39,16 +39,16 @@ def test_boundaries_and_merges_match_the_library(tiktoken_encoding):
     coder = bpe.ByteBpe(RANKS)
     ids, offsets = coder.encode(texts)
     for text, got, at in zip(texts, ids, offsets):
-        assert got == tiktoken_encoding.encode_ordinary(text)
+        assert got.tolist() == tiktoken_encoding.encode_ordinary(text)
         assert coder.decode(got) == text.encode()
         cuts = [*at.tolist(), len(text)]
-        assert [i for a, b in zip(cuts, cuts[1:]) for i in coder.merge(text[a:b].encode())] == got
+        assert [i for a, b in zip(cuts, cuts[1:]) for i in coder.merge(text[a:b].encode())] == got.tolist()
 
 
 def test_boundaries_do_not_depend_on_the_batch():
     texts = noise(300)
     coder = bpe.ByteBpe(RANKS)
-    assert coder.encode(texts)[0] == [coder.encode([t])[0][0] for t in texts]
+    assert [x.tolist() for x in coder.encode(texts)[0]] == [coder.encode([t])[0][0].tolist() for t in texts]
 
 
 def test_piece_counts_match_the_library():
