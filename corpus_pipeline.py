@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept; the
 result is written as Parquet and read again as the next one's docs. All stages but the
 last return the columns of documents.
+
+Defined cases: a null or empty text and a text without a letter have no language and go in the
+first stage, other short texts in the second; a null language is judged by the nearest
+reference, a null source is a source of its own; rows of one id are told apart by their text,
+repeated rows and equal texts are one class, of which one row stays, ties by text; texts of any
+length are processed whole; an empty table gives an empty result at every stage; extra columns,
+whatever their names, are kept up to the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalkit.llm import bpe, langid, mixing, near_dup, quality
-from evalkit.llm.common import bound_batches, materialize, read_table
+from evalkit.llm.common import bound_batches, fresh, materialize, read_table
 from evalkit.llm.queries import tokenizer_file
 
 
@@ -22,15 +29,17 @@ def columns_of(docs: DataFrame) -> list:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with confidence."""
     bound_batches(spark)
-    rows = docs.select("*", F.struct(*columns_of(docs)).alias("_row"))
-    return langid.predict(rows, langid.train(docs)).filter(~F.col("rejected")).select("_row.*")
+    row = fresh(docs, "row")
+    rows = docs.select("text", F.struct(*columns_of(docs)).alias(row))
+    return langid.predict(rows, langid.train(docs)).filter(~F.col("rejected")).select(f"{row}.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the divergence from their language's references keep."""
     bound_batches(spark)
-    rows = docs.select("text", "lang", F.struct(*columns_of(docs)).alias("_row"))
-    return quality.judge(rows).filter("kept").select("_row.*")
+    row = fresh(docs, "row")
+    rows = docs.select("text", "lang", F.struct(*columns_of(docs)).alias(row))
+    return quality.judge(rows).filter("kept").select(f"{row}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
