@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,7 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_type(self.tokenizer.get_vocab_size())
+        self.code = "H" if self.kind == "<u2" else "I"
         self.known: dict[str, bytes] = {}
         one = lambda t: self._ids([t])[0]
         probes = ["a b", "a\nb", "a  b", " a", "a ", "\n", "Ab, c.\n\nd's 12 e"]
@@ -68,11 +70,11 @@ class Encoder:
         self.plain = all(self._model(w) == one(w) for w in plain) if self.any_case else False
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes()
-                for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        code = self.code
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _model(self, word: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], self.kind).tobytes()
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters only, encoded together."""
@@ -97,34 +99,39 @@ class Encoder:
         return piece, tail
 
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        cores = {p: self._core(p) for p in pieces}
-        need = {c for c, _ in cores.values()}
-        got = {c: self.known[c] for c in need if c in self.known}
+        """The ids of distinct pieces."""
+        cores, known, got = [self._core(p) for p in pieces], self.known, {}
         words, rest = [], []
-        for c in need - got.keys():
-            if self.plain and c.isascii() and c.isalpha() and len(c) <= KEPT_CHARS:
-                got[c] = self._model(c)
-            elif self.ends is not None and c.isalpha():
-                words.append(c)
-            else:
-                rest.append(c)
+        for c, _ in cores:
+            if c in got:
+                continue
+            ids = known.get(c)
+            if ids is None:
+                if self.plain and len(c) <= KEPT_CHARS and c.isascii() and c.isalpha():
+                    ids = self._model(c)
+                else:
+                    (words if self.ends is not None and c.isalpha() else rest).append(c)
+            got[c] = ids
         got.update(zip(words, self._words(words)))
         got.update(zip(rest, self._ids(rest)))
-        return {p: got[c] + tail for p, (c, tail) in cores.items()}
+        return {p: got[c] + tail if tail else got[c] for p, (c, tail) in zip(pieces, cores)}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._ids(texts)
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        new = list({p for parts in split for p in parts if p not in known})
-        found = self._encode(new)
+        new = list(set().union(*split).difference(known))
+        known.update(self._encode(new))
+        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
         # frequent pieces come early, so a full table keeps what it has
-        room = max(0, KEPT - len(known))
-        known.update([(p, b) for p, b in found.items() if len(p) <= KEPT_CHARS][:room])
-        if all(p in known for p in found):
-            return [b"".join(map(known.__getitem__, parts)) for parts in split]
-        return [b"".join([known.get(p) or found.get(p, b"") for p in parts]) for parts in split]
+        if len(known) > KEPT:
+            for p in new[max(0, len(new) - (len(known) - KEPT)):]:
+                del known[p]
+        for p in new:
+            if len(p) > KEPT_CHARS:
+                known.pop(p, None)
+        return out
 
 
 def id_type(n: int) -> str:
