@@ -4,7 +4,9 @@ Markup is cut into text blocks at block-level tags. The first pass classifies ea
 block on its own: link density, length and stop-word density; elements, roles and
 class names that mark menus, headers, footers, side columns, notices, adverts, forms
 or comments settle a block at once, unless an article inside them opens a zone of its
-own. Names of main text decide where a block's own text does not: link density is
+own. A name is a prior where it is not plain: an element whose names speak for and against
+main text, or that is named like a list of readers' texts (discussion, reviews), is judged by
+its weight: with more than half of the page's text it is the page's own. Names of main text decide where a block's own text does not: link density is
 judged inside them too, stop words inside class names. A form that holds most of the
 page's text is its wrapper and says nothing. The second pass
 gives every undecided block (short, or middling in stop words) the label of the nearest
@@ -72,6 +74,13 @@ panel post posts primary right row secondary section site sticky text title top
 #: Names of lists of others' texts, whose articles are not the page's.
 OTHERS_WORDS = frozenset("""ad ads adbox advert advertisement advertising adverts comment comments commentlist disqus promo
 promoted promotion recommended related reply respond shoutbox sponsor sponsored""".split())
+#: Stems of names of readers' comments, and parts that make of such a name one of layout.
+COMMENT_STEMS = ("comment", "kommentar", "commentaire", "comentario")
+LAYOUT_PARTS = frozenset("closed count disabled enabled has no off on open with without".split())
+#: Names of lists of readers' texts that an article may have as well.
+SOFT_WORDS = frozenset("discussion discussions guestbook opinions reactions replies responses reviews".split())
+#: Names that speak for main text beside a bad one.
+PAGE_WORDS = MAIN_WORDS | frozenset("container main page primary site wrapper".split())
 WORD_PARTS = re.compile(r"[a-z]+|[0-9]+")
 SPACES = re.compile(r"\s+")
 COPYRIGHT = re.compile(r"©|\(c\) ?(19|20)\d\d|\ball rights reserved\b", re.I)
@@ -86,6 +95,7 @@ class Block:
     section: int
     zone: int | None  # MAIN, GOOD: inside an element of main text or one named so, BAD: inside one that never is
     form: int  # the number of the form around it, 0 without one
+    weighed: int = 0  # the number of the element around it whose name is no verdict, 0 without one
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     heading: bool = False
@@ -101,6 +111,9 @@ def named_words(attrs: dict[str, str | None]) -> set[str]:
             found.add(name)
             continue
         parts = set(WORD_PARTS.findall(name))
+        if any(p.startswith(COMMENT_STEMS) for p in parts) and not parts & LAYOUT_PARTS:
+            found.add("comments")
+            continue
         bad, main = parts & BAD_WORDS, parts & MAIN_WORDS
         if all(p.isdigit() or p in PLACE_WORDS for p in parts - bad - main) and not (bad and "content" in main):
             found |= bad or main
@@ -122,13 +135,25 @@ def zone_of(tag: str, attrs: dict[str, str | None]) -> int | None:
     return GOOD if words & MAIN_WORDS else UNDECIDED
 
 
+def is_weighed(tag: str, attrs: dict[str, str | None]) -> bool:
+    """Whether an element's names are no verdict: some speak for main text and some against
+    it, or they name a list of texts that may be the readers' or the page's."""
+    if tag in ("html", "body") or tag in MAIN_TAGS or tag in BAD_TAGS or (attrs.get("role") or "").lower() in BAD_ROLES:
+        return False
+    words, names = named_words(attrs), f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
+    if "comments" in words:
+        return False
+    soft = any(set(WORD_PARTS.findall(n)) & SOFT_WORDS and set(WORD_PARTS.findall(n)) <= SOFT_WORDS | PLACE_WORDS for n in names)
+    return soft or bool(words & BAD_WORDS and set(names) & PAGE_WORDS)
+
+
 class Blocks(HTMLParser):
     """Cuts a page into text blocks."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, int, int | None, int]] = []  # tag, section, zone, form
+        self.open: list[tuple[str, int, int | None, int, int]] = []  # tag, section, zone, form, weighed
         self.sections = self.silent = self.links = self.pres = 0
         self.current: Block | None = None
         self.feed(html)
@@ -148,19 +173,24 @@ class Blocks(HTMLParser):
         if tag == "p" or tag == "li":  # their end tags are often left out
             if self.open and self.open[-1][0] == tag:
                 self.handle_endtag(tag)
-        _, section, zone, form = self.open[-1] if self.open else ("", 0, UNDECIDED, 0)
+        _, section, zone, form, weighed = self.open[-1] if self.open else ("", 0, UNDECIDED, 0, 0)
         own = zone_of(tag, dict(attrs))
+        weigh = is_weighed(tag, dict(attrs))
+        if weigh:
+            own = UNDECIDED
         if tag == "header" and zone not in (GOOD, MAIN):
             own = BAD
         opens = tag in MAIN_TAGS and own is MAIN and (zone is not CLOSED or tag == "main")
         if own is not UNDECIDED and zone not in (BAD, CLOSED) or opens or own is CLOSED:
             zone = MAIN if zone is MAIN and own is GOOD else own
-        if tag in SECTION_TAGS or own is not UNDECIDED:
+        if tag in SECTION_TAGS or own is not UNDECIDED or weigh:
             self.sections += 1
             section = self.sections
+        if opens or weigh:
+            weighed = section if weigh else 0
         if tag == "form" or opens:
             form = 0 if opens else section
-        self.open.append((tag, section, zone, form))
+        self.open.append((tag, section, zone, form, weighed))
         self.silent += tag in SILENT_TAGS
         self.links += tag == "a"
         self.pres += tag == "pre"
@@ -190,8 +220,8 @@ class Blocks(HTMLParser):
         if self.current is None:
             if not data.strip():
                 return
-            _, section, zone, form = self.open[-1] if self.open else ("", 0, UNDECIDED, 0)
-            self.current = Block(section, BAD if zone is CLOSED else zone, form)
+            _, section, zone, form, weighed = self.open[-1] if self.open else ("", 0, UNDECIDED, 0, 0)
+            self.current = Block(section, BAD if zone is CLOSED else zone, form, weighed)
             self.current.heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, *_ in self.open[-3:])
             self.current.code = self.pres > 0
         self.current.parts.append(data)
@@ -235,12 +265,18 @@ def label(block: Block, text: str, share: float, page_share: float) -> int | Non
 def settle_forms(blocks: Sequence[Block], texts: Sequence[str]) -> None:
     """The blocks of a form are bad, unless it holds more than half of the text that no name
     settles as bad: then it wraps the page."""
+    settle(blocks, texts, "form")
+
+
+def settle(blocks: Sequence[Block], texts: Sequence[str], kind: str) -> None:
+    """The blocks of an element of a kind are bad unless it holds more than half of the text
+    that is not bad already."""
     chars: Counter[int] = Counter()
     for b, t in zip(blocks, texts):
         if b.zone is not BAD:
-            chars[b.form] += len(t)
+            chars[getattr(b, kind)] += len(t)
     for b in blocks:
-        if b.form and 2 * chars[b.form] <= chars.total():
+        if getattr(b, kind) and 2 * chars[getattr(b, kind)] <= chars.total():
             b.zone = BAD
 
 
@@ -273,6 +309,7 @@ def main_text(html: str | None, stop_words: frozenset[str]) -> str:
     blocks = Blocks(html).blocks
     texts = [SPACES.sub(" ", "".join(b.parts)).strip() for b in blocks]
     settle_forms(blocks, texts)
+    settle(blocks, texts, "weighed")
     shares, page_share = stop_share(blocks, texts, stop_words)
     labels = [label(b, t, s, page_share) for b, t, s in zip(blocks, texts, shares)]
     # what an element's name settles as bad says nothing of the text around it

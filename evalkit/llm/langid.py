@@ -1,8 +1,8 @@
 """Language identification by averaged hashed subword embeddings.
 
-Training: a sample of labelled documents, bounded per language, is drawn by a hash of
-the id; of each, one window of text placed by the same hash reaches the driver. Every
-character n-gram of a word (with its edges) is hashed to a row of an embedding table;
+Training: a sample of labelled documents, bounded per language and in all, is drawn by a
+hash of the id; tasks turn their whole texts into bags of n-grams, which is what reaches the
+driver. Every language that is a label is learned. Every character n-gram of a word (with its edges) is hashed to a row of an embedding table;
 a text is the mean of its rows; a linear softmax over it is trained by stochastic
 gradient descent in numpy. On held-back samples the softmax temperature is fitted, and
 the score below which a prediction is rejected is set so that right predictions are
@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalkit.llm.common import per_worker, with_columns
+from evalkit.llm.common import materialize, per_worker, small_enough, with_columns
 
 UNKNOWN = "und"
-#: Labelled documents drawn per language (about), characters of each, languages learned.
-SAMPLE, WINDOW, MAX_LANGUAGES = 1500, 1500, 1000
+#: Labelled documents drawn per language and in all (about; at least one of each language).
+SAMPLE, SAMPLE_ALL = 1500, 6000
+#: Characters at a text's start that also make bags, to calibrate the scores of short texts.
+PIECES = (200, 40)
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (1, 2, 3)
 EPOCHS, RATE, BATCH = 6, 0.5, 32
 #: Share of right predictions on held-back samples that rejection may cost at most, and
@@ -101,17 +103,32 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+#: Distinct buckets of a text and their shares of its n-grams.
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bag(text: str) -> Bag:
+    b, n = np.unique(ngrams([text])[0], return_counts=True)
+    return b.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32)
+
+
+def bags_of(text: str) -> list[Bag]:
+    """The bags of a whole text and of its first characters."""
+    return [bag(text), *[bag(text[:n]) for n in PIECES]]
+
+
 def fit(texts: Sequence[str], labels: Sequence[str], seed: int = 7) -> Model:
-    """Train on samples, calibrate on every fifth of them."""
+    """Train on texts, calibrate on every fifth of them."""
+    return fit_bags([bags_of(t) for t in texts], labels, seed)
+
+
+def fit_bags(bags: Sequence[Sequence[Bag]], labels: Sequence[str], seed: int = 7) -> Model:
+    """Train on the bags of texts (the whole, then its pieces), calibrate on every fifth."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)))
     rng = np.random.default_rng(seed)
     y = np.searchsorted(languages, labels)
-    bags = []
-    for t in texts:
-        b, n = np.unique(ngrams([t])[0], return_counts=True)
-        bags.append((b, n / max(n.sum(), 1)))
     held = np.arange(len(y)) % 5 == 4
     train = np.flatnonzero(~held)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
@@ -122,30 +139,27 @@ def fit(texts: Sequence[str], labels: Sequence[str], seed: int = 7) -> Model:
             if start == 0:
                 rng.shuffle(train)
             at = train[start:start + BATCH]
-            x = np.stack([w @ emb[b] for b, w in (bags[i] for i in at)])
+            x = np.stack([w @ emb[b] for b, w in (bags[i][0] for i in at)])
             g = softmax(x @ layer + bias)
             g[np.arange(len(at)), y[at]] -= 1
             back = g @ layer.T
             layer -= rate * (x.T @ g) / len(at) * 8
             bias -= rate * g.mean(0)
             for i, d in zip(at, back):
-                b, w = bags[i]
+                b, w = bags[i][0]
                 emb[b] -= rate * 8 * w[:, None] * d
     model = Model(languages, emb @ layer + bias)
-    return calibrate(model, [texts[i] for i in np.flatnonzero(held)], y[held])
+    kept = [(b, y[i]) for i in np.flatnonzero(held) for b in bags[i]]
+    return calibrate(model, [b for b, _ in kept], np.array([k for _, k in kept], np.int64))
 
 
-def calibrate(model: Model, texts: Sequence[str], y: np.ndarray) -> Model:
+def calibrate(model: Model, bags: Sequence[Bag], y: np.ndarray) -> Model:
     """Fit the temperature to the held-back samples, whole and as short pieces, and set
     the rejection score."""
-    pieces = [p for t in texts for p in (t, t[:200], t[:40])]
-    y = np.repeat(y, 3)
-    if not pieces:
-        return model
-    raw, has = model.scores(pieces)
-    logit, y = np.log(np.maximum(raw[has], 1e-300)), y[has]
-    if not len(y):
+    has = np.array([len(b) > 0 for b, _ in bags], bool)
+    if not has.any():
         return model
+    logit, y = np.stack([w @ model.logits[b] for b, w in bags])[has], y[has]
     tries = 2.0 ** np.arange(-6, 4, 0.25)
     loss = [-np.log(np.maximum(softmax(logit / t)[np.arange(len(y)), y], 1e-300)).mean() for t in tries]
     model.temperature = float(tries[int(np.argmin(loss))])
@@ -161,25 +175,42 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+def packed_bags():
+    """A column function over texts: their bags, as bytes of buckets and of shares."""
+    @F.arrow_udf("array<struct<b:binary,w:binary>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([[{"b": b.tobytes(), "w": w.tobytes()} for b, w in bags_of(t)] for t in texts.to_pylist()],
+                           pa.list_(pa.struct([("b", pa.binary()), ("w", pa.binary())])))
+    return run
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-          sample: int = SAMPLE, window: int = WINDOW) -> Model:
-    """A model of the labelled, not held-out documents. At most about ``sample`` documents
-    per language and ``window`` characters of each come to the driver."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
-    counts = {r["l"]: r["n"] for r in known.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return fit([], [])
+          sample: int = SAMPLE, sample_all: int = SAMPLE_ALL) -> Model:
+    """A model of the labelled, not held-out documents. The bags of at most about ``sample``
+    documents per language and ``sample_all`` in all (but one of each language) come to the
+    driver, a bag being bounded by the buckets; the model itself has a column per language."""
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id))).select(
+        F.col(doc_id).cast("string").alias("i"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    counts = materialize(known.groupBy(F.col("l").alias("k")).agg(F.count(F.lit(1)).alias("n"),
+                                                                  F.min(F.xxhash64(F.lit("langid"), "i")).alias("first")), "langid-labels")
+    languages = counts.count()
+    if not languages:
+        return fit_bags([], [])
+    each = max(1, min(sample, sample_all // languages))
+    rates = F.broadcast(counts) if small_enough(counts, F.octet_length("k") + 64) else counts
     parts = 1 << 30
-    share = F.create_map(*[x for n, c in counts.items() for x in (F.lit(n), F.lit(min(1.0, sample / c) * parts))])
-    draw = F.pmod(F.xxhash64(F.lit("langid"), doc_id), F.lit(parts))
-    room = F.greatest(F.length(text) - window, F.lit(0))
-    begin = (F.pmod(F.xxhash64(F.lit("window"), doc_id), room + 1) + 1).cast("int")
-    rows = (known.filter(F.col(lang).isin(list(counts)) & (draw < share[F.col(lang)]))
-            .select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.substring(text, begin, F.lit(window)).alias("t"))
-            .collect())
-    rows.sort(key=lambda r: (zlib.crc32(str(r["i"]).encode()), r["i"]))
-    return fit([r["t"] for r in rows], [r["l"] for r in rows])
+    place = F.xxhash64(F.lit("langid"), "i")
+    drawn = known.join(rates, F.col("l") == F.col("k")).filter(
+        (F.pmod(place, F.lit(parts)) < F.lit(each) / F.col("n") * parts) | (place == F.col("first")))
+    # rows that repeat an id are one document here
+    drawn = drawn.groupBy("i", "l").agg(F.min("t").alias("t"))
+    rows = drawn.select("i", "l", packed_bags()("t").alias("bags")).toArrow()
+    ids, labels = rows.column("i").to_pylist(), rows.column("l").to_pylist()
+    bags = [[(np.frombuffer(x["b"], np.int32), np.frombuffer(x["w"], np.float32)) for x in own]
+            for own in rows.column("bags").to_pylist()]
+    order = sorted(range(len(ids)), key=lambda k: (zlib.crc32(str(ids[k]).encode()), str(ids[k]), labels[k], len(bags[k][0][0])))
+    return fit_bags([bags[k] for k in order], [labels[k] for k in order])
 
 
 def predictor(model: Model):

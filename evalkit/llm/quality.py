@@ -19,6 +19,7 @@ column give way to it.
 
 from __future__ import annotations
 
+import itertools
 import sys
 import unicodedata
 from collections.abc import Iterator, Mapping, Sequence
@@ -39,9 +40,10 @@ MAX_CHAR_DISTANCE = 0.28
 MAX_WORD_DISTANCE, NOISE = 0.20, 1.5
 #: Characters and words below which the histogram is not judged.
 MIN_CHARS, MIN_WORDS_JUDGED = 200, 50
-#: Languages whose references go to the driver, the most frequent ones (the rest are joined),
-#: and documents a language needs for a reference.
-MAX_LANGUAGES, MIN_DOCS = 1000, 20
+#: Languages whose references are sent to the tasks at once (the most frequent ones, for documents
+#: of these languages; more are joined, and nearest ones are looked for block by block), and
+#: documents a language needs for a reference.
+BLOCK_LANGUAGES, MIN_DOCS = 1000, 20
 SYMBOLS = b"#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 CHAR_CLASSES = ("lower", "upper", "letter", "mark", "digit", "space", "line", "stop", "symbol", "other")
@@ -221,30 +223,54 @@ def joined_divergence():
     return run
 
 
-def with_distances(out: DataFrame, n_bins: int, max_languages: int) -> DataFrame:
+def nearest_divergence(refs: Sequence):
+    """A column function (chars, words) -> struct of the sum of both distances to the nearest of
+    the references (rows with c and w), and both."""
+    tables = [np.array([r[k] for r in refs], float) for k in ("c", "w")]
+
+    @F.arrow_udf("struct<total:double, char_distance:double, word_distance:double>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for chars, words in batches:
+            both = [distances(matrix(c), t) for c, t in zip((chars, words), tables)]
+            total = both[0] + both[1]
+            best = total.argmin(1)
+            at = np.arange(len(best))
+            yield pa.StructArray.from_arrays([pa.array(x[at, best]) for x in (total, *both)], ["total", "char_distance", "word_distance"])
+    return run
+
+
+def with_distances(out: DataFrame, n_bins: int, block: int) -> DataFrame:
     """``out`` with the struct _llm_d of both distances."""
     refs = materialize(references(out, "_llm_lang", n_bins), "quality-references")
-    top = refs.orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    order = [F.desc("n"), "lang"]
+    top = refs.orderBy(*order).limit(block).collect()
     if not top:
         return out.withColumn("_llm_d", F.lit(None).cast(DISTANCES))
     known = {r["lang"]: (r["c"], r["w"]) for r in top}
     direct = divergence(known)("_llm_lang", "_llm_chars", "_llm_words")
-    if len(top) < max_languages:
+    if len(top) < block:
         return out.withColumn("_llm_d", direct)
-    # a language past the most frequent ones has at most 1 / max_languages of the judged
+    # a language past the most frequent ones has at most 1 / block of the judged
     # documents, so no key of this join is hot
-    held = F.col("_llm_lang").isNull() | F.col("_llm_lang").isin(list(known))
+    held, nameless = F.col("_llm_lang").isin(list(known)), F.col("_llm_lang").isNull()
     rest = refs.filter(~F.col("lang").isin(list(known))).select(F.col("lang").alias("_llm_ref"), F.col("c").alias("_llm_c"),
                                                                F.col("w").alias("_llm_w"))
-    others = (out.filter(~held).join(rest, F.col("_llm_lang") == F.col("_llm_ref"), "left")
+    others = (out.filter(~held & ~nameless).join(rest, F.col("_llm_lang") == F.col("_llm_ref"), "left")
               .withColumn("_llm_d", joined_divergence()("_llm_chars", "_llm_words", "_llm_c", "_llm_w"))
               .drop("_llm_ref", "_llm_c", "_llm_w"))
-    return out.filter(held).withColumn("_llm_d", direct).unionByName(others)
+    # a document without a language against all references, a block of them at a time
+    nearest, rows = None, refs.orderBy(*order).toLocalIterator()
+    while part := list(itertools.islice(rows, block)):
+        found = nearest_divergence(part)("_llm_chars", "_llm_words")
+        nearest = found if nearest is None else F.least(nearest, found)
+    near = F.struct(nearest["char_distance"].alias("char_distance"), nearest["word_distance"].alias("word_distance"))
+    return (out.filter(held).withColumn("_llm_d", direct).unionByName(others)
+            .unionByName(out.filter(nameless).withColumn("_llm_d", near)))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang",
           common_words: Mapping[str, Sequence[str]] = COMMON_WORDS, keep_text: bool = True,
-          max_languages: int = MAX_LANGUAGES) -> DataFrame:
+          block_languages: int = BLOCK_LANGUAGES) -> DataFrame:
     """``docs`` with the base counts, base_failed, both distances and kept. The texts are
     read once: what the second step needs is written with the documents' columns, all of
     them or (``keep_text=False``) all but the text."""
@@ -256,7 +282,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang",
               | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
     out = with_columns(out, {"base_failed": failed})
     out = materialize(out if keep_text else out.drop(text), "quality-features")
-    out = with_distances(out, len(common) + 1, max_languages)
+    out = with_distances(out, len(common) + 1, block_languages)
     out = with_columns(out, {n: F.col(f"_llm_d.{n}") for n in ("char_distance", "word_distance")})
     n_chars = F.aggregate("_llm_chars", F.lit(0).cast("long"), lambda a, x: a + x)
     allowed = MAX_WORD_DISTANCE + NOISE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))

@@ -2,6 +2,7 @@
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -107,15 +108,61 @@ def test_quality_keeps_a_language_without_a_reference(spark):
 def test_quality_references_past_the_most_frequent_languages(spark):
     """Each language is judged by its own reference, however many languages there are."""
     junk = " ".join(f"{w}###" for w in rare_prose(5, 200).split())
-    rows = [(1000 * k + i, (prose if k < 2 else rare_prose)(i, 150), lang) for k, lang in enumerate(("en", "de", "pl", "cs"))
+    nameless = [(5003, rare_prose(7, 150), None), (5004, junk, None)]
+    rows = nameless + [(1000 * k + i, (prose if k < 2 else rare_prose)(i, 150), lang) for k, lang in enumerate(("en", "de", "pl", "cs"))
             for i in range(40 - k)] + [(5000, junk, "pl"), (5001, junk, "cs"), (5002, prose(3, 150), None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     want = {r.doc_id: r for r in quality.judge(docs).collect()}
-    got = {r.doc_id: r for r in quality.judge(docs, max_languages=2).collect()}
+    got = {r.doc_id: r for r in quality.judge(docs, block_languages=2).collect()}
     assert got == want and len(got) == len(rows)
     assert [got[i].kept for i in (2000, 3000, 5000, 5001, 5002)] == [True, True, False, False, True]
 
 
+def hand_histograms(text: str) -> tuple[Counter, Counter]:
+    """Character classes and common words of a text, from their definitions."""
+    import unicodedata
+    classes = {"Ll": "lower", "Lu": "upper", "Lt": "upper", "Lm": "letter", "Lo": "letter", "Mn": "mark", "Mc": "mark", "Nd": "digit"}
+
+    def of(c: str) -> str:
+        if c in "#*$%&|<>":
+            return "symbol"
+        if c in ".,;:!?":
+            return "stop"
+        return "line" if c == "\n" else "space" if c in " \t" else classes.get(unicodedata.category(c), "other")
+    words = [w.lower().strip(".,;:!?'\"()-") for w in re.split("[ \t-\r]+", text) if w]
+    return Counter(map(of, text)), Counter(w if w in STOP else "" for w in words)
+
+
+def hand_distance(p: Counter, q: Counter) -> float:
+    p, q = ({k: v / sum(x.values()) for k, v in x.items()} for x in (p, q))
+    mid = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in p.keys() | q.keys()}
+    kl = lambda a: sum(v * math.log2(v / mid[k]) for k, v in a.items() if v)
+    return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+
+def test_quality_verdicts_match_distances_by_hand(spark):
+    rows = [(i, prose(i, 60 + 5 * i), "en") for i in range(40)] + [(100 + i, rare_prose(i, 80 + i), "pl") for i in range(30)]
+    rows += [(200, "### $$$ %%% " * 40, "en"), (201, prose(1, 60) + " 1 2 3 4 5 6 7" * 30, "en"), (202, prose(2, 90), None),
+             (203, " ".join(prose(3, 400).split()[::2]) + " XX" * 200, "en"), (204, rare_prose(4, 70), None)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    hists = {i: hand_histograms(t) for i, t, _ in rows}
+    refs: dict = {}
+    for i, t, lang in rows:
+        if lang and not got[i].base_failed:
+            c, w = refs.setdefault(lang, (Counter(), Counter()))
+            c.update(hists[i][0]), w.update(hists[i][1])
+    for i, t, lang in rows:
+        far = {k: [hand_distance(h, r) for h, r in zip(hists[i], ref)] for k, ref in refs.items()}
+        char, word = far[lang] if lang else min(far.values(), key=sum)
+        n = len([w for w in re.split("[ \t-\r]+", t) if w])
+        near = ((len(t) < 200 or char <= quality.MAX_CHAR_DISTANCE)
+                and (n < 50 or word <= quality.MAX_WORD_DISTANCE + quality.NOISE / math.sqrt(n)))
+        assert (got[i].char_distance, got[i].word_distance) == (pytest.approx(char, abs=1e-9), pytest.approx(word, abs=1e-9)), i
+        base = brute_base(t)
+        assert got[i].kept == (base[0] >= 50 and 100 * base[4] <= 50 * base[0] and near)
+    assert {got[i].kept for i, _, _ in rows} == {True, False}
+
+
 def test_quality_edge_rows(spark):
     rows = quality.judge(edge_table(spark, {"kept": "x", "n_words": "y"})).collect()
     assert [r.n_words for r in rows] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, *_ in sorted(
@@ -166,6 +213,23 @@ ADVERT = "Buy cheap watches online today: best prices, free shipping, limited of
 ADVERT = (ADVERT * 2).strip()
 
 
+@pytest.mark.parametrize("name", ["user-comments", "reader-comments", "comment-thread", "discussion", "responses", "reviews",
+                                  "fb-comments", "comments-section", "kommentarbereich", "post-comments", "commentaires"])
+@pytest.mark.parametrize("inside", [True, False])
+def test_comments_under_any_name_are_left_out(name, inside):
+    comments = f"<div class='{name}'><div><b>Ann</b> 3 hours ago<p>{BODY[:120]}</p></div><div><b>Bob</b><p>No, it is not.</p></div></div>"
+    own = f"<h1>Head</h1><p>{BODY}</p><p>{BODY}</p><p>{BODY}</p>"
+    html = page(f"<main>{own}{comments}</main>") if inside else page(f"<div>{own}</div>", comments)
+    assert html_text.main_text(html, STOP) == f"Head {BODY} {BODY} {BODY}"
+
+
+@pytest.mark.parametrize("name", ["post tags", "page promo", "content sponsored", "reviews", "has-comments", "no-comments", "comments-open",
+                                  "discussion-body"])
+def test_no_article_is_lost_to_a_name(name):
+    html = page("<nav><a href=x>Home</a></nav>", f"<div class='{name}'><h1>Head</h1><p>{BODY}</p><p>{BODY}</p></div>", "<footer>End</footer>")
+    assert html_text.main_text(html, STOP) == f"Head {BODY} {BODY}"
+
+
 @pytest.mark.parametrize("html, text", [
     (page(f"<div class='has-sidebar'><p>{BODY}</p><p>Yes.</p></div>"), f"{BODY} Yes."),
     (page(f"<div id='content' class='no-sidebar'><p>{BODY}</p></div>"), BODY),
