@@ -16,6 +16,9 @@ BITS_PER_ELEMENT = {"uint4": 4, "int4": 4, "u4": 4, "i4": 4, "uint8": 8, "int8":
                     "float64": 64, "f64": 64, "int16": 16, "i16": 16, "uint16": 16, "u16": 16, "int32": 32, "i32": 32,
                     "uint32": 32, "u32": 32, "int64": 64, "i64": 64, "uint64": 64, "u64": 64, "boolean": 8, "bool": 8,
                     "u1": 1}
+# parts of node names
+WEIGHT_MARK, SCALE_MARK, ZERO_POINT_MARK = "weight", "/scale", "/zero_point"
+HELPER_MARKS = ("/fq_weights", "/subtract")
 # -----------------------------------------------------------------------------
 
 
@@ -52,16 +55,16 @@ def component_class(name: Column | str) -> Column:
     """T5: zero_point, scale or weight by name, tested in this order; helper
     nodes (fq_weights, subtract) are NULL."""
     n = _c(name)
-    return (F.when(F.contains(n, F.lit("/zero_point")), F.lit("zero_point"))
-            .when(F.contains(n, F.lit("/scale")), F.lit("scale"))
-            .when(~F.contains(n, F.lit("/fq_weights")) & ~F.contains(n, F.lit("/subtract")), F.lit("weight")))
+    helper = F.contains(n, F.lit(HELPER_MARKS[0])) | F.contains(n, F.lit(HELPER_MARKS[1]))
+    return (F.when(F.contains(n, F.lit(ZERO_POINT_MARK)), F.lit("zero_point"))
+            .when(F.contains(n, F.lit(SCALE_MARK)), F.lit("scale")).when(~helper, F.lit("weight")))
 
 
 def is_weight_constant(name: Column | str) -> Column:
     """weight-like constants, without the scale / zero_point helpers."""
     n = _c(name)
-    return (F.contains(n, F.lit("weight")) & ~F.contains(n, F.lit("/scale"))
-            & ~F.contains(n, F.lit("/zero_point")))
+    return (F.contains(n, F.lit(WEIGHT_MARK)) & ~F.contains(n, F.lit(SCALE_MARK))
+            & ~F.contains(n, F.lit(ZERO_POINT_MARK)))
 
 
 def protected(name: Column | str, pattern: str = pools.PROTECTED_SCOPE) -> Column:

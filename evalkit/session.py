@@ -7,6 +7,7 @@ we only pick a local folder when the setting is absent (local runs, tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -71,7 +72,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("spark.checkpoint.dir is not set: point it to a folder all executors share "
                            "(a machine-local folder would not survive the loss of that machine)")
     local = tempfile.mkdtemp(prefix="evalkit-ckpt-")
@@ -80,7 +81,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Folders of written tables that this process has asked for.
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder for written tables."""
+    """A fresh folder under the shared checkpoint folder for written tables. Results may be
+    read from it lazily, so it stays until ``remove_scratch``."""
     base = ensure_checkpoint_dir(spark)
-    return f"{base}/evalkit-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/evalkit-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system and path object of a folder, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the tables this process has written to scratch folders; returns how many there
+    were. To be called when the results that read them are no longer needed."""
+    paths, n = list(_SCRATCH), 0
+    for path in paths:
+        fs, place = hadoop_path(spark, path)
+        n += bool(fs.delete(place, True))
+        _SCRATCH.remove(path)
+    return n

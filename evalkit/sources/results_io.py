@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from evalkit import schemas
+from evalkit.session import hadoop_path
 
 RESULTS_SCHEMA = schemas.RESULT_FILE
 # file names such as benchmark_<model>_<yyyymmdd_HHMMSS>[.json|.csv], optionally with a suite infix
@@ -318,15 +319,10 @@ COMMITTED = "_COMMITTED"
 
 def committed(spark: SparkSession, path: str) -> bool:
     """Whether ``write_once`` has finished a result in ``path``."""
-    fs, place = _hadoop(spark, f"{path.rstrip('/')}/{COMMITTED}")
+    fs, place = hadoop_path(spark, f"{path.rstrip('/')}/{COMMITTED}")
     return fs.exists(place)
 
 
-def _hadoop(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
 def write_once(df: DataFrame, path: str, fmt: str = "parquet", force: bool = False) -> bool:
     """Write unless a finished result is there (or ``force``); returns whether it wrote.
 
@@ -337,10 +333,10 @@ def write_once(df: DataFrame, path: str, fmt: str = "parquet", force: bool = Fal
         return False
     staged = f"{path}-staged-{uuid.uuid4().hex}"
     df.write.format(fmt).save(staged)
-    fs, place = _hadoop(spark, path)
+    fs, place = hadoop_path(spark, path)
     if fs.exists(place):
         fs.delete(place, True)
-    if not fs.rename(_hadoop(spark, staged)[1], place):
+    if not fs.rename(hadoop_path(spark, staged)[1], place):
         raise OSError(f"{staged} cannot be moved to {path}")
-    fs.create(_hadoop(spark, f"{path}/{COMMITTED}")[1], True).close()
+    fs.create(hadoop_path(spark, f"{path}/{COMMITTED}")[1], True).close()
     return True

@@ -19,4 +19,6 @@ def spark():
     s = build_session("local[4]", app="evalkit-tests", shuffle_partitions=4,
                       extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="evalkit-test-ckpt-")})
     yield s
+    from evalkit.session import remove_scratch
+    remove_scratch(s)
     s.stop()

@@ -184,3 +184,15 @@ def test_csv_full_mode_keeps_all_columns(spark):
     IO.write_results_csv(df, d + "/o", mode="full")
     back = IO.read_results_csv(spark, d + "/o", "test string, a int, score int").orderBy("test").collect()
     assert [tuple(r) for r in back] == [("niah", 1, None), ("tool_call", None, 5)]
+
+
+def test_scratch_tables_go_when_asked(spark):
+    from evalkit import session
+    before = list(session._SCRATCH)
+    path = session.scratch_path(spark, "test")
+    spark.range(3).write.parquet(path)
+    place = path.removeprefix("file:")
+    assert os.path.exists(place)
+    session._SCRATCH[:] = [path]  # those of the other tests stay
+    assert session.remove_scratch(spark) == 1 and not os.path.exists(place)
+    session._SCRATCH[:] = before
