@@ -20,6 +20,7 @@ carried.
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from array import array
@@ -89,37 +90,44 @@ class Encoder:
                 out += [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
         return out
 
-    def _core(self, piece: str) -> tuple[str, bytes]:
-        """What of a piece has to be encoded, and the ids of a stop or comma that ends it."""
-        tail = b""
-        if len(piece) > 1 and piece[-1] in self.stops and piece[-2].isascii() and piece[-2].isalpha():
-            piece, tail = piece[:-1], self.stops[piece[-1]]
-        if self.any_case and piece.isascii() and piece.isalpha():
-            piece = piece.lower()
-        return piece, tail
-
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of distinct pieces."""
-        cores, known, got = [self._core(p) for p in pieces], self.known, {}
-        words, rest = [], []
-        for c, _ in cores:
-            if c in got:
-                continue
-            ids = known.get(c)
-            if ids is None:
-                if self.plain and len(c) <= KEPT_CHARS and c.isascii() and c.isalpha():
-                    ids = self._model(c)
-                else:
-                    (words if self.ends is not None and c.isalpha() else rest).append(c)
-            got[c] = ids
+        """The ids of distinct pieces. A stop or comma that ends one is left off, and a plain word
+        goes to the model at once, in lower case if case does not matter."""
+        known, stops, any_case, plain = self.known, self.stops, self.any_case, self.plain
+        out, got, later, words, rest = {}, {}, [], [], []
+        for p in pieces:
+            core, tail = p, b""
+            if len(p) > 1 and p[-1] in stops and p[-2].isascii() and p[-2].isalpha():
+                core, tail = p[:-1], stops[p[-1]]
+            if any_case and core.isascii() and core.isalpha():
+                core = core.lower()
+                if plain and len(core) <= KEPT_CHARS:
+                    ids = known.get(core) or got.get(core)
+                    if ids is None:
+                        ids = got[core] = self._model(core)
+                    out[p] = ids + tail if tail else ids
+                    continue
+            later.append((p, core, tail))
+            if core not in got:
+                got[core] = known.get(core)
+                if got[core] is None:
+                    (words if self.ends is not None and core.isalpha() else rest).append(core)
         got.update(zip(words, self._words(words)))
         got.update(zip(rest, self._ids(rest)))
-        return {p: got[c] + tail if tail else got[c] for p, (c, tail) in zip(pieces, cores)}
+        out.update([(p, got[core] + tail) for p, core, tail in later])
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._ids(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        # nothing made here refers to itself, so collecting cycles would only walk long lists
+        gc.disable()
+        try:
+            return self._joined([t.replace("\n", " ").split(" ") for t in texts])
+        finally:
+            gc.enable()
+
+    def _joined(self, split: list[list[str]]) -> list[bytes]:
         known = self.known
         new = list(set().union(*split).difference(known))
         known.update(self._encode(new))
