@@ -29,10 +29,11 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,10 @@ WORD_ROWS, WORD_SHARE, MAX_WORDS = 4_000_000, 1e-6, 2_000_000
 PAIR_ROWS, PAIR_SHARE, MAX_PAIRS = 4_000_000, 1e-4, 4_000_000
 #: Occurrences per hash partition aimed at (more in a very large corpus, so that a task still
 #: sends several of them to each), and occurrences that a task collects before it sends them.
-BUCKET_ROWS, COLLECTED = 500_000, 4_000_000
+BUCKET_ROWS, COLLECTED = 500_000, 1_000_000
+#: Bytes of text whose words a worker holds at once (one document at least), and bytes of
+#: packed rows that it hands over at once (one row at least).
+SLICE_BYTES, SENT_BYTES = 1024 * 1024, 2 * 1024 * 1024
 BITS = 21  # of a frequent word's number
 MIX = 0x9E3779B97F4A7C15
 #: Documents of a block: their places take two bytes.
@@ -69,9 +73,19 @@ def batch_words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
     return [w for ws in split for w in ws], np.array([len(ws) for ws in split], np.int64)
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of documents of about ``SLICE_BYTES`` of text."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cut = np.flatnonzero(np.diff(ends // SLICE_BYTES, prepend=-1)).tolist()
+    for start, stop in zip(cut, [*cut[1:], batch.num_rows]):
+        yield batch.slice(start, stop - start)
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counted = Counter(batch_words(batch.column(0).to_pylist())[0])
+        counted = Counter()
+        for part in slices(batch, 0):
+            counted.update(batch_words(part.column(0).to_pylist())[0])
         yield pa.record_batch([pa.array(digest(list(counted))), pa.array(list(counted.values()), pa.int64())],
                               ["h", "c"])
 
@@ -103,10 +117,11 @@ class Vocabulary:
         h = digest(new)
         at, hit = in_sorted(h, self.hashes)
         code = np.where(hit, at + 1, h)
-        of = dict(zip(new, code.tolist()))
-        known.update([(new[i], of[new[i]]) for i in np.flatnonzero(hit).tolist()])
-        of.update(known)
-        return np.fromiter(map(of.__getitem__, words), np.int64, len(words))
+        known.update(zip(new, code.tolist()))
+        codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        for i in np.flatnonzero(~hit).tolist():
+            del known[new[i]]
+        return codes
 
     def log_share(self, number: np.ndarray) -> np.ndarray:
         return self.logs[number] - np.log(self.total)
@@ -147,7 +162,7 @@ def from_low_bytes(data: bytes, n: int) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
-def pack(kinds: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int, bytes]]:
+def pack(kinds: Iterable[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, block, payload) rows from (bucket, rid, key, ...) arrays of each kind."""
     parts: dict[tuple[int, int], list] = {}
     for kind, (bucket, rid, *keys) in enumerate(kinds):
@@ -161,10 +176,47 @@ def pack(kinds: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int, bytes]
             row = parts.setdefault(at, [[0] * len(KEY_BYTES), []])
             row[0][kind] = stop - start
             row[1] += [place[2 * start:2 * stop], *[d[n * start:n * stop] for d, n in zip(data, KEY_BYTES[kind])]]
-    for (bucket, block), (lengths, data) in parts.items():
+    for bucket, block in list(parts):
+        lengths, data = parts.pop((bucket, block))
         yield bucket, block, np.array(lengths, "<u4").tobytes() + b"".join(data)
 
 
+def rows_of(rows) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[], [], []]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], NAMES)
+
+
+def batches_of(rows: Iterable[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    part, size = [], 0
+    for row in rows:
+        part.append(row)
+        size += len(row[2])
+        if size >= SENT_BYTES:
+            yield rows_of(part)
+            part, size = [], 0
+    if part:
+        yield rows_of(part)
+
+
+def sent(pieces: Iterable[tuple[list, list]], most: int) -> Iterator[pa.RecordBatch]:
+    """Per piece its rows and, whenever ``most`` occurrences are held, those packed."""
+    held, n = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        # kind after kind, so that one of them is held twice at most
+        return batches_of(pack(tuple(np.concatenate(x) for x in zip(*parts)) for parts in zip(*held)))
+
+    for rows, kinds in pieces:
+        yield from batches_of(rows)
+        held.append(kinds)
+        n += sum(len(kind[0]) for kind in kinds)
+        if n >= most:
+            yield from flush()
+            held, n = [], 0
+    if held:
+        yield from flush()
+
+
 def unpack(blocks: list[int], payloads: list[bytes]) -> list[list[np.ndarray]]:
     """Per kind: rid and keys of all occurrences of the rows."""
     rids: list[list] = [[] for _ in KEY_BYTES]
@@ -263,9 +315,12 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word_row
 
     def count_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, second, _, _ = chained(batch.column(0).to_pylist())
-            both = common[np.maximum(first, 0)] & common[np.maximum(second, 0)]
-            found, n = np.unique(first[both] << BITS | second[both], return_counts=True)
+            pairs = [np.empty(0, np.int64)]
+            for part in slices(batch, 0):
+                first, second, _, _ = chained(part.column(0).to_pylist())
+                both = common[np.maximum(first, 0)] & common[np.maximum(second, 0)]
+                pairs.append(first[both] << BITS | second[both])
+            found, n = np.unique(np.concatenate(pairs), return_counts=True)
             yield pa.record_batch([pa.array(found), pa.array(n.astype(np.int64))], ["pair", "c"])
 
     # at most MAX_PAIRS rows, by the same argument
@@ -276,19 +331,9 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word_row
     per_bucket = max(BUCKET_ROWS, 4 * int(total ** 0.5))
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // per_bucket, 1)
 
-    def rows_of(rows) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [[], [], []]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], NAMES)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         hot_pairs, hot_logs = hot_table.value
-        collected, n_collected = [], 0
-
-        def flush():
-            kinds = [tuple(np.concatenate(x) for x in zip(*parts)) for parts in zip(*collected)]
-            return rows_of(pack(kinds))
-
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             v = worker_vocabulary()
             rid = batch.column(0).to_numpy(zero_copy_only=False)
             first, second, starts, n = chained(batch.column(2).to_pylist())
@@ -303,15 +348,14 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word_row
             # the documents themselves, with what is known of their sums already
             ids, known = batch.column(1).fill_null(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
             block, place = rid >> BLOCK_BITS, (rid & ((1 << BLOCK_BITS) - 1)).astype("<u2")
-            yield rows_of([(-1 - int(b), int(b), document_rows(place[s], ids[s], known[s], n[s], own[s]))
-                           for b in np.unique(block) for s in [block == b]])
-            collected.append(occurrences(first, second, starts, rid[row], is_hot | starts, buckets))
-            n_collected += len(second)
-            if n_collected >= COLLECTED:
-                yield flush()
-                collected, n_collected = [], 0
-        if collected:
-            yield flush()
+            rows = [(-1 - int(b), int(b), document_rows(place[s], ids[s], known[s], n[s], own[s]))
+                    for b in np.unique(block) for s in [block == b]]
+            yield rows, occurrences(first, second, starts, rid[row], is_hot | starts, buckets)
+
+    held = COLLECTED
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return sent(pieces(batches), held)
 
     def join_counts(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:

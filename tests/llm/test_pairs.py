@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,6 +280,47 @@ def test_packed_rows_come_back_as_they_were():
         assert sorted(zip(*[x.tolist() for x in want])) == sorted(zip(*[x.tolist() for x in got]))
 
 
+def test_sending_holds_a_bounded_part_of_a_task():
+    """Three million occurrences of one task; kept whole, they and their copies took 300 MB of a worker."""
+    r = np.random.default_rng(6)
+
+    def pieces():
+        none = np.empty(0, np.int64)
+        for i in range(30):
+            rid = np.arange(100_000) // 100 + 1000 * i
+            yield ([(-1, 0, b"documents")], [(r.integers(0, 200, 100_000), rid, r.integers(0, 1 << 40, 100_000)),
+                                             *[(none,) * (2 + len(n)) for n in lm_score.KEY_BYTES[1:]]])
+
+    tracemalloc.start()
+    try:
+        n = 0
+        for batch in lm_score.sent(pieces(), lm_score.COLLECTED):
+            payloads = [(b, p) for b, p in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist())
+                        if p != b"documents"]
+            assert sum(len(p) for _, p in payloads[:-1]) < lm_score.SENT_BYTES
+            n += len(lm_score.unpack(*map(list, zip(*payloads)))[0][0]) if payloads else 0
+        assert n == 3_000_000 and tracemalloc.get_traced_memory()[1] < 128 * 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_slices_are_bounded_and_whole():
+    texts = [None, "", "a" * 700_000, "b" * 700_000, None, "c" * 3_000_000, "d"] + ["e" * 1000] * 3000 + [None]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["rid", "text"])
+    parts = [p.column(1).to_pylist() for p in lm_score.slices(batch, 1)]
+    assert [t for p in parts for t in p] == texts
+    assert all(sum(len(t or "") for t in p[1:]) <= lm_score.SLICE_BYTES for p in parts) and len(parts) > 5
+    assert list(lm_score.slices(batch.slice(0, 0), 1)) == []
+
+
+def test_a_worker_keeps_the_numbers_of_frequent_words_alone():
+    words = [b"often", b"rare", b"often", b"seldom", b"rare"]
+    v = lm_score.Vocabulary(lm_score.digest([b"often"]), np.array([9]), 12)
+    for _ in range(2):
+        assert v.codes(words).tolist() == [1, *lm_score.digest([b"rare"]), 1, *lm_score.digest([b"seldom", b"rare"])]
+        assert v.known == {b"often": 1}
+
+
 def test_score_edge_rows(spark):
     rows = lm_score.scores(edge_table(spark, {"rid": "x", "n_words": "y"})).collect()
     assert len(rows) == 11 and len({r.lm_score for r in rows if r.doc_id in (4, 5)}) == 1
