@@ -137,23 +137,43 @@ def attach_by_budget(cells: DataFrame, per_budget: DataFrame, budget: str = "bud
     return cells.join(bounded_broadcast(per_budget), budget, "left")
 
 
+def _message(role: Column, content: Column) -> list[Column]:
+    return [role.alias("role"), content.alias("content")]
+
+
 def prompt_messages(cells: DataFrame, history: DataFrame, system_text: str, instruction: str = "instruction",
-                    budget: str = "budget", order: Sequence[str] = ("turn", "slot")) -> DataFrame:
+                    budget: str = "budget", order: Sequence[str] = ("turn", "slot"),
+                    values: Callable[[Column, Column], list[Column]] = _message,
+                    gathered: Callable[[Column], list[Column]] | None = None) -> DataFrame:
     """Per cell the system message, the history rows of its budget (joined by
     budget, so each cell gets its own copy) and the user instruction with the no-think
     suffix. One row per message: the cell's columns, part (0 to 2), the order columns,
-    role and content; prompts are never gathered into one value here."""
+    role and content; prompts are never gathered into one value here.
+
+    ``values`` makes other columns of a message from role and content (a digest, a
+    length): they are worked out once per history row and copied to the cells in place of
+    the texts. With ``gathered`` there is one row per cell: its columns, its first and last
+    message as the structs ``system`` and ``user`` (part, order columns, values), and what
+    ``gathered`` makes of the ordered array of such structs that is its history (as long as
+    the budget lets a prompt be). That too is worked out once per budget; no message is shuffled."""
     keys = [c for c in cells.columns if c != instruction]
     order = list(order)
-    hist = cells.select(*keys).join(history.select(budget, *order, "role", "content"), budget)
-    hist = hist.select(*keys, F.lit(1).alias("part"), *order, "role", "content")
-
-    def edge(part: int, role: str, content: Column) -> DataFrame:
-        return cells.select(*keys, F.lit(part).alias("part"), *[F.lit(0).alias(o) for o in order],
-                            F.lit(role).alias("role"), content.alias("content"))
-
+    hist = history.select(budget, F.lit(1).alias("part"), *order, *values(F.col("role"), F.col("content")))
     last = F.concat(F.col(instruction), F.lit(T.NO_THINK_SUFFIX))
-    return edge(0, "system", F.lit(system_text)).unionByName(hist).unionByName(edge(2, "user", last))
+
+    def edge(part: int, role: str, content: Column) -> list[Column]:
+        return [F.lit(part).alias("part"), *[F.lit(0).cast(history.schema[o].dataType).alias(o) for o in order],
+                *values(F.lit(role), content)]
+
+    system, user = edge(0, "system", F.lit(system_text)), edge(2, "user", last)
+    if gathered is not None:
+        per = hist.groupBy(budget).agg(F.array_sort(F.collect_list(F.struct(*hist.columns[1:]))).alias("_all"))
+        none = gathered(F.array().cast(per.schema["_all"].dataType))
+        per = per.select(budget, F.struct(*gathered(F.col("_all"))).alias("_history"))
+        found = attach_by_budget(cells, per, budget).withColumn("_history", F.coalesce("_history", F.struct(*none)))
+        return found.select(*keys, F.struct(*system).alias("system"), F.struct(*user).alias("user"), "_history.*")
+    hist = cells.select(*keys).join(hist, budget).select(*keys, *hist.columns[1:])
+    return cells.select(*keys, *system).unionByName(hist).unionByName(cells.select(*keys, *user))
 
 
 #: Tools per part of a tool list, and bytes that a prompt's tool list may have as a whole.

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +99,59 @@ def test_prompt_messages(spark):
     assert one[2].content.startswith("para\n\npara") and len(one[2].content) == 800
 
 
+def test_gathered_prompts_are_the_messages_in_order(spark):
+    cells = spark.createDataFrame([(1, 400, "Read it."), (2, 0, "Run it."), (3, None, None), (4, 400, "x")],
+                                  "cell int, budget int, instruction string")
+    hist = G.padded_history(cells.select("budget"), _question, F.lit("para"))
+    rows = G.prompt_messages(cells, hist, "SYS").orderBy("cell", "part", "turn", "slot").collect()
+    whole = G.prompt_messages(cells, hist, "SYS", gathered=lambda h: [F.size(h).alias("n"), h.alias("messages")]).collect()
+    for r in whole:
+        assert r.n == len(r.messages)
+        assert [(m.role, m.content) for m in (r.system, *r.messages, r.user)] == [
+            (m.role, m.content) for m in rows if m.cell == r.cell]
+    assert len(whole) == 4
+
+
+def _messages_by_hand(spark, sf):
+    """n_msgs, total_chars and digest per event, from the rows of every message."""
+    from evalkit.queries import q_generators as Q
+    want = {}
+    for suite, reserve, history, system, order in (
+            ("tool_call", pools.EASY_RESERVE, Q.easy_history(spark, sf), Q.SYSTEM_EASY, ("turn", "slot")),
+            ("tool_call_hard", pools.HARD_RESERVE, Q.hard_history(spark, sf), Q.SYSTEM_HARD, ("interaction", "slot"))):
+        cells = Q._cells(spark, sf, suite, reserve).select("event_id", "budget", "instruction")
+        per = {}
+        for r in G.prompt_messages(cells, history, system, order=order).collect():
+            per.setdefault(r.event_id, []).append(((r.part, r[order[0]], r[order[1]]), r.role, r.content))
+        for event, ms in per.items():
+            digests = sorted((o, f"{role}:{hashlib.md5(c.encode()).hexdigest()}") for o, role, c in ms if c is not None)
+            want[event] = (len(ms), sum(len(c or "") for _, _, c in ms),
+                           hashlib.md5(",".join(d for _, d in digests).encode()).hexdigest())
+    return want
+
+
+def test_prompts_of_repeated_events_and_no_shuffled_message(spark, tmp_path):
+    """Messages used to be joined and shuffled one by one, texts and all; now only cells are shuffled."""
+    from evalkit.queries import QUERIES, load_all
+    load_all()
+    rows = [(i, 1, t, 1.0, "{}") for i, t in [(1, "view"), (2, "view"), (2, "view"), (3, "click"), (3, "view"), (3, "view"),
+                                              (4, None), (5, "view"), (None, "view"), (None, "click"), (14, "view")]]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").write.parquet(
+        f"{tmp_path}/events.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = QUERIES["prompt_messages"](spark, str(tmp_path))
+    got = {r.event_id: (r.n_msgs, r.total_chars, r.messages_md5) for r in found.collect()}
+    assert got == _messages_by_hand(spark, str(tmp_path)) and len(got) == 7
+    # below an exchange by event there is no join with histories
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+    depth = lambda s: len(s) - len(s.lstrip(" :+-"))
+    exchanges = [i for i, s in enumerate(plan) if "Exchange hashpartitioning(event_id" in s]
+    assert exchanges
+    for i in exchanges:
+        below = plan[i + 1:next((j for j in range(i + 1, len(plan)) if depth(plan[j]) <= depth(plan[i])), len(plan))]
+        assert not any("Join" in s for s in below)
+
+
 def test_seeded_samples_follow_the_length_policy(spark):
     from evalkit.operators.calibration import seeded_samples
     exchanges = spark.createDataFrame([(i, f"call{i}", f"result{i}") for i in range(5)], "exchange_id int, call string, result string")
