@@ -155,7 +155,8 @@ def prompt_messages(cells: DataFrame, history: DataFrame, system_text: str, inst
     the texts. With ``gathered`` there is one row per cell: its columns, its first and last
     message as the structs ``system`` and ``user`` (part, order columns, values), and what
     ``gathered`` makes of the ordered array of such structs that is its history (as long as
-    the budget lets a prompt be). That too is worked out once per budget; no message is shuffled."""
+    the budget lets a prompt be; null without a history). That too is worked out once per
+    budget; no message is shuffled."""
     keys = [c for c in cells.columns if c != instruction]
     order = list(order)
     hist = history.select(budget, F.lit(1).alias("part"), *order, *values(F.col("role"), F.col("content")))
@@ -168,10 +169,9 @@ def prompt_messages(cells: DataFrame, history: DataFrame, system_text: str, inst
     system, user = edge(0, "system", F.lit(system_text)), edge(2, "user", last)
     if gathered is not None:
         per = hist.groupBy(budget).agg(F.array_sort(F.collect_list(F.struct(*hist.columns[1:]))).alias("_all"))
-        none = gathered(F.array().cast(per.schema["_all"].dataType))
-        per = per.select(budget, F.struct(*gathered(F.col("_all"))).alias("_history"))
-        found = attach_by_budget(cells, per, budget).withColumn("_history", F.coalesce("_history", F.struct(*none)))
-        return found.select(*keys, F.struct(*system).alias("system"), F.struct(*user).alias("user"), "_history.*")
+        per = per.select(budget, *gathered(F.col("_all")))
+        return attach_by_budget(cells, per, budget).select(
+            *keys, F.struct(*system).alias("system"), F.struct(*user).alias("user"), *per.columns[1:])
     hist = cells.select(*keys).join(hist, budget).select(*keys, *hist.columns[1:])
     return cells.select(*keys, *system).unionByName(hist).unionByName(cells.select(*keys, *user))
 

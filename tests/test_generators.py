@@ -106,8 +106,9 @@ def test_gathered_prompts_are_the_messages_in_order(spark):
     rows = G.prompt_messages(cells, hist, "SYS").orderBy("cell", "part", "turn", "slot").collect()
     whole = G.prompt_messages(cells, hist, "SYS", gathered=lambda h: [F.size(h).alias("n"), h.alias("messages")]).collect()
     for r in whole:
-        assert r.n == len(r.messages)
-        assert [(m.role, m.content) for m in (r.system, *r.messages, r.user)] == [
+        history = r.messages or []
+        assert r.n == (len(history) or None)
+        assert [(m.role, m.content) for m in (r.system, *history, r.user)] == [
             (m.role, m.content) for m in rows if m.cell == r.cell]
     assert len(whole) == 4
 
