@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalkit.llm.common import per_worker, with_columns
+from evalkit.llm.common import per_worker, spans, with_columns
 
 #: Classes of code points.
 LETTER, NUMBER, SPACE, OTHER_SPACE, APOSTROPHE, MARK = range(6)
@@ -261,11 +261,13 @@ def round_trip(path: str):
     @F.arrow_udf("struct<ids:array<int>,offsets:array<int>,decoded:binary>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = per_worker(("byte-bpe", path), lambda: ByteBpe(path))
-        for texts in batches:
-            ids, offsets = bpe.encode([t or "" for t in texts.to_pylist()])
-            yield pa.StructArray.from_arrays(
-                [lists(ids, np.int32, pa.int32()), lists(offsets, np.int32, pa.int32()),
-                 pa.array([bpe.decode(x) for x in ids], pa.binary())], ["ids", "offsets", "decoded"])
+        for batch in batches:
+            texts = [t or "" for t in batch.to_pylist()]
+            for start, stop in spans([len(t) for t in texts]):
+                ids, offsets = bpe.encode(texts[start:stop])
+                yield pa.StructArray.from_arrays(
+                    [lists(ids, np.int32, pa.int32()), lists(offsets, np.int32, pa.int32()),
+                     pa.array([bpe.decode(x) for x in ids], pa.binary())], ["ids", "offsets", "decoded"])
     return run
 
 

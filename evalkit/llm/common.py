@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from evalkit.session import scratch_path
 BROADCAST_BYTES = 32 * 1024 * 1024
 #: Largest Arrow batch handed to a Python worker, whatever the length of the texts.
 ARROW_BATCH_BYTES = 4 * 1024 * 1024
+#: Characters that a worker turns into arrays at a time (many bytes of arrays for each).
+CHUNK = 1 << 18
 #: A word, as the word statistics here count it: no space and none of \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -59,18 +61,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Objects that a worker keeps: those of one operator (a table and what is built on it).
-WORKER_OBJECTS = 2
-
-
 def per_worker(key: tuple, make: Callable):
     """An object made once per Python worker (functions pickled by value have no
-    module globals that outlive a task). The objects used last are kept, so a worker that
-    turns to another operator lets those of the one before go."""
+    module globals that outlive a task). A worker keeps the objects of one operator, those that
+    were made last; they go before another's are made, so the two are never held together."""
     store = sys.modules.setdefault("_llm_worker_store", types.ModuleType("_llm_worker_store")).__dict__
     kept = store.setdefault("_llm_kept", {})
-    found = kept.pop(key) if key in kept else make()
-    kept[key] = found
-    for old in list(kept)[:-WORKER_OBJECTS]:
-        del kept[old]
-    return found
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()  # beside what it makes on the way
+    return kept[key]
+
+
+def spans(lengths: Sequence[int], chunk: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``chunk`` characters together (a longer text is alone)."""
+    start = total = 0
+    for i, n in enumerate(lengths):
+        if total and total + n > chunk:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(lengths):
+        yield start, len(lengths)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalkit.llm.common import materialize, per_worker, small_enough, with_columns
+from evalkit.llm.common import materialize, per_worker, small_enough, spans, with_columns
 
 UNKNOWN = "und"
 #: Labelled documents drawn per language and in all (about; at least one of each language).
@@ -41,8 +41,6 @@ EPOCHS, RATE, BATCH = 6, 0.5, 32
 #: Share of right predictions on held-back samples that rejection may cost at most, and
 #: the score from which nothing is rejected whatever that share.
 LOST, SURE = 0.002, 0.5
-#: Characters scored at a time in a worker.
-CHUNK = 1 << 20
 
 
 def letter_table() -> np.ndarray:
@@ -240,18 +238,6 @@ def predictor(model: Model):
     return run
 
 
-def spans(lengths: Sequence[int], chunk: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``chunk`` characters together (a longer text is alone)."""
-    start = total = 0
-    for i, n in enumerate(lengths):
-        if total and total + n > chunk:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(lengths):
-        yield start, len(lengths)
-
-
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and rejected."""
     out = with_columns(docs, {"_llm_l": predictor(model)(F.col(text))})

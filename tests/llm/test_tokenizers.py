@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from evalkit.llm import bpe, queries, token_count, token_files
+from evalkit.llm import bpe, common, langid, queries, token_count, token_files
 
 from .helpers import edge_rows, edge_table, empty_table
 
@@ -51,6 +51,63 @@ def test_boundaries_do_not_depend_on_the_batch():
     assert [x.tolist() for x in coder.encode(texts)[0]] == [coder.encode([t])[0][0].tolist() for t in texts]
 
 
+def test_a_batch_is_encoded_a_few_texts_at_a_time(spark):
+    import pyarrow as pa
+    texts = [None, "", *noise(400), "y" * (common.CHUNK + 5), *["plain words, " * 9000] * 8, None]
+    parts = list(bpe.round_trip(RANKS).func(iter([pa.array(texts)])))
+    got = [x for part in parts for x in part.to_pylist()]
+    want = bpe.ByteBpe(RANKS).encode([t or "" for t in texts])
+    assert [(x["ids"], x["offsets"]) for x in got] == [(i.tolist(), o.tolist()) for i, o in zip(*want)]
+    assert [x["decoded"] for x in got] == [(t or "").encode() for t in texts]
+    for part in parts:  # a text longer than that has a part of its own, but for empty ones
+        lengths = [len(x.decode()) for x in part.field("decoded").to_pylist()]
+        assert sum(lengths) <= common.CHUNK or sum(n > 0 for n in lengths) == 1
+
+
+def peak_of(run) -> int:
+    """Most bytes that ``run`` holds at once."""
+    import tracemalloc
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_arrays_of_a_batch_stay_small(spark):
+    import pyarrow as pa
+    batch = pa.array(["plain words, " * 300] * 1000)  # about as much as one batch holds
+    encode, model = bpe.round_trip(RANKS).func, langid.fit(["plain words", "mots simples"] * 10, ["en", "fr"] * 10)
+    predict = langid.predictor(model).func
+    for _ in encode(iter([batch[:1]])):
+        pass  # the table of ranks is there
+    assert peak_of(lambda: [None for _ in encode(iter([batch]))]) < 40 << 20
+    list(predict(iter([batch[:1]])))
+    assert peak_of(lambda: [None for _ in predict(iter([batch]))]) < 64 << 20
+
+
+def test_a_worker_lets_old_objects_go_first():
+    import gc
+    import weakref
+
+    class Held:
+        pass
+
+    old = weakref.ref(common.per_worker(("old",), Held))
+    assert old() is not None and common.per_worker(("old",), Held) is old()
+    seen = []
+
+    def make():
+        gc.collect()
+        seen.append(old())
+        return common.per_worker(("part",), Held), Held()
+
+    new = common.per_worker(("new",), make)
+    assert seen == [None]
+    assert common.per_worker(("new",), make) is new and common.per_worker(("part",), Held) is new[0]
+
+
 def test_piece_counts_match_the_library():
     import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
